@@ -247,25 +247,26 @@ def _tested(df: DataFrame) -> DataFrame:
 def fdr_grid(df: DataFrame, key: str, sims: int = 5, seed: int = 0) -> DataFrame:
     """FDR at 28 fixed p-values: p, n_actual, mean_sim, fdr = mean_sim / (n_actual + 1)."""
     tested = _tested(df)
-    points = F.array(*[F.lit(round(p, 3)) for p in FDR_GRID])
+    points = [round(p, 3) for p in FDR_GRID]
+    none = F.lit(0).cast("long")
+    actual = tested.groupBy(F.round("pval", 12).alias("p")).agg(F.count(F.lit(1)).alias("a"))
+    both = actual.withColumn("s", none).unionByName(
+        simulate(tested, key, sims, seed).select("p", none.alias("a"), F.col("drawn").alias("s"))
+    )
 
-    def passed(p: Column, weight: Column, name: str, rows: DataFrame) -> DataFrame:
-        # Each row lands on the smallest grid point that reaches it; the running sum over 28 points does the rest.
-        at = F.array_min(F.filter(points, lambda g: g >= p))
-        return rows.select(at.alias("p"), weight.alias("w")).where(F.col("p").isNotNull()).groupBy("p").agg(
-            F.sum("w").alias(name)
-        )
+    def upto(p: float, weight: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("p") <= p, F.col(weight))), none)
 
-    actual = passed(F.round("pval", 12), F.lit(1).cast("long"), "a", tested)
-    drawn = passed(F.col("p"), F.col("drawn"), "s", simulate(tested, key, sims, seed))
-    grid = tested.sparkSession.range(1).select(F.explode(points).alias("p")).distinct()
-    upto = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        grid.join(actual, "p", "left")
-        .join(drawn, "p", "left")
-        .withColumn("n_actual", F.coalesce(F.sum("a").over(upto), F.lit(0)))
-        .withColumn("mean_sim", F.coalesce(F.sum("s").over(upto), F.lit(0)) / sims)
-        .select("p", "n_actual", "mean_sim", (F.col("mean_sim") / (F.col("n_actual") + 1)).alias("fdr"))
+    # One pass over the distinct p-values; no filter, which would be pushed below their aggregation.
+    row = both.agg(
+        F.array(*[F.struct(F.lit(p).alias("p"), upto(p, "a").alias("n_actual"), upto(p, "s").alias("n_sim")) for p in points])
+        .alias("grid")
+    )
+    return row.select(F.inline("grid")).select(
+        "p",
+        "n_actual",
+        (F.col("n_sim") / sims).alias("mean_sim"),
+        (F.col("n_sim") / sims / (F.col("n_actual") + 1)).alias("fdr"),
     )
 
 

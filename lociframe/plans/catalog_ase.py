@@ -289,45 +289,49 @@ def gene_summary(spark, sf):
 _HEADS = """select ind, p_, count(*) drawn from (
   select ind, round(""" + fair_p("least(heads, flips-heads)", "flips") + """, 12) p_ from (
     select ind, flips, list_sum(list_transform(range(0, (flips+59)//60), lambda j: bit_count(
-        (('0x'||substr(md5(concat('0:',ind,'|',gene,':',s,':',j)),1,15))::bigint) >> greatest(0, 60-(flips-j*60))::int ))) heads
-    from (select ind, gene, mat_counts+pat_counts flips, s from {sq_gene} cross join (select unnest(range(1,6)) s) ss where not isnan(pval)) a
+        (('0x'||substr(md5(concat('0:',ind,'|',name,':',s,':',j)),1,15))::bigint) >> greatest(0, 60-(flips-j*60))::int ))) heads
+    from (select ind, name, mat_counts+pat_counts flips, s from {sq_p} cross join (select unnest(range(1,6)) s) ss where not isnan(pval)) a
     where flips>0
-    union all select ind, 0 flips, 0 heads from {sq_gene} cross join (select unnest(range(1,6)) s) ss where not isnan(pval) and mat_counts+pat_counts=0
+    union all select ind, 0 flips, 0 heads from {sq_p} cross join (select unnest(range(1,6)) s) ss where not isnan(pval) and mat_counts+pat_counts=0
   ) b) c group by 1,2"""
 
 _CUTS = f"""select ind, max(p_) p_cut, max_by(fdr, p_) fdr from (
-  select a.ind, a.p_, (select coalesce(sum(drawn),0) from ({_HEADS}) h where h.ind=a.ind and h.p_<=a.p_)/5.0::double / n_act fdr from (
-    select ind, p_, sum(c) over (partition by ind order by p_) n_act from (
-      select ind, round(pval,12) p_, count(*) c from {{sq_gene}} where not isnan(pval) group by 1,2) q) a) b
-  where fdr<0.1 group by ind"""
+  select ind, p_, a, sum(s) over w / 5.0::double / sum(a) over w fdr from (
+    select ind, p_, sum(a) a, sum(s) s from (
+      select ind, round(pval,12) p_, 1 a, 0 s from {{sq_p}} where not isnan(pval)
+      union all select ind, p_, 0, drawn from ({_HEADS}) h) u group by 1,2) v
+  window w as (partition by ind order by p_)) x
+  where a>0 and fdr<0.1 group by ind"""
 
 
-def tested_genes(spark: SparkSession, sf: str) -> DataFrame:
-    return genes(spark, sf).withColumn("key", F.concat("ind", F.lit("|"), "gene"))
+def tested_snps(spark: SparkSession, sf: str) -> DataFrame:
+    return called(spark, sf).withColumn("key", F.concat("ind", F.lit("|"), "name"))
 
 
 @_register(
     "fdr_simulated",
-    f"""with hs as ({_HEADS}), act as (select round(pval,12) p_ from {{sq_gene}} where not isnan(pval)),
+    f"""with hs as ({_HEADS}), act as (select round(pval,12) p_ from {{sq_p}} where not isnan(pval)),
         grid as (select unnest(list_concat([round(x*0.001,3) for x in range(0,10)], [round(x*0.01,3) for x in range(1,10)], [round(x*0.1,3) for x in range(1,10)]))::double p)
         , gg as (select distinct p from grid)
         select p, (select count(*) from act where p_<=p) n_actual, round((select coalesce(sum(drawn),0) from hs where p_<=p)/5.0::double, 6) mean_sim,
           round((select coalesce(sum(drawn),0) from hs where p_<=p)/5.0::double/((select count(*) from act where p_<=p)+1), 9) fdr from gg""",
 )
 def fdr_simulated(spark, sf):
-    return rounded(ase.fdr_grid(tested_genes(spark, sf), "key"), mean_sim=6, fdr=9)
+    return rounded(ase.fdr_grid(tested_snps(spark, sf), "key"), mean_sim=6, fdr=9)
 
 
 @_register(
     "fdr_filter",
-    f"select {', '.join('g.'+c.strip() for c in 'ind, gene, mat_counts, pat_counts, snps, winner'.split(','))}, round(g.pval,9) pval, round(c.p_cut,9) p_cut "
-    f"from {{sq_gene}} g join ({_CUTS}) c on g.ind=c.ind where not isnan(g.pval) and g.pval<c.p_cut",
+    f"select g.ind, g.gene, g.name, g.mat_counts, g.pat_counts, round(g.pval,9) pval, round(c.p_cut,9) p_cut, round(c.fdr,9) fdr "
+    f"from {{sq_p}} g join ({_CUTS}) c on g.ind=c.ind where not isnan(g.pval) and g.pval<c.p_cut",
 )
 def fdr_filter(spark, sf):
-    table = tested_genes(spark, sf)
+    table = tested_snps(spark, sf)
     cuts = ase.fdr_cutoff(table, "key", by=["ind"])
-    kept = ase.fdr_filter(table, cuts, by=["ind"]).join(cuts.select("ind", F.col("p").alias("p_cut")), "ind")
-    return rounded(kept, pval=9, p_cut=9).select("ind", "gene", "mat_counts", "pat_counts", "snps", "winner", "pval", "p_cut")
+    kept = ase.fdr_filter(table, cuts, by=["ind"]).join(cuts.select("ind", "fdr", F.col("p").alias("p_cut")), "ind")
+    return rounded(kept, pval=9, p_cut=9, fdr=9).select(
+        "ind", "gene", "name", "mat_counts", "pat_counts", "pval", "p_cut", "fdr"
+    )
 
 
 @_register(

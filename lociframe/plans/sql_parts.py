@@ -20,9 +20,11 @@ def erfc_any(z: str) -> str:
 
 def fair_p(k: str, n: str) -> str:
     """Two-sided fair-coin p of k = the smaller count out of n."""
+    # Binomial coefficients by an integer product, so that dyadic p-values stay exact.
+    choose = f"list_reduce(list_prepend(1.0::double, range(1, i+1)::double[]), lambda acc, j: acc*(({n})-i+j)/j)"
     exact = (
         f"least(1.0::double, 2*list_sum(list_transform(range(0, ({k})::bigint+1), "
-        f"lambda i: exp(lgamma(({n})+1)-lgamma(i+1)-lgamma(({n})-i+1)-({n})*ln(2.0::double)))))"
+        f"lambda i: {choose}*pow(0.5::double, ({n})))))"
     )
     z = f"((({n})/2.0::double-({k})-0.5)/(sqrt(({n})::double)/2)/sqrt(2.0::double))"
     return (
