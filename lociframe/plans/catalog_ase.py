@@ -6,21 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociframe.operators import ase, intervals
-from lociframe.plans.fixtures import view, with_views
+from lociframe.plans.fixtures import view
+from lociframe.plans.registry import Registry
 from lociframe.plans.sql_parts import ASE_VIEWS, fair_p
 
-QUERIES = {}
-SQL = {}
-
-
-def _register(name: str, sql: str | None = None):
-    def keep(fn):
-        QUERIES[name] = fn
-        if sql:
-            SQL[name] = with_views(sql, ASE_VIEWS)
-        return fn
-
-    return keep
+register = Registry(ASE_VIEWS)
 
 
 def exons(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,12 +46,12 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
-@_register("snp_in_exon", "select chrom, pos, name, mat, pat, gene from {fx_placed}")
+@register("snp_in_exon", "select chrom, pos, name, mat, pat, gene from {fx_placed}")
 def snp_in_exon(spark, sf):
     return placed(spark, sf)
 
 
-@_register(
+@register(
     "snp_in_peak_rename",
     """select concat(s.chrom, '.', s.pos, '-', s.peak) snp, s.name from (
          select s.chrom, s.pos, s.name, min_by(p.pop, p.event_id) peak from {fx_snps} s join {fx_peaks} p
@@ -83,7 +73,7 @@ def reads(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@_register(
+@register(
     "read_covers_snp",
     """select r.id, s.name, s.chrom, s.pos, substr(r.seq, cast(s.pos-(r.pos1-1)+1 as bigint), 1) base from {fx_reads} r join {fx_snps} s
        on r.chrom=s.chrom and s.pos>=r.pos1-1 and s.pos<r.pos1-1+length(r.seq)""",
@@ -93,7 +83,7 @@ def read_covers_snp(spark, sf):
     return hits.select("id", "name", "chrom", "pos", "base")
 
 
-@_register(
+@register(
     "snps_in_regions",
     """select chrom, pos, name from {fx_snps} s where exists
        (select 1 from {fx_peaks} p where p.chrom=s.chrom and s.pos>=p.pstart and s.pos<p.pend)""",
@@ -114,14 +104,14 @@ _BASE_AT = """select s.*, substr(g.seq, cast(s.pos%32+1 as bigint), 1) b from {f
 _CALL = "case when upper(b)=ref_allele then 'ref' when upper(b)=alt_allele then 'alt' else 'no_match' end"
 
 
-@_register("snp_vs_genome", f"select chrom, pos, name, b base, {_CALL} call from ({_BASE_AT}) x")
+@register("snp_vs_genome", f"select chrom, pos, name, b base, {_CALL} call from ({_BASE_AT}) x")
 def snp_vs_genome(spark, sf):
     return intervals.compare_to_genome(snps_ra(spark, sf), tiles(spark, sf), TILE).select(
         "chrom", "pos", "name", "base", "call"
     )
 
 
-@_register(
+@register(
     "genome_match_report",
     f"""select chrom, count(*) filter (call='ref') "ref", count(*) filter (call='alt') alt, count(*) filter (call='no_match') no_match
         from (select chrom, {_CALL} call from ({_BASE_AT}) x) y group by chrom""",
@@ -137,12 +127,12 @@ _AROUND = """select s.chrom, s.pos, string_agg(substr(g.seq, cast((s.pos+d)%32+1
    group by 1,2 having bool_or(d=0)"""
 
 
-@_register("region_sequence", f"select chrom, pos, upper(w) region, n<15 is_edge from ({_AROUND.replace('KK','7')}) x")
+@register("region_sequence", f"select chrom, pos, upper(w) region, n<15 is_edge from ({_AROUND.replace('KK','7')}) x")
 def region_sequence(spark, sf):
     return intervals.get_regions(snps_ra(spark, sf).select("chrom", "pos"), tiles(spark, sf), TILE)
 
 
-@_register(
+@register(
     "dinucleotides",
     f"""select chrom, pos, substr(w,2,1) ref_base, substr(w,1,2) plus1, substr(w,2,2) plus2,
           reverse(translate(substr(w,1,2),'ACGTNacgtn','TGCANtgcan')) minus1,
@@ -158,7 +148,7 @@ def dinucleotides(spark, sf):
     return intervals.get_dinucleotides(snps_ra(spark, sf).select("chrom", "pos"), tiles(spark, sf), TILE)
 
 
-@_register(
+@register(
     "chroms_not_found",
     "select distinct chrom from {fx_points} where chrom not in (select distinct chrom from {fx_genome})",
 )
@@ -166,7 +156,7 @@ def chroms_not_found(spark, sf):
     return intervals.missing_chroms(view(spark, sf, "fx_points"), tiles(spark, sf))
 
 
-@_register(
+@register(
     "counts_x_snps",
     """select c.ind, c.chrom, c.pos, c.base, c.n, s.ref_allele mat, s.alt_allele pat
        from {fx_counts} c left join {fx_snps} s on c.chrom=s.chrom and c.pos=s.pos""",
@@ -177,14 +167,14 @@ def counts_x_snps(spark, sf):
     return joined.select("ind", "chrom", "pos", "base", "n", "mat", "pat")
 
 
-@_register("snp_counts", "select ind, chrom, pos, name, gene, mat_counts, pat_counts, n_counts, other_counts from {sq_snp}")
+@register("snp_counts", "select ind, chrom, pos, name, gene, mat_counts, pat_counts, n_counts, other_counts from {sq_snp}")
 def snp_counts(spark, sf):
     return ase.snp_counts(
         ase.counts_by_allele(view(spark, sf, "fx_counts"), placed(spark, sf)), ["ind", "chrom", "pos", "name", "gene"]
     )
 
 
-@_register(
+@register(
     "snp_binom_pval",
     "select ind, name, mat_counts, pat_counts, case when isnan(pval) then null else round(pval, 9) end pval from {sq_p}",
 )
@@ -194,7 +184,7 @@ def snp_binom_pval(spark, sf):
     )
 
 
-@_register("snp_winner", "select ind, name, win from {sq_win}")
+@register("snp_winner", "select ind, name, win from {sq_win}")
 def snp_winner(spark, sf):
     return called(spark, sf).select("ind", "name", "win")
 
@@ -228,7 +218,7 @@ from (select x.*, s.name, s.ref_allele, s.alt_allele,
 )
 
 
-@_register(
+@register(
     "allele_call_reference",
     f"""select ind, name, round(pval,9) pval, cls, case when cls='Weird' then '?' when lower(ref_allele)=major then 'M'
           when lower(alt_allele)=major then 'P' else '?' end parent
@@ -251,12 +241,12 @@ def _no_nan(df: DataFrame) -> DataFrame:
     return df.withColumn("pval", F.round(F.nullif("pval", F.lit(float("nan"))), 9))
 
 
-@_register("gene_table_all_individuals", f"select {_GENE_COLS} from {{sq_gene}}")
+@register("gene_table_all_individuals", f"select {_GENE_COLS} from {{sq_gene}}")
 def gene_table_all_individuals(spark, sf):
     return _no_nan(genes(spark, sf))
 
 
-@_register(
+@register(
     "gene_summary",
     f"""select ind, gene, cast(sum(n1) as bigint) mat_counts, cast(sum(n2) as bigint) pat_counts, cast(sum(a+c+g+t-n1-n2) as bigint) other_counts,
           count(*) snps, round(quantile_cont(pval,0.5),9) pval, count(*) filter (parent='M') mat_wins, count(*) filter (parent='P') pat_wins,
@@ -308,7 +298,7 @@ def tested_snps(spark: SparkSession, sf: str) -> DataFrame:
     return called(spark, sf).withColumn("key", F.concat("ind", F.lit("|"), "name"))
 
 
-@_register(
+@register(
     "fdr_simulated",
     f"""with hs as ({_HEADS}), act as (select round(pval,12) p_ from {{sq_p}} where not isnan(pval)),
         grid as (select unnest(list_concat([round(x*0.001,3) for x in range(0,10)], [round(x*0.01,3) for x in range(1,10)], [round(x*0.1,3) for x in range(1,10)]))::double p)
@@ -320,7 +310,7 @@ def fdr_simulated(spark, sf):
     return rounded(ase.fdr_grid(tested_snps(spark, sf), "key"), mean_sim=6, fdr=9)
 
 
-@_register(
+@register(
     "fdr_filter",
     f"select g.ind, g.gene, g.name, g.mat_counts, g.pat_counts, round(g.pval,9) pval, round(c.p_cut,9) p_cut, round(c.fdr,9) fdr "
     f"from {{sq_p}} g join ({_CUTS}) c on g.ind=c.ind where not isnan(g.pval) and g.pval<c.p_cut",
@@ -334,7 +324,7 @@ def fdr_filter(spark, sf):
     )
 
 
-@_register(
+@register(
     "wrong_base_report",
     """select tissue, chrom, count(*) snp_count, count(*) filter (not known) skipped, cast(sum(r) as bigint) "ref", cast(sum(a) as bigint) alt,
          cast(sum(ns) as bigint) ns, cast(sum(o) as bigint) other, cast(sum(r+a+ns+o) as bigint) total,
@@ -353,7 +343,7 @@ def wrong_base_report(spark, sf):
     return rounded(ase.wrong_base(counts, snps), other_percent=9)
 
 
-@_register(
+@register(
     "read_allele_report",
     """with sh as (select r.*, s shift, r.pos1-1-s st, case when flag%32>=16 then translate(seq,'ACGTNacgtn','TGCANtgcan') else seq end sq
          from {fx_reads} r cross join (select 0 s union all select 1 union all select -1) ss),
@@ -370,12 +360,12 @@ def read_allele_report(spark, sf):
     return ase.read_report(reads(spark, sf), snps_ra(spark, sf))
 
 
-@_register("gene_list", "select distinct gene from {fx_placed}")
+@register("gene_list", "select distinct gene from {fx_placed}")
 def gene_list(spark, sf):
     return ase.gene_list(placed(spark, sf))
 
 
-@_register(
+@register(
     "per_gene_snp_rate",
     """select s.chrom, count(*) total, count(p.gene) in_gene, round(100.0::double*count(p.gene)/count(*), 6) percent
        from {fx_snps} s left join {fx_placed} p on s.chrom=p.chrom and s.pos=p.pos group by 1""",
