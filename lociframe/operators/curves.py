@@ -82,7 +82,7 @@ def linear_bins(a: DataFrame, b: DataFrame, bins: int, x: str = "x") -> DataFram
     """bins + 1 equal-width edges over both series, 1 % of each end wider: i, edge."""
     ends = a.select(F.col(x).alias("v")).unionByName(b.select(F.col(x).alias("v"))).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     lo, hi = F.col("lo") * 0.99, F.col("hi") * 1.01
-    return ends.select(F.explode(F.sequence(F.lit(0), F.lit(bins))).alias("i"), lo.alias("lo"), hi.alias("hi")).select(
+    return ends.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins).cast("long"))).alias("i"), lo.alias("lo"), hi.alias("hi")).select(
         "i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / bins).alias("edge")
     )
 
@@ -99,7 +99,7 @@ def pp_curve(a: DataFrame, b: DataFrame, edges: DataFrame, x: str = "x") -> Data
         # Values are counted before they are binned: a value that fills the table is one row.
         counted = df.groupBy(F.col(x).alias("v")).agg(F.count(F.lit(1)).alias("n"))
         binned = counted.withColumn("_e", edge_list).withColumn(
-            "bin", F.when(F.col("v") > F.get("_e", F.lit(0)), F.size(F.filter("_e", lambda e: e < F.col("v"))))
+            "bin", F.when(F.col("v") > F.get("_e", F.lit(0)), F.size(F.filter("_e", lambda e: e < F.col("v"))).cast("long"))
         )
         inside = (F.col("bin") >= 1) & (F.col("bin") < F.size("_e"))
         return binned.groupBy(F.when(inside, F.col("bin")).alias("bin")).agg(F.sum("n").alias(name))
@@ -108,7 +108,7 @@ def pp_curve(a: DataFrame, b: DataFrame, edges: DataFrame, x: str = "x") -> Data
     total_a, total_b = ha.select(F.sum("a")).scalar(), hb.select(F.sum("b")).scalar()
     bins = edges.sparkSession.range(1).select(edge_list.alias("_e")).select(
         F.posexplode(F.arrays_zip(F.slice("_e", 1, F.size("_e") - 1).alias("lo"), F.slice("_e", 2, F.size("_e") - 1).alias("hi"))).alias("i", "e")
-    ).select((F.col("i") + 1).alias("bin"), ((F.col("e.lo") + F.col("e.hi")) / 2).alias("mid"))
+    ).select((F.col("i") + 1).cast("long").alias("bin"), ((F.col("e.lo") + F.col("e.hi")) / 2).alias("mid"))
     upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     return (
         bins.join(ha, "bin", "left")

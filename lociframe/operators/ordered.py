@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.config import pin
+from lociframe.config import parallelism, pin
 from lociframe.plans import ranged
 
 # Bases a peak must reach into the next before they overlap, and the default share.
@@ -97,7 +97,7 @@ def peak_merge(peaks: DataFrame, overlap: float = OVERLAP, by_row: bool = False)
     steps = pin(
         f.withColumns({"_kind": kind, "_limit": F.lit(float(overlap)), "prev_end": F.coalesce("prev_end", F.lit(0).cast("long"))})
         .select(*cols, "_kind", "_limit", "prev_end")
-        .repartitionByRange("_part")
+        .repartitionByRange(parallelism(peaks.sparkSession), "_part")
         .sortWithinPartitions("_part", "_at")
         .withColumn("_walk", F.spark_partition_id())
     )
@@ -178,7 +178,8 @@ def check_columns(lines: DataFrame, count: int, sep: str = "\t") -> DataFrame:
 def apply_per_group(df: DataFrame, group: str, fn: Callable, schema: str) -> DataFrame:
     """Run a pandas function on every group. A group has to fit in one task; use the aggregates
     where they can say the same."""
-    return df.groupBy(group).applyInPandas(fn, schema)
+    # Partitioned by the group up front, so that many small groups are not coalesced into a few tasks.
+    return df.repartition(parallelism(df.sparkSession), group).groupBy(group).applyInPandas(fn, schema)
 
 
 def pick_causal(df: DataFrame, exclude: bool = False, threshold: float = 0.9, default_prior: float = 0.1723) -> DataFrame:

@@ -41,10 +41,10 @@ def peaks(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "peak_islands",
     """select event_id "key", chrom, op overlaps_prev, onx overlaps_next,
-         sum(case when op then 0 else 1 end) over (order by chrom, pstart, pend, event_id) island from {sq_peak}""",
+         cast(sum(case when op then 0 else 1 end) over (order by chrom, pstart, pend, event_id) as bigint) island from {sq_peak}""",
 )
 def peak_islands(spark, sf):
-    return ordered.peak_flags(peaks(spark, sf)).select("key", "chrom", "overlaps_prev", "overlaps_next", F.col("island").cast("double").alias("island"))
+    return ordered.peak_flags(peaks(spark, sf)).select("key", "chrom", "overlaps_prev", "overlaps_next", "island")
 
 
 @register(
@@ -71,13 +71,13 @@ def cluster_stats(spark, sf):
 
 @register(
     "group_consecutive",
-    """select g "group", k event_type, count(*) rows_, min(event_id) first_, max(event_id) last_ from (
+    """select cast(g as bigint) "group", k event_type, count(*) rows_, min(event_id) first_, max(event_id) last_ from (
          select event_id, event_type k, sum(c) over (order by event_id) g from (
            select event_id, event_type, case when event_type=lag(event_type) over (order by event_id) then 0 else 1 end c from {events}) a) b group by 1,2""",
 )
 def group_consecutive(spark, sf):
     runs = ordered.grouped(view(spark, sf, "events").select("event_id", "event_type"), "event_type", "event_id")
-    return runs.groupBy(F.col("group").cast("double").alias("group"), "event_type").agg(
+    return runs.groupBy("group", "event_type").agg(
         F.count(F.lit(1)).alias("rows_"), F.min("event_id").alias("first_"), F.max("event_id").alias("last_")
     )
 
@@ -192,7 +192,7 @@ def series(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @register(
     "linear_bins",
-    f"""select i, round(lo+(hi-lo)*i/25,6) edge from (select min(x)*0.99 lo, max(x)*1.01 hi from ({_A} union all {_B}) u) e, (select unnest(range(0,26)) i) g""",
+    f"""select cast(i as bigint) i, round(lo+(hi-lo)*i/25,6) edge from (select min(x)*0.99 lo, max(x)*1.01 hi from ({_A} union all {_B}) u) e, (select unnest(range(0,26)) i) g""",
 )
 def linear_bins(spark, sf):
     a, b = series(spark, sf)

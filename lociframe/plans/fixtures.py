@@ -92,7 +92,7 @@ select conv_id*1000+turn msg_id, role sender, concat('to', cast(conv_id%7 as int
   length(text)%10 spam_score, timestamp '2024-01-01 00:00:00' ts
 from {conversations}""",
     "fx_manifest": """
-select page_id, url path, length(html) size, md5(html) md5 from {pages}""",
+select page_id, url path, cast(length(html) as bigint) size, md5(html) md5 from {pages}""",
     # The other side of the manifest: some paths moved, some contents changed.
     "fx_manifest2": """
 select page_id, case when page_id%10=0 then concat(path, '.old') else path end path, size,
