@@ -16,3 +16,8 @@ def complement(seq: Column | str) -> Column:
 
 def revcomp(seq: Column | str) -> Column:
     return F.reverse(complement(seq))
+
+
+def reverse_when(seq: Column, flag: Column) -> Column:
+    """Complement the bases of reads on the reverse strand; their order stays."""
+    return F.when(flag, complement(seq)).otherwise(seq)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociframe.functions.bases import reverse_when
 from lociframe.functions.stats import fair_binomial_p, nan
 from lociframe.plans import ranged
 
@@ -356,32 +357,28 @@ def read_report(reads: DataFrame, snps: DataFrame, name: str = "file", flip: boo
     """
     from lociframe.operators.intervals import reads_x_snps
 
-    seq = F.when(F.col("reverse") & F.lit(flip), F.translate("seq", "ACGTNacgtn", "TGCANtgcan")).otherwise(F.col("seq"))
-    shifts = F.array(F.lit(0), F.lit(1), F.lit(-1))
-    shifted = (
-        reads.withColumn("seq", seq)
-        .withColumn("shift", F.explode(shifts))
-        .withColumn("start", F.col("start") - F.col("shift"))
-    )
-    totals = shifted.groupBy(name, "shift").agg(F.count(F.lit(1)).alias("reads"))
-    base = F.lower("base")
+    shifts = (0, 1, -1)
+    seq = reverse_when(F.col("seq"), F.col("reverse") & F.lit(flip))
+    read = reads.select(name, "id", "chrom", "start", seq.alias("seq"))
+    each = F.explode(F.array(*[F.lit(s) for s in shifts])).alias("shift")
+    totals = read.groupBy(name).agg(F.count(F.lit(1)).alias("reads")).select(name, each, "reads")
+    # One join serves all shifts: a read also meets the SNPs next to it, and each hit is then looked at per shift.
+    hits = reads_x_snps(read, snps.select("chrom", "pos", "ref", "alt"), margin=1).select("*", each)
+    at = F.col("pos") - F.col("start") + F.col("shift")
+    hits = hits.where((at >= 0) & (at < F.length("seq"))).withColumn("base", F.lower(F.substring("seq", (at + 1).cast("int"), F.lit(1))))
+    base = F.col("base")
     is_ref, is_alt, is_n = base == F.lower("ref"), base == F.lower("alt"), base == "n"
-    per_read = (
-        reads_x_snps(shifted.select(name, "shift", "id", "chrom", "start", "seq"), snps.select("chrom", "pos", "ref", "alt"))
-        .groupBy(name, "shift", "id")
-        .agg(
-            F.count(F.lit(1)).alias("snps"),
-            F.count_if(is_ref).alias("ref"),
-            F.count_if(~is_ref & is_alt).alias("alt"),
-            F.count_if(~is_ref & ~is_alt & is_n).alias("ns"),
-            F.count_if(~is_ref & ~is_alt & ~is_n).alias("other"),
-        )
-    )
-    hits = per_read.groupBy(name, "shift").agg(
-        F.count(F.lit(1)).alias("with_snps"), *[F.sum(c).alias(c) for c in ("snps", "ref", "alt", "ns", "other")]
+    per_read = hits.groupBy(name, "shift", "id").agg(
+        F.count(F.lit(1)).alias("snps"),
+        F.count_if(is_ref).alias("ref"),
+        F.count_if(~is_ref & is_alt).alias("alt"),
+        F.count_if(~is_ref & ~is_alt & is_n).alias("ns"),
+        F.count_if(~is_ref & ~is_alt & ~is_n).alias("other"),
     )
-    filled = [F.coalesce(c, F.lit(0)).alias(c) for c in ("with_snps", "snps", "ref", "alt", "ns", "other")]
-    return totals.join(hits, [name, "shift"], "left").select(name, "shift", "reads", *filled)
+    counts = ("snps", "ref", "alt", "ns", "other")
+    summed = per_read.groupBy(name, "shift").agg(F.count(F.lit(1)).alias("with_snps"), *[F.sum(c).alias(c) for c in counts])
+    filled = [F.coalesce(c, F.lit(0)).alias(c) for c in ("with_snps", *counts)]
+    return totals.join(summed, [name, "shift"], "left").select(name, "shift", "reads", *filled)
 
 
 def match_report(compared: DataFrame) -> DataFrame:

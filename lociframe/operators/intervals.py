@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.config import parallelism
-from lociframe.functions.bases import complement, revcomp
+from lociframe.functions.bases import revcomp
 
 BIN = 16384
 
@@ -22,10 +22,10 @@ def _bin(pos: Column, width: int) -> Column:
     return F.floor(pos / F.lit(width)).cast("long")
 
 
-def _full_bins(points: DataFrame, shares: int) -> DataFrame:
-    """Bins with more than 1/shares of all points, and in how many salts to split each."""
-    sizes = points.groupBy("chrom", "_bin").agg(F.count(F.lit(1)).alias("_size"))
-    total = points.select(F.count(F.lit(1))).scalar()
+def _full_bins(rows: DataFrame, shares: int) -> DataFrame:
+    """Bins with more than 1/shares of all rows, and in how many salts to split each."""
+    sizes = rows.groupBy("chrom", "_bin").agg(F.count(F.lit(1)).alias("_size"))
+    total = rows.select(F.count(F.lit(1))).scalar()
     return sizes.where(F.col("_size") * shares > total).select(
         "chrom", "_bin", F.ceil(F.col("_size") * shares / total).cast("int").alias("_salts")
     )
@@ -39,24 +39,26 @@ def bin_join(
     end: str,
     width: int = BIN,
     shares: int | None = None,
+    spread: str = "points",
 ) -> DataFrame:
     """Inner join of every point with every half-open interval over it.
 
-    Both sides need a ``chrom`` column and otherwise distinct names. Keeps ``_bin`` and ``_salt``,
-    by which the result is partitioned.
+    Both sides need a ``chrom`` column and otherwise distinct names. ``spread`` names the bigger side,
+    whose full bins are split; the other side is repeated there. Keeps ``_bin`` and ``_salt``, by which
+    the result is partitioned.
     """
     shares = shares or parallelism(points.sparkSession)
     pts = points.withColumn("_bin", _bin(F.col(pos), width))
     ivs = intervals.where(F.col(end) > F.col(start)).withColumn(
         "_bin", F.explode(F.sequence(_bin(F.col(start), width), _bin(F.col(end) - 1, width)))
     )
-    full = F.broadcast(_full_bins(pts, shares))
-    spread = F.pmod(F.xxhash64(*points.columns), F.coalesce("_salts", F.lit(1))).cast("int")
-    pts = pts.join(full, ["chrom", "_bin"], "left").withColumn("_salt", spread).drop("_salts")
-    ivs = ivs.join(full, ["chrom", "_bin"], "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
-    ).drop("_salts")
-    return pts.join(ivs, ["chrom", "_bin", "_salt"]).where(
+    big, small = (pts, ivs) if spread == "points" else (ivs, pts)
+    # Fewer than ``shares`` bins can hold more than 1/shares of the rows each: a bounded broadcast.
+    full = F.broadcast(_full_bins(big, shares))
+    salts = F.coalesce("_salts", F.lit(1))
+    big = big.join(full, ["chrom", "_bin"], "left").withColumn("_salt", F.pmod(F.xxhash64(*big.columns), salts).cast("int"))
+    small = small.join(full, ["chrom", "_bin"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return big.drop("_salts").join(small.drop("_salts"), ["chrom", "_bin", "_salt"]).where(
         (F.col(pos) >= F.col(start)) & (F.col(pos) < F.col(end))
     )
 
@@ -125,18 +127,18 @@ def rename_by_peak(snps: DataFrame, peaks: DataFrame, snp: str = "snp") -> DataF
     return named.withColumn(snp, F.concat_ws("-", snp, "_peak")).select(*snps.columns)
 
 
-def reads_x_snps(reads: DataFrame, snps: DataFrame, width: int = BIN) -> DataFrame:
+def reads_x_snps(reads: DataFrame, snps: DataFrame, width: int = BIN, margin: int = 0) -> DataFrame:
     """Every SNP under every read, with the read's base there.
 
-    ``reads``: chrom, start, seq and anything else; ``snps``: chrom, pos and anything else. The
-    reads, being many, play the part of the intervals; snps that many reads cover only meet the
-    reads of their own bins.
+    ``reads``: chrom, start, seq and anything else; ``snps``: chrom, pos and anything else. Reads play
+    the part of the intervals and, being the bigger side, are the ones split where they pile up.
+    ``margin`` also takes SNPs that many bases beside the read; their base is empty.
     """
-    spans = reads.withColumn("_end", F.col("start") + F.length("seq"))
-    hits = bin_join(snps, spans, "pos", "start", "_end", width)
-    return hits.withColumn("base", F.substring("seq", F.col("pos") - F.col("start") + 1, F.lit(1))).drop(
-        "_bin", "_salt", "_end"
-    )
+    spans = reads.withColumns({"_start": F.col("start") - margin, "_end": F.col("start") + F.length("seq") + margin})
+    hits = bin_join(snps, spans, "pos", "_start", "_end", width, spread="intervals")
+    at = (F.col("pos") - F.col("start") + 1).cast("int")
+    base = F.when(at > 0, F.substring("seq", at, F.lit(1))).otherwise("")
+    return hits.withColumn("base", base).drop("_bin", "_salt", "_start", "_end")
 
 
 # ---- lookups in a tiled genome: columns chrom, tile, seq; tile t holds bases t*size .. (t+1)*size-1 ----
@@ -215,8 +217,3 @@ def get_dinucleotides(positions: DataFrame, tiles: DataFrame, size: int, base: i
 def missing_chroms(positions: DataFrame, tiles: DataFrame) -> DataFrame:
     """Requested chromosomes that have no sequence."""
     return positions.select("chrom").distinct().join(tiles.select("chrom").distinct(), "chrom", "left_anti")
-
-
-def reverse_when(seq: Column, flag: Column) -> Column:
-    """Complement the bases of reads that map to the reverse strand."""
-    return F.when(flag, complement(seq)).otherwise(seq)

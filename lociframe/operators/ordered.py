@@ -177,9 +177,31 @@ def check_columns(lines: DataFrame, count: int, sep: str = "\t") -> DataFrame:
 
 def apply_per_group(df: DataFrame, group: str, fn: Callable, schema: str) -> DataFrame:
     """Run a pandas function on every group. A group has to fit in one task; use the aggregates
-    where they can say the same."""
-    # Partitioned by the group up front, so that many small groups are not coalesced into a few tasks.
-    return df.repartition(parallelism(df.sparkSession), group).groupBy(group).applyInPandas(fn, schema)
+    where they can say the same.
+
+    Rows are partitioned and sorted by the group and cut up batch by batch, so that a table of many
+    small groups does not pay for an Arrow stream per group.
+    """
+    def run(batches):
+        import pandas as pd
+
+        held: list = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            last = pdf[group].iloc[-1]
+            tail = pdf[group].isna() if pd.isna(last) else pdf[group] == last
+            if tail.all() and held and (held[0][group].iloc[0] == last or (pd.isna(held[0][group].iloc[0]) and pd.isna(last))):
+                held.append(pdf)
+                continue
+            whole = pd.concat([*held, pdf[~tail]])
+            held = [pdf[tail]]
+            if len(whole):
+                yield pd.concat([fn(g) for _, g in whole.groupby(group, sort=False, dropna=False)])
+        if held:
+            yield fn(pd.concat(held))
+
+    return df.repartition(parallelism(df.sparkSession), group).sortWithinPartitions(group).mapInPandas(run, schema)
 
 
 def pick_causal(df: DataFrame, exclude: bool = False, threshold: float = 0.9, default_prior: float = 0.1723) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -294,14 +295,17 @@ def pool_regression(df: DataFrame, genotypes: str = "genotypes", post: str = "po
 def pool_effects(df: DataFrame, fit: PoolFit, genotypes: str = "genotypes", post: str = "post", depth: str = "depth") -> DataFrame:
     """Adds pre, pre_var, post_clipped, post_var, z, beta and vari per SNP from a fit."""
     coefficients, covariance = fit.coefficients, fit.covariance
-    g = F.col(genotypes)
-    b = F.array(*[F.lit(c) for c in coefficients])
-    pre = F.aggregate(F.zip_with(g, b, lambda x, c: x * c), F.lit(0.0), lambda acc, v: acc + v)
-    sigma = F.array(*[F.array(*[F.lit(c) for c in row]) for row in covariance])
-    along = F.zip_with(
-        g, sigma, lambda x, row: x * F.aggregate(F.zip_with(g, row, lambda u, c: u * c), F.lit(0.0), lambda acc, v: acc + v)
-    )
-    var = F.greatest(F.lit(0.0), F.aggregate(along, F.lit(0.0), lambda acc, v: acc + v))
+
+    @F.pandas_udf("struct<pre: double, var: double>")
+    def predict(genotype_arrays: pd.Series) -> pd.DataFrame:
+        import numpy as np
+        import pandas
+
+        g = np.vstack(genotype_arrays.to_numpy()).astype(float)
+        return pandas.DataFrame({"pre": g @ np.array(coefficients), "var": np.einsum("ij,jk,ik->i", g, np.array(covariance), g)})
+
+    df = df.withColumn("_fit", predict(F.col(genotypes).cast("array<double>")))
+    pre, var = F.col("_fit.pre"), F.greatest(F.lit(0.0), F.col("_fit.var"))
     out = df.withColumns(
         {
             "pre": F.least(F.lit(1.0), pre),
@@ -311,7 +315,7 @@ def pool_effects(df: DataFrame, fit: PoolFit, genotypes: str = "genotypes", post
         }
     )
     out = out.withColumns({"beta": F.col("post_clipped") - F.col("pre"), "vari": F.sqrt(F.col("pre_var") + F.col("post_var"))})
-    return out.withColumn("z", F.col("beta") / F.col("vari"))
+    return out.withColumn("z", F.col("beta") / F.col("vari")).drop("_fit")
 
 
 # ---- two-dimensional density ----
@@ -340,16 +344,20 @@ def density(df: DataFrame, x: str = "x", y: str = "y", grid: tuple[int, int] = (
         oy = int(pdf["oy"].iloc[0])
         u = np.arange(kx) - kx / 2.0
         out = np.zeros(nx)
-        for iy, row in pdf.dropna().groupby("iy"):
+        for iy, ixs, ws in zip(pdf["iy"], pdf["ixs"], pdf["ws"]):
+            if ixs is None:
+                continue
             v = (oy - int(iy) + ky // 2) - ky / 2.0
             kernel = np.exp(-(inv[0] * u * u + 2 * inv[1] * u * v + inv[2] * v * v) / 2)
             line = np.zeros(nx)
-            line[row["ix"].astype(int)] = row["w"]
+            line[np.asarray(ixs, dtype=int)] = ws
             out += np.convolve(line, kernel)[kx // 2 : kx // 2 + nx]
         return pd.DataFrame({"ix": np.arange(nx), "iy": oy, "density": out / norm})
 
     low = F.col("iy") - ky // 2
-    reach = cells.withColumn("oy", F.explode(F.sequence(low, low + (ky - 1)))).where((F.col("oy") >= 0) & (F.col("oy") < ny))
+    # One row per grid row: at most nx cells each.
+    lines = cells.groupBy("iy").agg(F.collect_list(F.struct("ix", "w")).alias("c")).select("iy", F.col("c.ix").alias("ixs"), F.col("c.w").alias("ws"))
+    reach = lines.withColumn("oy", F.explode(F.sequence(low, low + (ky - 1)))).where((F.col("oy") >= 0) & (F.col("oy") < ny))
     # Every output row exists, also one that no kernel reaches.
     rows = df.sparkSession.range(ny).select(F.col("id").alias("oy")).join(reach, "oy", "left")
     return rows.groupBy("oy").applyInPandas(smooth, "ix long, iy long, density double")

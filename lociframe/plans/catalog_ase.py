@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociframe.config import pin
 from lociframe.operators import ase, intervals
 from lociframe.plans.fixtures import view
 from lociframe.plans.registry import Registry
@@ -307,7 +308,7 @@ def tested_snps(spark: SparkSession, sf: str) -> DataFrame:
           round((select coalesce(sum(drawn),0) from hs where p_<=p)/5.0::double/((select count(*) from act where p_<=p)+1), 9) fdr from gg""",
 )
 def fdr_simulated(spark, sf):
-    return rounded(ase.fdr_grid(tested_snps(spark, sf), "key"), mean_sim=6, fdr=9)
+    return rounded(ase.fdr_grid(pin(tested_snps(spark, sf)), "key"), mean_sim=6, fdr=9)
 
 
 @register(
@@ -316,7 +317,7 @@ def fdr_simulated(spark, sf):
     f"from {{sq_p}} g join ({_CUTS}) c on g.ind=c.ind where not isnan(g.pval) and g.pval<c.p_cut",
 )
 def fdr_filter(spark, sf):
-    table = tested_snps(spark, sf)
+    table = pin(tested_snps(spark, sf))
     cuts = ase.fdr_cutoff(table, "key", by=["ind"])
     kept = ase.fdr_filter(table, cuts, by=["ind"]).join(cuts.select("ind", "fdr", F.col("p").alias("p_cut")), "ind")
     return rounded(kept, pval=9, p_cut=9, fdr=9).select(

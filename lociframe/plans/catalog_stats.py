@@ -209,8 +209,8 @@ _TQ = (
 
 @register(
     "ols_fit",
-    f"""select i::bigint i, round(x,6) x, round(y,6) y, round(y-c,2) ci_lo, round(y+c,2) ci_hi, round(y-pw,2) pred_lo, round(y+pw,2) pred_hi, round(slope,6) slope,
-          round(intercept,6) intercept, round(r2,9) r2, round(se_slope,6) se_slope, round(se_intercept,6) se_intercept from (
+    f"""select i::bigint i, round(x,6) x, round(y,3) y, round(y-c,2) ci_lo, round(y+c,2) ci_hi, round(y-pw,2) pred_lo, round(y+pw,2) pred_hi, round(slope,5) slope,
+          round(intercept,3) intercept, round(r2,9) r2, round(se_slope,5) se_slope, round(se_intercept,3) se_intercept from (
         select *, intercept+slope*x y, {_TQ}*sqrt(mse*(1/n+(x-xm)*(x-xm)/sxx)) c, {_TQ}*sqrt(mse*(1+1/n+(x-xm)*(x-xm)/sxx)) pw from (
           select *, x0+(x1-x0)*i/49 x, sqrt(mse/sxx) se_slope, sqrt(mse*(1/n+xm*xm/sxx)) se_intercept, n-2 dof from (
             select *, syy*(1-r2)/(n-2) mse from (
@@ -223,10 +223,10 @@ def ols_fit(spark, sf):
     bands = stats.ols_bands(fit, 50)
     cells = {c: fit.select(c).scalar() for c in ("slope", "intercept", "r2", "se_slope", "se_intercept")}
     return bands.withColumns(cells).select(
-        F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"),
+        F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"), F.round("y", 3).alias("y"),
         *[F.round(c, 2).alias(c) for c in ("ci_lo", "ci_hi", "pred_lo", "pred_hi")],
-        F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), F.round("r2", 9).alias("r2"),
-        F.round("se_slope", 6).alias("se_slope"), F.round("se_intercept", 6).alias("se_intercept"),
+        F.round("slope", 5).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("r2", 9).alias("r2"),
+        F.round("se_slope", 5).alias("se_slope"), F.round("se_intercept", 3).alias("se_intercept"),
     )
 
 
@@ -242,7 +242,7 @@ _WLS = f"""select *, (s22*t1-s12*t2)/det b1, (s11*t2-s12*t1)/det b2, (yy-((s22*t
 
 
 def pooled(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.sql(_POOL.replace("{lineitem}", "{lineitem}"), lineitem=view(spark, sf, "lineitem"))
+    rows = spark.sql(_POOL, lineitem=view(spark, sf, "lineitem"))
     return rows.withColumn("genotypes", F.array(*[F.col(f"g{i}").cast("double") for i in (1, 2, 3)]))
 
 

@@ -2,7 +2,7 @@
 
 The same text runs in Spark (through ``view``) and, as common table expressions (``with_views``), in
 the SQL that checks the results. ``{name}`` stands for a given table or another view; ``{str}`` for
-the engine's text type. Positions are 0-based unless the column name ends in 1.
+the engine's text type; ``{each:1,2}`` for one row per listed number. Positions are 0-based unless the column name ends in 1.
 """
 
 from __future__ import annotations
@@ -44,16 +44,16 @@ select concat('r',o_orderkey) id, case when o_orderkey%2=0 then 0 else 16 end fl
   translate(md5(cast(o_orderkey as {str})),'0123456789abcdef','ACGTACGTACGTACGN') seq, o_orderpriority file_
 from {orders}""",
     "fx_genome": """
-select concat('chr', g.i) chrom, p_partkey tile,
-  translate(md5(concat(cast(g.i as {str}), ':', cast(p_partkey as {str}))),'0123456789abcdef','ACGTACGTACGTacgt') seq
-from {part} cross join (select 1 i union all select 2 union all select 3 union all select 4 union all select 5) g""",
+select concat('chr', i) chrom, p_partkey tile,
+  translate(md5(concat(cast(i as {str}), ':', cast(p_partkey as {str}))),'0123456789abcdef','ACGTACGTACGTacgt') seq
+from (select p_partkey, {each:1,2,3,4,5} i from {part}) x""",
     "fx_fastq": """
 select doc_id, m mate, concat('read', doc_id, '/', m) id,
   case when (doc_id+m)%5=0 or doc_id%11=0
        then concat('N', substr(translate(md5(concat(cast(m as {str}), cast(doc_id as {str}))),'0123456789abcdef','ACGTACGTACGTACGT'),2,31))
        else translate(md5(concat(cast(m as {str}), cast(doc_id as {str}))),'0123456789abcdef','ACGTACGTACGTACGT') end seq,
   repeat('I',32) qual
-from {documents} cross join (select 1 m union all select 2 m) mm""",
+from (select doc_id, {each:1,2} m from {documents}) x""",
     # Phased genotypes in long form: one per distinct (part, supplier) of lineitem.
     "fx_genotypes": """
 select concat('rs',l_partkey) snp, l_partkey k, concat('S',l_suppkey) sample, concat('P', cast(l_suppkey%5 as int)) pop,
@@ -65,7 +65,7 @@ from (select distinct l_partkey, l_suppkey from {lineitem}) d""",
 select chrom, pos+1 pos1, name, ref_allele, alt_allele, s,
   concat(case cast((pos*3 + s*5 + floor(pos*s/3))%4 as int) when 0 then '0|0' when 1 then '0|1' when 2 then '1|0' else '1|1' end,
          ':', cast(s as {str})) cell
-from {fx_snps} cross join (select 1 s union all select 2 s union all select 3 s union all select 4 s union all select 5 s union all select 6 s) ss""",
+from (select *, {each:1,2,3,4,5,6} s from {fx_snps}) x""",
     "fx_peaks": """
 select event_id, concat('chr', cast(user_id%5+1 as int)) chrom, event_id*20 pstart,
   event_id*20 + 40 + cast(floor(value*10)%160 as bigint) pend, concat(event_type,'_',event_id) pop, value fold, value/2 l10p
@@ -106,6 +106,7 @@ group by 1,2,3,4,5""",
 }
 
 _TOKEN = re.compile(r"\{(\w+)\}")
+_EACH = re.compile(r"\{each:([\d,]+)\}")
 
 
 def _needs(text: str) -> list[str]:
@@ -126,7 +127,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return table(spark, sf_dir, name)
     text = VIEWS[name]
     parts = {n: view(spark, sf_dir, n) for n in _needs(text)}
-    return spark.sql(text.replace("{str}", "string"), **parts)
+    return spark.sql(_EACH.sub(r"explode(array(\1))", text.replace("{str}", "string")), **parts)
 
 
 def with_views(select: str, extra: dict[str, str] | None = None) -> str:
@@ -143,7 +144,7 @@ def with_views(select: str, extra: dict[str, str] | None = None) -> str:
     visit(select)
 
     def plain(text: str) -> str:
-        return _TOKEN.sub(lambda m: m.group(1), text.replace("{str}", "varchar"))
+        return _TOKEN.sub(lambda m: m.group(1), _EACH.sub(r"unnest([\1])", text.replace("{str}", "varchar")))
 
     ctes = ",\n".join(f"{n} as ({plain(known[n]).strip()})" for n in ordered)
     body = plain(select).strip()

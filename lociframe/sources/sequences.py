@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.functions.bases import complement
+from lociframe.functions.bases import reverse_when
 from lociframe.plans import ranged
 from lociframe.sources.text import field, fields, lines_in_order, numbered_lines, read_lines
 
@@ -64,7 +64,7 @@ def parse_sam(lines: DataFrame, flip: bool = False) -> DataFrame:
         F.split_part(field(f, 2), F.lit("_"), F.lit(1)).alias("chrom"),
         (field(f, 3, "long") - 1).alias("start"),
         (field(f, 3, "long") - 1 + F.length(seq) - 1).alias("end"),
-        (F.when(reverse, complement(seq)).otherwise(seq) if flip else seq).alias("seq"),
+        (reverse_when(seq, reverse) if flip else seq).alias("seq"),
         reverse.alias("reverse"),
     )
 

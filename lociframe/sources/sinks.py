@@ -50,9 +50,10 @@ def write_vcf(spark: SparkSession, df: DataFrame, samples: list[str], path: str,
 
 
 def write_by_chrom(df: DataFrame, path: str, pos: str = "start") -> None:
-    """One folder per chromosome. Rows are range-partitioned by (chrom, position), so a chromosome
-    that holds most of the rows is written by many tasks, each with its own stretch."""
-    df.repartitionByRange("chrom", pos).sortWithinPartitions("chrom", pos).write.partitionBy("chrom").parquet(path)
+    """One folder per chromosome. Rows are range-partitioned by (chrom, position, the rest), so a
+    chromosome or position that holds most of the rows is written by many tasks."""
+    rest = [c for c, t in df.dtypes if c not in ("chrom", pos) and not t.startswith(("map", "array", "struct"))]
+    df.repartitionByRange("chrom", pos, *rest).sortWithinPartitions("chrom", pos).write.partitionBy("chrom").parquet(path)
 
 
 def write_chrom_store(bed: DataFrame, path: str) -> bool:
