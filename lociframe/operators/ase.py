@@ -167,14 +167,15 @@ def gene_summary(snps: DataFrame, by: list[str], variant: str = "counts") -> Dat
     return genes.withColumn("winner", F.when(F.col("pval").isNull(), "NA").otherwise(called))
 
 
-def analyze(counts: DataFrame, placed: DataFrame, ind: str = "ind") -> DataFrame:
+def analyze(counts: DataFrame, placed: DataFrame, ind: str = "ind", extra: DataFrame | None = None) -> DataFrame:
     """Whole job: counts of all individuals and SNPs placed in genes -> one gene table.
 
-    A gene row covers the SNPs that have counts in that individual.
+    A gene row covers the SNPs that have counts in that individual. ``extra`` adds columns by gene.
     """
     summed = snp_counts(counts_by_allele(counts, placed), [ind, "chrom", "pos", "gene"])
     called = snp_winner(snp_pval(summed)).drop("chrom", "pos")
-    return gene_summary(called, [ind, "gene"])
+    genes = gene_summary(called, [ind, "gene"])
+    return genes if extra is None else genes.join(extra, "gene", "left")
 
 
 def gene_list(placed: DataFrame) -> DataFrame:

@@ -147,7 +147,8 @@ def reads_x_snps(reads: DataFrame, snps: DataFrame, width: int = BIN, margin: in
 def windows(positions: DataFrame, tiles: DataFrame, size: int, before: int, after: int, pos: str = "pos") -> DataFrame:
     """Bases pos-before .. pos+after around each position as ``window``.
 
-    Windows cut by the end of the sequence are shorter and have ``is_edge`` set. Positions are
+    Windows cut by an end of the sequence are shorter and have ``is_edge`` set; positions outside the
+    sequence go. Positions are
     matched once per distinct (chrom, pos); each asks only for the tiles its window touches.
     """
     wanted = positions.select("chrom", F.col(pos).alias("_p")).distinct()
@@ -159,11 +160,12 @@ def windows(positions: DataFrame, tiles: DataFrame, size: int, before: int, afte
     first, last = F.greatest(lo, base), F.least(hi, base + F.length("seq") - 1)
     pieces = (
         asked.join(tiles.select("chrom", "tile", "seq"), ["chrom", "tile"])
+        .withColumn("_own", (F.col("_p") >= base) & (F.col("_p") < base + F.length("seq")))
         .withColumn("_piece", F.substring("seq", (first - base + 1).cast("int"), (last - first + 1).cast("int")))
         .where(F.length("_piece") > 0)
         .groupBy("chrom", "_p")
-        .agg(F.array_sort(F.collect_list(F.struct("tile", "_piece"))).alias("_pieces"))
-        .where(F.exists("_pieces", lambda x: x["tile"] == _bin(F.col("_p"), size)))
+        .agg(F.array_sort(F.collect_list(F.struct("tile", "_piece"))).alias("_pieces"), F.max("_own").alias("_own"))
+        .where("_own")
         .select("chrom", F.col("_p").alias(pos), F.array_join(F.col("_pieces._piece"), "").alias("window"))
         .withColumn("is_edge", F.length("window") < before + after + 1)
     )
@@ -214,6 +216,19 @@ def get_dinucleotides(positions: DataFrame, tiles: DataFrame, size: int, base: i
     )
 
 
+def dinucleotide_shape(df: DataFrame, shape: str) -> DataFrame:
+    """``get_dinucleotides`` output in another shape: ``rows`` is one row per strand and dinucleotide,
+    ``map`` one row per position with both strands in a map."""
+    plus, minus = F.array("plus1", "plus2"), F.array("minus1", "minus2")
+    strands = F.create_map(F.lit("+"), plus, F.lit("-"), minus)
+    if shape == "map":
+        return df.select("chrom", "pos", "ref_base", strands.alias("dinucleotides"))
+    if shape == "rows":
+        both = df.select("chrom", "pos", F.explode(strands).alias("strand", "_d"))
+        return both.select("chrom", "pos", "strand", F.explode("_d").alias("dinucleotide"))
+    raise ValueError("shape must be rows or map")
+
+
 def missing_chroms(positions: DataFrame, tiles: DataFrame) -> DataFrame:
     """Requested chromosomes that have no sequence."""
     return positions.select("chrom").distinct().join(tiles.select("chrom").distinct(), "chrom", "left_anti")

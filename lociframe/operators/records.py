@@ -161,6 +161,14 @@ def list_files(spark, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.md5("content").alias("md5"))
 
 
+def parse_md5sums(lines: DataFrame) -> DataFrame:
+    """``md5  path`` lines as a manifest."""
+    pattern = r"^([0-9a-fA-F]{32}) [ *](.+)$"
+    return lines.where(F.col("value").rlike(pattern)).select(
+        F.regexp_extract("value", pattern, 2).alias("path"), F.lower(F.regexp_extract("value", pattern, 1)).alias("md5")
+    )
+
+
 def checksum_audit(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """path and OK / FAILED for the files a manifest lists; files that are not there are left out."""
     return manifest.select("path", F.col("md5").alias("_want")).join(files.select("path", "md5"), "path").select(

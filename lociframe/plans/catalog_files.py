@@ -420,6 +420,23 @@ def write_tsv(spark, sf):
     return spark.read.csv(path, sep="\t", header=True, schema="k string, p_value double")
 
 
+@register("write_fastq", "select id, seq, qual, mate from {fx_fastq}")
+def write_fastq(spark, sf):
+    reads = view(spark, sf, "fx_fastq")
+    out = None
+    for mate in (1, 2):
+        path = new_path(spark, f"mate{mate}.fq")
+        sinks.write_fastq(reads.where(F.col("mate") == mate), path, compression="gzip")
+        back = sequences.read_fastq(spark, path).select("id", "seq", "qual", F.lit(mate).alias("mate"))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@register("write_vcf", f"select concat_ws(chr(9), chrom, pos1, name, ref_allele, alt_allele, '50', 'PASS', '.', 'GT:DP', replace(cells, ',', chr(9))) line from ({_VCF}) x")
+def write_vcf(spark, sf):
+    return text.read_lines(spark, vcf_file(spark, sf)).where("value not like '#%'").withColumnRenamed("value", "line")
+
+
 @register("bed_to_cov", "select chrom chrm, pstart snppos, cast(cast(floor(l10p*100) as bigint) as varchar) rd from {fx_peaks}")
 def bed_to_cov(spark, sf):
     peaks = view(spark, sf, "fx_peaks")
@@ -546,6 +563,11 @@ def revcomp_reads(spark, sf):
     return view(spark, sf, "fx_reads").select("id", complement("seq").alias("comp"), revcomp("seq").alias("rev"), revcomp(revcomp("seq")).alias("back"))
 
 
+@register("complement", "select concat(chrom,':',tile) at, translate(seq,'ACGTNacgtn','TGCANtgcan') comp from {fx_genome}")
+def complement_tiles(spark, sf):
+    return view(spark, sf, "fx_genome").select(F.concat_ws(":", "chrom", F.col("tile").cast("string")).alias("at"), complement("seq").alias("comp"))
+
+
 @register("snp_id", "select concat(chrom,'.',pos) snp, chrom, pos from {fx_snps}")
 def snp_ids(spark, sf):
     s = view(spark, sf, "fx_snps").select(snp_id("chrom", "pos").alias("snp"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.functions.chroms import add_chr
+from lociframe.functions.chroms import add_chr, norm_chrom
 from lociframe.sources.bed import parse_bed
 from lociframe.sources.text import data_lines, field, fields, lines_in_order, read_lines
 
@@ -29,6 +29,12 @@ def read_vcf(spark: SparkSession, path: str | list[str], base: int = 1) -> DataF
     return parse_vcf(read_lines(spark, path), base)
 
 
+def vcf_version(spark: SparkSession, path: str | list[str]) -> str | None:
+    """Version in the ``##fileformat=`` line, such as VCFv4.1, or None without one."""
+    found = read_lines(spark, path).where(F.col("value").startswith("##fileformat=")).head(1)
+    return found[0]["value"].strip().split("=", 1)[1] if found else None
+
+
 def vcf_samples(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(idx, sample) from the header row, idx from 0; fails on a header that is not VCF's."""
     head = read_lines(spark, path).where(F.col("value").startswith("#CHROM")).limit(1).select(fields().alias("h"))
@@ -114,6 +120,36 @@ def read_panel(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("sample").agg(F.min_by("info", "at").alias("info")).select("sample", "info.*")
 
 
+# Columns of a called SNP table.
+CALL_COLUMNS = [
+    "chrm", "pos", "ref", "mat_gtyp", "pat_gtyp", "c_gtyp", "phase", "mat_all", "pat_all", "cA", "cC", "cG", "cT",
+    "win", "cls", "pval", "binding_site", "cnv",
+]
+
+
+def parse_calls(lines: DataFrame, style: str = "chr") -> DataFrame:
+    """Called SNPs (18 columns, header ``chrm``): chrom, pos (0-based), mat, pat and other counts, win, cls, pval."""
+    f = fields()
+    at = {name: i for i, name in enumerate(CALL_COLUMNS)}
+
+    def of(allele: str) -> Column:
+        letter = field(f, at[allele])
+        return F.element_at(F.create_map(*[x for b in "ACGT" for x in (F.lit(b), field(f, at[f"c{b}"], "long"))]), letter)
+
+    rows = data_lines(lines).where(~F.col("value").startswith("chrm"))
+    total = field(f, at["cA"], "long") + field(f, at["cC"], "long") + field(f, at["cG"], "long") + field(f, at["cT"], "long")
+    return rows.select(
+        norm_chrom(field(f, at["chrm"]), style).alias("chrom"),
+        (field(f, at["pos"], "long") - 1).alias("pos"),
+        of("mat_all").alias("mat_counts"),
+        of("pat_all").alias("pat_counts"),
+        (total - of("mat_all") - of("pat_all")).alias("other_counts"),
+        field(f, at["win"]).alias("win"),
+        field(f, at["cls"]).alias("cls"),
+        field(f, at["pval"], "double").alias("pval"),
+    )
+
+
 def explode_counts(df: DataFrame, column: str = "counts", *keep: str) -> DataFrame:
     """map<chrom, map<pos, map<base, n>>> -> rows (.., chrom, pos, base, n)."""
     per_chrom = df.select(*keep, F.explode(column).alias("chrom", "_p"))
