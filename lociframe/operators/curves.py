@@ -40,6 +40,10 @@ def sig_flags(df: DataFrame, p: float = 0.05, x: str = "x", y: str = "y") -> Dat
     return out.withColumn("sig", F.when(a & b, "both").when(a | b, "either").otherwise("none")).drop("_line")
 
 
+# Largest label limit whose picks are broadcast.
+BROADCAST_LABELS = 100_000
+
+
 def pick_labels(df: DataFrame, limit: int, log: bool = True, label: str = "label") -> DataFrame:
     """The points to label: by smallest x*y (5 % of limit), most interesting (55 %), most above and
     most below the diagonal (20 % each), none twice. Columns label, x, y, rank (1..4).
@@ -56,9 +60,11 @@ def pick_labels(df: DataFrame, limit: int, log: bool = True, label: str = "label
     for i, (order, share) in enumerate(rounds, 1):
         left = df.select(*keys)
         if picked:
-            # At most limit + 4 rows by construction, so broadcasting them is safe.
             seen = reduce(DataFrame.unionByName, [p.select(*keys) for p in picked])
-            left = left.join(F.broadcast(seen), keys, "left_anti")
+            if limit <= BROADCAST_LABELS:
+                # At most limit + 4 rows by construction.
+                seen = F.broadcast(seen)
+            left = left.join(seen, keys, "left_anti")
         # The product keeps its float error out of the ceiling: 20 * 0.55 is 11, not 11.000000000000002.
         rows = max(1, math.ceil(round(limit * share, 9)))
         picked.append(left.orderBy(order, *keys).limit(rows).withColumn("rank", F.lit(i)))

@@ -22,9 +22,13 @@ def _bin(pos: Column, width: int) -> Column:
     return F.floor(pos / F.lit(width)).cast("long")
 
 
-def _full_bins(rows: DataFrame, shares: int) -> DataFrame:
-    """Bins with more than 1/shares of all rows, and in how many salts to split each."""
-    sizes = rows.groupBy("chrom", "_bin").agg(F.count(F.lit(1)).alias("_size"))
+def _full_bins(rows: DataFrame, at: Column, width: int, shares: int) -> DataFrame:
+    """Bins with more than 1/shares of all rows, and in how many salts to split each.
+
+    Reads chrom and one position column only. Intervals count in the bin they start in: the list
+    only decides how to spread rows, not which ones meet.
+    """
+    sizes = rows.groupBy("chrom", _bin(at, width).alias("_bin")).agg(F.count(F.lit(1)).alias("_size"))
     total = rows.select(F.count(F.lit(1))).scalar()
     return sizes.where(F.col("_size") * shares > total).select(
         "chrom", "_bin", F.ceil(F.col("_size") * shares / total).cast("int").alias("_salts")
@@ -44,23 +48,31 @@ def bin_join(
     """Inner join of every point with every half-open interval over it.
 
     Both sides need a ``chrom`` column and otherwise distinct names. ``spread`` names the bigger side,
-    whose full bins are split; the other side is repeated there. Keeps ``_bin`` and ``_salt``, by which
-    the result is partitioned.
+    whose full bins are split; the other side is repeated there. ``shares=0`` saves the count of the
+    bins and leaves full ones to the skew handling of adaptive execution. Keeps ``_bin`` and ``_salt``,
+    by which the result is partitioned.
     """
-    shares = shares or parallelism(points.sparkSession)
+    shares = parallelism(points.sparkSession) if shares is None else shares
     pts = points.withColumn("_bin", _bin(F.col(pos), width))
     ivs = intervals.where(F.col(end) > F.col(start)).withColumn(
         "_bin", F.explode(F.sequence(_bin(F.col(start), width), _bin(F.col(end) - 1, width)))
     )
-    big, small = (pts, ivs) if spread == "points" else (ivs, pts)
+    within = (F.col(pos) >= F.col(start)) & (F.col(pos) < F.col(end))
+    if not shares:
+        zero = F.lit(0)
+        return pts.withColumn("_salt", zero).join(ivs.withColumn("_salt", zero), ["chrom", "_bin", "_salt"]).where(within)
+    if spread == "points":
+        big, small, full = pts, ivs, _full_bins(points, F.col(pos), width, shares)
+    elif spread == "intervals":
+        big, small, full = ivs, pts, _full_bins(intervals, F.col(start), width, shares)
+    else:
+        raise ValueError("spread must be points or intervals")
     # Fewer than ``shares`` bins can hold more than 1/shares of the rows each: a bounded broadcast.
-    full = F.broadcast(_full_bins(big, shares))
+    full = F.broadcast(full)
     salts = F.coalesce("_salts", F.lit(1))
     big = big.join(full, ["chrom", "_bin"], "left").withColumn("_salt", F.pmod(F.xxhash64(*big.columns), salts).cast("int"))
     small = small.join(full, ["chrom", "_bin"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return big.drop("_salts").join(small.drop("_salts"), ["chrom", "_bin", "_salt"]).where(
-        (F.col(pos) >= F.col(start)) & (F.col(pos) < F.col(end))
-    )
+    return big.drop("_salts").join(small.drop("_salts"), ["chrom", "_bin", "_salt"]).where(within)
 
 
 def assign_interval(

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociframe.config import pin
 from lociframe.functions.chroms import snp_id
 from lociframe.functions.stats import (
     chi2_sf,
@@ -383,7 +384,8 @@ def _pixel(df: DataFrame, x: str, y: str, grid: tuple[int, int]) -> DataFrame:
 
 def _cells(df: DataFrame, x: str, y: str, grid: tuple[int, int]):
     at = _pixel(df, x, y, grid)
-    cells = at.groupBy("ix", "iy").agg(F.count(F.lit(1)).cast("double").alias("w"), F.max("_g").alias("_g"))
+    # Pinned: at most nx * ny rows, read for the moments and again for the smoothing.
+    cells = pin(at.groupBy("ix", "iy").agg(F.count(F.lit(1)).cast("double").alias("w"), F.max("_g").alias("_g")))
     w, ix, iy = F.col("w"), F.col("ix"), F.col("iy")
     s = cells.agg(
         F.sum("w").alias("n"), F.sum(w * ix).alias("mx"), F.sum(w * iy).alias("my"), F.sum(w * ix * ix).alias("xx"),
@@ -397,11 +399,17 @@ def _cells(df: DataFrame, x: str, y: str, grid: tuple[int, int]):
     return cells.drop("_g"), params
 
 
+# Most grid cells that are broadcast to the points; a finer grid is joined by shuffle.
+BROADCAST_CELLS = 1_000_000
+
+
 def point_density(df: DataFrame, x: str = "x", y: str = "y", grid: tuple[int, int] = (400, 400)) -> DataFrame:
-    """The points with the density of their cell. The grid has nx * ny rows, whatever the data, so
-    broadcasting it is safe."""
+    """The points with the density of their cell. The grid has nx * ny rows, whatever the data."""
     at = _pixel(df, x, y, grid).drop("_g")
-    return at.join(F.broadcast(density(df, x, y, grid)), ["ix", "iy"]).drop("ix", "iy")
+    cells = density(df, x, y, grid)
+    if grid[0] * grid[1] <= BROADCAST_CELLS:
+        cells = F.broadcast(cells)
+    return at.join(cells, ["ix", "iy"]).drop("ix", "iy")
 
 
 # ---- linkage disequilibrium ----

@@ -563,9 +563,9 @@ def revcomp_reads(spark, sf):
     return view(spark, sf, "fx_reads").select("id", complement("seq").alias("comp"), revcomp("seq").alias("rev"), revcomp(revcomp("seq")).alias("back"))
 
 
-@register("complement", "select concat(chrom,':',tile) at, translate(seq,'ACGTNacgtn','TGCANtgcan') comp from {fx_genome}")
+@register("complement", "select concat(chrom,':',tile) place, translate(seq,'ACGTNacgtn','TGCANtgcan') comp from {fx_genome}")
 def complement_tiles(spark, sf):
-    return view(spark, sf, "fx_genome").select(F.concat_ws(":", "chrom", F.col("tile").cast("string")).alias("at"), complement("seq").alias("comp"))
+    return view(spark, sf, "fx_genome").select(F.concat_ws(":", "chrom", F.col("tile").cast("string")).alias("place"), complement("seq").alias("comp"))
 
 
 @register("snp_id", "select concat(chrom,'.',pos) snp, chrom, pos from {fx_snps}")
