@@ -2,9 +2,12 @@
 
 A point meets an interval through an equi-join on (chrom, bin): the interval is listed under every
 bin it touches, the point under its one bin, and the exact bounds are checked on the joined pairs.
-The few bins that hold more than an even share of the points are split: their points are spread
-over several salts and the intervals of just those bins are repeated per salt. At most one bin per
-share can be that full, which bounds the list of full bins by the number of shuffle partitions.
+
+The smaller side is counted first. Up to BROADCAST_ROWS rows it is broadcast, and the bigger side is
+not shuffled at all. Beyond that both sides are shuffled by (chrom, bin). The few bins that then hold
+more than an even share of the bigger side are split: their rows are spread over several salts and
+the other side is repeated for just those bins. At most one bin per share can be that full, which
+bounds the list of full bins by the number of shuffle partitions.
 """
 
 from __future__ import annotations
@@ -16,6 +19,9 @@ from lociframe.config import parallelism
 from lociframe.functions.bases import revcomp
 
 BIN = 16384
+# Most rows of the smaller side that are broadcast, and most intervals listed under one bin for that.
+BROADCAST_ROWS = 500_000
+BROADCAST_PER_BIN = 256
 
 
 def _bin(pos: Column, width: int) -> Column:
@@ -44,29 +50,35 @@ def bin_join(
     width: int = BIN,
     shares: int | None = None,
     spread: str = "points",
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Inner join of every point with every half-open interval over it.
 
     Both sides need a ``chrom`` column and otherwise distinct names. ``spread`` names the bigger side,
-    whose full bins are split; the other side is repeated there. ``shares=0`` saves the count of the
-    bins and leaves full ones to the skew handling of adaptive execution. Keeps ``_bin`` and ``_salt``,
-    by which the result is partitioned.
+    whose full bins are split; the other side is repeated there, or broadcast if it is small.
+    ``shares=0`` saves the count of the bins and leaves full ones to the skew handling of adaptive
+    execution. Keeps ``_bin`` and ``_salt``, by which a shuffled result is partitioned.
     """
+    if spread not in ("points", "intervals"):
+        raise ValueError("spread must be points or intervals")
     shares = parallelism(points.sparkSession) if shares is None else shares
     pts = points.withColumn("_bin", _bin(F.col(pos), width))
     ivs = intervals.where(F.col(end) > F.col(start)).withColumn(
         "_bin", F.explode(F.sequence(_bin(F.col(start), width), _bin(F.col(end) - 1, width)))
     )
     within = (F.col(pos) >= F.col(start)) & (F.col(pos) < F.col(end))
+    zero = F.lit(0)
+    if broadcast_rows:
+        little = ivs if spread == "points" else pts
+        if little.count() <= broadcast_rows:
+            big = pts if spread == "points" else ivs
+            return big.withColumn("_salt", zero).join(F.broadcast(little), ["chrom", "_bin"]).where(within)
     if not shares:
-        zero = F.lit(0)
         return pts.withColumn("_salt", zero).join(ivs.withColumn("_salt", zero), ["chrom", "_bin", "_salt"]).where(within)
     if spread == "points":
         big, small, full = pts, ivs, _full_bins(points, F.col(pos), width, shares)
-    elif spread == "intervals":
-        big, small, full = ivs, pts, _full_bins(intervals, F.col(start), width, shares)
     else:
-        raise ValueError("spread must be points or intervals")
+        big, small, full = ivs, pts, _full_bins(intervals, F.col(start), width, shares)
     # Fewer than ``shares`` bins can hold more than 1/shares of the rows each: a bounded broadcast.
     full = F.broadcast(full)
     salts = F.coalesce("_salts", F.lit(1))
@@ -86,29 +98,36 @@ def assign_interval(
     strand: str | None = None,
     width: int = BIN,
     unique: bool = False,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Give each point the ``take`` value of the first interval over it; points without one go.
 
     "First" is by the ``order`` columns of the intervals, i.e. their place in the source file. With
-    ``strand`` the column of that name must agree on both sides. Copies of a point are counted
-    first and given back at the end, so they cost one lookup; ``unique`` says there are none.
+    ``strand`` the column of that name must agree on both sides. Where the points have to be shuffled,
+    their copies are counted first and given back at the end; ``unique`` says there are none.
     """
     order = order or ["ord"]
     cols = points.columns
+    names = {start: "_start", end: "_end", take: "_take", **({strand: "_strand"} if strand else {})}
+    same = ["chrom", "_start", "_end", *(["_strand"] if strand else [])]
+    # One row per distinct interval: copies further down the file can never win.
+    ivs = (
+        intervals.where(F.col(end) > F.col(start))
+        .select("chrom", *[F.col(c).alias(n) for c, n in names.items()], F.struct(*order).alias("_order"))
+        .groupBy(*same)
+        .agg(F.min(F.struct("_order", "_take")).alias("_best"))
+    )
+    if broadcast_rows:
+        bins = F.sequence(_bin(F.col("_start"), width), _bin(F.col("_end") - 1, width))
+        binned = ivs.withColumn("_bin", F.explode(bins))
+        sizes = binned.groupBy("chrom", "_bin").count().agg(F.sum("count").alias("all"), F.max("count").alias("most")).first()
+        if (sizes["all"] or 0) <= broadcast_rows and (sizes["most"] or 0) <= BROADCAST_PER_BIN:
+            return _assign_by_list(points, binned, take, pos, strand, width)
     if unique:
         once = points.withColumn("_copies", F.lit(1).cast("long"))
     else:
         once = points.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
-    names = {start: "_start", end: "_end", take: "_take", **({strand: "_strand"} if strand else {})}
-    ivs = (
-        intervals.groupBy("chrom", *names)
-        .agg(F.min(F.struct(*order)).alias("_order"))
-        .select("chrom", *[F.col(c).alias(n) for c, n in names.items()], "_order")
-    )
-    # One row per distinct interval: copies further down the file can never win.
-    same = ["chrom", "_start", "_end", *(["_strand"] if strand else [])]
-    ivs = ivs.groupBy(*same).agg(F.min(F.struct("_order", "_take")).alias("_best"))
-    hits = bin_join(once, ivs, pos, "_start", "_end", width)
+    hits = bin_join(once, ivs, pos, "_start", "_end", width, broadcast_rows=0)
     if strand:
         hits = hits.where(F.col(strand) == F.col("_strand"))
     # Grouping by (chrom, _bin, _salt, ...) keeps the partitioning of the join: no further shuffle.
@@ -120,6 +139,24 @@ def assign_interval(
     )
 
 
+def _assign_by_list(points: DataFrame, binned: DataFrame, take: str, pos: str, strand: str | None, width: int) -> DataFrame:
+    """The lookup for an interval table that fits a broadcast: each bin's intervals as a list in file
+    order, so a point finds its interval where it stands, without shuffle or aggregation."""
+    entry = F.struct("_best", "_start", "_end", *(["_strand"] if strand else []))
+    lists = F.broadcast(binned.groupBy("chrom", "_bin").agg(F.array_sort(F.collect_list(entry)).alias("_list")))
+    at = points.withColumn("_bin", _bin(F.col(pos), width)).join(lists, ["chrom", "_bin"])
+
+    def over(i: Column) -> Column:
+        inside = (i["_start"] <= F.col(pos)) & (i["_end"] > F.col(pos))
+        return inside & (i["_strand"] == F.col(strand)) if strand else inside
+
+    # Through a generator, so that the test for a hit is not pushed into the join condition, where Spark
+    # cannot evaluate a lambda over columns of both sides.
+    first = F.explode_outer(F.slice(F.filter("_list", over), 1, 1))
+    found = at.withColumn("_hit", first).where(F.col("_hit").isNotNull())
+    return found.select(*points.columns, F.col("_hit._best._take").alias(take))
+
+
 def in_intervals(points: DataFrame, intervals: DataFrame, pos: str = "pos", start: str = "start", end: str = "end") -> DataFrame:
     """Points that fall in at least one interval."""
     marked = intervals.select("chrom", F.col(start).alias("s_"), F.col(end).alias("e_")).distinct()
@@ -139,7 +176,9 @@ def rename_by_peak(snps: DataFrame, peaks: DataFrame, snp: str = "snp") -> DataF
     return named.withColumn(snp, F.concat_ws("-", snp, "_peak")).select(*snps.columns)
 
 
-def reads_x_snps(reads: DataFrame, snps: DataFrame, width: int = BIN, margin: int = 0) -> DataFrame:
+def reads_x_snps(
+    reads: DataFrame, snps: DataFrame, width: int = BIN, margin: int = 0, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Every SNP under every read, with the read's base there.
 
     ``reads``: chrom, start, seq and anything else; ``snps``: chrom, pos and anything else. Reads play
@@ -147,7 +186,7 @@ def reads_x_snps(reads: DataFrame, snps: DataFrame, width: int = BIN, margin: in
     ``margin`` also takes SNPs that many bases beside the read; their base is empty.
     """
     spans = reads.withColumns({"_start": F.col("start") - margin, "_end": F.col("start") + F.length("seq") + margin})
-    hits = bin_join(snps, spans, "pos", "_start", "_end", width, spread="intervals")
+    hits = bin_join(snps, spans, "pos", "_start", "_end", width, spread="intervals", broadcast_rows=broadcast_rows)
     at = (F.col("pos") - F.col("start") + 1).cast("int")
     base = F.when(at > 0, F.substring("seq", at, F.lit(1))).otherwise("")
     return hits.withColumn("base", base).drop("_bin", "_salt", "_start", "_end")

@@ -37,8 +37,8 @@ def convert_available(spark: SparkSession, folder: str, convert: Callable[[DataF
 def assign_available(points: DataFrame, intervals: DataFrame, out: str, **options) -> None:
     """Interval lookup for a stream of points against a static interval table.
 
-    Choosing the first interval aggregates per point, so each micro-batch is a batch job of its own,
-    written under its epoch: a replayed batch overwrites itself.
+    An interval table too big to broadcast makes the lookup shuffle and aggregate per point, so each
+    micro-batch is a batch job of its own, written under its epoch: a replayed batch overwrites itself.
     """
     def write(batch: DataFrame, epoch: int) -> None:
         assign_interval(batch, intervals, **options).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lociframe.functions.bases import revcomp
@@ -34,17 +35,22 @@ def _frames(spark, points, ivs):
     )
 
 
-def test_first_interval_wins_and_copies_stay(spark):
+WAYS = pytest.mark.parametrize("broadcast_rows", [0, 10**6])
+
+
+@WAYS
+def test_first_interval_wins_and_copies_stay(spark, broadcast_rows):
     points, ivs = _data(1, hot=("a", 1500, "+"))
     p, i = _frames(spark, points, ivs)
-    got = intervals.assign_interval(p, i, width=64)
+    got = intervals.assign_interval(p, i, width=64, broadcast_rows=broadcast_rows)
     assert sorted(map(tuple, got.collect())) == _naive(points, ivs)
 
 
-def test_strand(spark):
+@WAYS
+def test_strand(spark, broadcast_rows):
     points, ivs = _data(2)
     p, i = _frames(spark, points, ivs)
-    got = intervals.assign_interval(p, i, strand="strand", width=100)
+    got = intervals.assign_interval(p, i, strand="strand", width=100, broadcast_rows=broadcast_rows)
     assert sorted(map(tuple, got.collect())) == _naive(points, ivs, strand=True)
 
 
@@ -56,9 +62,11 @@ def test_full_bins_are_split_on_both_sides(spark):
     want = sorted((c, q, k, g) for c, q, k in points for d, s, e, g, *_ in ivs if c == d and s <= q < e)
     assert want
     for side in ("points", "intervals"):
-        joined = intervals.bin_join(p, i, "pos", "s", "e", width=50, shares=16, spread=side)
-        assert sorted(map(tuple, joined.select("chrom", "pos", "id", "gene").collect())) == want
-    assert intervals.bin_join(p, i, "pos", "s", "e", width=50, shares=16).select("_salt").distinct().count() > 1
+        for way in ({"broadcast_rows": 0}, {"broadcast_rows": 0, "shares": 0}, {}):
+            joined = intervals.bin_join(p, i, "pos", "s", "e", width=50, spread=side, **{"shares": 16, **way})
+            assert sorted(map(tuple, joined.select("chrom", "pos", "id", "gene").collect())) == want
+    split = intervals.bin_join(p, i, "pos", "s", "e", width=50, shares=16, broadcast_rows=0)
+    assert split.select("_salt").distinct().count() > 1
 
 
 def _genome(spark, seqs, size):
@@ -103,3 +111,16 @@ def test_genome_calls(spark):
     snps = spark.createDataFrame([("x", 0, "A", "C"), ("x", 2, "A", "G"), ("x", 3, "A", "C"), ("x", 9, "A", "C")], "chrom string, pos long, ref string, alt string")
     got = {r.pos: r.call for r in intervals.compare_to_genome(snps, tiles, 3).collect()}
     assert got == {0: "ref", 2: "alt", 3: "no_match"}
+
+
+def test_lookup_of_computed_positions(spark):
+    """Positions that are expressions of the scan: no lambda may end up in the join condition."""
+    points = spark.range(5000).select(
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("chrom"),
+        F.when(F.col("id") % 3 == 0, F.lit(50)).otherwise(F.col("id")).alias("pos"),
+        F.col("id").alias("name"),
+    )
+    ivs = spark.createDataFrame([("a", 0, 51, "g1", 1), ("a", 40, 60, "g2", 0), ("b", 100, 200, "g3", 2)], "chrom string, start long, end long, gene string, ord long")
+    for rows in (0, 10**6):
+        got = {r.gene: r.n for r in intervals.assign_interval(points, ivs, broadcast_rows=rows).groupBy("gene").agg(F.count("*").alias("n")).collect()}
+        assert got == {"g2": 1667, "g3": 66}
