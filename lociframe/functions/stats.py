@@ -85,6 +85,10 @@ def student_t_two_sided(t: Column, dof: Column) -> Column:
         def tail(x, v):
             if x is None or v is None or x != x or v != v:
                 return None
+            if v > 1e5:
+                # Wallace's normal transform; its relative error falls with the square of the degrees of freedom.
+                z = (8 * v + 1) / (8 * v + 3) * math.sqrt(v * math.log1p(x * x / v))
+                return math.erfc(z / math.sqrt(2))
             y = v / (v + x * x)
             return _beta_inc(v / 2.0, 0.5, y, math)
 
@@ -132,8 +136,14 @@ def student_t_quantile_975(dof: Column) -> Column:
             lim = math.atan(t / math.sqrt(v))
             nodes, weights = np.polynomial.legendre.leggauss(200)
             u = 0.5 * lim * (nodes + 1.0)
-            scale = math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(math.pi)
-            return 2 * scale * 0.5 * lim * float(np.sum(weights * np.cos(u) ** (v - 1)))
+            power = np.exp((v - 1) * np.log1p(-2 * np.sin(u / 2) ** 2))
+            return 2 * gamma_ratio(v / 2) / math.sqrt(math.pi) * 0.5 * lim * float(np.sum(weights * power))
+
+        def gamma_ratio(a):
+            # gamma(a + 1/2) / gamma(a); the difference of logarithms loses its digits where a is large.
+            if a < 500:
+                return math.exp(math.lgamma(a + 0.5) - math.lgamma(a))
+            return math.sqrt(a) * (1 - 1 / (8 * a) + 1 / (128 * a**2) + 5 / (1024 * a**3) - 21 / (32768 * a**4))
 
         def quantile(v):
             lo, hi = 0.0, 20.0

@@ -21,6 +21,11 @@ def test_distributions_at_table_values(spark):
     df = spark.createDataFrame(list(t.items()), "dof double, want double")
     for r in df.select("want", student_t_quantile_975(F.col("dof")).alias("q"), student_t_two_sided(F.col("want"), F.col("dof")).alias("p")).collect():
         assert r.q == pytest.approx(r.want, abs=2e-4) and r.p == pytest.approx(0.05, abs=1e-5)
+    big = spark.createDataFrame([(v,) for v in (1e4, 9e4, 2e5, 1e7, 1e12)], "dof double")
+    for r in big.select("dof", student_t_quantile_975(F.col("dof")).alias("q"), student_t_two_sided(student_t_quantile_975(F.col("dof")), F.col("dof")).alias("p")).collect():
+        z = 1.959963984540054  # Fixed value: the normal quantile, where t goes as the degrees of freedom grow.
+        assert r.q == pytest.approx(z + (z**3 + z) / 4 / r.dof + (5 * z**5 + 16 * z**3 + 3 * z) / 96 / r.dof**2, rel=1e-11)
+        assert r.p == pytest.approx(0.05, rel=1e-9)
     chi = {1.0: 3.84146, 4.0: 9.48773, 30.0: 43.77297, 100.0: 124.34211}
     df = spark.createDataFrame(list(chi.items()), "dof double, x double")
     for r in df.select(chi2_sf(F.col("x"), F.col("dof")).alias("p")).collect():
