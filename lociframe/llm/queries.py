@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import decontam, exact, langid, mixing, near, scoring, warc
+from lociframe.llm import decontam, exact, langid, mixing, near, scoring, substrings, suffix, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,18 @@ def op1(spark, sf_dir):
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+@query("op2_suffix_dedup")
+def op2(spark, sf_dir):
+    found = suffix.deduped(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op3_substring_dedup")
+def op3(spark, sf_dir):
+    found = substrings.deduped(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 @query("op4_decontamination")
 def op4(spark, sf_dir):
     found = decontam.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
