@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import decontam, exact, langid, mixing, near, scoring, substrings, suffix, warc
+from lociframe.llm import decontam, exact, extract, langid, mixing, near, scoring, substrings, suffix, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -92,3 +92,9 @@ def op8(spark, sf_dir):
 )
 def op9(spark, sf_dir):
     return warc.archived(table(spark, sf_dir, "pages"))
+
+
+@query("op10_html_extraction")
+def op10(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return extract.extracted(pages, extract.fit(pages)).select("page_id", "url", "text", "n_chars")
