@@ -44,19 +44,15 @@ class Kind:
 class Units:
     hash: np.ndarray
     first: np.ndarray  # first unit of each text, and the end
-    begin: np.ndarray  # bytes of each unit within ``raw``
-    end: np.ndarray
-    raw: np.ndarray
 
 
 def units(texts: list[bytes], unit: str) -> Units:
     if unit == "word":
         w = tokens.words(texts)
-        return Units(w.hash, w.first, w.start, w.end, w.raw)
+        return Units(w.hash, w.first)
     raw = np.frombuffer(b"".join(texts), np.uint8)
     first = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-    at = np.arange(len(raw))
-    return Units(raw.astype(np.uint64) + np.uint64(1), first, at, at + 1, raw)
+    return Units(raw.astype(np.uint64) + np.uint64(1), first)
 
 
 def slide(x: np.ndarray, size: int, pick) -> np.ndarray:
@@ -161,10 +157,13 @@ def repeats(docs: DataFrame, kind: Kind, solver: Solver, relation: str, id_col:
     def cut(batch: pa.RecordBatch) -> Iterator[dict]:
         for k in range(batch.num_rows):
             data = (batch.column("text")[k].as_py() or "").encode("utf-8", "replace")
-            u = units([data], kind.unit)
             parts = batch.column("parts")[k].as_py()
-            spans = [(u.begin[p["start"]], u.end[p["start"] + p["windows"] + kind.window - 2]) for p in parts]
-            yield {c: [p[c] for p in parts] for c in ("windows", "key", "content", "n", "hot")} | {"id": [batch.column("id")[k].as_py()] * len(parts), "data": [u.raw[a:b].tobytes() for a, b in spans]}
+            first = np.array([p["start"] for p in parts])
+            last = first + np.array([p["windows"] for p in parts]) + kind.window - 2
+            if kind.unit == "word":
+                w = tokens.words([data])
+                first, last = w.start[first], w.end[last] - 1
+            yield {c: [p[c] for p in parts] for c in ("windows", "key", "content", "n", "hot")} | {"id": [batch.column("id")[k].as_py()] * len(parts), "data": [data[a : b + 1] for a, b in zip(first, last, strict=True)]}
 
     pieces = map_batches(loaded, cut, "id long, windows int, key long, content long, n long, hot boolean, data binary")
     any_hot = not many.isEmpty()

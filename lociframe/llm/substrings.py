@@ -21,28 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lociframe.llm import anchors, tokens
-from lociframe.llm.suffix import common_prefixes, joined
+from lociframe.llm.suffix import common_prefixes, joined, sorted_suffixes
 from lociframe.llm.tokens import map_batches
 
 LENGTH, GRAM = 50, 10
 
 
-def sorted_suffixes(s: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling the sorted length; for many symbols."""
-    rank, size = np.unique(s, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        after = np.zeros(len(s), np.int64)
-        after[: len(s) - size] = rank[size:] + 1
-        both = rank * (len(s) + 1) + after
-        sa = np.argsort(both, kind="stable")
-        step = np.diff(both[sa], prepend=both[sa[0]]) != 0
-        rank = np.empty(len(s), np.int64)
-        rank[sa] = np.cumsum(step)
-        if rank[sa[-1]] == len(s) - 1:
-            return sa
-        size *= 2
-
-
 class Wavelet:
     """Ranks of symbols in a sequence, a bit of the symbols a level, most significant first."""
 

@@ -2,7 +2,8 @@
 
 A suffix is smaller (S) or larger (L) than the next one. Leftmost smaller suffixes cut a string to substrings; these are sorted by inducing, named by
 rank, and the string of names is sorted the same way, recursively. From the sorted leftmost smaller suffixes, two linear passes over the buckets of first
-symbols induce the whole array. On few symbols the passes move whole stretches of a bucket at once; strings of many names are walked one by one.
+symbols induce the whole array. The passes move whole stretches of a bucket at once, which pays while symbols
+are few; the recursion ends at a string with a new name every few places, whose suffixes are sorted by doubling.
 
 Dedup: a byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere else. Shards hold the different contexts of their keys
 (see ``anchors``); a window repeats if its suffix has a neighbour in the shard's array with a common prefix of ``LENGTH``, or if its context has more
@@ -26,7 +27,7 @@ from lociframe.llm.tokens import map_batches
 from lociframe.llm.util import runs
 
 LENGTH, GRAM = 200, 32
-FEW = 64  # symbols are few if there are so many suffixes for each
+FEW = 64  # symbols are few if there are so many suffixes for each; else the recursion ends
 
 
 def smaller(s: np.ndarray) -> np.ndarray:
@@ -40,7 +41,7 @@ def smaller(s: np.ndarray) -> np.ndarray:
 def _append(sa: np.ndarray, s: np.ndarray, edge: np.ndarray, items: np.ndarray, down: bool) -> None:
     """Put items, in order, at the edges of the buckets of their symbols."""
     symbol = s[items]
-    order = np.argsort(symbol, kind="stable")
+    order = np.argsort(symbol.astype(np.uint16 if len(edge) < 1 << 16 else np.int64), kind="stable")  # by radix, as symbols are few
     items, symbol = items[order], symbol[order]
     new = np.flatnonzero(np.diff(symbol, prepend=-1))
     count = np.diff(np.append(new, len(symbol)))
@@ -49,7 +50,7 @@ def _append(sa: np.ndarray, s: np.ndarray, edge: np.ndarray, items: np.ndarray,
     edge[symbol[new]] += -count if down else count
 
 
-def _induce_wide(s: np.ndarray, is_s: np.ndarray, ends: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+def _induce(s: np.ndarray, is_s: np.ndarray, ends: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """The array from the leftmost smaller suffixes in the order ``seeds``, bucket by bucket."""
     n = len(s)
     sa = np.full(n, -1, np.int64)
@@ -88,40 +89,31 @@ def _induce_wide(s: np.ndarray, is_s: np.ndarray, ends: np.ndarray, seeds: np.nd
     return sa
 
 
-def _induce_walk(s: np.ndarray, is_s: np.ndarray, ends: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """The same, one suffix at a time."""
-    text, small, sa = s.tolist(), is_s.tolist(), [-1] * len(s)
-    tail = ends.tolist()
-    for i in reversed(seeds.tolist()):
-        c = text[i]
-        tail[c] -= 1
-        sa[tail[c]] = i
-    head = [0, *ends[:-1].tolist()]
-    for i in sa:
-        if i > 0 and not small[i - 1]:
-            c = text[i - 1]
-            sa[head[c]] = i - 1
-            head[c] += 1
-    tail = ends.tolist()
-    for r in range(len(sa) - 1, -1, -1):
-        i = sa[r]
-        if i > 0 and small[i - 1]:
-            c = text[i - 1]
-            tail[c] -= 1
-            sa[tail[c]] = i - 1
-    return np.array(sa, np.int64)
+def sorted_suffixes(s: np.ndarray) -> np.ndarray:
+    """Suffix array by doubling the sorted length; for strings of many symbols."""
+    rank, size = np.unique(s, return_inverse=True)[1].astype(np.int64), 1
+    while True:
+        after = np.zeros(len(s), np.int64)
+        after[: len(s) - size] = rank[size:] + 1
+        both = rank * (len(s) + 1) + after
+        sa = np.argsort(both, kind="stable")
+        step = np.diff(both[sa], prepend=both[sa[0]]) != 0
+        rank = np.empty(len(s), np.int64)
+        rank[sa] = np.cumsum(step)
+        if rank[sa[-1]] == len(s) - 1:
+            return sa
+        size *= 2
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffix array of whole numbers whose last is 0 and the only 0."""
     n, symbols = len(s), int(s.max()) + 1
-    if n == 1:
-        return np.zeros(1, np.int64)
+    if symbols * FEW > n:
+        return sorted_suffixes(s)
     is_s = smaller(s)
     ends = np.cumsum(np.bincount(s, minlength=symbols))
-    induce = _induce_wide if symbols * FEW <= n else _induce_walk
     left = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    ranked = induce(s, is_s, ends, left)
+    ranked = _induce(s, is_s, ends, left)
     chosen = np.zeros(n, bool)
     chosen[left] = True
     ranked = ranked[chosen[ranked]]
@@ -143,7 +135,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         order = ranked
     else:
         order = left[suffix_array(names)]
-    return induce(s, is_s, ends, order)
+    return _induce(s, is_s, ends, order)
 
 
 def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
