@@ -30,6 +30,7 @@ from lociframe.llm.tokens import map_batches, windows, words
 ORDER = 2
 BACKOFF = 0.4
 BLOCK_BYTES = 12 << 20
+PORTION = 1 << 20
 PART_BYTES = 8 << 20  # of text a part of the count tables stands for
 
 
@@ -52,16 +53,25 @@ def uncounted(data: bytes) -> np.ndarray:
 
 def grams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """For each order the n-gram hash that ends at each word (0 where a text begins too late), the text of each word, first words."""
-    found = words(texts)
-    text = found.text()
+    parts, counts, begin, size = [], [], 0, 0
+    for k, data in enumerate(texts):  # words are found in portions, as that takes many times the bytes looked at
+        size += len(data)
+        if size > PORTION or k + 1 == len(texts):
+            found = words(texts[begin : k + 1])
+            parts.append(found.hash)
+            counts.append(np.diff(found.first))
+            begin, size = k + 1, 0
+    flat = np.concatenate([np.zeros(0, np.uint64), *parts])
+    first = np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))))
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     out = []
     for n in range(1, order + 1):
-        full = np.zeros(len(found.hash), np.uint64)
-        if len(found.hash) >= n:
-            full[n - 1 :] = windows(found.hash, n, seed=n)
-        full[(np.arange(len(full)) - found.first[text]) < n - 1] = 0
+        full = np.zeros(len(flat), np.uint64)
+        if len(flat) >= n:
+            full[n - 1 :] = windows(flat, n, seed=n)
+        full[(np.arange(len(full)) - first[text]) < n - 1] = 0
         out.append(full)
-    return out, text, found.first
+    return out, text, first
 
 
 def scores(texts: list[bytes], keys: np.ndarray, totals: np.ndarray, corpus: int, order: int) -> list[float | None]:
