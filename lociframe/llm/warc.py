@@ -31,6 +31,7 @@ from lociframe.llm.util import same, text_of
 LEAST_REVISIT = 1000  # bytes
 ARCHIVE_BYTES = 64 << 20  # of records, after which a task begins another archive
 CHUNK = 1 << 20
+LEVEL = 6  # of compression
 GZIP = 31  # zlib's window bits for gzip
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -78,7 +79,7 @@ class _Out:
         self.fs, path = _store(folder)
         self.name = f"{uuid.uuid4().hex}.warc.gz"
         self.file = self.fs.open_output_stream(f"{path}/{self.name}", compression=None)
-        self.gz, self.size, self.records = zlib.compressobj(1, zlib.DEFLATED, GZIP), 0, 0
+        self.gz, self.size, self.records = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP), 0, 0
 
     def add(self, parts: list[bytes]) -> None:
         for part in parts:
@@ -169,7 +170,7 @@ def normalise_archive(folder: str, archive: str) -> tuple[str, list[tuple[int, i
     ):
         stream = _Stream(source)
         while (header := stream.header()) is not None:
-            gz, size = zlib.compressobj(1, zlib.DEFLATED, GZIP), 0
+            gz, size = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP), 0
 
             def put(part: bytes, last: bool = False, gz=gz) -> None:
                 nonlocal size
