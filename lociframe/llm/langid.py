@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 #: Bounds of the model: labelled rows fitted on, words and n-grams kept a language (the most frequent), letters of a word kept in it.
-FIT_ROWS, FIT_WORDS, FIT_GRAMS, FIT_LETTERS = 20_000, 60_000, 120_000, 64
+FIT_ROWS, FIT_WORDS, FIT_GRAMS, FIT_LETTERS = 20_000, 40_000, 40_000, 64
 CACHED = 300_000
 
 
