@@ -96,7 +96,7 @@ def sorted_suffixes(s: np.ndarray) -> np.ndarray:
         after = np.zeros(len(s), np.int64)
         after[: len(s) - size] = rank[size:] + 1
         both = rank * (len(s) + 1) + after
-        sa = np.argsort(both, kind="stable")
+        sa = np.argsort(both)
         step = np.diff(both[sa], prepend=both[sa[0]]) != 0
         rank = np.empty(len(s), np.int64)
         rank[sa] = np.cumsum(step)
