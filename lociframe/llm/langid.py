@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lociframe.config import pin
+
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 #: Bounds of the model: labelled rows fitted on, words and n-grams kept a language (the most frequent), letters of a word kept in it.
 FIT_ROWS, FIT_WORDS, FIT_GRAMS, FIT_LETTERS = 20_000, 40_000, 40_000, 64
-CACHED = 300_000
+CACHED = 150_000
 
 
 def words(text: str | None) -> list[str]:
@@ -44,27 +46,24 @@ def grams(word: str, n: int) -> list[str]:
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[str, tuple[float, ...]]  # log frequency in each language
-    grams: list[dict[str, tuple[float, ...]]]  # by length
-
-    def scores(self, word: str) -> tuple[float, ...] | None:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        for n in range(LONGEST, 0, -1):
-            table = self.grams[n]
-            found = [table[g] for g in grams(word, n) if g in table]
-            if found:
-                return tuple(sum(col) / len(found) for col in zip(*found, strict=True))
-        return None
+    index: list[dict[str, int]]  # rows of known words (0) and of n-grams by length
+    logs: list[np.ndarray]  # log frequency in each language, a row an item
 
     def votes(self, word: str) -> tuple[float, ...]:
-        scores = self.scores(word)
-        if scores is None:
-            return (0.0,) * len(self.langs)
-        top = max(scores)
-        e = [math.exp(s - top) for s in scores]
-        return tuple(x / sum(e) for x in e)
+        row = self.index[0].get(word)
+        if row is not None:
+            scores = self.logs[0][row]
+        else:
+            for n in range(LONGEST, 0, -1):
+                known = self.index[n]
+                found = [known[g] for g in grams(word, n) if g in known]
+                if found:
+                    scores = self.logs[n][found].mean(axis=0)
+                    break
+            else:
+                return (0.0,) * len(self.langs)
+        e = np.exp(scores - scores.max())
+        return tuple((e / e.sum()).tolist())
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> Model:
@@ -98,16 +97,18 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     totals = {(r["lang"], r["size"]): (r["total"], r["kinds"]) for r in items.groupBy("lang", "size").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).collect()}
     order = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "item")
     most = F.when(F.col("size") == 0, FIT_WORDS).otherwise(FIT_GRAMS)
-    top = items.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("lang", "size", "item", "n").toPandas()
     langs = sorted({lang for lang, _ in totals})
-    tables: list[dict] = [{} for _ in range(LONGEST + 1)]
-    for lang, size, item, k in top.itertuples(index=False):
-        tables[size].setdefault(item, {})[lang] = k
-    for size, table in enumerate(tables):
-        # Half a count for what a language does not have.
+    top = pin(items.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("lang", "size", "item", "n"))
+    index, logs = [], []
+    for size in range(LONGEST + 1):  # one table at a time in the driver
+        part = top.where(F.col("size") == size).select("item", "lang", "n").toPandas()
+        rows, known = pd.factorize(part["item"])
+        table = np.full((len(known), len(langs)), 0.5)  # half a count for what a language does not have
+        table[rows, np.searchsorted(langs, part["lang"].astype(str)) if len(part) else []] += part["n"].to_numpy()
         base = [math.log(totals.get((lang, size), (0, 0))[0] + 0.5 * (totals.get((lang, size), (0, 0))[1] + 1)) for lang in langs]
-        tables[size] = {item: tuple(math.log(by.get(lang, 0) + 0.5) - b for lang, b in zip(langs, base, strict=True)) for item, by in table.items()}
-    return Model(langs, tables[0], tables)
+        index.append({item: k for k, item in enumerate(known)})
+        logs.append((np.log(table) - np.array(base)).astype(np.float32))
+    return Model(langs, index, logs)
 
 
 class _Votes(dict):
