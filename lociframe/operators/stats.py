@@ -152,7 +152,8 @@ def mannwhitney(a: DataFrame, b: DataFrame, x: str = "x") -> DataFrame:
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    z = F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)) / sd
+    # Without spread (all values tied) nothing can be told apart: p = 1.
+    z = F.coalesce(F.try_divide(F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)), sd), F.lit(0.0))
     return sums.select("n1", "n2", u.alias("u"), F.least(F.lit(1.0), erfc(z / F.sqrt(F.lit(2.0)))).alias("p"))
 
 
@@ -167,8 +168,9 @@ def pearson(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """One row: r, n, two-sided p."""
     s = df.agg(F.corr(x, y).alias("r"), F.count(F.col(x) + F.col(y)).alias("n"))
     dof = (F.col("n") - 2).cast("double")
-    t = F.col("r") * F.sqrt(dof / (1 - F.col("r") * F.col("r")))
-    return s.withColumn("p", student_t_two_sided(t, dof))
+    t = F.col("r") * F.sqrt(F.try_divide(dof, 1 - F.col("r") * F.col("r")))
+    # Points on a line leave nothing to chance.
+    return s.withColumn("p", F.when((F.abs("r") >= 1) & ~F.isnan("r") & (dof > 0), F.lit(0.0)).otherwise(student_t_two_sided(t, dof)))
 
 
 # ---- regression ----
@@ -424,16 +426,17 @@ def ld_pairs(genotypes: DataFrame, pairs: DataFrame, min_r2: float = LD_R2) -> D
     ``genotypes``: snp, sample, gt (``0|1``); ``pairs``: snp1, snp2. Adds n00, n01, n10, n11, dprime, r2,
     chisq, p, in_ld, same_phase (reference goes with reference).
     """
-    hap = lambda g, i: F.split_part(g, F.lit("|"), F.lit(i)).cast("int")
+    hap = lambda g, i: F.split_part(g, F.lit("|"), F.lit(i)).try_cast("int")  # noqa: E731  a missing allele is null
     g = genotypes.select("snp", "sample", hap(F.col("gt"), 1).alias("h1"), hap(F.col("gt"), 2).alias("h2"))
     a = g.select(F.col("snp").alias("snp1"), "sample", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
     b = g.select(F.col("snp").alias("snp2"), "sample", F.col("h1").alias("b1"), F.col("h2").alias("b2"))
     both = pairs.select("snp1", "snp2").join(a, "snp1").join(b, ["snp2", "sample"])
+    both = both.where((F.col("a1") + F.col("b1")).isNotNull() | (F.col("a2") + F.col("b2")).isNotNull())
 
     def n(x: int, y: int) -> Column:
         one = ((F.col("a1") == x) & (F.col("b1") == y)).cast("int")
         two = ((F.col("a2") == x) & (F.col("b2") == y)).cast("int")
-        return F.sum(one + two)
+        return F.sum(F.coalesce(one, F.lit(0)) + F.coalesce(two, F.lit(0)))
 
     t = both.groupBy("snp1", "snp2").agg(*[n(x, y).alias(f"n{x}{y}") for x in (0, 1) for y in (0, 1)])
     total = (F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11")).cast("double")

@@ -16,6 +16,11 @@ def _ints(c: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(c, ",$", ""), ","), lambda x: x.try_cast("long"))
 
 
+def paired(sizes: Column, starts: Column) -> Column:
+    """True for lists of equal length in which all are numbers."""
+    return (F.size(_ints(sizes)) == F.size(_ints(starts))) & ~F.exists(F.concat(_ints(sizes), _ints(starts)), lambda x: x.isNull())
+
+
 def exon_blocks(start: Column, sizes: Column, starts: Column) -> Column:
     """Absolute blocks from comma-separated sizes and starts relative to ``start``."""
     return F.transform(
@@ -33,7 +38,7 @@ def parse_bed(lines: DataFrame, snp: bool = False, base: int = 0) -> DataFrame:
     """
     f = fields()
     start, end = field(f, 1, "long") - base, field(f, 2, "long") - base
-    blocks = F.when(F.size(f) > 11, exon_blocks(start, field(f, 10), field(f, 11)))
+    blocks = F.when((F.size(f) > 11) & paired(field(f, 10), field(f, 11)), exon_blocks(start, field(f, 10), field(f, 11)))
     alleles = F.split(field(f, 3), "[|/]")
     count = field(f, 9, "int")
     ok = start.isNotNull() & end.isNotNull() & (F.coalesce(count, F.lit(0)).eqNullSafe(F.coalesce(F.size(blocks), F.lit(0))) | (F.size(f) <= 11))

@@ -166,3 +166,11 @@ def test_interval_lookup_on_a_stream(spark):
     out = new_path(spark, "assigned")
     streams.assign_available(bed.parse_locations(streams.text_stream(spark, path)), ivs, out)
     assert sorted((r.pos, r.gene) for r in spark.read.parquet(out).collect()) == [(5, "g1"), (15, "g2")]
+
+
+def test_unequal_blocks_are_corrupt(spark):
+    from lociframe.sources import bed
+
+    lines = spark.createDataFrame([("chr1\t0\t10\tg\t0\t+\t0\t10\t0\t2\t5,5\t0",)], "value string")
+    row = bed.parse_bed(lines).first()
+    assert row["_corrupt"] is not None

@@ -198,3 +198,13 @@ def test_limits_and_log_filter(spark):
 def test_mean_genotype_filter(spark):
     df = spark.createDataFrame([([0.0, 0.0],), ([1.0, 1.0],), ([0.5, 0.0],)], "genotypes array<double>")
     assert [r.genotypes for r in filters.mean_genotype_filter(df).collect()] == [[0.5, 0.0]]
+
+
+def test_degenerate_input(spark):
+    from lociframe.operators import stats
+
+    line = spark.createDataFrame([(float(k), 2.0 * k) for k in range(5)], "x double, y double")
+    assert stats.pearson(line).first()["p"] < 1e-6
+    rows = [("s1", "i1", "0|1"), ("s2", "i1", "0|1"), ("s1", "i2", ".|."), ("s2", "i2", "0|1"), ("s1", "i3", "0|0"), ("s2", "i3", ".|0")]
+    found = stats.ld_pairs(spark.createDataFrame(rows, "snp string, sample string, gt string"), spark.createDataFrame([("s1", "s2")], "snp1 string, snp2 string")).first()
+    assert (found["n00"], found["n01"], found["n10"], found["n11"]) == (2, 0, 0, 1)
