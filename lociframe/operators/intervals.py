@@ -3,24 +3,28 @@
 A point meets an interval through an equi-join on (chrom, bin): the interval is listed under every
 bin it touches, the point under its one bin, and the exact bounds are checked on the joined pairs.
 
-The smaller side is counted first. Up to BROADCAST_ROWS rows it is broadcast, and the bigger side is
-not shuffled at all. Beyond that both sides are shuffled by (chrom, bin). The few bins that then hold
+The smaller side is counted and measured first. Up to BROADCAST_ROWS rows and BROADCAST_BYTES bytes it
+is broadcast, and the bigger side is not shuffled at all. Beyond that both sides are shuffled by (chrom, bin). The few bins that then hold
 more than an even share of the bigger side are split: their rows are spread over several salts and
 the other side is repeated for just those bins. At most one bin per share can be that full, which
 bounds the list of full bins by the number of shuffle partitions.
+
+Both ways give the same rows. Columns that are only carried along may have any type and stay as they are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lociframe.config import parallelism
+from lociframe.config import parallelism, pin
 from lociframe.functions.bases import revcomp
 
 BIN = 16384
-# Most rows of the smaller side that are broadcast, and most intervals listed under one bin for that.
+# Most rows and bytes of the smaller side that are broadcast, and most intervals listed under one bin for that.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 BROADCAST_PER_BIN = 256
 
 
@@ -28,6 +32,31 @@ def _bin(pos: Column, width: int) -> Column:
     return F.floor(pos / F.lit(width)).cast("long")
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """At least the bytes a row takes in memory. Nested values count by their text: an item of eight
+    bytes has two characters or more with its separator."""
+    size = F.lit(64).cast("long")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + 16 + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            size = size + 64 + 8 * F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0))
+        else:
+            size = size + 16
+    return size
+
+
+def _fits(df: DataFrame, rows: int) -> bool:
+    """Whether a table has at most so many rows, and bytes, that it may be broadcast."""
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(df)).alias("bytes")).first()
+    return size["rows"] <= rows and (size["bytes"] or 0) <= BROADCAST_BYTES
+
+
+def _hashable(df: DataFrame) -> list[str]:
+    """Columns that can be hashed: those without a map or a variant in them."""
+    return [f.name for f in df.schema.fields if '"map"' not in f.dataType.json() and '"variant"' not in f.dataType.json()]
+
+
 def _full_bins(rows: DataFrame, at: Column, width: int, shares: int) -> DataFrame:
     """Bins with more than 1/shares of all rows, and in how many salts to split each.
 
@@ -57,7 +86,8 @@ def bin_join(
     Both sides need a ``chrom`` column and otherwise distinct names. ``spread`` names the bigger side,
     whose full bins are split; the other side is repeated there, or broadcast if it is small.
     ``shares=0`` saves the count of the bins and leaves full ones to the skew handling of adaptive
-    execution. Keeps ``_bin`` and ``_salt``, by which a shuffled result is partitioned.
+    execution. Keeps ``_bin`` and ``_salt``, by which a shuffled result is partitioned. Rows are spread by
+    a hash of themselves, which a retried task repeats; so rows that agree in all columns stay together.
     """
     if spread not in ("points", "intervals"):
         raise ValueError("spread must be points or intervals")
@@ -70,7 +100,7 @@ def bin_join(
     zero = F.lit(0)
     if broadcast_rows:
         little = ivs if spread == "points" else pts
-        if little.count() <= broadcast_rows:
+        if _fits(little, broadcast_rows):
             big = pts if spread == "points" else ivs
             return big.withColumn("_salt", zero).join(F.broadcast(little), ["chrom", "_bin"]).where(within)
     if not shares:
@@ -82,7 +112,7 @@ def bin_join(
     # Fewer than ``shares`` bins can hold more than 1/shares of the rows each: a bounded broadcast.
     full = F.broadcast(full)
     salts = F.coalesce("_salts", F.lit(1))
-    big = big.join(full, ["chrom", "_bin"], "left").withColumn("_salt", F.pmod(F.xxhash64(*big.columns), salts).cast("int"))
+    big = big.join(full, ["chrom", "_bin"], "left").withColumn("_salt", F.pmod(F.xxhash64(*_hashable(big)), salts).cast("int"))
     small = small.join(full, ["chrom", "_bin"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return big.drop("_salts").join(small.drop("_salts"), ["chrom", "_bin", "_salt"]).where(within)
 
@@ -97,17 +127,16 @@ def assign_interval(
     end: str = "end",
     strand: str | None = None,
     width: int = BIN,
-    unique: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Give each point the ``take`` value of the first interval over it; points without one go.
 
     "First" is by the ``order`` columns of the intervals, i.e. their place in the source file. With
     ``strand`` the column of that name must agree on both sides. Where the points have to be shuffled,
-    their copies are counted first and given back at the end; ``unique`` says there are none.
+    each place is looked up once and its interval joined to the rows there. Places with more than an even
+    share of the rows, fewer than there are shares, are joined by broadcast, so their rows are not moved.
     """
     order = order or ["ord"]
-    cols = points.columns
     names = {start: "_start", end: "_end", take: "_take", **({strand: "_strand"} if strand else {})}
     same = ["chrom", "_start", "_end", *(["_strand"] if strand else [])]
     # One row per distinct interval: copies further down the file can never win.
@@ -120,23 +149,24 @@ def assign_interval(
     if broadcast_rows:
         bins = F.sequence(_bin(F.col("_start"), width), _bin(F.col("_end") - 1, width))
         binned = ivs.withColumn("_bin", F.explode(bins))
-        sizes = binned.groupBy("chrom", "_bin").count().agg(F.sum("count").alias("all"), F.max("count").alias("most")).first()
-        if (sizes["all"] or 0) <= broadcast_rows and (sizes["most"] or 0) <= BROADCAST_PER_BIN:
+        sizes = binned.groupBy("chrom", "_bin").agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(binned)).alias("b"))
+        sizes = sizes.agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("b").alias("bytes")).first()
+        if (sizes["all"] or 0) <= broadcast_rows and (sizes["most"] or 0) <= BROADCAST_PER_BIN and (sizes["bytes"] or 0) <= BROADCAST_BYTES:
             return _assign_by_list(points, binned, take, pos, strand, width)
-    if unique:
-        once = points.withColumn("_copies", F.lit(1).cast("long"))
-    else:
-        once = points.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
+    place = ["chrom", pos, *([strand] if strand else [])]
+    once = points.groupBy(*place).agg(F.count(F.lit(1)).alias("_copies"))
     hits = bin_join(once, ivs, pos, "_start", "_end", width, broadcast_rows=0)
     if strand:
         hits = hits.where(F.col(strand) == F.col("_strand"))
     # Grouping by (chrom, _bin, _salt, ...) keeps the partitioning of the join: no further shuffle.
-    won = hits.groupBy("chrom", "_bin", "_salt", *[c for c in cols if c != "chrom"], "_copies").agg(
-        F.min("_best").alias("_best")
-    )
-    return won.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(
-        *cols, F.col("_best._take").alias(take)
-    )
+    won = hits.groupBy("chrom", "_bin", "_salt", *place[1:], "_copies").agg(F.min("_best").alias("_best"))
+    won = pin(won.select(*place, "_copies", F.col("_best._take").alias("_take")))
+    shares = parallelism(points.sparkSession)
+    crowded = F.col("_copies") * shares > won.select(F.sum("_copies")).scalar()
+    hot = F.broadcast(won.where(crowded).drop("_copies"))
+    apart = points.join(hot.select(*place), place, "left_anti").join(won.where(~crowded).drop("_copies"), place)
+    out = [*points.columns, F.col("_take").alias(take)]
+    return points.join(hot, place).select(*out).unionAll(apart.select(*out))
 
 
 def _assign_by_list(points: DataFrame, binned: DataFrame, take: str, pos: str, strand: str | None, width: int) -> DataFrame:

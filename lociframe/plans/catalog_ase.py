@@ -23,7 +23,7 @@ def placed(spark: SparkSession, sf: str) -> DataFrame:
     snps = view(spark, sf, "fx_snps").select(
         "chrom", "pos", "name", F.col("ref_allele").alias("mat"), F.col("alt_allele").alias("pat")
     )
-    return intervals.assign_interval(snps, exons(spark, sf), order=["ord", "exon"], unique=True)
+    return intervals.assign_interval(snps, exons(spark, sf), order=["ord", "exon"])
 
 
 def snps_ra(spark: SparkSession, sf: str) -> DataFrame:

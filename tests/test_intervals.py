@@ -54,6 +54,26 @@ def test_strand(spark, broadcast_rows):
     assert sorted(map(tuple, got.collect())) == _naive(points, ivs, strand=True)
 
 
+@WAYS
+def test_carried_columns_stay_as_they_are(spark, broadcast_rows):
+    rows = [("a", 10, {"k": 1}, -0.0, None), ("a", 10, {"k": 1}, -0.0, None), ("a", 10, None, 0.0, "x"), ("a", 90, {}, float("nan"), "y"), ("b", 10, {}, 1.0, "z"), ("a", None, {}, 1.0, "n")]
+    rows += [("a", 11, {"h": 1}, -0.0, "hot")] * 40
+    p = spark.createDataFrame(rows, "chrom string, pos long, m map<string,int>, d double, t string").withColumn("v", F.parse_json(F.lit('{"q": [1]}')))
+    i = spark.createDataFrame([("a", 0, 50, "g1", 0), ("a", 5, 95, "g2", 1)], "chrom string, start long, end long, gene string, ord long")
+    got = intervals.assign_interval(p, i, broadcast_rows=broadcast_rows)
+    assert got.columns == [*p.columns, "gene"]
+    want = [(*r, '{"q":[1]}', "g2" if r[1] == 90 else "g1") for r in rows if r[0] == "a" and r[1] is not None]
+    assert sorted(map(repr, map(tuple, got.withColumn("v", F.to_json("v")).collect()))) == sorted(map(repr, want))
+    joined = intervals.bin_join(p, i.withColumnRenamed("chrom", "c").withColumn("chrom", F.col("c")), "pos", "start", "end", shares=16, broadcast_rows=broadcast_rows)
+    assert sorted(repr(r.d) for r in joined.collect()) == sorted(repr(r[3]) for r in rows if r[0] == "a" and r[1] for _ in range(1 if r[1] == 90 else 2))
+
+
+def test_wide_rows_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "BROADCAST_BYTES", 10_000)
+    wide = spark.range(10).select(F.repeat(F.lit("x"), 2000).alias("s"))
+    assert not intervals._fits(wide, 100) and intervals._fits(wide.select(F.length("s")), 100) and not intervals._fits(wide, 5)
+
+
 def test_full_bins_are_split_on_both_sides(spark):
     points, ivs = _data(3)
     points = [(c, 1000 + p % 40, f"{n}") for n, (c, p, _) in enumerate(points)]
