@@ -79,7 +79,8 @@ def call_counts(df: DataFrame) -> DataFrame:
     """Class and winning parent of one SNP from its four base counts.
 
     Input: a, c, g, t counts, a1 and a2 (child alleles), mat_allele and pat_allele (NULL when not
-    phased). Adds pval, cls (Weird, Asym, Sym, Homozygous) and parent (M, P, ?).
+    phased). Adds pval, cls (Weird, Asym, Sym, Homozygous) and parent (M, P, ?). Without any of the
+    four bases the parental alleles are not the bulk of the reads: Weird.
     """
     def of(allele: Column) -> Column:
         a = F.lower(allele)
@@ -93,7 +94,7 @@ def call_counts(df: DataFrame) -> DataFrame:
     # The most frequent base; the later letter wins a tie.
     major = F.greatest(*[F.struct(F.col(b).alias("n"), F.lit(b).alias("base")) for b in "acgt"])["base"]
     phased = F.col("mat_allele").isNotNull() & F.col("pat_allele").isNotNull()
-    weird = F.when(homozygous, n1).otherwise(n1 + n2) / total < MIN_PARENTAL
+    weird = F.coalesce(F.try_divide(F.when(homozygous, n1).otherwise(n1 + n2), total), F.lit(0.0)) < MIN_PARENTAL
     return (
         df.withColumn("pval", fair_binomial_p(F.least(n1, n2), n1 + n2))
         .withColumn(

@@ -80,10 +80,10 @@ def peak_merge(peaks: DataFrame, overlap: float = OVERLAP, by_row: bool = False)
     one before. Fold and log10 p are halved into the cluster's value one after the other.
 
     What a peak does depends on the cluster open before it, so a cluster may reach over the parts
-    of the sorted table. All parts are walked at once from a guessed state; parts whose true state
-    turns out different are walked again until none is. Every cluster a peak opens forgets what was
-    before, so this settles after a few rounds, and the fixed point is the sequential result. Only
-    one row per part goes through the driver.
+    of the sorted table. All parts are walked at once from a guessed state, and again until no state at
+    the start of a part changes; the fixed point is the sequential result. A peak without overlap to the
+    one before forgets what was before, so where every part has one this takes two rounds. Where peaks
+    overlap densely over many parts, each round may settle one part only. One row per part goes through the driver.
     """
     f = peak_flags(peaks)
     joins_last = F.col("is_last") & F.coalesce(F.col("start") - SLACK < F.col("prev_end"), F.lit(False))

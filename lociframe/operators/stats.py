@@ -178,7 +178,8 @@ def pearson(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
 def ols(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """One row of a least-squares line: n, slope, intercept, r2, standard errors, p of both, and the
-    sums the bands need. One aggregation pass."""
+    sums the bands need. One aggregation pass. A line through all points has p 0 for a coefficient that
+    is not 0; two rows, or a constant ``x``, leave errors and p without a value."""
     a, b = F.col(y), F.col(x)
     s = df.agg(
         F.regr_count(a, b).alias("n"),
@@ -192,21 +193,22 @@ def ols(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
         F.max(b).alias("x_max"),
     )
     dof = (F.col("n") - 2).cast("double")
-    mse = F.col("syy") * (1 - F.col("r2")) / dof
+    mse = F.greatest(F.try_divide(F.col("syy") * (1 - F.col("r2")), dof), F.lit(0.0))
+    mse = F.when(dof > 0, mse)
     out = s.withColumn("mse", mse)
     out = out.withColumns(
         {
-            "se_slope": F.sqrt(F.col("mse") / F.col("sxx")),
-            "se_intercept": F.sqrt(F.col("mse") * (1 / F.col("n") + F.col("x_mean") * F.col("x_mean") / F.col("sxx"))),
-        }
-    )
-    return out.withColumns(
-        {
-            "p_slope": student_t_two_sided(F.col("slope") / F.col("se_slope"), dof),
-            "p_intercept": student_t_two_sided(F.col("intercept") / F.col("se_intercept"), dof),
+            "se_slope": F.sqrt(F.try_divide("mse", "sxx")),
+            "se_intercept": F.sqrt(F.col("mse") * (F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(F.col("x_mean") * F.col("x_mean"), F.col("sxx")))),
         }
     )
 
+    def p(value: str, error: str) -> Column:
+        tested = student_t_two_sided(F.try_divide(value, error), dof)
+        return F.when((F.col(error) == 0) & (F.col(value) != 0), F.lit(0.0)).otherwise(tested)
+
+    return out.withColumns({"p_slope": p("slope", "se_slope"), "p_intercept": p("intercept", "se_intercept")})
+
 
 def ols_bands(fit: DataFrame, points: int = 100) -> DataFrame:
     """The fitted line at evenly spaced x with 95 % confidence and prediction bands."""
@@ -215,7 +217,7 @@ def ols_bands(fit: DataFrame, points: int = 100) -> DataFrame:
     x = F.col("x_min") + (F.col("x_max") - F.col("x_min")) * F.col("i") / (points - 1)
     d = F.col("x") - F.col("x_mean")
     xs = xs.withColumn("x", x).withColumn("y", F.col("intercept") + F.col("slope") * F.col("x"))
-    share = 1 / F.col("n") + d * d / F.col("sxx")
+    share = 1 / F.col("n") + F.try_divide(d * d, F.col("sxx"))
     xs = xs.withColumns({"_c": F.col("_t") * F.sqrt(F.col("mse") * share), "_p": F.col("_t") * F.sqrt(F.col("mse") * (1 + share))})
     return xs.select(
         "i", "x", "y", (F.col("y") - F.col("_c")).alias("ci_lo"), (F.col("y") + F.col("_c")).alias("ci_hi"),
@@ -329,11 +331,16 @@ def density(df: DataFrame, x: str = "x", y: str = "y", grid: tuple[int, int] = (
 
     The points are reduced to at most nx * ny cell counts; bandwidth after Scott with the full
     covariance. Smoothing runs per output row of the grid, from the cells of the rows its kernel
-    reaches, so a task holds at most (kernel height * nx) cells whatever the number of points.
+    reaches, so a task holds at most (kernel height * nx) cells whatever the number of points. Points on
+    a line, all in one cell, or none at all have no density: NaN in every cell.
     """
     nx, ny = grid
     cells, p = _cells(df, x, y, grid)
-    n, cov_xx, cov_xy, cov_yy = float(p["n"]), p["xx"], p["xy"], p["yy"]
+    n, cov_xx, cov_xy, cov_yy = float(p["n"] or 0), p["xx"], p["xy"], p["yy"]
+    spread_out = n > 0 and cov_xx * cov_yy - cov_xy * cov_xy > 0
+    if not spread_out:
+        every = df.sparkSession.range(nx * ny).select(F.expr(f"id div {ny}").alias("ix"), (F.col("id") % ny).alias("iy"))
+        return every.withColumn("density", nan())
     scott = n ** (-1.0 / 6)
     kx, ky = (int(round(scott * 2 * math.pi * math.sqrt(v))) for v in (cov_xx, cov_yy))
     det = cov_xx * cov_yy - cov_xy * cov_xy
@@ -378,8 +385,9 @@ def _pixel(df: DataFrame, x: str, y: str, grid: tuple[int, int]) -> DataFrame:
     at = df.withColumn("_g", ends.scalar())
     return at.withColumns(
         {
-            "ix": F.floor((F.col(x) - F.col("_g.x0")) / F.col("_g.dx")).cast("long"),
-            "iy": F.floor((F.col(y) - F.col("_g.y0")) / F.col("_g.dy")).cast("long"),
+            # All values of a constant axis are in its first cell.
+            "ix": F.floor(F.when(F.col("_g.dx") == 0, 0.0).otherwise(F.try_divide(F.col(x) - F.col("_g.x0"), F.col("_g.dx")))).cast("long"),
+            "iy": F.floor(F.when(F.col("_g.dy") == 0, 0.0).otherwise(F.try_divide(F.col(y) - F.col("_g.y0"), F.col("_g.dy")))).cast("long"),
         }
     )
 

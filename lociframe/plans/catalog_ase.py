@@ -202,20 +202,20 @@ def acgt(spark: SparkSession, sf: str) -> DataFrame:
         *[F.coalesce(F.sum(F.when(F.col("base") == b, F.col("n"))), F.lit(0)).cast("long").alias(b.lower()) for b in "ACGT"]
     )
     snps = view(spark, sf, "fx_snps").select("chrom", "pos", "name", "ref_allele", "alt_allele")
-    return wide.where("a+c+g+t > 0").join(snps, ["chrom", "pos"])
+    return wide.join(snps, ["chrom", "pos"])
 
 
 _CALLED = (
     """select *, """
     + fair_p("least(n1,n2)", "(n1+n2)")
-    + """ pval, (n1+n2)/(a+c+g+t)::double share,
+    + """ pval, coalesce((n1+n2)/nullif(a+c+g+t,0)::double,0) share,
   case when t>=greatest(a,c,g) then 't' when g>=greatest(a,c) then 'g' when c>=a then 'c' else 'a' end major
 from (select x.*, s.name, s.ref_allele, s.alt_allele,
   case s.ref_allele when 'A' then a when 'C' then c when 'G' then g else t end n1,
   case s.alt_allele when 'A' then a when 'C' then c when 'G' then g else t end n2
   from ("""
     + _ACGT
-    + """) x join {fx_snps} s on x.chrom=s.chrom and x.pos=s.pos where a+c+g+t>0) y"""
+    + """) x join {fx_snps} s on x.chrom=s.chrom and x.pos=s.pos) y"""
 )
 
 

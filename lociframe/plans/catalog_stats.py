@@ -60,24 +60,24 @@ _FORMULA = {
 
 @register(
     "norm_effect",
-    " union all ".join(f"select {_KEY}, '{k}' formula, round({f},9)+0.0::double e from {{fx_effects}} where pre>0.02 and pre<0.98" for k, f in _FORMULA.items()),
+    " union all ".join(f"select {_KEY}, '{k}' formula, round({f},9)+0.0::double e from {{fx_effects}}" for k, f in _FORMULA.items()),
 )
 def norm_effect(spark, sf):
-    kept = filters.maf_filter(effects(spark, sf))
+    every = effects(spark, sf)
     parts = [
-        stats.norm_effect(kept, by).select("l_orderkey", "l_linenumber", F.lit(by).alias("formula"), (F.round("norm_effect", 9) + 0.0).alias("e"))
+        stats.norm_effect(every, by).select("l_orderkey", "l_linenumber", F.lit(by).alias("formula"), (F.round("norm_effect", 9) + 0.0).alias("e"))
         for by in ("both", "max", "min")
     ]
     return sets.concat_frames(parts)
 
 
 _STDERR = f"""select *, sqrt(prevar+postvar) vari, (pre-post)/sqrt(prevar+postvar) z,
-  case when pre=post then null else abs({_FORMULA['both']}/((pre-post)/sqrt(prevar+postvar))) end stddev, {_FORMULA['both']} e from {{fx_effects}} where pre>0.02 and pre<0.98"""
+  case when pre=post then null else abs({_FORMULA['both']}/((pre-post)/sqrt(prevar+postvar))) end stddev, {_FORMULA['both']} e from {{fx_effects}}"""
 
 
 @register("effect_stderr", f"select {_KEY}, round(vari,9) vari, round(z,9) z, round(stddev,9) stddev, round(sqrt(stddev),9) bvari from ({_STDERR}) s")
 def effect_stderr(spark, sf):
-    df = stats.effect_stderr(stats.norm_effect(filters.maf_filter(effects(spark, sf))))
+    df = stats.effect_stderr(stats.norm_effect(effects(spark, sf)))
     cols = [F.round(F.nullif(c, F.lit(float("nan"))), 9).alias(c) for c in ("vari", "z", "stddev", "bvari")]
     return df.select("l_orderkey", "l_linenumber", *cols)
 
@@ -86,7 +86,7 @@ def effect_stderr(spark, sf):
     "normalize_effects",
     f"""select s.l_orderkey, s.l_linenumber, concat(s.chrom,'.',s.pos) snp, n.name, 'POP' pop, round(s.e,9)+0.0::double norm_effect, round(sqrt(stddev),9) bvari,
           n.name is not null and stddev is not null in_betas
-        from ({_STDERR}) s left join {{fx_snps}} n on s.chrom=n.chrom and s.pos=n.pos""",
+        from ({_STDERR} where pre>0.02 and pre<0.98) s left join {{fx_snps}} n on s.chrom=n.chrom and s.pos=n.pos""",
 )
 def normalize_effects(spark, sf):
     path = F.lit("/data/POP.effects.txt.gz")

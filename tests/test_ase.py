@@ -114,3 +114,9 @@ def test_wrong_base_counts_skipped(spark):
     snps = spark.createDataFrame([("c", 1, "A", "C")], "chrom string, pos long, ref string, alt string")
     r = ase.wrong_base(counts, snps).first()
     assert (r.snp_count, r.skipped, r["ref"], r.alt, r.ns, r.other, r.total) == (2, 1, 3, 0, 1, 2, 6)
+
+
+def test_a_position_without_reads_is_weird(spark):
+    df = spark.createDataFrame([(0, 0, 0, 0, "A", "C", "A", "C")], "a int, c int, g int, t int, a1 string, a2 string, mat_allele string, pat_allele string")
+    r = ase.call_counts(df).first()
+    assert (r.cls, r.parent, r.pval) == ("Weird", "?", 1.0)

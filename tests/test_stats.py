@@ -208,3 +208,23 @@ def test_degenerate_input(spark):
     rows = [("s1", "i1", "0|1"), ("s2", "i1", "0|1"), ("s1", "i2", ".|."), ("s2", "i2", "0|1"), ("s1", "i3", "0|0"), ("s2", "i3", ".|0")]
     found = stats.ld_pairs(spark.createDataFrame(rows, "snp string, sample string, gt string"), spark.createDataFrame([("s1", "s2")], "snp1 string, snp2 string")).first()
     assert (found["n00"], found["n01"], found["n10"], found["n11"]) == (2, 0, 0, 1)
+
+
+def test_lines_without_errors_or_slopes(spark):
+    def fit(points):
+        return stats.ols(spark.createDataFrame(points, "x double, y double"))
+
+    exact = fit([(float(i), 2.0 * i + 1) for i in range(8)])
+    r = exact.first()
+    assert (r.slope, r.intercept) == (2.0, 1.0) and r.p_slope < 1e-12 and stats.ols_bands(exact, 5).count() == 5
+    for points in ([(1.0, 1.0), (2.0, 5.0)], [(3.0, 1.0), (3.0, 2.0), (3.0, 4.0)], []):
+        r = fit(points).first()
+        assert r.p_slope is None or math.isnan(r.p_slope)
+
+
+@pytest.mark.parametrize("points", [[(1.0, 1.0), (1.0, 3.0)], [(2.0, 2.0)] * 3, []])
+def test_density_of_points_without_area(spark, points):
+    df = spark.createDataFrame(points, "x double, y double")
+    cells = stats.density(df, grid=(6, 5)).collect()
+    assert sorted((c.ix, c.iy) for c in cells) == [(i, j) for i in range(6) for j in range(5)] and all(math.isnan(c.density) for c in cells)
+    assert stats.point_density(df, grid=(6, 5)).count() == len(points)
