@@ -49,21 +49,31 @@ class Model:
     index: list[dict[str, int]]  # rows of known words (0) and of n-grams by length
     logs: list[np.ndarray]  # log frequency in each language, a row an item
 
-    def votes(self, word: str) -> tuple[float, ...]:
-        row = self.index[0].get(word)
-        if row is not None:
-            scores = self.logs[0][row]
-        else:
-            for n in range(LONGEST, 0, -1):
-                known = self.index[n]
-                found = [known[g] for g in grams(word, n) if g in known]
-                if found:
-                    scores = self.logs[n][found].mean(axis=0)
-                    break
-            else:
-                return (0.0,) * len(self.langs)
-        e = np.exp(scores - scores.max())
-        return tuple((e / e.sum()).tolist())
+    def votes(self, asked: list[str]) -> np.ndarray:
+        """A row of votes for each word: a known word by itself, else by its longest known n-grams; zeros without any."""
+        owners: list[list[int]] = [[] for _ in self.index]
+        items: list[list[int]] = [[] for _ in self.index]
+        sizes: list[list[int]] = [[] for _ in self.index]
+        for k, word in enumerate(asked):
+            row = self.index[0].get(word)
+            n, found = 0, [] if row is None else [row]
+            if row is None:
+                for n in range(LONGEST, 0, -1):
+                    found = [r for r in map(self.index[n].get, grams(word, n)) if r is not None]
+                    if found:
+                        break
+            if found:
+                owners[n].append(k)
+                items[n] += found
+                sizes[n].append(len(found))
+        out = np.zeros((len(asked), len(self.langs)))
+        for n, owner in enumerate(owners):
+            if owner:
+                count = np.array(sizes[n])
+                scores = np.add.reduceat(self.logs[n][items[n]], np.cumsum(count) - count, axis=0, dtype=np.float64) / count[:, None]
+                e = np.exp(scores - scores.max(axis=1, keepdims=True))
+                out[owner] = e / e.sum(axis=1, keepdims=True)
+        return out
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> Model:
@@ -112,29 +122,35 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 class _Votes(dict):
-    """Votes of the words met, computed once each."""
+    """Rows of ``table`` for the words met; their votes are computed once, those of all new words of a text together."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-
-    def __missing__(self, word: str):
-        out = self[word] = self.model.votes(word)
-        return out
+        self.table = np.zeros((0, len(model.langs)))
+
+    def total(self, found: list[str]) -> np.ndarray:
+        """Sum of the votes of the words."""
+        if len(self) > CACHED:
+            self.clear()
+        rows = list(map(self.get, found))
+        if None in rows:
+            new = list(dict.fromkeys(w for w, row in zip(found, rows, strict=True) if row is None))
+            first = len(self)
+            if first + len(new) > len(self.table):
+                self.table = np.concatenate([self.table[:first], np.zeros((first + 2 * len(new), len(self.model.langs)))])
+            self.table[first : first + len(new)] = self.model.votes(new)
+            self.update(zip(new, range(first, first + len(new)), strict=True))
+            rows = list(map(self.get, found))
+        return self.table.take(rows, axis=0).sum(axis=0)
 
 
 def judge(model: Model, texts: list[str | None], cache: _Votes) -> tuple[list[str], list[float]]:
     langs, scores = [], []
     for text in texts:
         found = words(text)
-        if not found or not model.langs:
-            langs.append("und")
-            scores.append(0.0)
-            continue
-        if len(cache) > CACHED:
-            cache.clear()
-        total = np.array(list(map(cache.__getitem__, found))).sum(axis=0)
-        if not total.sum():
+        total = cache.total(found) if found and model.langs else np.zeros(1)
+        if not total.any():
             langs.append("und")
             scores.append(0.0)
             continue
