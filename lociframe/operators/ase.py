@@ -293,13 +293,11 @@ def fdr_cutoff(
     run = ranged.running_total(ranged.running_total(s, F.col("a"), "n_actual"), F.col("s"), "n_sim")
     if by:
         # Running totals go over all groups; take off what stood before each group.
-        before = run.groupBy(*by).agg(
-            F.min(F.col("n_actual") - F.col("a")).alias("_a0"), F.min(F.col("n_sim") - F.col("s")).alias("_s0")
-        )
+        before = F.struct((F.col("n_actual") - F.col("a")).alias("a"), (F.col("n_sim") - F.col("s")).alias("s"))
         run = (
-            run.join(before, by)
-            .withColumn("n_actual", F.col("n_actual") - F.col("_a0"))
-            .withColumn("n_sim", F.col("n_sim") - F.col("_s0"))
+            ranged.carried(ranged.group_edges(run, by), F.when(F.col("_starts"), before), "_group")
+            .withColumn("n_actual", F.col("n_actual") - F.col("_group.a"))
+            .withColumn("n_sim", F.col("n_sim") - F.col("_group.s"))
         )
     return (
         run.where(F.col("a") > 0)

@@ -80,10 +80,11 @@ def peak_merge(peaks: DataFrame, overlap: float = OVERLAP, by_row: bool = False)
     one before. Fold and log10 p are halved into the cluster's value one after the other.
 
     What a peak does depends on the cluster open before it, so a cluster may reach over the parts
-    of the sorted table. All parts are walked at once from a guessed state, and again until no state at
-    the start of a part changes; the fixed point is the sequential result. A peak without overlap to the
-    one before forgets what was before, so where every part has one this takes two rounds. Where peaks
-    overlap densely over many parts, each round may settle one part only. One row per part goes through the driver.
+    of the sorted table. All parts are walked at once from a guessed state; parts whose state at the start
+    turns out to be another are walked again until none is left. The fixed point is the sequential result.
+    A peak without overlap to the one before forgets what was before, so where every part has one this takes
+    two rounds. Where peaks overlap densely over many parts, a round may settle one part only, and then walks
+    few parts. One row per part goes through the driver.
     """
     f = peak_flags(peaks)
     joins_last = F.col("is_last") & F.coalesce(F.col("start") - SLACK < F.col("prev_end"), F.lit(False))
@@ -105,16 +106,18 @@ def peak_merge(peaks: DataFrame, overlap: float = OVERLAP, by_row: bool = False)
     walkable = steps.select(F.col("_walk").alias("_part"), F.monotonically_increasing_id().alias("_at"), "start", "end", "prev_end", "_kind", "_limit")
 
     states: dict[int, tuple[int, int]] = {}
+    ends: dict[int, tuple[int, int]] = {}
+    todo = walkable
     while True:
-        ends = {
-            r["_part"]: (r["lo"], r["hi"])
-            for r in walkable.mapInPandas(_scan(states, False), "_part int, lo long, hi long").collect()
-        }
+        walked = todo.mapInPandas(_scan(states, False), "_part int, lo long, hi long").collect()
+        ends |= {r["_part"]: (r["lo"], r["hi"]) for r in walked}
         order = sorted(ends)
         incoming = {b: ends[a] for a, b in zip(order, order[1:])}
-        if incoming == states:
-            break
+        changed = [b for b in incoming if incoming[b] != states.get(b, (0, 0))]
         states = incoming
+        if not changed:
+            break
+        todo = walkable.where(F.col("_part").isin(changed))
 
     rows = walkable.mapInPandas(_scan(states, True), "_part int, _at long, opens boolean")
     marked = steps.withColumns({"_row": F.monotonically_increasing_id()}).drop("_part", "_at").join(
@@ -125,8 +128,10 @@ def peak_merge(peaks: DataFrame, overlap: float = OVERLAP, by_row: bool = False)
     if by_row:
         return ranged.unsorted(numbered)
     # Halving k times over: the last member weighs 1/2, the one before 1/4, ..., the first as much as the second.
-    spans = numbered.groupBy("cluster").agg(F.min("_row").alias("_first"), F.max("_row").alias("_last"))
-    weighed = numbered.join(spans, "cluster").withColumn(
+    edged = ranged.group_edges(numbered, ["cluster"])
+    spans = ranged.carried(edged, F.when(F.col("_starts"), F.col("_row")), "_first")
+    spans = ranged.carried(spans, F.when(F.col("_ends"), F.col("_row")), "_last", back=True)
+    weighed = spans.withColumn(
         "_w", F.pow(F.lit(0.5), F.col("_last") - F.greatest(F.col("_row"), F.col("_first") + 1) + 1)
     )
     weight = F.when(F.col("_first") == F.col("_last"), 1.0).otherwise(F.col("_w"))

@@ -113,7 +113,7 @@ def gtf_file(spark: SparkSession, sf: str) -> str:
     """select chrom, 'refSeq' source, 'exon' feature, start_ "start", end_ "end", strand, gene, gene transcript from {fx_exons}""",
 )
 def read_gtf_exons(spark, sf):
-    return bed.read_gtf(spark, gtf_file(spark, sf))
+    return bed.read_gtf(spark, gtf_file(spark, sf)).drop("_corrupt")
 
 
 @register("feature_filter", """select chrom, gstart "start", gend "end", gene from {fx_genes}""")
@@ -251,7 +251,7 @@ def snp_file_dispatch(spark, sf):
     files = {"vcf": vcf_file(spark, sf)[1], "alleleseq": alleleseq_file(spark, sf), "bed": five}
     out = None
     for kind, path in files.items():
-        rows = variants.read_snps(spark, path).select(F.lit(kind).alias("kind"), "*")
+        rows = variants.read_snps(spark, path).select(F.lit(kind).alias("kind"), "*").drop("_corrupt")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -261,7 +261,7 @@ def read_locations(spark, sf):
     snps = view(spark, sf, "fx_snps")
     zero = bed.read_locations(spark, as_file(spark, snps, tabbed("chrom", "pos"), "locations.tsv"))
     one = bed.read_locations(spark, as_file(spark, snps, tabbed("chrom", F.col("pos") + 1), "locations"), base=bed.base_of("locations.vcf"))
-    return zero.withColumn("kind", F.lit("bed")).unionByName(one.withColumn("kind", F.lit("vcf")))
+    return zero.withColumn("kind", F.lit("bed")).unionByName(one.withColumn("kind", F.lit("vcf"))).drop("_corrupt")
 
 
 @register(
@@ -300,7 +300,7 @@ def read_fastq(spark, sf):
 )
 def read_sam(spark, sf):
     line = tabbed("id", "flag", F.concat("chrom", F.lit("_maternal")), "pos1", F.lit(60), F.lit("32M"), F.lit("*"), F.lit(0), F.lit(0), "seq", F.lit("*"))
-    return sequences.read_sam(spark, as_file(spark, view(spark, sf, "fx_reads"), line, "reads.sam"), flip=True)
+    return sequences.read_sam(spark, as_file(spark, view(spark, sf, "fx_reads"), line, "reads.sam"), flip=True).drop("_corrupt")
 
 
 @register("read_counts_nested", "select ind, chrom, pos, base, n from {fx_counts}")
@@ -464,12 +464,12 @@ def scarf_file(spark: SparkSession, sf: str) -> str:
 
 @register("scarf_to_fastq", _SCARF_SQL)
 def scarf_to_fastq(spark, sf):
-    return sequences.parse_scarf(text.read_lines(spark, scarf_file(spark, sf)))
+    return sequences.parse_scarf(text.read_lines(spark, scarf_file(spark, sf))).drop("_corrupt")
 
 
 @register("stream_convert", _SCARF_SQL)
 def stream_convert(spark, sf):
-    return streams.convert_available(spark, scarf_file(spark, sf), sequences.parse_scarf)
+    return streams.convert_available(spark, scarf_file(spark, sf), sequences.parse_scarf).drop("_corrupt")
 
 
 @register(

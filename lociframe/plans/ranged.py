@@ -80,35 +80,68 @@ def neighbours(s: DataFrame, columns: list[str], prev: str = "prev", next: str =
     )
 
 
+def group_edges(s: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``_starts`` and ``_ends``: whether a row is the first, the last of its run of equal ``by``."""
+    return (
+        neighbours(s, by, "_before", "_after")
+        .withColumn("_starts", ~F.col("_before").eqNullSafe(F.struct(*by)))
+        .withColumn("_ends", ~F.col("_after").eqNullSafe(F.struct(*by)))
+        .drop("_before", "_after")
+    )
+
+
+def carried(s: DataFrame, value: Column, name: str, back: bool = False) -> DataFrame:
+    """Adds the nearest ``value`` that is not NULL at or before each row, with ``back`` at or after it.
+
+    This is how what is known at the first or last row of a group reaches its other rows. There is no
+    join on the group, so one that holds a third of all rows stays spread over the parts it lies in.
+    """
+    at, part = (F.desc(AT), F.desc(PART)) if back else (F.asc(AT), F.asc(PART))
+    inside = Window.partitionBy(PART).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    known = s.withColumn("_value", value)
+    outermost = F.min_by if back else F.max_by
+    edges = (
+        known.groupBy(PART)
+        .agg(outermost("_value", F.when(F.col("_value").isNotNull(), F.col(AT))).alias("_end"))
+        .select(PART, F.last("_end", ignorenulls=True).over(across).alias("_edge"))
+    )
+    return (
+        _stitch(known, edges)
+        .withColumn(name, F.coalesce(F.last("_value", ignorenulls=True).over(inside), "_edge"))
+        .drop("_value", "_edge")
+    )
+
+
 def unsorted(s: DataFrame) -> DataFrame:
     return s.drop(PART, AT)
 
 
-def value_counts(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+def value_counts(df: DataFrame, value: str, by: list[str] | None = None, total: str | None = None) -> DataFrame:
     """Distinct values with the number of rows below each: columns by.., value, weight, below.
 
     Copies are counted before anything is shuffled or sorted, so a value that holds a third of all
-    rows costs one row. ``below`` counts within the group when ``by`` is given.
+    rows costs one row. ``below`` counts within the group when ``by`` is given, and ``total`` then names a
+    column for the number of rows of the group.
     """
     by = by or []
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("weight"))
     s = range_sorted(counted, *by, value)
-    cum = running_total(s, F.col("weight"), "_cum").withColumn("below", F.col("_cum") - F.col("weight"))
-    cum = unsorted(cum).drop("_cum")
-    if not by:
-        return cum
-    first = cum.groupBy(*by).agg(F.min("below").alias("_first"))
-    return cum.join(first, by).withColumn("below", F.col("below") - F.col("_first")).drop("_first")
+    cum = running_total(s, F.col("weight"), "_cum").withColumn("below", F.col("_cum") - F.col("weight")).drop("_cum")
+    if by:
+        cum = carried(group_edges(cum, by), F.when(F.col("_starts"), F.col("below")), "_first")
+        cum = cum.withColumn("below", F.col("below") - F.col("_first")).drop("_first", "_starts")
+        if total:
+            cum = carried(cum, F.when(F.col("_ends"), F.col("below") + F.col("weight")), total, back=True)
+        cum = cum.drop("_ends")
+    return unsorted(cum)
 
 
 def quantile_grid(df: DataFrame, value: str, steps: int, by: list[str] | None = None) -> DataFrame:
     """Exact quantiles i/steps for i = 0..steps with linear interpolation: columns by.., i, value."""
     by = by or []
-    cum = value_counts(df, value, by)
-    if by:
-        sizes = cum.groupBy(*by).agg(F.sum("weight").alias("_n"))
-        cum = cum.join(sizes, by)
-    else:
+    cum = value_counts(df, value, by, total="_n")
+    if not by:
         cum = cum.withColumn("_n", cum.select(F.sum("weight")).scalar())
     span = F.greatest(F.col("_n") - 1, F.lit(1))
 

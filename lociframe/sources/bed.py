@@ -73,7 +73,10 @@ def read_bed(spark: SparkSession, path: str, snp: bool = False, base: int = 0) -
 
 
 def parse_gene_bed(lines: DataFrame) -> DataFrame:
-    """BED12 genes, one row per block: chrom, start, end, gene, strand, exon (from 0)."""
+    """BED12 genes, one row per block: chrom, start, end, gene, strand, exon (from 0).
+
+    Rows without valid blocks have none; ``parse_bed`` shows them in ``_corrupt``.
+    """
     genes = parse_bed(lines).where(F.col("_corrupt").isNull() & F.col("exons").isNotNull())
     return genes.select(
         add_chr("chrom").alias("chrom"), F.col("name").alias("gene"), "strand", F.posexplode("exons").alias("exon", "_b")
@@ -85,9 +88,14 @@ def read_gene_bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_gtf(lines: DataFrame, feature: str | None = "exon") -> DataFrame:
-    """GTF rows of one feature as 0-based half-open intervals with gene and transcript ids."""
+    """GTF rows of one feature as 0-based half-open intervals with gene and transcript ids.
+
+    Lines without nine columns or with other than numbers as start and end keep their line in ``_corrupt``
+    and stay whatever ``feature`` is asked for.
+    """
     f = fields()
     attrs = field(f, 8)
+    ok = field(f, 3, "long").isNotNull() & field(f, 4, "long").isNotNull() & (F.size(f) >= 9)
     rows = data_lines(lines).select(
         add_chr(field(f, 0)).alias("chrom"),
         field(f, 1).alias("source"),
@@ -97,8 +105,9 @@ def parse_gtf(lines: DataFrame, feature: str | None = "exon") -> DataFrame:
         field(f, 6).alias("strand"),
         F.regexp_extract(attrs, 'gene_id "([^"]+)"', 1).alias("gene"),
         F.regexp_extract(attrs, 'transcript_id "([^"]+)"', 1).alias("transcript"),
+        F.when(~ok, F.col("value")).alias("_corrupt"),
     )
-    return rows.where(F.col("feature") == feature) if feature else rows
+    return rows.where((F.col("feature") == feature) | F.col("_corrupt").isNotNull()) if feature else rows
 
 
 def read_gtf(spark: SparkSession, path: str, feature: str | None = "exon") -> DataFrame:
@@ -111,8 +120,12 @@ def base_of(path: str) -> int:
 
 
 def parse_locations(lines: DataFrame, base: int = 0) -> DataFrame:
+    """(chrom, 0-based pos); lines without a position keep their line in ``_corrupt``."""
     f = fields()
-    return data_lines(lines).select(field(f, 0).alias("chrom"), (field(f, 1, "long") - base).alias("pos"))
+    pos = field(f, 1, "long")
+    return data_lines(lines).select(
+        field(f, 0).alias("chrom"), (pos - base).alias("pos"), F.when(pos.isNull(), F.col("value")).alias("_corrupt")
+    )
 
 
 def read_locations(spark: SparkSession, path: str, base: int | None = None) -> DataFrame:

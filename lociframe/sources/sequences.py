@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociframe.functions.bases import reverse_when
+from lociframe.functions.chroms import strip_parent
 from lociframe.plans import ranged
 from lociframe.sources.text import field, fields, lines_in_order, numbered_lines, read_lines
 
@@ -19,13 +20,11 @@ def read_fasta(spark: SparkSession, path: str | list[str], tile: int = 8192) ->
     s = ranged.range_sorted(lines_in_order(spark, path).where("value != ''"), "file", "block", "line")
     header = F.col("value").startswith(">")
     seq = F.trim("value")
-    s = ranged.running_total(s, header.cast("long"), "record")
     s = ranged.running_total(s, F.when(header, F.lit(0)).otherwise(F.length(seq)).cast("long"), "_until")
-    heads = s.where(header).select(
-        "record", F.regexp_extract("value", r"^>\s*(\S+)", 1).alias("chrom"), F.col("_until").alias("_begin")
-    )
-    placed = s.where(~header).join(heads, "record").select(
-        "chrom", seq.alias("_line"), (F.col("_until") - F.col("_begin") - F.length(seq)).alias("_at")
+    head = F.struct(F.regexp_extract("value", r"^>\s*(\S+)", 1).alias("chrom"), F.col("_until").alias("begin"))
+    s = ranged.carried(s, F.when(header, head), "_head")
+    placed = s.where(~header & F.col("_head").isNotNull()).select(
+        "_head.chrom", seq.alias("_line"), (F.col("_until") - F.col("_head.begin") - F.length(seq)).alias("_at")
     )
     first, last = F.floor(F.col("_at") / tile).cast("long"), F.floor((F.col("_at") + F.length("_line") - 1) / tile).cast("long")
     pieces = placed.withColumn("tile", F.explode(F.sequence(first, last)))
@@ -52,20 +51,23 @@ def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def parse_sam(lines: DataFrame, flip: bool = False) -> DataFrame:
     """SAM text: id, flag, chrom (parental suffix cut), start (0-based), end (last base), seq, reverse.
 
-    ``flip`` complements the bases of reverse reads.
+    ``flip`` complements the bases of reverse reads. Lines without flag, position or sequence keep
+    their line in ``_corrupt``.
     """
     f = fields()
     reverse = field(f, 1, "int").bitwiseAND(16) == 16
     seq = field(f, 9)
+    ok = field(f, 1, "int").isNotNull() & field(f, 3, "long").isNotNull() & seq.isNotNull()
     rows = lines.where(~F.col("value").startswith("@") & (F.trim("value") != ""))
     return rows.select(
         field(f, 0).alias("id"),
         field(f, 1, "int").alias("flag"),
-        F.split_part(field(f, 2), F.lit("_"), F.lit(1)).alias("chrom"),
+        strip_parent(field(f, 2)).alias("chrom"),
         (field(f, 3, "long") - 1).alias("start"),
         (field(f, 3, "long") - 1 + F.length(seq) - 1).alias("end"),
         (reverse_when(seq, reverse) if flip else seq).alias("seq"),
         reverse.alias("reverse"),
+        F.when(~ok, F.col("value")).alias("_corrupt"),
     )
 
 
@@ -74,12 +76,14 @@ def read_sam(spark: SparkSession, path: str | list[str], flip: bool = False) ->
 
 
 def parse_scarf(lines: DataFrame) -> DataFrame:
-    """``id parts:seq:qual`` lines -> id, seq, qual, split from the right."""
+    """``id parts:seq:qual`` lines -> id, seq, qual, split from the right; others keep their line in ``_corrupt``."""
     f = F.split(F.regexp_replace("value", r"\s+$", ""), ":")
+    ok = F.size(f) >= 3
     return lines.where(F.trim("value") != "").select(
-        F.array_join(F.slice(f, 1, F.size(f) - 2), ":").alias("id"),
-        F.element_at(f, -2).alias("seq"),
-        F.element_at(f, -1).alias("qual"),
+        F.when(ok, F.array_join(F.slice(f, 1, F.greatest(F.size(f) - 2, F.lit(0))), ":")).alias("id"),
+        F.when(ok, F.get(f, F.size(f) - 2)).alias("seq"),
+        F.when(ok, F.get(f, F.size(f) - 1)).alias("qual"),
+        F.when(~ok, F.col("value")).alias("_corrupt"),
     )
 
 

@@ -46,8 +46,8 @@ def lines_in_order(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Lines with their number in their file, from 0: columns file, row, value."""
     rows = ranged.row_index(ranged.range_sorted(lines_in_order(spark, paths), "file", "block", "line"), "_row")
-    first = rows.groupBy("file").agg(F.min("_row").alias("_first"))
-    return rows.join(first, "file").select("file", (F.col("_row") - F.col("_first")).alias("row"), "value")
+    rows = ranged.carried(ranged.group_edges(rows, ["file"]), F.when(F.col("_starts"), F.col("_row")), "_first")
+    return rows.select("file", (F.col("_row") - F.col("_first")).alias("row"), "value")
 
 
 def file_type(path: Column | str) -> Column:

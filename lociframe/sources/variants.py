@@ -80,7 +80,10 @@ def sniff_snp_format(spark: SparkSession, path: str) -> str:
 
 
 def parse_snps(lines: DataFrame, kind: str) -> DataFrame:
-    """Any SNP format as (chrom, pos1, name, ref, alt), 1-based; a missing name becomes chrom:pos."""
+    """Any SNP format as (chrom, pos1, name, ref, alt), 1-based; a missing name becomes chrom:pos.
+
+    Lines without position or alleles keep their line in ``_corrupt``.
+    """
     f = fields()
     alleles = F.split(field(f, 4), r"\|")
     child = field(f, 5)
@@ -93,7 +96,12 @@ def parse_snps(lines: DataFrame, kind: str) -> DataFrame:
     chrom = add_chr(field(f, 0))
     named = F.when(name.isNull() | name.isin("", ".", "NA"), F.concat_ws(":", chrom, pos1.cast("string"))).otherwise(name)
     return data_lines(lines).select(
-        chrom.alias("chrom"), pos1.alias("pos1"), named.alias("name"), ref.alias("ref"), alt.alias("alt")
+        chrom.alias("chrom"),
+        pos1.alias("pos1"),
+        named.alias("name"),
+        ref.alias("ref"),
+        alt.alias("alt"),
+        F.when(pos1.isNull() | ref.isNull() | alt.isNull(), F.col("value")).alias("_corrupt"),
     )
 
 
@@ -128,7 +136,10 @@ CALL_COLUMNS = [
 
 
 def parse_calls(lines: DataFrame, style: str = "chr") -> DataFrame:
-    """Called SNPs (18 columns, header ``chrm``): chrom, pos (0-based), mat, pat and other counts, win, cls, pval."""
+    """Called SNPs (18 columns, header ``chrm``): chrom, pos (0-based), mat, pat and other counts, win, cls, pval.
+
+    Lines without position or base counts keep their line in ``_corrupt``.
+    """
     f = fields()
     at = {name: i for i, name in enumerate(CALL_COLUMNS)}
 
@@ -147,6 +158,7 @@ def parse_calls(lines: DataFrame, style: str = "chr") -> DataFrame:
         field(f, at["win"]).alias("win"),
         field(f, at["cls"]).alias("cls"),
         field(f, at["pval"], "double").alias("pval"),
+        F.when(field(f, at["pos"], "long").isNull() | total.isNull(), F.col("value")).alias("_corrupt"),
     )
 
 

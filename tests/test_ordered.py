@@ -152,3 +152,33 @@ def test_notch_covers_the_median(spark):
     df = spark.range(999).select(F.lit("a").alias("label"), F.col("id").cast("double").alias("v"))
     r = curves.box_notch(df, "label", "v").first()
     assert 460 < r.lo < 490 and 508 < r.hi < 540
+
+
+def test_edges_and_carried_values(spark):
+    r = random.Random(4)
+    rows = sorted((r.choice(["a", "a", "a", "b", "c", "d"]), i) for i in range(400))
+    s = ranged.range_sorted(spark.createDataFrame([(None if g == "a" else g, i) for g, i in rows], "g string, i long"), "g", "i")
+    s = ranged.group_edges(s, ["g"])
+    first = ranged.carried(s, F.when(F.col("_starts"), F.col("i")), "first")
+    both = ranged.carried(first, F.when(F.col("_ends"), F.col("i")), "last", back=True)
+    ends = {}
+    for g, i in rows:
+        ends.setdefault(None if g == "a" else g, []).append(i)
+    got = both.collect()
+    assert len(got) == 400 and all((x.first, x.last) == (min(ends[x.g]), max(ends[x.g])) for x in got)
+    assert "hashpartitioning(g" not in both._jdf.queryExecution().executedPlan().toString()
+    nothing = ranged.carried(s, F.lit(None).cast("long"), "x").agg(F.count("x")).first()
+    assert nothing[0] == 0
+
+
+@pytest.mark.parametrize("overlap", [0.75, 0.3])
+def test_dense_peaks_over_many_parts(spark, overlap):
+    peaks = [("a", 7 * k, 7 * k + 20 + 5 * (k % 3), k, f"p_{k}", 1.0 + k % 7, 2.0 + k % 5) for k in range(600)]
+    df = spark.createDataFrame(peaks, "chrom string, start long, end long, key long, pop string, fold double, l10p double")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        got = sorted((x.chrom, x.start, x.end, x["count"]) for x in ordered.peak_merge(df, overlap).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert got == sorted(w[:4] for w in _sequential(peaks, overlap))

@@ -46,7 +46,7 @@ def test_sniffing(spark):
     with pytest.raises(ValueError):
         variants.sniff_snp_format(spark, folder(spark, "c", "what"))
     row = variants.read_snps(spark, folder(spark, "d", "1\t5\tT\tTT\tGG\tTG\tPHASED")).first()
-    assert tuple(row) == ("chr1", 5, "chr1:5", "T", "G")
+    assert tuple(row) == ("chr1", 5, "chr1:5", "T", "G", None)
 
 
 def test_vcf_errors(spark):
@@ -174,3 +174,33 @@ def test_unequal_blocks_are_corrupt(spark):
     lines = spark.createDataFrame([("chr1\t0\t10\tg\t0\t+\t0\t10\t0\t2\t5,5\t0",)], "value string")
     row = bed.parse_bed(lines).first()
     assert row["_corrupt"] is not None
+
+
+BAD = {
+    "gtf": (lambda d: bed.parse_gtf(d), ["bad line", "1\ts\tgene\tx\t9\t.\t+\t.\tg", "1\ts\texon\t5"]),
+    "locations": (bed.parse_locations, ["bad line", "c\tx"]),
+    "sam": (sequences.parse_sam, ["bad line", "p\tx\tchr1\t5\t9\t3M\t*\t0\t0\tACN\t*", "p\t0\tchr1\t5"]),
+    "scarf": (sequences.parse_scarf, ["bad", "a:b", ":"]),
+    "calls": (variants.parse_calls, ["bad line", "1\tx\tA", "1\t5\tA\tTT\tGG\tTG\tPHASED\tT\tG\t1\t2\tx\t4\tP\tAsym\t0.001\t0\t1.0"]),
+    **{f"snps_{k}": (lambda d, k=k: variants.parse_snps(d, k), ["bad line", "1\tx\t.\tA\tC\tTG", "1\t5"]) for k in ("bed", "vcf", "alleleseq")},
+}
+
+
+@pytest.mark.parametrize("name", list(BAD))
+def test_rows_that_do_not_parse_keep_their_line(spark, name):
+    parse, rows = BAD[name]
+    assert sorted(r["_corrupt"] for r in parse(lines(spark, *rows)).collect()) == sorted(rows)
+
+
+def test_only_the_parental_suffix_is_cut(spark):
+    row = "p\t0\tchr1_KI270706v1_random\t5\t9\t3M\t*\t0\t0\tACN\t*"
+    assert sequences.parse_sam(lines(spark, row)).first().chrom == "chr1_KI270706v1_random"
+
+
+def test_lines_are_numbered_without_a_shuffle_on_the_file(spark):
+    path = folder(spark, "n", *[str(i) for i in range(300)])
+    one, two = folder(spark, "m", "x", "y"), text.numbered_lines(spark, path)
+    plan = two._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(file" not in plan
+    assert {int(r["value"]): r["row"] for r in two.collect()} == {i: i for i in range(300)}
+    assert sorted((r["row"], r["value"]) for r in text.numbered_lines(spark, [path, one]).collect() if r["value"] in "xy") == [(0, "x"), (1, "y")]
