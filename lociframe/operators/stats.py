@@ -20,7 +20,7 @@ from lociframe.functions.stats import (
     student_t_quantile_975,
     student_t_two_sided,
 )
-from lociframe.operators.filters import maf_filter
+from lociframe.operators.filters import maf_filter, mean_genotype_filter
 from lociframe.operators.sets import merge_samples, rename_lookup
 from lociframe.plans import ranged
 
@@ -228,6 +228,7 @@ def ols_bands(fit: DataFrame, points: int = 100) -> DataFrame:
 # Clip of the frequencies in the weights, range of rows that enter the fit.
 WEIGHT_CLIP = 0.0001
 FIT_RANGE = (0.1, 0.9)
+MEAN_RANGE = (0.01, 0.99)
 
 
 @dataclass(frozen=True)
@@ -244,13 +245,17 @@ def _pool_weight(post: Column, depth: Column) -> Column:
     return depth / (clipped * (1 - clipped))
 
 
-def pool_regression(df: DataFrame, genotypes: str = "genotypes", post: str = "post", depth: str = "depth") -> PoolFit:
+def pool_regression(
+    df: DataFrame, genotypes: str = "genotypes", post: str = "post", depth: str = "depth", means: tuple[float, float] | None = None
+) -> PoolFit:
     """Weighted regression without intercept of pooled frequencies on the individuals' allele
     frequencies (arrays of 1 - dosage/2); the coefficients sum to one.
 
-    Each task reduces its rows to the k x k normal equations with numpy; only those sums, whose size is
+    ``means`` (such as ``MEAN_RANGE``) keeps rows with a mean genotype outside it out of the fit. Each task reduces its rows to the k x k normal equations with numpy; only those sums, whose size is
     the number of individuals squared, reach the driver, where the system is solved.
     """
+    if means:
+        df = mean_genotype_filter(df, genotypes, *means)
     rows = df.where((F.col(post) > FIT_RANGE[0]) & (F.col(post) < FIT_RANGE[1])).select(
         F.col(genotypes).cast("array<double>").alias("g"),
         F.col(post).cast("double").alias("y"),

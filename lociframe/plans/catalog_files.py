@@ -180,7 +180,7 @@ def read_vcf_sites(spark, sf):
 
 @register("vcf_genotype_dosage", f"select chrom, pos1-1 pos, name id, dos dosages from ({_VCF}) x")
 def vcf_genotype_dosage(spark, sf):
-    simple = convert.vcf_simplify(variants.read_vcf(spark, vcf_file(spark, sf)))
+    simple = convert.vcf_simplify(variants.read_versioned_vcf(spark, vcf_file(spark, sf)))
     return simple.select("chrom", "pos", "id", joined("dosages").alias("dosages"))
 
 
@@ -409,7 +409,9 @@ def split_by_chrom(spark, sf):
     "select o_orderkey, (row_number() over (order by o_orderkey)-1)//(count(*) over ()//7+1)+1 part from {orders}",
 )
 def split_n_parts(spark, sf):
-    return sinks.split_parts(view(spark, sf, "orders").select("o_orderkey"), 7, "o_orderkey")
+    path = new_path(spark, "parts")
+    sinks.write_parts(view(spark, sf, "orders").select("o_orderkey"), path, 7, "o_orderkey")
+    return spark.read.csv(path, sep="\t", header=True, schema="o_orderkey long, part long")
 
 
 @register("write_tsv", "select concat(chrom, ' ', pos) k, p p_value from {fx_points}")

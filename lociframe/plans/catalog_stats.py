@@ -238,7 +238,7 @@ _W = "depth/(least(0.9999::double,greatest(post,0.0001::double))*(1-least(0.9999
 _WLS = f"""select *, (s22*t1-s12*t2)/det b1, (s11*t2-s12*t1)/det b2, (yy-((s22*t1-s12*t2)/det)*t1-((s11*t2-s12*t1)/det)*t2)/(n-2) s2 from (
   select *, s11*s22-s12*s12 det from (
     select sum(w*a*a) s11, sum(w*a*b) s12, sum(w*b*b) s22, sum(w*a*y) t1, sum(w*b*y) t2, sum(w*y*y) yy, count(*) n
-    from (select (g1-g3)::double a, (g2-g3)::double b, (post-g3)::double y, {_W} w from ({_POOL}) p where post>0.1 and post<0.9) q) r) s"""
+    from (select (g1-g3)::double a, (g2-g3)::double b, (post-g3)::double y, {_W} w from ({_POOL}) p where post>0.1 and post<0.9 and (g1+g2+g3)/3 between 0.01 and 0.99) q) r) s"""
 
 
 def pooled(spark: SparkSession, sf: str) -> DataFrame:
@@ -248,7 +248,7 @@ def pooled(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("wls_multi", f"select n, round(b1,8) b1, round(b2,8) b2, round(1-b1-b2,8) b3, round(s2*s22/det,12) v11, round(-s2*s12/det,12) v12, round(s2*s11/det,12) v22 from ({_WLS}) f")
 def wls_multi(spark, sf):
-    fit = stats.pool_regression(pooled(spark, sf))
+    fit = stats.pool_regression(pooled(spark, sf), means=stats.MEAN_RANGE)
     b, v = fit.coefficients, fit.covariance
     row = (fit.rows, round(b[0], 8), round(b[1], 8), round(b[2], 8), round(v[0][0], 12), round(v[0][1], 12), round(v[1][1], 12))
     return spark.createDataFrame([row], "n long, b1 double, b2 double, b3 double, v11 double, v12 double, v22 double")
@@ -263,7 +263,7 @@ def wls_multi(spark, sf):
 )
 def wls_predict(spark, sf):
     rows = pooled(spark, sf)
-    df = stats.pool_effects(rows, stats.pool_regression(rows))
+    df = stats.pool_effects(rows, stats.pool_regression(rows, means=stats.MEAN_RANGE))
     return df.select(
         "l_orderkey", "l_linenumber", F.round("pre", 8).alias("pre"), F.round("pre_var", 10).alias("pre_var"), F.round("post_var", 10).alias("post_var"),
         F.round("beta", 8).alias("beta"), F.round("vari", 8).alias("vari"), F.round("z", 6).alias("z"),

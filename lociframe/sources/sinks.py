@@ -76,3 +76,12 @@ def split_parts(df: DataFrame, n: int, *order: str) -> DataFrame:
     total = rows.select(F.count(F.lit(1))).scalar()
     size = F.call_function("div", total, F.lit(n).cast("long")) + 1
     return ranged.unsorted(rows.withColumn("part", F.call_function("div", F.col("_row"), size) + 1).drop("_row"))
+
+
+def write_parts(df: DataFrame, path: str, n: int, *order: str, compression: str = "none") -> None:
+    """Write ``split_parts`` as TSV, one file with the header for each part, in the folders ``part=1`` to ``part=n``.
+
+    A part is one file and so one task: choose ``n`` so that a file fits a task's disk.
+    """
+    rows = split_parts(df, n, *order).repartition(n, "part").sortWithinPartitions("part", *order)
+    rows.write.partitionBy("part").csv(path, sep="\t", header=True, compression=compression, quote="", emptyValue="", nullValue="")

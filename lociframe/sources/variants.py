@@ -29,10 +29,32 @@ def read_vcf(spark: SparkSession, path: str | list[str], base: int = 1) -> DataF
     return parse_vcf(read_lines(spark, path), base)
 
 
+# Lines at the start of a file that are looked at before the rest of it.
+LEADING = 1000
+
+
+def leading_lines(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The first lines of the first file that has any, by name and in the order of the paths given."""
+    for one in [path] if isinstance(path, str) else path:
+        for file in sorted(read_lines(spark, one).inputFiles()):
+            found = read_lines(spark, file).head(LEADING)
+            if found:
+                return [r["value"] for r in found]
+    return []
+
+
 def vcf_version(spark: SparkSession, path: str | list[str]) -> str | None:
-    """Version in the ``##fileformat=`` line, such as VCFv4.1, or None without one."""
-    found = read_lines(spark, path).where(F.col("value").startswith("##fileformat=")).head(1)
-    return found[0]["value"].strip().split("=", 1)[1] if found else None
+    """Version in the ``##fileformat=`` line, such as VCFv4.1, or None if the first line is another."""
+    first = leading_lines(spark, path)[:1]
+    return first[0].strip().split("=", 1)[1] if first and first[0].startswith("##fileformat=") else None
+
+
+def read_versioned_vcf(spark: SparkSession, path: str | list[str], version: str = "VCFv4.1", base: int = 1) -> DataFrame:
+    """``read_vcf`` of files of one version; a file of another version is an error."""
+    found = vcf_version(spark, path)
+    if found != version:
+        raise ValueError(f"{path} is {found or 'without a version'}, not {version}")
+    return read_vcf(spark, path, base)
 
 
 def vcf_samples(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -63,11 +85,20 @@ def read_alleleseq(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sniff_snp_format(spark: SparkSession, path: str) -> str:
-    """bed, vcf or alleleseq, by the header or the first data line."""
-    if read_lines(spark, path).where(F.col("value").rlike("^(##fileformat=VCF|#CHROM\tPOS\tID)")).head(1):
+    """bed, vcf or alleleseq, by the header or the first data line.
+
+    Header and first data line are looked for at the start of the file; the rest is read only where the
+    start holds nothing but comments.
+    """
+    lead = leading_lines(spark, path)
+    if any(x.startswith(("##fileformat=VCF", "#CHROM\tPOS\tID")) for x in lead):
         return "vcf"
-    first = data_lines(read_lines(spark, path)).head(1)
-    f = first[0]["value"].rstrip().split("\t") if first else []
+    data = [x for x in lead if x.strip() and not x.startswith("#")]
+    if not data:
+        if read_lines(spark, path).where(F.col("value").rlike("^(##fileformat=VCF|#CHROM\tPOS\tID)")).head(1):
+            return "vcf"
+        data = [r["value"] for r in data_lines(read_lines(spark, path)).head(1)]
+    f = data[0].rstrip().split("\t") if data else []
     if len(f) >= 5 and f[2].isdigit():
         if "|" not in f[4]:
             raise ValueError("a BED of SNPs needs ref|alt in column 5")
@@ -101,7 +132,7 @@ def parse_snps(lines: DataFrame, kind: str) -> DataFrame:
         named.alias("name"),
         ref.alias("ref"),
         alt.alias("alt"),
-        F.when(pos1.isNull() | ref.isNull() | alt.isNull(), F.col("value")).alias("_corrupt"),
+        F.when(pos1.isNull() | ref.isNull() | alt.isNull() | (ref == "") | (alt == ""), F.col("value")).alias("_corrupt"),
     )
 
 

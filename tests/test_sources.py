@@ -204,3 +204,20 @@ def test_lines_are_numbered_without_a_shuffle_on_the_file(spark):
     assert "hashpartitioning(file" not in plan
     assert {int(r["value"]): r["row"] for r in two.collect()} == {i: i for i in range(300)}
     assert sorted((r["row"], r["value"]) for r in text.numbered_lines(spark, [path, one]).collect() if r["value"] in "xy") == [(0, "x"), (1, "y")]
+
+
+def test_version_and_header_from_the_first_lines(spark):
+    old = folder(spark, "o", "##fileformat=VCFv4.0", "1\t5\trs\tA\tC\t.\t.\t.\tGT\t0|1")
+    with pytest.raises(ValueError, match="VCFv4.0"):
+        variants.read_versioned_vcf(spark, old)
+    assert variants.read_versioned_vcf(spark, old, "VCFv4.0").count() == 1
+    assert variants.vcf_version(spark, folder(spark, "p", "1\t5", "##fileformat=VCFv4.1")) is None
+    comments = folder(spark, "c", *["# x"] * (variants.LEADING + 5), "1\t5\tT\tTT\tGG\tTG\tPHASED")
+    assert variants.sniff_snp_format(spark, comments) == "alleleseq"
+
+
+def test_parts_are_files_with_the_header(spark, tmp_path):
+    sinks.write_parts(spark.range(25).selectExpr("id AS v", "id % 3 AS w"), f"{tmp_path}/parts", 4, "v")
+    found = {p.parent.name: p.read_text().split("\n")[:-1] for p in tmp_path.glob("parts/*/*.csv")}
+    assert found == {f"part={k + 1}": ["v\tw", *[f"{v}\t{v % 3}" for v in range(7 * k, min(25, 7 * k + 7))]] for k in range(4)}
+    assert len(list(tmp_path.glob("parts/*/*.csv"))) == 4

@@ -119,6 +119,8 @@ def test_pool_regression_recovers_mixture(spark):
     assert fit.rows == keep.sum() and fit.coefficients[:-1] == pytest.approx(tuple(beta)) and sum(fit.coefficients) == pytest.approx(1)
     assert np.array(fit.covariance)[: k - 1, : k - 1] == pytest.approx(cov)
     assert np.array(fit.covariance).sum(axis=1) == pytest.approx(np.zeros(k), abs=1e-12)
+    mean = g.mean(axis=1)
+    assert stats.pool_regression(df, means=(0.3, 0.7)).rows == (keep & (mean >= 0.3) & (mean <= 0.7)).sum()
     out = stats.pool_effects(df, fit).first()
     gi = np.array(out.genotypes)
     assert out.pre_var == pytest.approx(max(0.0, gi @ np.array(fit.covariance) @ gi))
