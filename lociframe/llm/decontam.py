@@ -1,14 +1,15 @@
-"""Benchmark decontamination: rare seeds find passages, alignment scores them.
+"""Benchmark decontamination: seeds find passages, alignment scores them.
 
-Test items are cut to segments of at most ``SEGMENT`` words. Of every ``SPREAD`` neighbouring runs of five words in a segment, the one that the fewest
-documents contain is a seed, so any eight words in a row that a passage shares with an item hold one. Where a document has a seed, the words around it
+Test items are cut to segments of at most ``SEGMENT`` words. Every run of ``SEED`` words of a segment is a seed, so a passage is looked at if it shares
+three words in a row with an item anywhere, however often the run occurs. Where a document has a seed, the words around it
 are aligned to the segment by Smith-Waterman over words, which finds copies with words changed, put in or left out. The score is the part of
-the best possible score. A document is contaminated if a segment scores ``LEAST`` or more, so short quotations do not count.
+the best possible score. A document is contaminated if a segment scores ``LEAST`` or more, so short quotations do not count. A copy without three
+unedited words in a row anywhere, such as one with every third word changed, is not found.
 
 The benchmark is a query set. It is taken in blocks of ``BLOCK_WORDS`` words, each broadcast and held against all documents; the results do not
 depend on the blocks. Documents are not shuffled.
 
-Words are compared in lower case without ASCII punctuation. Defined results: a null text has no words; items or last segments of under five words are
+Words are compared in lower case without ASCII punctuation. Defined results: a null text has no words; items or last segments of under three words are
 not searched for; rows of ``docs`` keep their number whatever their ids are; without items nothing is contaminated.
 """
 
@@ -19,13 +20,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.llm.tokens import map_batches, together, windows, words
+from lociframe.llm.tokens import together, windows, words
 
-SEED, SPREAD = 5, 4  # words a seed; neighbouring runs of which one is chosen
+SEED = 3  # words a seed
 SEGMENT = 200
 LEAST = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -57,27 +57,11 @@ class Items:
         found = [windows(s, SEED) for s in self.segments]
         flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
         place = np.array([(k, p) for k, f in enumerate(found) for p in range(len(f))], np.int64).reshape(-1, 2)
-        self._keep(flat, place)
-
-    def _keep(self, flat: np.ndarray, place: np.ndarray) -> None:
         order = np.argsort(flat, kind="stable")
         self.seeds, self.where = flat[order], place[order]
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.seeds & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def rare(self, documents: dict[int, int]) -> None:
-        """Leave the rarest seed of every SPREAD neighbours; ``documents`` has the number of documents by seed."""
-        by_segment = np.lexsort((self.where[:, 1], self.where[:, 0]))
-        flat, place = self.seeds[by_segment], self.where[by_segment]
-        often = np.array([documents.get(int(s.view(np.int64)), 0) for s in flat], np.int64)
-        keep = np.zeros(len(flat), bool)
-        start = np.flatnonzero(np.diff(place[:, 0], prepend=-1))
-        for a, b in zip(start, [*start[1:], len(flat)], strict=True):
-            rank = np.lexsort((flat[a:b], often[a:b])).argsort()
-            for k in range(max(1, b - a - SPREAD + 1)):
-                keep[a + k + int(rank[k : k + SPREAD].argmin())] = True
-        self._keep(flat[keep], place[keep])
-
     def hits(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``runs`` that hold a seed, and the first such place among the seeds."""
         maybe = np.flatnonzero(self.sieve[(runs & np.uint64((1 << 20) - 1)).astype(np.int64)])
@@ -162,24 +146,6 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
         yield block
 
 
-def documents_with(docs: DataFrame, text_col: str, items) -> DataFrame:
-    """(seed, documents): in how many documents each seed of the block is."""
-
-    def count(batch: pa.RecordBatch) -> Iterator[dict]:
-        total: dict[int, int] = {}
-        for _, texts in together(lowered(batch.column(0).to_pylist())):
-            found = plain(texts)
-            at, seed = items.value.hits(windows(found.hash, SEED))
-            text = np.searchsorted(found.first, at, side="right") - 1
-            whole = at + SEED <= found.first[text + 1]
-            pairs = np.unique(np.stack([items.value.seeds[seed[whole]], text[whole].astype(np.uint64)]), axis=1)
-            for s, n in zip(*np.unique(pairs[0].view(np.int64), return_counts=True), strict=True):
-                total[int(s)] = total.get(int(s), 0) + int(n)
-        yield {"seed": list(total), "n": list(total.values())}
-
-    return map_batches(docs.select(F.col(text_col)), count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("documents"))
-
-
 FOUND = "array<struct<item: bigint, score: double>>"
 
 
@@ -207,8 +173,6 @@ def scored(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
     context, columns = docs.sparkSession.sparkContext, []
     for block in blocks(benchmark, item_col, item_text):
         block.index()
-        often = documents_with(docs, text_col, context.broadcast(block))  # as many rows as the block has seeds at most
-        block.rare({r["seed"]: r["documents"] for r in often.toLocalIterator()})
         columns.append(found_in(F.col(text_col).cast("string"), context.broadcast(block)))
     every = F.concat(*columns) if columns else F.array().cast(FOUND)
     found = docs.withColumn("__found", every)

@@ -188,6 +188,17 @@ def test_decontamination(docs, spark):
     assert decontam.keep_clean(docs, benchmark.limit(0)).count() == len(ROWS)
 
 
+@pytest.mark.parametrize("every", [5, 6, 7, 8])
+def test_decontamination_of_edited_copies(spark, every):
+    """The only copy of an item, with every fifth to eighth word replaced."""
+    for size in (20, 40, 100):
+        w = [f"w{every}x{k}" for k in range(size)]
+        edited = "before it " + " ".join(x if (k + 1) % every else f"new{k}" for k, x in enumerate(w)) + " after it"
+        table = spark.createDataFrame([(1, edited), (2, "nothing of the kind is said in here")], "doc_id long, text string")
+        benchmark = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+        assert [r["contaminated"] for r in decontam.scored(table, benchmark).orderBy("doc_id").collect()] == [True, False]
+
+
 def test_alignment():
     def plain(a, b):
         h = np.zeros((len(a) + 1, len(b) + 1), int)
