@@ -18,16 +18,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lociframe.config import pin
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-#: Bounds of the model: labelled rows fitted on, words and n-grams kept a language (the most frequent), letters of a word kept in it.
-FIT_ROWS, FIT_WORDS, FIT_GRAMS, FIT_LETTERS = 20_000, 40_000, 40_000, 64
+#: Labelled rows fitted on, about. It is the only bound of the model, which keeps all words and n-grams of these rows.
+FIT_ROWS = 20_000
 CACHED = 150_000
 
 
@@ -87,7 +87,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         for batch in batches:
             seen: dict[str, Counter] = defaultdict(Counter)
             for text, lang in zip(batch["text"], batch["lang"], strict=True):
-                seen[lang].update(w for w in words(text) if len(w) <= FIT_LETTERS)
+                seen[lang].update(words(text))
             yield pd.DataFrame([(lang, w, k) for lang, c in seen.items() for w, k in c.items()], columns=["lang", "word", "n"])
 
     counted = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInPandas(count, "lang string, word string, n long")
@@ -103,18 +103,17 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                         seen[lang, size, g] += k
             yield pd.DataFrame([(*key, k) for key, k in seen.items()], columns=["lang", "size", "item", "n"])
 
-    items = counted.mapInPandas(pieces, "lang string, size int, item string, n long").groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
+    items = pin(counted.mapInPandas(pieces, "lang string, size int, item string, n long").groupBy("lang", "size", "item").agg(F.sum("n").alias("n")))
     totals = {(r["lang"], r["size"]): (r["total"], r["kinds"]) for r in items.groupBy("lang", "size").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).collect()}
-    order = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "item")
-    most = F.when(F.col("size") == 0, FIT_WORDS).otherwise(FIT_GRAMS)
     langs = sorted({lang for lang, _ in totals})
-    top = pin(items.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("lang", "size", "item", "n"))
     index, logs = [], []
     for size in range(LONGEST + 1):  # one table at a time in the driver
-        part = top.where(F.col("size") == size).select("item", "lang", "n").toPandas()
-        rows, known = pd.factorize(part["item"])
+        part = items.where(F.col("size") == size).select("item", "lang", "n").toArrow()
+        item, lang = (pa.concat_arrays([pa.array([], pa.string()), *(c.cast(pa.string()) for c in part[name].chunks)]).dictionary_encode() for name in ("item", "lang"))
+        known = item.dictionary.to_pylist()
         table = np.full((len(known), len(langs)), 0.5)  # half a count for what a language does not have
-        table[rows, np.searchsorted(langs, part["lang"].astype(str)) if len(part) else []] += part["n"].to_numpy()
+        column = np.array([langs.index(x) for x in lang.dictionary.to_pylist()], np.int64)
+        table[item.indices.to_numpy(), column[lang.indices.to_numpy()]] += part["n"].to_numpy()
         base = [math.log(totals.get((lang, size), (0, 0))[0] + 0.5 * (totals.get((lang, size), (0, 0))[1] + 1)) for lang in langs]
         index.append({item: k for k, item in enumerate(known)})
         logs.append((np.log(table) - np.array(base)).astype(np.float32))

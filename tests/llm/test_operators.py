@@ -158,6 +158,20 @@ def test_language(docs, none, spark):
     assert langid.keep_known(docs).columns == docs.columns
 
 
+def test_language_keeps_rare_words(spark):
+    """A word rarer than 41,000 others of its language counts there, and a long word is learned."""
+    many = ["".join("abcdefghij"[int(d)] for d in str(k)) for k in range(41_000)]
+    long = "lang" * 20
+    rows = [(k, " ".join(many), "en") for k in range(4)] + [(4, "tie tie tie", "en"), (5, "mot " * 100_000 + "tie", "fr"), (6, long, "fr")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.index[0]) == len(set(many)) + 3 and long in model.index[0]
+    # 3.5 of 164,003 words in English, 1.5 of 100,002 in French, each total with half a count for every kind of word
+    asked = spark.createDataFrame([(1, "tie")], "doc_id long, text string")
+    assert [r["lang_pred"] for r in langid.predict(asked, model).collect()] == ["en"]
+    want = [math.log(n / (total + 0.5 * (kinds + 1))) for n, total, kinds in ((3.5, 164_003, 41_001), (1.5, 100_002, 3))]
+    assert np.allclose(model.logs[0][model.index[0]["tie"]], want)
+
+
 def test_mixing(docs, none, spark):
     got = mixing.mix(docs, block_docs=2, period=20).collect()
     assert len(got) == len(ROWS) and len({r["mix_pos"] for r in got}) == len(ROWS)
