@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from lociframe.config import pin
 from lociframe.llm.tokens import map_batches, windows, words
 
-#: Highest order. Keys of a higher order hardly repeat: each adds about 1.7 times the input to what is shuffled.
-ORDER = 2
+#: Highest order: two words of context. Keys of a higher order hardly repeat: each adds about 1.7 times the input to what is shuffled.
+ORDER = 3
 BACKOFF = 0.4
 BLOCK_BYTES = 12 << 20
 PORTION = 1 << 20

@@ -250,6 +250,14 @@ def test_scoring(docs, none, order):
     assert scoring.score(none).count() == 0
 
 
+def test_scoring_looks_at_two_words(spark):
+    """By default a word is scored by the two before it: "b c" goes on with "d" after "a", with "e" after "x"."""
+    texts = ["a b c d", "a b c d", "x b c e", "x b c e", "a b c e"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, third, second = ({r["id"]: r["score"] for r in scoring.score(table, **o).collect()} for o in ({}, {"order": 3}, {"order": 2}))
+    assert got == pytest.approx(third) and got != pytest.approx(second)
+
+
 def test_archives(spark):
     big = "<p>" + "é" * 600
     rows = [(1, "u1", big), (2, "u\n2", big), (3, None, "small"), (4, "u4", "small"), (5, "u5", None), (None, "u6", big), (7, "u7", "\r\n\r\n" * 400), (7, "u7", "\r\n\r\n" * 400)]
