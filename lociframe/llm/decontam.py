@@ -1,15 +1,16 @@
 """Benchmark decontamination: seeds find passages, alignment scores them.
 
-Test items are cut to segments of at most ``SEGMENT`` words. Every run of ``SEED`` words of a segment is a seed, so a passage is looked at if it shares
+Test items are cut to segments of twice ``SEGMENT`` words that overlap by half, so any ``SEGMENT`` words of an item lie in one. Every run of ``SEED`` words of a segment is a seed, so a passage is looked at if it shares
 three words in a row with an item anywhere, however often the run occurs. Where a document has a seed, the words around it
 are aligned to the segment by Smith-Waterman over words, which finds copies with words changed, put in or left out. The score is the part of
-the best possible score. A document is contaminated if a segment scores ``LEAST`` or more, so short quotations do not count. A copy without three
-unedited words in a row anywhere, such as one with every third word changed, is not found.
+the best possible score of the item, or of ``SEGMENT`` words if it is longer. A document is contaminated if a segment scores ``LEAST`` or more, or if
+it shares ``RUN`` words in a row with an item; shorter quotations do not count. A copy without three unedited words in a row anywhere, such as one
+with every third word changed, is not found. Items of under three words are looked for as a whole and score 1.
 
 The benchmark is a query set. It is taken in blocks of ``BLOCK_WORDS`` words, each broadcast and held against all documents; the results do not
 depend on the blocks. Documents are not shuffled.
 
-Words are compared in lower case without ASCII punctuation. Defined results: a null text has no words; items or last segments of under three words are
+Words are compared in lower case without ASCII punctuation. Defined results: a null text has no words; an item without words is
 not searched for; rows of ``docs`` keep their number whatever their ids are; without items nothing is contaminated.
 """
 
@@ -28,6 +29,7 @@ from lociframe.llm.tokens import together, windows, words
 SEED = 3  # words a seed
 SEGMENT = 200
 LEAST = 0.5
+RUN = 13  # verbatim words that count whatever the length of the item
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 1 << 20
 PAIRS = 256  # alignments done together
@@ -51,9 +53,13 @@ class Items:
     seeds: np.ndarray | None = None  # sorted, repeated if at several places
     where: np.ndarray | None = None  # segment and position of each
     sieve: np.ndarray | None = None
+    short: dict[int, dict[int, list[int]]] = field(default_factory=dict)  # segments of under SEED words by size and hash
 
     def index(self) -> None:
-        """Take every run of SEED words as a seed."""
+        """Take every run of SEED words as a seed, and shorter segments as a whole."""
+        for k, s in enumerate(self.segments):
+            if len(s) < SEED:
+                self.short.setdefault(len(s), {}).setdefault(int(windows(s, len(s))[0]), []).append(k)
         found = [windows(s, SEED) for s in self.segments]
         flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
         place = np.array([(k, p) for k, f in enumerate(found) for p in range(len(f))], np.int64).reshape(-1, 2)
@@ -72,7 +78,7 @@ class Items:
 
 
 def align(segments: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
-    """Best local alignment score of each pair, as a part of the segment aligned to itself."""
+    """Best local alignment score of each pair, as a part of the segment, or of SEGMENT words of it, aligned to itself."""
     out = np.zeros(len(segments))
     order = sorted(range(len(segments)), key=lambda k: (len(segments[k]), len(passages[k])))
     for begin in range(0, len(order), PAIRS):
@@ -93,29 +99,43 @@ def align(segments: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
             above = now.astype(np.int32)
             best = np.maximum(best, above.max(axis=1))
         for r, k in enumerate(part):
-            out[k] = best[r] / (MATCH * max(1, len(segments[k])))
+            out[k] = best[r] / (MATCH * max(1, min(len(segments[k]), SEGMENT)))
     return np.minimum(out, 1.0)
 
 
-def matches(items: Items, texts: list[bytes]) -> Iterator[tuple[int, int, float]]:
-    """(text, item of the block, score) for every passage found, the best of a text and item."""
+def matches(items: Items, texts: list[bytes]) -> Iterator[tuple[int, int, float, int]]:
+    """(text, segment of the block, score, longest verbatim run) for every passage found, the best of a text and segment."""
     found = plain(texts)
+    for n, short in items.short.items():
+        runs = windows(found.hash, n)
+        at = np.flatnonzero(np.isin(runs, np.array(list(short), np.uint64)))
+        text = np.searchsorted(found.first, at, side="right") - 1
+        whole = at + n <= found.first[text + 1]
+        for t, value in set(zip(text[whole].tolist(), runs[at[whole]].tolist(), strict=True)):
+            for segment in short[value]:
+                yield t, segment, 1.0, n
     at, seed = items.hits(windows(found.hash, SEED))
     text = np.searchsorted(found.first, at, side="right") - 1
     whole = at + SEED <= found.first[text + 1]
     at, seed, text = at[whole], seed[whole], text[whole]
-    near: dict[tuple[int, int], list[int]] = {}
+    near: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for a, s, t in zip(at.tolist(), seed.tolist(), text.tolist(), strict=True):
         value, k = items.seeds[s], s
         while k < len(items.seeds) and items.seeds[k] == value:
             segment, position = items.where[k]
-            near.setdefault((t, int(segment)), []).append(a - int(position))
+            near.setdefault((t, int(segment)), []).append((a - int(position), a))
             k += 1
-    keys, segments, passages = [], [], []
-    for (t, segment), begins in near.items():
+    keys, segments, passages, verbatim = [], [], [], {}
+    for (t, segment), places in near.items():
+        places.sort()
+        length = longest = 1
+        for (begin, a), (next_begin, next_a) in zip(places, places[1:], strict=False):
+            length = length + 1 if begin == next_begin and next_a == a + 1 else 1
+            longest = max(longest, length)
+        verbatim[t, segment] = longest + SEED - 1
         length = len(items.segments[segment])
         slack, low, high = length // 2 + 4, None, None
-        for begin in [*sorted(begins), None]:
+        for begin in [*(begin for begin, _ in places), None]:
             if low is not None and (begin is None or begin - high > slack):
                 keys.append((t, segment))
                 segments.append(items.segments[segment])
@@ -127,18 +147,17 @@ def matches(items: Items, texts: list[bytes]) -> Iterator[tuple[int, int, float]
     for (t, segment), score in zip(keys, align(segments, passages), strict=True):
         best[t, segment] = max(best.get((t, segment), 0.0), float(score))
     for (t, segment), score in best.items():
-        yield t, segment, score
+        yield t, segment, score, verbatim[t, segment]
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
     block, size = Items(), 0
     for row in benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.col(text_col).isNotNull()).toLocalIterator():
         flat = plain([row[1].lower().encode("utf-8", "replace")]).hash
-        for k in range(0, len(flat), SEGMENT):
-            if len(flat[k : k + SEGMENT]) >= SEED:
-                block.ids.append(row[0])
-                block.segments.append(flat[k : k + SEGMENT])
-                size += SEGMENT
+        for k in range(0, max(1, len(flat) - SEGMENT) if len(flat) else 0, SEGMENT):
+            block.ids.append(row[0])
+            block.segments.append(flat[k : k + 2 * SEGMENT])
+            size += SEGMENT
         if size >= BLOCK_WORDS:
             yield block
             block, size = Items(), 0
@@ -146,38 +165,40 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
         yield block
 
 
-FOUND = "array<struct<item: bigint, score: double>>"
+FOUND = "array<struct<item: bigint, score: double, run: int>>"
 
 
 def found_in(text: Column, items) -> Column:
-    """Items of a broadcast block that a text holds passages of, each with its best score."""
+    """Items of a broadcast block that a text holds passages of, each with its best score and longest verbatim run."""
 
     @F.pandas_udf(FOUND)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             out: list[list[dict]] = [[] for _ in range(len(batch))]
             for begin, texts in together(lowered(batch.tolist())):
-                best: dict[tuple[int, int | None], float] = {}
-                for t, segment, score in matches(items.value, texts):
+                best: dict[tuple[int, int | None], tuple[float, int]] = {}
+                for t, segment, score, run in matches(items.value, texts):
                     key = t, items.value.ids[segment]
-                    best[key] = max(best.get(key, 0.0), score)
-                for (t, item), score in best.items():
-                    out[begin + t].append({"item": item, "score": score})
+                    top, longest = best.get(key, (0.0, 0))
+                    best[key] = max(top, score), max(longest, run)
+                for (t, item), (score, run) in best.items():
+                    out[begin + t].append({"item": item, "score": score, "run": run})
             yield pd.Series(out)
 
     return search(text)
 
 
 def scored(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
-    """``docs`` with contaminated, item (the best match, the least id of ties), item_score and items, how many items count."""
+    """``docs`` with contaminated, item (the best match, those that count first, the least id of ties), item_score and items, how many items count."""
     context, columns = docs.sparkSession.sparkContext, []
     for block in blocks(benchmark, item_col, item_text):
         block.index()
         columns.append(found_in(F.col(text_col).cast("string"), context.broadcast(block)))
     every = F.concat(*columns) if columns else F.array().cast(FOUND)
     found = docs.withColumn("__found", every)
-    hit = F.filter("__found", lambda x: x["score"] >= least)
-    best = F.array_max(F.transform("__found", lambda x: F.struct(x["score"].alias("score"), (-x["item"]).alias("item"))))
+    counts = lambda x: (x["score"] >= least) | (x["run"] >= RUN)
+    hit = F.filter("__found", counts)
+    best = F.array_max(F.transform("__found", lambda x: F.struct(counts(x).alias("counts"), x["score"].alias("score"), (-x["item"]).alias("item"))))
     return (
         found.withColumn("contaminated", F.size(hit) > 0).withColumn("item", -best["item"]).withColumn("item_score", F.coalesce(best["score"], F.lit(0.0)))
         .withColumn("items", F.size(F.array_distinct(F.transform(hit, lambda x: x["item"])))).drop("__found")

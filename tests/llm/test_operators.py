@@ -213,6 +213,20 @@ def test_decontamination_of_edited_copies(spark, every):
         assert [r["contaminated"] for r in decontam.scored(table, benchmark).orderBy("doc_id").collect()] == [True, False]
 
 
+def test_decontamination_of_parts_of_items(spark):
+    """Passages across a cut of a long item, verbatim runs under half of an item, and items of under five words."""
+    long, item = [f"long{k}" for k in range(650)], [f"item{k}" for k in range(59)]
+    benchmark = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(item)), (3, "Quite short."), (4, "sole"), (5, "four words in all"), (6, "?!")], "item_id long, text string")
+    cases = [
+        (long[101:299], 1), (long[301:499], 1), (long[150:250], 1), (long[550:], 1), (long[195:208], 1), (item[:29], 2), (item[40:53], 2), (["say", "quite", "short"], 3), (["sole"], 4),
+        (["four", "words", "in", "all"], 5), (item[:12], None), (long[200:212], None), (["quite", "a", "short", "one"], None), (["soles"], None),
+    ]
+    table = spark.createDataFrame([(k, "before " + " ".join(w) + " after") for k, (w, _) in enumerate(cases)], "doc_id long, text string")
+    got = decontam.scored(table, benchmark).orderBy("doc_id").collect()
+    assert [r["item"] if r["contaminated"] else None for r in got] == [i for _, i in cases]
+    assert got[0]["item_score"] == 0.99 and got[1]["item_score"] == 0.99
+
+
 def test_alignment():
     def plain(a, b):
         h = np.zeros((len(a) + 1, len(b) + 1), int)
