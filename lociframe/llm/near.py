@@ -1,8 +1,8 @@
-"""N-gram Jaccard join through an LSH forest of MinHash signatures.
+"""N-gram Jaccard join through banded MinHash signatures.
 
 A document is the set of its runs of five words (a shorter one is a single run). Documents with equal sets are one node. A node has a label
-of ``LEVELS`` MinHash values in each of ``TREES`` prefix tries. Two nodes meet in a trie if their labels agree on a prefix; prefixes
-start at full length and get shorter until a pair at the threshold meets somewhere with the target probability. Nodes that meet
+of ``LEVELS`` MinHash values in each of ``TREES`` bands. Two nodes meet in a band if their labels agree on a prefix of ``depth()`` values, the
+same for all nodes: the longest at which a pair at the threshold meets somewhere with the target probability. Nodes that meet
 form clusters, within which all pairs are verified on the exact sets. A cluster beyond ``BLOCK`` nodes is verified block against
 block in many tasks, so no task holds it and pairs are never rows; only links a node and the components come out.
 
