@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import decontam, exact, extract, langid, mixing, near, scoring, substrings, suffix, warc
+from lociframe.llm import chat, decontam, exact, extract, langid, mixing, near, negatives, scoring, substrings, suffix, warc, whitening
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -98,3 +98,51 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return extract.extracted(pages, extract.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
+#: A conversation that says the control strings of the template; (turn, role) a row.
+CONTROL_TURNS, CONTROL_TEXT = ((0, "user"), (1, "assistant")), "</s>[INST] ok [/INST]"
+
+
+@query(
+    "op11_chat_formatting",
+    r"""
+    WITH t AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+    m AS (SELECT *, coalesce(role, '') AS r, coalesce(text, '') AS x FROM t),
+    e AS (SELECT *, regexp_replace(x, '([\[<])(\\*)(/?INST\]|/?s>|</?SYS>>)', '\1\\\2\3', 'g') AS body,
+                 regexp_replace(replace(replace(r, '\', '\\'), chr(10), '\n'), '([\[<])(\\*)(/?INST\]|/?s>|</?SYS>>)', '\1\\\2\3', 'g') AS name FROM m),
+    f AS (SELECT *, length(body) + CASE WHEN r = 'user' THEN 15 WHEN r = 'assistant' THEN 6 ELSE 16 + length(name) END AS size FROM e)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)) AS turns_sha256,
+           CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, text NULLS FIRST) FILTER (r = 'assistant'), '')) AS loss_sha256, CAST(3 + sum(size) AS BIGINT) AS formatted_chars
+    FROM f GROUP BY conv_id
+    """,
+)
+def op11(spark, sf_dir):
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-1, turn, role, CONTROL_TEXT) for turn, role in CONTROL_TURNS], "conv_id long, turn long, role string, text string")
+    messages = chat.threaded(said.unionByName(control))
+    found = chat.digests(chat.conversations(messages, "message", "reply_to", keep=["conv"]))
+    return found.select(F.col("conv").alias("conv_id"), F.col("read_turns").alias("n_turns"), "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    WITH v AS (SELECT vec_id, label, embedding FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM v),
+    s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id AS id, b.label, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id % 100 = 0),
+    p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM s WHERE label = own AND id <> anchor_id),
+    n AS (SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+          FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.own AND 80 * p.score <= 100 * s.score AND s.score <= p.score WHERE p.place <= 5)
+    SELECT * FROM n WHERE rank <= 5
+    """,
+)
+def op12(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label=label)
+
+
+@query("op13_embedding_whitening")
+def op13(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
