@@ -57,26 +57,27 @@ def parse(formatted: str) -> Iterator[tuple[str, str]]:
 def _climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """``nodes`` (node, up, score) with a null ``up`` at roots, without rings but those it reports: every node with ``up`` null, or still in a
     ring, its top, hops, total and the least node passed; and for each k the jumps (node, up) over 2^k replies."""
-    least = F.when(F.col("up").isNotNull(), F.col("node"))
-    now = pin(nodes.select("node", "up", F.when(F.col("up").isNull(), F.col("node")).alias("top"), F.lit(0).cast("long").alias("hops"), F.col("score").alias("total"), least.alias("least")))
+    first = nodes.select(
+        "node", "up", F.when(F.col("up").isNull(), F.col("node")).alias("top"), F.lit(0).cast("long").alias("hops"), F.col("score").alias("total"),
+        F.when(F.col("up").isNotNull(), F.col("node")).alias("least"),
+    )
+    now = pin(first)
+    ended, alive = now.where(F.col("up").isNull()), now.where(F.col("up").isNotNull())
     count, jumps = now.count(), []
-    while (1 << len(jumps)) <= 2 * count:
-        alive = now.where(F.col("up").isNotNull()).select("node", "up")
-        if alive.isEmpty():
-            break
-        jumps.append(alive)
-        step = 1 << (len(jumps) - 1)
-        above = now.select(F.col("node").alias("k"), *[F.col(c).alias(f"{c}_") for c in ("up", "top", "hops", "total", "least")])
+    while (1 << len(jumps)) <= 2 * count and not alive.isEmpty():
+        step = F.lit(1 << len(jumps)).cast("long")
+        jumps.append(alive.select("node", "up"))
+        # Only messages that have not reached their root are joined; what they reach may have.
+        above = ended.unionByName(alive).select(F.col("node").alias("k"), *[F.col(c).alias(f"{c}_") for c in ("up", "top", "hops", "total", "least")])
         # A message with very many replies is a hot key of this join; it is followed by no grouping, so adaptive execution may split it.
         now = pin(
-            now.join(above, F.col("up") == F.col("k"), "left").select(
-                "node", F.col("up_").alias("up"), F.when(F.col("k").isNull(), F.col("top")).otherwise(F.col("top_")).alias("top"),
-                F.when(F.col("k").isNull(), F.col("hops")).otherwise(F.when(F.col("up_").isNull(), F.col("hops_") + step).otherwise(F.lit(0))).alias("hops"),
-                F.when(F.col("k").isNull(), F.col("total")).otherwise(F.col("total") + F.col("total_")).alias("total"),
+            alive.join(above, F.col("up") == F.col("k")).select(
+                "node", F.col("up_").alias("up"), F.col("top_").alias("top"), (F.col("hops_") + step).alias("hops"), (F.col("total") + F.col("total_")).alias("total"),
                 F.least("least", "least_").alias("least"),
             )
         )
-    return now, jumps
+        ended, alive = ended.unionByName(now.where(F.col("up").isNull())), now.where(F.col("up").isNotNull())
+    return ended.unionByName(alive), jumps
 
 
 def branches(messages: DataFrame, best: int | None = 1) -> DataFrame:

@@ -31,6 +31,7 @@ SAMPLE = 2048  # rows the references are chosen from: those with the least hash
 BLOCK, ANCHOR_BLOCK, WINDOW = 2048, 512, 64
 STRIPE = 16  # blocks of rows a call scans at most
 SLACK = 1e-6  # radians; arccos of a rounded cosine is off by 3e-8 at most
+MOST = float(1 << 63)  # scores are cut to 64 bits, and so are their bounds
 EXACT = 1 << 52  # doubles hold integers up to here; products of norms below it are summed without rounding
 
 
@@ -126,7 +127,8 @@ def bounds(norm: np.ndarray, angle: np.ndarray, norms: np.ndarray, lo: np.ndarra
         far = np.minimum(far, np.minimum(t + hi[None, :, r], 2 * np.pi - t - lo[None, :, r]))
     top, low = np.cos(np.clip(near - SLACK, 0, np.pi)), np.cos(np.clip(far + SLACK, 0, np.pi))
     room = 1 + 1e-9 * norm[:, None] * norms[1]
-    return norm[:, None] * np.where(low > 0, norms[0], norms[1]) * low - room, norm[:, None] * np.where(top > 0, norms[1], norms[0]) * top + room
+    down, up = norm[:, None] * np.where(low > 0, norms[0], norms[1]) * low - room, norm[:, None] * np.where(top > 0, norms[1], norms[0]) * top + room
+    return np.clip(down, -MOST, MOST), np.clip(up, -MOST, MOST)
 
 
 def exact(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
@@ -212,7 +214,8 @@ def _interval(a: str, b: str) -> tuple[Column, Column]:
     )
     small, great = c(a, "norms")[0] * c(b, "norms")[0], c(a, "norms")[1] * c(b, "norms")[1]
     room = 1 + 1e-9 * great
-    return F.when(F.cos(far) > 0, small).otherwise(great) * F.cos(far) - room, F.when(F.cos(near) > 0, great).otherwise(small) * F.cos(near) + room
+    cut = lambda c: F.greatest(F.lit(-MOST), F.least(F.lit(MOST), c))
+    return cut(F.when(F.cos(far) > 0, small).otherwise(great) * F.cos(far) - room), cut(F.when(F.cos(near) > 0, great).otherwise(small) * F.cos(near) + room)
 
 
 def mine(
