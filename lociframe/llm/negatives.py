@@ -46,7 +46,7 @@ def usable(rows: DataFrame, vector: str, *others: Column) -> DataFrame:
 
 def integers(vectors: pd.Series) -> np.ndarray:
     """floor(SCALE x), cut to 64 bits."""
-    m = np.floor(np.array([np.asarray(v, float) for v in vectors], float).reshape(len(vectors), -1) * SCALE)
+    m = np.floor(np.array([np.asarray(v, float) for v in vectors], float).reshape(len(vectors), -1 if len(vectors) else 0) * SCALE)
     top = 2.0**63
     return np.where(m >= top, np.int64((1 << 63) - 1), np.clip(m, -top, np.nextafter(top, 0)).astype(np.int64))
 

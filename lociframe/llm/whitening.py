@@ -179,9 +179,9 @@ def identity_error(white: DataFrame) -> float | None:
     sums = total(lambda m: m.sum(axis=0)).collect()
     if not sums:
         return None
-    n, mean = sums[0][2], np.array([s[1] / s[2] for s in sums])
+    n, mean = sums[0][2], np.array([np.nan if s[1] is None else s[1] / s[2] for s in sums])
     k = len(mean)
-    cov = np.array([s[1] for s in total(lambda m: (m - mean).T @ (m - mean)).collect()]).reshape(k, k) / n
+    cov = np.array([np.nan if s[1] is None else s[1] for s in total(lambda m: (m - mean).T @ (m - mean)).collect()]).reshape(k, k) / n
     some = ~np.isnan(mean)
     return float(np.abs(cov[np.ix_(some, some)] - np.eye(int(some.sum()))).max()) if some.any() else None
 
