@@ -77,14 +77,15 @@ def _climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             )
         )
         ended, alive = ended.unionByName(now.where(F.col("up").isNull())), now.where(F.col("up").isNotNull())
-    return ended.unionByName(alive), jumps
+    # One table again: what is joined to it next would otherwise be joined to each part of the union.
+    return pin(ended.unionByName(alive)), jumps
 
 
 def branches(messages: DataFrame, best: int | None = 1) -> DataFrame:
     """(leaf, node, place, branch_score, branch_rank): the messages of the ``best`` branches of each tree (all for None), roots at place 0.
     ``messages``: node (distinct, not null), parent, score."""
     there = messages.select(F.col("node").alias("k"))
-    linked = messages.join(there, F.col("parent") == F.col("k"), "left").select("node", F.col("k").alias("up"), "score")
+    linked = pin(messages.join(there, F.col("parent") == F.col("k"), "left").select("node", F.col("k").alias("up"), "score"))
     done, jumps = _climb(linked)
     rings = done.where(F.col("up").isNotNull())
     if not rings.isEmpty():
