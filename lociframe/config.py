@@ -5,10 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LOCAL_DIR: list[str] = []
 
+# Most rows and bytes of a table that is broadcast.
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can see, taken from ``spark.checkpoint.dir``.
@@ -44,3 +50,23 @@ def pin(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """At least the bytes a row takes in memory. Nested values count by their text: an item of eight
+    bytes has two characters or more with its separator."""
+    size = F.lit(64).cast("long")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + 16 + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            size = size + 64 + 8 * F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0))
+        else:
+            size = size + 16
+    return size
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has at most so many rows, and bytes, that it may be broadcast."""
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(df)).alias("bytes")).first()
+    return size["rows"] <= rows and (size["bytes"] or 0) <= most

@@ -160,7 +160,7 @@ def student_t_quantile_975(dof: Column) -> Column:
 
 
 def chi2_sf(x: Column, dof: Column) -> Column:
-    """Upper tail of chi-square with any degrees of freedom. For small result tables."""
+    """Upper tail of chi-square with any degrees of freedom above 0, null otherwise. For small result tables."""
 
     @F.pandas_udf("double")
     def _p(xs: pd.Series, dofs: pd.Series) -> pd.Series:
@@ -169,6 +169,8 @@ def chi2_sf(x: Column, dof: Column) -> Column:
         def upper(a, x):
             if x <= 0:
                 return 1.0
+            if math.isinf(x):
+                return 0.0
             lead = math.exp(-x + a * math.log(x) - math.lgamma(a))
             if x < a + 1:
                 term = total = 1.0 / a
@@ -191,7 +193,7 @@ def chi2_sf(x: Column, dof: Column) -> Column:
             return lead * h
 
         return pd.Series(
-            [None if x is None or v is None or x != x or v != v else upper(v / 2.0, x / 2.0) for x, v in zip(xs, dofs)],
+            [None if x is None or v is None or x != x or not v > 0 else upper(v / 2.0, x / 2.0) for x, v in zip(xs, dofs)],
             dtype="float64",
         )
 

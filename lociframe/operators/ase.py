@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociframe.config import pin
 from lociframe.functions.bases import reverse_when
 from lociframe.functions.stats import fair_binomial_p, nan
 from lociframe.plans import ranged
+from lociframe.plans.lookups import lookup
 
 # Thresholds of the SNP and gene calls.
 MIN_PARENTAL = 0.9
@@ -197,46 +202,79 @@ def placement_stats(snps: DataFrame, placed: DataFrame) -> DataFrame:
 
 # ---- simulated false-discovery rate ----
 
-WORD = 60
+#: Hex digits of a digest that make a uniform number, and how many numbers a digest gives.
+DIGITS, A_DIGEST = 13, 2
 
 
-def fair_coin_heads(key: Column, sim: Column, flips: Column, seed: int = 0) -> Column:
-    """Heads in ``flips`` fair coin flips, a pure function of (key, sim, seed).
+def uniform(key: Column, sims: int, seed: int = 0) -> Column:
+    """``sims`` uniform numbers in [0, 1), as an array: a pure function of (key, place, seed), the same on every retry and partitioning."""
+    digests = F.transform(
+        F.sequence(F.lit(0), F.lit((sims - 1) // A_DIGEST)), lambda j: F.md5(F.concat_ws(":", F.lit(str(seed)), key, j.cast("string")))
+    )
+    each = F.transform(digests, lambda d: F.array(*[F.conv(F.substring(d, 1 + DIGITS * k, DIGITS), 16, 10).cast("double") / float(16**DIGITS) for k in range(A_DIGEST)]))
+    return F.slice(F.flatten(each), 1, sims)
 
-    Each flip is one bit of an md5 digest, 60 bits to the digest, so the draw is exactly binomial and the
-    same on every retry and partitioning.
-    """
-    def word(j: Column) -> Column:
-        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key, sim.cast("string"), j.cast("string")))
-        bits = F.conv(F.substring(digest, 1, WORD // 4), 16, 10).cast("long")
-        unused = F.greatest(F.lit(0), F.lit(WORD) - (flips - j * WORD)).cast("int")
-        return F.bit_count(F.call_function("shiftrightunsigned", bits, unused))
 
-    last = F.call_function("div", flips + WORD - 1, F.lit(WORD)) - 1
-    words = F.when(flips > 0, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, j: acc + word(j))
+def coin_table(depths: DataFrame) -> DataFrame:
+    """For each depth ``flips``: the chance of at most k on the rarer side of that many fair flips (``upto``, k from ``first`` to half of them), where to look in it for
+    a uniform number (``guide``), and the p-value of each k.
+
+    Only k that a number of 52 bits can reach are listed, about 5 times the square root of the depth.
+    """
+    @F.pandas_udf("first int, upto array<double>, guide array<int>")
+    def chances(flips: pd.Series) -> pd.DataFrame:
+        import numpy as np
+
+        out = []
+        for n in map(int, flips):
+            half = n // 2
+            k = np.arange(half - min(half, int(4.7 * math.sqrt(n)) + 20), half)
+            # From the middle outwards, so that nothing underflows on the way.
+            share = np.cumprod(((k + 1.0) / (n - k))[::-1])[::-1]
+            chance = _central(n) * np.append(share, 1.0) * 2
+            if n % 2 == 0:
+                chance[-1] /= 2
+            upto = np.cumsum(chance)
+            upto[-1] = 2.0  # whatever is left
+            size = len(upto)
+            out.append((half - len(k), upto, np.searchsorted(upto, np.arange(size + 1) / size, side="right").astype(np.int32)))
+        return pd.DataFrame(out, columns=["first", "upto", "guide"])
+
+    table = depths.withColumn("_c", chances("flips")).select("flips", "_c.*")
+    ks = F.sequence(F.col("first"), F.expr("cast(flips div 2 as int)"))
+    return table.withColumn("p", F.transform(ks, lambda k: F.round(fair_binomial_p(k, F.col("flips")), 12)))
+
+
+def _central(n: int) -> float:
+    """The chance of n // 2 heads."""
+    half = n // 2
+    if n <= 1000:
+        return math.comb(n, half) / 2**n
+    # The asymptotic series of the middle of 2 * half flips, exact to the last digits from here on.
+    middle = (1 - 1 / (8 * half) + 1 / (128 * half**2) + 5 / (1024 * half**3) - 21 / (32768 * half**4)) / math.sqrt(math.pi * half)
+    return middle * (n / (half + 1) / 2 if n % 2 else 1.0)
 
 
 def simulate(df: DataFrame, key: str, sims: int = 5, seed: int = 0, by: list[str] | None = None) -> DataFrame:
-    """Histogram of simulated p-values for rows with mat_counts and pat_counts: columns by.., p, drawn."""
+    """Histogram of simulated p-values for rows with mat_counts and pat_counts: columns by.., p, drawn.
+
+    Every draw is one uniform number looked up in the table of its depth (``coin_table``), so it costs the same at any depth. There is one table a
+    distinct depth; they are broadcast if their size allows.
+    """
     by = by or []
-    flips = F.col("mat_counts") + F.col("pat_counts")
-    draws = df.select(
-        *by,
-        flips.alias("flips"),
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(sims)),
-                lambda s: fair_coin_heads(F.col(key), s, flips, seed),
-            )
-        ).alias("heads"),
-    )
-    # p depends on (flips, heads) alone: count pairs first, map-side, then compute p per pair.
-    pairs = draws.groupBy(*by, "flips", F.least("heads", F.col("flips") - F.col("heads")).alias("heads")).agg(
-        F.count(F.lit(1)).alias("drawn")
-    )
-    p = F.round(fair_binomial_p(F.col("heads"), F.col("flips")), 12)
-    return pairs.groupBy(*by, p.alias("p")).agg(F.sum("drawn").alias("drawn"))
+    flips = (F.col("mat_counts") + F.col("pat_counts")).cast("long")
+    rows = df.select(*by, F.col(key).alias("_key"), flips.alias("flips"))
+    table = pin(coin_table(rows.where("flips IS NOT NULL").select("flips").distinct()))
+    found = lookup(rows, table, ["flips"])
+
+    def at(u: Column) -> Column:
+        size = F.size("upto")
+        j = F.least(F.floor(u * size).cast("int"), size - 1)
+        low, high = F.get("guide", j), F.get("guide", j + 1)
+        return F.get("p", low + F.size(F.filter(F.slice("upto", low + 1, high - low), lambda c: c <= u)))
+
+    drawn = found.select(*by, F.explode(F.transform(uniform(F.col("_key"), sims, seed), at)).alias("p"))
+    return drawn.groupBy(*by, "p").agg(F.count(F.lit(1)).alias("drawn"))
 
 
 # The p-values the report lists.
@@ -310,11 +348,11 @@ def fdr_cutoff(
 
 
 def fdr_filter(df: DataFrame, cutoff: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Rows with p below the ``fdr_cutoff`` of their group; groups without a cutoff keep none."""
-    below = ~F.isnan("pval") & (F.col("pval") < F.col("_cut"))
-    if by:
-        return df.join(cutoff.select(*by, F.col("p").alias("_cut")), by).where(below).drop("_cut")
-    return df.withColumn("_cut", cutoff.select(F.max("p")).scalar()).where(below).drop("_cut")
+    """Rows with p below the ``fdr_cutoff`` of their group, with that as p_cut and its fdr; groups without a cutoff keep none. One row a
+    group is looked up, the table is not shuffled for it."""
+    cut = cutoff.withColumnRenamed("p", "p_cut")
+    found = lookup(df, cut, by) if by else df.withColumns({c: cut.select(F.max(c)).scalar() for c in ("p_cut", "fdr")})
+    return found.where(~F.isnan("pval") & (F.col("pval") < F.col("p_cut")))
 
 
 # ---- reports ----

@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociframe.config import pin
 from lociframe.functions.chroms import chrom_rank
 from lociframe.plans import ranged
+from lociframe.plans.lookups import lookup
 
 
 def manhattan(points: DataFrame, log: bool = True) -> DataFrame:
@@ -23,18 +25,18 @@ def manhattan(points: DataFrame, log: bool = True) -> DataFrame:
     offsets = spans.withColumn("_offset", F.coalesce(F.sum("_hi").over(before), F.lit(0)))
     offsets = offsets.withColumn("label_x", F.col("_offset") + (F.col("_lo") + F.col("_hi")) / 2).drop("_lo", "_hi")
     y = -F.log10("p") if log else F.col("p")
-    return points.join(offsets, "chrom").withColumns({"x": F.col("_offset") + F.col("pos"), "y": y}).drop("_offset")
+    return lookup(points, offsets, ["chrom"]).withColumns({"x": F.col("_offset") + F.col("pos"), "y": y}).drop("_offset")
 
 
 def significance_line(points: DataFrame, p: float = 0.05, log: bool = True) -> DataFrame:
-    """One row: the threshold divided by the number of tests."""
-    line = F.lit(p) / F.count(F.lit(1))
+    """One row: the threshold divided by the number of tests; null without any."""
+    line = F.try_divide(F.lit(p), F.count(F.lit(1)))
     return points.agg((-F.log10(line) if log else line).alias("line"))
 
 
 def sig_flags(df: DataFrame, p: float = 0.05, x: str = "x", y: str = "y") -> DataFrame:
     """Adds sig: both, either or none of x and y at or below p / number of rows."""
-    line = F.lit(p) / df.select(F.count(F.lit(1))).scalar()
+    line = F.try_divide(F.lit(p), df.select(F.count(F.lit(1))).scalar())
     out = df.withColumn("_line", line)
     a, b = F.col(x) <= F.col("_line"), F.col(y) <= F.col("_line")
     return out.withColumn("sig", F.when(a & b, "both").when(a | b, "either").otherwise("none")).drop("_line")
@@ -181,37 +183,46 @@ def box_stats(df: DataFrame, label: str, value: str, log: bool = False) -> DataF
     counted = rows.groupBy(label, "v").agg(F.count(F.lit(1)).alias("n"))
     lo, hi = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("v") >= lo) & (F.col("v") <= hi)
-    ends = counted.join(box, label).groupBy(label).agg(
+    box = pin(box)
+    ends = lookup(counted, box, [label]).groupBy(label).agg(
         F.min(F.when(inside, F.col("v"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("v"))).alias("whisker_hi"),
         F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("outliers"),
         F.sum("n").alias("n"),
     )
-    return box.join(ends, label)
+    return lookup(ends, box, [label]).select(label, "q1", "median", "q3", "whisker_lo", "whisker_hi", "outliers", "n")
 
 
-def box_notch(df: DataFrame, label: str, value: str, boots: int = 1000, seed: int = 0) -> DataFrame:
-    """Bootstrapped 95 % interval of each label's median: label, lo, hi.
+def resampled_medians(df: DataFrame, label: str, value: str, boots: int = 1000, seed: int = 0) -> DataFrame:
+    """Medians of ``boots`` resamples of each label's values: label, boot (from 1), median. Null values take no part.
 
-    The median of a resample of n values is the value at a random rank, and the rank's spread is
-    that of a sum of n coin flips: each resampled median is drawn as one rank, normal around n/2 with
-    variance n/4, so a resample costs one row and not n.
+    A resample of n values is n uniform numbers, each standing for the value at its rank, and its median is that of the numbers. So only the middle of n uniform
+    numbers is drawn, exactly: for odd n it is Beta distributed with both parameters (n + 1) / 2, which has a closed form in two uniform numbers.
+    For even n it is drawn for n - 1, and one more number falls above or below it; the middle pair is then the drawn one and the
+    nearest of the n / 2 on that side, which are uniform there. The numbers are bits of a digest of (seed, label, resample). All ranks are
+    looked up in one sorted table of values and ranks, without a join on the label.
     """
     cum = ranged.value_counts(df, value, [label])
     sizes = cum.groupBy(label).agg(F.sum("weight").alias("_n"))
+    digest = lambda tag: F.md5(F.concat_ws(":", F.lit(f"{seed}{tag}"), F.coalesce(F.col(label).cast("string"), F.lit("")), F.col("_b").cast("string")))
+    part = lambda d, k: (F.conv(F.substring(d, 1 + 13 * k, 13), 16, 10).cast("double") + 0.5) / float(16**13)
+    draws = sizes.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(boots)))).withColumns({"_d": digest("a"), "_e": digest("b")})
+    n, half = F.col("_n"), F.expr("_n div 2")
+    odd = n % 2 == 1
+    shape = F.when(odd, half + 1).otherwise(half).cast("double")
+    draws = draws.withColumn("_m", 0.5 + 0.5 * F.sqrt(1 - F.pow(part(F.col("_d"), 0), 2 / (2 * shape - 1))) * F.cos(2 * math.pi * part(F.col("_d"), 1)))
+    m, side, near = F.col("_m"), part(F.col("_e"), 0), F.pow(part(F.col("_e"), 1), 1 / F.greatest(half, F.lit(1)).cast("double"))
+    other = F.when(odd, m).when(side > m, m + (1 - m) * (1 - near)).otherwise(m * near)
+    rank = lambda u: F.least(F.floor(n * u).cast("long"), n - 1)
+    asked = draws.select(label, "_b", F.explode(F.array(rank(m), rank(other))).alias("_at"), F.lit(1).alias("_asks"), F.lit(None).cast("double").alias("_v"))
+    known = cum.select(label, F.lit(0).alias("_b"), F.col("below").alias("_at"), F.lit(0).alias("_asks"), F.col(value).cast("double").alias("_v"))
+    s = ranged.range_sorted(known.unionByName(asked.withColumn("_b", F.col("_b").cast("int"))), label, "_at", "_asks", "_b")
+    found = ranged.carried(s, F.when(F.col("_asks") == 0, F.col("_v")), "_found").where("_asks = 1")
+    return found.groupBy(label, F.col("_b").alias("boot")).agg(F.avg("_found").alias("median"))
 
-    def u(tag: str) -> Column:
-        return (F.pmod(F.xxhash64(F.col(label), F.col("_b"), F.lit(f"{seed}{tag}")), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
 
-    gauss = F.sqrt(-2 * F.log(u("a"))) * F.cos(2 * math.pi * u("b"))
-    rank = F.round(F.col("_n") / 2 + gauss * F.sqrt(F.col("_n")) / 2 - 0.5)
-    draws = sizes.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(boots)))).select(
-        label, F.greatest(F.lit(0), F.least(rank.cast("long"), F.col("_n") - 1)).alias("_rank")
-    )
-    ends = draws.groupBy(label).agg(
-        F.floor(F.percentile("_rank", 0.025)).cast("long").alias("_lo"), F.ceil(F.percentile("_rank", 0.975)).cast("long").alias("_hi")
-    )
-    at = lambda r: (F.col(r) >= F.col("below")) & (F.col(r) < F.col("below") + F.col("weight"))
-    return cum.join(ends, label).groupBy(label).agg(
-        F.max(F.when(at("_lo"), F.col(value))).alias("lo"), F.max(F.when(at("_hi"), F.col(value))).alias("hi")
-    )
+def box_notch(df: DataFrame, label: str, value: str, boots: int = 1000, seed: int = 0) -> DataFrame:
+    """Bootstrapped 95 % interval of each label's median (``resampled_medians``): label, lo, hi."""
+    # One value a resample.
+    ends = resampled_medians(df, label, value, boots, seed).groupBy(label).agg(F.percentile("median", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
+    return ends.select(label, F.get("_q", F.lit(0)).alias("lo"), F.get("_q", F.lit(1)).alias("hi"))

@@ -1,12 +1,14 @@
 """Position and interval joins.
 
-A point meets an interval through an equi-join on (chrom, bin): the interval is listed under every
-bin it touches, the point under its one bin, and the exact bounds are checked on the joined pairs.
+Points that ask for intervals use bins of several levels, each eight times as wide as those of the level below: an interval is
+listed once, under the smallest bin that holds it, however long it is, and a point asks one bin on each level that has intervals. The exact bounds are checked on
+the joined pairs. Reads, whose rows are as long as the interval they cover, are listed under every bin of one width that they touch instead, so that the
+positions looked for in them, the smaller side, ask one bin only.
 
 The smaller side is counted and measured first. Up to BROADCAST_ROWS rows and BROADCAST_BYTES bytes it
-is broadcast, and the bigger side is not shuffled at all. Beyond that both sides are shuffled by (chrom, bin). The few bins that then hold
+is broadcast, and the bigger side is not shuffled at all. Beyond that both sides are shuffled by (chrom, level, bin). The few bins that then hold
 more than an even share of the bigger side are split: their rows are spread over several salts and
-the other side is repeated for just those bins. At most one bin per share can be that full, which
+the other side is repeated for just those bins. At most one bin a share and level can be that full, which
 bounds the list of full bins by the number of shuffle partitions.
 
 Both ways give the same rows. Columns that are only carried along may have any type and stay as they are.
@@ -18,38 +20,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociframe.config import parallelism, pin
+from lociframe.config import BROADCAST_BYTES, BROADCAST_ROWS, fits, parallelism, pin, row_bytes
 from lociframe.functions.bases import revcomp
 
 BIN = 16384
-# Most rows and bytes of the smaller side that are broadcast, and most intervals listed under one bin for that.
-BROADCAST_ROWS = 500_000
-BROADCAST_BYTES = 64 << 20
+# Each level's bins are so many times as wide as those of the level below; most levels, beyond which one bin holds all.
+FACTOR, LEVELS = 8, 14
+# Most intervals listed under one bin for a broadcast of lists.
 BROADCAST_PER_BIN = 256
+# Rows that agree in all columns and lie in a full bin travel as one row for so many.
+PILE = 256
+_KEY = ["chrom", "_level", "_bin"]
 
 
 def _bin(pos: Column, width: int) -> Column:
     return F.floor(pos / F.lit(width)).cast("long")
 
 
-def _row_bytes(df: DataFrame) -> Column:
-    """At least the bytes a row takes in memory. Nested values count by their text: an item of eight
-    bytes has two characters or more with its separator."""
-    size = F.lit(64).cast("long")
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            size = size + 16 + F.coalesce(F.octet_length(f.name), F.lit(0))
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-            size = size + 64 + 8 * F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0))
-        else:
-            size = size + 16
-    return size
+def _widths(width: int) -> list[int]:
+    return [width * FACTOR**k for k in range(LEVELS) if width * FACTOR**k < 1 << 58]
+
+
+def _bin_on(pos: Column, width: int, level: int) -> Column:
+    """The bin of a position on a level. Positions are moved by a constant that keeps 0, where many intervals start, off the edges of wide bins."""
+    widths = _widths(width)
+    if level >= len(widths):
+        return F.lit(0).cast("long")
+    return F.call_function("div", pos.cast("long") + sum(widths), F.lit(widths[level]).cast("long"))
+
+
+def _listed(intervals: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """Non-empty intervals with the level and number of the smallest bin that holds them."""
+    first, last = F.col(start), F.col(end) - 1
+    levels = range(len(_widths(width)))
+    place = lambda k: F.struct(F.lit(k).alias("level"), _bin_on(first, width, k).alias("bin"))
+    found = None
+    for k in levels:
+        one = _bin_on(first, width, k) == _bin_on(last, width, k)
+        found = F.when(one, place(k)) if found is None else found.when(one, place(k))
+    at = intervals.where(F.col(end) > F.col(start)).withColumn("_place", found.otherwise(place(len(levels))))
+    return at.withColumns({"_level": F.col("_place.level"), "_bin": F.col("_place.bin")}).drop("_place")
+
+
+def _asking(points: DataFrame, pos: str, width: int, levels: list[int]) -> DataFrame:
+    """A row for each point and level."""
+    place = [F.struct(F.lit(k).alias("_level"), _bin_on(F.col(pos), width, k).alias("_bin")) for k in levels]
+    if len(place) == 1:
+        return points.withColumns({"_level": F.lit(levels[0]), "_bin": _bin_on(F.col(pos), width, levels[0])})
+    return points.withColumn("_p", F.explode(F.array(*place)) if place else F.explode(F.array().cast("array<struct<_level:int,_bin:bigint>>"))).withColumns(
+        {"_level": F.col("_p._level"), "_bin": F.col("_p._bin")}
+    ).drop("_p")
+
+
+def _levels_of(listed: DataFrame) -> list[int]:
+    return sorted(r[0] for r in listed.select("_level").distinct().collect())
 
 
 def _fits(df: DataFrame, rows: int) -> bool:
-    """Whether a table has at most so many rows, and bytes, that it may be broadcast."""
-    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(df)).alias("bytes")).first()
-    return size["rows"] <= rows and (size["bytes"] or 0) <= BROADCAST_BYTES
+    return fits(df, rows, BROADCAST_BYTES)
 
 
 def _hashable(df: DataFrame) -> list[str]:
@@ -57,17 +85,33 @@ def _hashable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if '"map"' not in f.dataType.json() and '"variant"' not in f.dataType.json()]
 
 
-def _full_bins(rows: DataFrame, at: Column, width: int, shares: int) -> DataFrame:
-    """Bins with more than 1/shares of all rows, and in how many salts to split each.
+def _full_bins(big: DataFrame, rows: DataFrame, shares: int) -> DataFrame:
+    """Bins of ``big`` with more than 1/shares of all ``rows``, and in how many salts to split each."""
+    sizes = big.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("_size"))
+    total = rows.select(F.count(F.lit(1))).scalar()
+    return sizes.where(F.col("_size") * shares > total).select(*_KEY, F.ceil(F.col("_size") * shares / total).cast("int").alias("_salts"))
+
+
+#: Types whose equal values are the same to the bit, so that rows of them may be counted in place of each other.
+_PLAIN = (T.StringType, T.BinaryType, T.BooleanType, T.IntegralType, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType)
+
 
-    Reads chrom and one position column only. Intervals count in the bin they start in: the list
-    only decides how to spread rows, not which ones meet.
+def _spread_out(big: DataFrame, full: DataFrame) -> DataFrame:
+    """``big`` with a salt in full bins, and ``_times``, for how many equal rows a row stands.
+
+    A row's salt is a hash of it, which a retried task repeats. Equal rows of a full bin are counted, so that a pile of them is a few rows
+    with salts of their own; where a column cannot be counted by (floating point, nested), they stay together.
     """
-    sizes = rows.groupBy("chrom", _bin(at, width).alias("_bin")).agg(F.count(F.lit(1)).alias("_size"))
-    total = rows.select(F.count(F.lit(1))).scalar()
-    return sizes.where(F.col("_size") * shares > total).select(
-        "chrom", "_bin", F.ceil(F.col("_size") * shares / total).cast("int").alias("_salts")
-    )
+    marked = big.join(F.broadcast(full), _KEY, "left")
+    hashed = F.xxhash64(*_hashable(big))
+    if not all(isinstance(f.dataType, _PLAIN) for f in big.schema.fields):
+        return marked.withColumn("_salt", F.pmod(hashed, F.coalesce("_salts", F.lit(1))).cast("int")).withColumn("_times", F.lit(1)).drop("_salts")
+    alone = marked.where("_salts IS NULL").withColumns({"_salt": F.lit(0), "_times": F.lit(1)})
+    piles = marked.where("_salts IS NOT NULL").groupBy(*big.columns, "_salts").agg(F.count(F.lit(1)).alias("_equal"))
+    piles = piles.withColumn("_pile", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_equal - 1) div {PILE}"))))
+    times = F.least(F.lit(PILE), F.col("_equal") - F.col("_pile") * PILE).cast("int")
+    piles = piles.withColumns({"_salt": F.pmod(hashed + F.col("_pile"), F.col("_salts")).cast("int"), "_times": times})
+    return alone.drop("_salts").unionByName(piles.drop("_salts", "_equal", "_pile"))
 
 
 def bin_join(
@@ -80,41 +124,41 @@ def bin_join(
     shares: int | None = None,
     spread: str = "points",
     broadcast_rows: int = BROADCAST_ROWS,
+    levels: list[int] | None = None,
 ) -> DataFrame:
     """Inner join of every point with every half-open interval over it.
 
     Both sides need a ``chrom`` column and otherwise distinct names. ``spread`` names the bigger side,
-    whose full bins are split; the other side is repeated there, or broadcast if it is small.
+    whose full bins are split; the other side is repeated there, or broadcast if it is small. With
+    ``points`` the bins have levels (see above; ``levels`` saves finding those of the intervals), with ``intervals`` one width.
     ``shares=0`` saves the count of the bins and leaves full ones to the skew handling of adaptive
-    execution. Keeps ``_bin`` and ``_salt``, by which a shuffled result is partitioned. Rows are spread by
-    a hash of themselves, which a retried task repeats; so rows that agree in all columns stay together.
+    execution. Keeps ``_level``, ``_bin`` and ``_salt``.
     """
     if spread not in ("points", "intervals"):
         raise ValueError("spread must be points or intervals")
     shares = parallelism(points.sparkSession) if shares is None else shares
-    pts = points.withColumn("_bin", _bin(F.col(pos), width))
-    ivs = intervals.where(F.col(end) > F.col(start)).withColumn(
-        "_bin", F.explode(F.sequence(_bin(F.col(start), width), _bin(F.col(end) - 1, width)))
-    )
     within = (F.col(pos) >= F.col(start)) & (F.col(pos) < F.col(end))
-    zero = F.lit(0)
-    if broadcast_rows:
-        little = ivs if spread == "points" else pts
-        if _fits(little, broadcast_rows):
-            big = pts if spread == "points" else ivs
-            return big.withColumn("_salt", zero).join(F.broadcast(little), ["chrom", "_bin"]).where(within)
-    if not shares:
-        return pts.withColumn("_salt", zero).join(ivs.withColumn("_salt", zero), ["chrom", "_bin", "_salt"]).where(within)
     if spread == "points":
-        big, small, full = pts, ivs, _full_bins(points, F.col(pos), width, shares)
+        ivs = _listed(intervals, start, end, width)
+        pts = _asking(points, pos, width, _levels_of(ivs) if levels is None else levels)
+        big, small, rows = pts, ivs, points
     else:
-        big, small, full = ivs, pts, _full_bins(intervals, F.col(start), width, shares)
-    # Fewer than ``shares`` bins can hold more than 1/shares of the rows each: a bounded broadcast.
-    full = F.broadcast(full)
-    salts = F.coalesce("_salts", F.lit(1))
-    big = big.join(full, ["chrom", "_bin"], "left").withColumn("_salt", F.pmod(F.xxhash64(*_hashable(big)), salts).cast("int"))
-    small = small.join(full, ["chrom", "_bin"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return big.drop("_salts").join(small.drop("_salts"), ["chrom", "_bin", "_salt"]).where(within)
+        pts = points.withColumns({"_level": F.lit(0), "_bin": _bin(F.col(pos), width)})
+        touched = F.explode(F.sequence(_bin(F.col(start), width), _bin(F.col(end) - 1, width)))
+        ivs = intervals.where(F.col(end) > F.col(start)).withColumns({"_level": F.lit(0), "_bin": touched})
+        big, small, rows = ivs, pts, intervals
+    zero = F.lit(0)
+    if broadcast_rows and _fits(small, broadcast_rows):
+        return big.withColumn("_salt", zero).join(F.broadcast(small), _KEY).where(within)
+    if not shares:
+        return pts.withColumn("_salt", zero).join(ivs.withColumn("_salt", zero), [*_KEY, "_salt"]).where(within)
+    # Fewer than ``shares`` bins of a level can hold more than 1/shares of the rows each: a bounded broadcast.
+    full = pin(_full_bins(big, rows, shares))
+    if full.isEmpty():
+        return big.withColumn("_salt", zero).join(small, _KEY).where(within)
+    many = small.join(F.broadcast(full), _KEY, "left").withColumn("_salt", F.explode(F.sequence(zero, F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    joined = _spread_out(big, full).join(many, [*_KEY, "_salt"]).where(within)
+    return joined.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
 
 
 def assign_interval(
@@ -146,20 +190,18 @@ def assign_interval(
         .groupBy(*same)
         .agg(F.min(F.struct("_order", "_take")).alias("_best"))
     )
-    if broadcast_rows:
-        bins = F.sequence(_bin(F.col("_start"), width), _bin(F.col("_end") - 1, width))
-        binned = ivs.withColumn("_bin", F.explode(bins))
-        sizes = binned.groupBy("chrom", "_bin").agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(binned)).alias("b"))
-        sizes = sizes.agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("b").alias("bytes")).first()
-        if (sizes["all"] or 0) <= broadcast_rows and (sizes["most"] or 0) <= BROADCAST_PER_BIN and (sizes["bytes"] or 0) <= BROADCAST_BYTES:
-            return _assign_by_list(points, binned, take, pos, strand, width)
+    listed = _listed(ivs, "_start", "_end", width)
+    sizes = listed.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(listed)).alias("b"))
+    sizes = sizes.agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("b").alias("bytes"), F.collect_set("_level").alias("levels")).first()
+    levels = sorted(sizes["levels"])
+    if (sizes["all"] or 0) <= broadcast_rows and (sizes["most"] or 0) <= BROADCAST_PER_BIN and (sizes["bytes"] or 0) <= BROADCAST_BYTES:
+        return _assign_by_list(points, listed, take, pos, strand, width, levels)
     place = ["chrom", pos, *([strand] if strand else [])]
     once = points.groupBy(*place).agg(F.count(F.lit(1)).alias("_copies"))
-    hits = bin_join(once, ivs, pos, "_start", "_end", width, broadcast_rows=0)
+    hits = bin_join(once, ivs, pos, "_start", "_end", width, broadcast_rows=0, levels=levels)
     if strand:
         hits = hits.where(F.col(strand) == F.col("_strand"))
-    # Grouping by (chrom, _bin, _salt, ...) keeps the partitioning of the join: no further shuffle.
-    won = hits.groupBy("chrom", "_bin", "_salt", *place[1:], "_copies").agg(F.min("_best").alias("_best"))
+    won = hits.groupBy(*place, "_copies").agg(F.min("_best").alias("_best"))
     won = pin(won.select(*place, "_copies", F.col("_best._take").alias("_take")))
     shares = parallelism(points.sparkSession)
     crowded = F.col("_copies") * shares > won.select(F.sum("_copies")).scalar()
@@ -169,20 +211,25 @@ def assign_interval(
     return points.join(hot, place).select(*out).unionAll(apart.select(*out))
 
 
-def _assign_by_list(points: DataFrame, binned: DataFrame, take: str, pos: str, strand: str | None, width: int) -> DataFrame:
+def _assign_by_list(points: DataFrame, listed: DataFrame, take: str, pos: str, strand: str | None, width: int, levels: list[int]) -> DataFrame:
     """The lookup for an interval table that fits a broadcast: each bin's intervals as a list in file
     order, so a point finds its interval where it stands, without shuffle or aggregation."""
     entry = F.struct("_best", "_start", "_end", *(["_strand"] if strand else []))
-    lists = F.broadcast(binned.groupBy("chrom", "_bin").agg(F.array_sort(F.collect_list(entry)).alias("_list")))
-    at = points.withColumn("_bin", _bin(F.col(pos), width)).join(lists, ["chrom", "_bin"])
+    lists = listed.groupBy(*_KEY).agg(F.array_sort(F.collect_list(entry)).alias("_list"))
+    none = F.array().cast(lists.schema["_list"].dataType)
 
     def over(i: Column) -> Column:
         inside = (i["_start"] <= F.col(pos)) & (i["_end"] > F.col(pos))
         return inside & (i["_strand"] == F.col(strand)) if strand else inside
 
-    # Through a generator, so that the test for a hit is not pushed into the join condition, where Spark
+    at, firsts = points, [none]
+    for k in levels:
+        named = lists.where(F.col("_level") == k).select(F.col("chrom").alias(f"_c{k}"), F.col("_bin").alias(f"_b{k}"), F.col("_list").alias(f"_l{k}"))
+        at = at.join(F.broadcast(named), (F.col("chrom") == F.col(f"_c{k}")) & (_bin_on(F.col(pos), width, k) == F.col(f"_b{k}")), "left")
+        firsts.append(F.coalesce(F.slice(F.filter(f"_l{k}", over), 1, 1), none))
+    # Through a generator, so that the test for a hit is not pushed into a join condition, where Spark
     # cannot evaluate a lambda over columns of both sides.
-    first = F.explode_outer(F.slice(F.filter("_list", over), 1, 1))
+    first = F.explode_outer(F.slice(F.array_sort(F.flatten(F.array(*firsts))), 1, 1))
     found = at.withColumn("_hit", first).where(F.col("_hit").isNotNull())
     return found.select(*points.columns, F.col("_hit._best._take").alias(take))
 
@@ -219,44 +266,78 @@ def reads_x_snps(
     hits = bin_join(snps, spans, "pos", "_start", "_end", width, spread="intervals", broadcast_rows=broadcast_rows)
     at = (F.col("pos") - F.col("start") + 1).cast("int")
     base = F.when(at > 0, F.substring("seq", at, F.lit(1))).otherwise("")
-    return hits.withColumn("base", base).drop("_bin", "_salt", "_start", "_end")
+    return hits.withColumn("base", base).drop("_level", "_bin", "_salt", "_start", "_end")
 
 
 # ---- lookups in a tiled genome: columns chrom, tile, seq; tile t holds bases t*size .. (t+1)*size-1 ----
 
+_TILE = ["chrom", "tile"]
+
+
+def flanked(tiles: DataFrame, size: int, flank: int) -> DataFrame:
+    """Tiles that overlap: adds ``before`` and ``after``, up to ``flank`` bases of the sequence on both sides of each tile.
+
+    Every tile hands its ends to its neighbours, so what moves is twice the flank a tile, not the sequence once for every position. A flank longer than
+    a tile reaches over as many tiles as it takes.
+    """
+    reach = -(-flank // size)
+    # Bases that tile t + k needs of tile t: behind it its last ones, before it its first ones.
+    give = [
+        F.struct((F.col("tile") + k).alias("tile"), F.lit(-k).alias("at"), (F.substring("seq", 1, flank - (-k - 1) * size) if k < 0 else F.right("seq", F.lit(flank - (k - 1) * size))).alias("ends"))
+        for k in (*range(-reach, 0), *range(1, reach + 1))
+    ]
+    handed = tiles.select("chrom", F.inline(F.array(*give))) if give else None
+    if handed is None:
+        return tiles.select(*_TILE, "seq", F.lit("").alias("before"), F.lit("").alias("after"))
+    own = tiles.select(*_TILE, F.lit(0).alias("at"), F.col("seq").alias("ends"))
+    # At most 2 * reach + 1 rows a tile.
+    pieces = own.unionByName(handed).groupBy(*_TILE).agg(F.array_sort(F.collect_list(F.struct("at", "ends"))).alias("p"))
+    side = lambda test: F.array_join(F.transform(F.filter("p", lambda x: test(x["at"])), lambda x: x["ends"]), "")
+    whole = pieces.select(*_TILE, side(lambda a: a == 0).alias("seq"), side(lambda a: a < 0).alias("before"), side(lambda a: a > 0).alias("after"), F.exists("p", lambda x: x["at"] == 0).alias("there"))
+    return whole.where("there").drop("there")
+
+
+def _at_tiles(positions: DataFrame, tiles: DataFrame, size: int, pos: str) -> DataFrame:
+    """Every position with its tile, by one equi-join; positions off the genome go. Where a tile has more than an even share of the
+    positions, these are spread over salts and the tile is repeated; there are fewer such tiles than shares."""
+    asked = positions.where(F.col(pos) >= 0).withColumn("tile", _bin(F.col(pos), size))
+    clash = {c: f"_t_{c}" for c in tiles.columns if c not in _TILE}
+    named = tiles.select(*_TILE, *[F.col(c).alias(n) for c, n in clash.items()])
+    inside = F.col(pos) - F.col("tile") * size < F.length("_t_seq")
+    if _fits(named, BROADCAST_ROWS):
+        return asked.join(F.broadcast(named), _TILE).where(inside)
+    shares = parallelism(positions.sparkSession)
+    total = positions.select(F.count(F.lit(1))).scalar()
+    full = asked.groupBy(*_TILE).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") * shares > total)
+    full = pin(full.select(*_TILE, F.ceil(F.col("_size") * shares / total).cast("int").alias("_salts")))
+    if full.isEmpty():
+        return asked.join(named, _TILE).where(inside)
+    # Positions of a tile differ; copies of one are told apart by their other columns where they have any.
+    salts = F.coalesce("_salts", F.lit(1))
+    spread = asked.join(F.broadcast(full), _TILE, "left").withColumn("_salt", F.pmod(F.xxhash64(*_hashable(positions)), salts).cast("int")).drop("_salts")
+    repeated = named.join(F.broadcast(full), _TILE, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return spread.join(repeated, [*_TILE, "_salt"]).where(inside).drop("_salt")
+
 
 def windows(positions: DataFrame, tiles: DataFrame, size: int, before: int, after: int, pos: str = "pos") -> DataFrame:
     """Bases pos-before .. pos+after around each position as ``window``.
 
     Windows cut by an end of the sequence are shorter and have ``is_edge`` set; positions outside the
-    sequence go. Positions are
-    matched once per distinct (chrom, pos); each asks only for the tiles its window touches.
+    sequence go. The tiles are given flanks as long as the window reaches, so that a position finds its whole window in one tile.
     """
-    wanted = positions.select("chrom", F.col(pos).alias("_p")).distinct()
-    lo, hi = F.greatest(F.col("_p") - before, F.lit(0)), F.col("_p") + after
-    asked = wanted.where((hi >= 0) & (F.col("_p") >= 0)).withColumn(
-        "tile", F.explode(F.sequence(_bin(lo, size), _bin(hi, size)))
-    )
-    base = F.col("tile") * size
-    first, last = F.greatest(lo, base), F.least(hi, base + F.length("seq") - 1)
-    pieces = (
-        asked.join(tiles.select("chrom", "tile", "seq"), ["chrom", "tile"])
-        .withColumn("_own", (F.col("_p") >= base) & (F.col("_p") < base + F.length("seq")))
-        .withColumn("_piece", F.substring("seq", (first - base + 1).cast("int"), (last - first + 1).cast("int")))
-        .where(F.length("_piece") > 0)
-        .groupBy("chrom", "_p")
-        .agg(F.array_sort(F.collect_list(F.struct("tile", "_piece"))).alias("_pieces"), F.max("_own").alias("_own"))
-        .where("_own")
-        .select("chrom", F.col("_p").alias(pos), F.array_join(F.col("_pieces._piece"), "").alias("window"))
-        .withColumn("is_edge", F.length("window") < before + after + 1)
-    )
-    return positions.join(pieces, ["chrom", pos])
+    at = _at_tiles(positions, flanked(tiles, size, max(before, after)), size, pos)
+    whole = F.concat("_t_before", "_t_seq", "_t_after")
+    here = F.length("_t_before") + F.col(pos) - F.col("tile") * size  # place in it, from 0
+    first = F.greatest(here - before, F.lit(0))
+    window = F.substring(whole, (first + 1).cast("int"), (here + after + 1 - first).cast("int"))
+    found = at.withColumn("window", window).withColumn("is_edge", F.length("window") < before + after + 1)
+    return found.select(*positions.columns, "window", "is_edge")
 
 
 def base_at(positions: DataFrame, tiles: DataFrame, size: int, pos: str = "pos") -> DataFrame:
     """The genome base at each position, column ``base``; positions off the genome go."""
-    at = positions.withColumn("tile", _bin(F.col(pos), size)).join(tiles.select("chrom", "tile", "seq"), ["chrom", "tile"])
-    base = F.substring("seq", (F.col(pos) - F.col("tile") * size + 1).cast("int"), F.lit(1))
+    at = _at_tiles(positions, tiles.select(*_TILE, "seq"), size, pos)
+    base = F.substring("_t_seq", (F.col(pos) - F.col("tile") * size + 1).cast("int"), F.lit(1))
     return at.withColumn("base", base).where(F.length("base") > 0).select(*positions.columns, "base")
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lociframe.config import parallelism, pin
 from lociframe.plans import ranged
@@ -36,39 +40,201 @@ def peak_flags(peaks: DataFrame) -> DataFrame:
     return ranged.running_total(flagged, (~F.col("overlaps_prev")).cast("long"), "island")
 
 
-def _scan(part_states: dict[int, tuple[int, int]], emit_rows: bool) -> Callable:
-    """Walk the parts of a sorted peak table, keeping the open cluster's start and end.
+def _steps(batch, limit: float):
+    """(kind, start, end, share) of the peaks of an Arrow batch; kind 0 opens a cluster, 1 joins, 2 joins if ``share``, what it reaches
+    into the one before, is more than ``limit`` of the open cluster's length."""
+    columns = (batch.column(c).to_pylist() for c in ("_kind", "start", "end", "prev_end"))
+    for kind, start, end, prev_end in zip(*columns, strict=True):
+        yield kind, start, end, abs(prev_end - start)
 
-    Each part starts from the state in ``part_states``. Emits either the rows' start marks or the
-    state at the end of each part.
+
+def _opens(kind: int, share: int, lo: int, hi: int, limit: float) -> bool:
+    return kind == 0 or (kind == 2 and not (hi != lo and share / (hi - lo) > limit))
+
+
+def _longest(share: int, limit: float) -> int | None:
+    """The least length of an open cluster that a peak of kind 2 does not join; None if it joins all."""
+    if limit < 0 or (limit == 0 and share):
+        return None
+    length = max(1, int(share / limit)) if share else 1
+    while share / length > limit:
+        length += 1
+    while length > 1 and share / (length - 1) <= limit:
+        length -= 1
+    return length
+
+
+class Stretch:
+    """What a stretch of sorted peaks does to the cluster (lo, hi) that is open before it, for every such cluster.
+
+    The cluster goes through until a peak opens another; from there on all is known. Which peak that is depends on lo and hi through three
+    conditions, each of which only its first hits matter to: ``by_lo`` (greatest lo, place, end state), as the cluster has grown over the stretch; ``by_length``
+    (least length, place, end state), as it came; ``by_zero`` for a cluster without length. ``fixed`` (place, end state) opens in any case. Without any of them the
+    cluster goes through and ends at ``top`` at least. Two stretches one after the other are such a stretch again.
+    """
+
+    def __init__(self, first: int, top: int | None = None, by_lo=(), by_length=(), by_zero=None, fixed=None):
+        self.first, self.top, self.by_lo, self.by_length, self.by_zero, self.fixed = first, top, list(by_lo), list(by_length), by_zero, fixed
+
+    def after(self, lo: int, hi: int) -> tuple[int, int]:
+        """The open cluster at the end, given the one before."""
+        hits = [self.fixed] if self.fixed else []
+        if self.by_zero and lo == hi and (self.by_zero[0] is None or self.by_zero[0] <= lo):
+            hits.append(self.by_zero[1:])
+        k = bisect_left(self.by_lo, lo, key=lambda r: r[0])
+        hits += [self.by_lo[k][1:]] if k < len(self.by_lo) else []
+        k = bisect_left(self.by_length, lo - hi, key=lambda r: -r[0])
+        hits += [self.by_length[k][1:]] if k < len(self.by_length) else []
+        if hits:
+            return tuple(min(hits)[1:])
+        return lo, hi if self.top is None else max(hi, self.top)
+
+    def then(self, late: Stretch) -> Stretch:
+        """This stretch and the one behind it as one."""
+        through = lambda r, keys: [*r[:keys], *late.after(*r[keys:])]
+        by_lo, by_length = [through(r, 2) for r in self.by_lo], [through(r, 2) for r in self.by_length]
+        by_zero = through(self.by_zero, 2) if self.by_zero else None
+        if self.fixed:
+            return Stretch(self.first, self.top, by_lo, by_length, by_zero, through(self.fixed, 1))
+        # In the later stretch the cluster has grown to the top of this one, too.
+        grown = [[self.top - r[0], *r[1:]] for r in late.by_length]
+        out = Stretch(self.first, max(self.top, late.top), by_lo, by_length, by_zero, late.fixed)
+        for r in sorted([*late.by_lo, *grown], key=lambda r: (r[1], -r[0])):
+            out.hit(lo=r)
+        for r in late.by_length:
+            out.hit(length=r)
+        if by_zero is None and late.by_zero:
+            out.by_zero = [self.top if late.by_zero[0] is None else max(self.top, late.by_zero[0]), *late.by_zero[1:]]
+        return out
+
+    def hit(self, lo=None, length=None) -> None:
+        """Keep a condition if an earlier one does not hold wherever it does."""
+        if lo and (not self.by_lo or lo[0] > self.by_lo[-1][0]) and not (self.fixed and self.fixed[0] < lo[1]):
+            if lo[0] >= self.first:  # no open cluster starts behind the first peak
+                if not self.fixed or lo[1] < self.fixed[0]:
+                    self.fixed = lo[1:]
+            else:
+                self.by_lo.append(lo)
+        if length and (not self.by_length or length[0] < self.by_length[-1][0]) and not (self.fixed and self.fixed[0] < length[1]):
+            self.by_length.append(length)
+
+    def to_json(self) -> str:
+        return json.dumps([self.first, self.top, self.by_lo, self.by_length, self.by_zero, self.fixed])
+
+    @classmethod
+    def from_json(cls, text: str) -> Stretch:
+        return cls(*json.loads(text))
+
+
+class _Walk:
+    """Builds the ``Stretch`` of a part peak by peak. All clusters that conditions may have opened are followed together; those that a
+    peak closes are one from there on."""
+
+    def __init__(self, limit: float):
+        self.limit, self.stretch, self.live = limit, None, []
+
+    def peak(self, place: int, kind: int, start: int, end: int, share: int) -> None:
+        s = self.stretch = self.stretch or Stretch(start)
+        opened, kept = [], []
+        for lo, hi, told in self.live:
+            if _opens(kind, share, lo, hi, self.limit):
+                opened += told
+            else:
+                kept.append((lo, max(hi, end), told))
+        if not s.fixed:
+            if kind == 0:
+                s.fixed = [place, start, end]
+                opened.append(s.fixed)
+            elif kind == 2:
+                length = _longest(share, self.limit)
+                if s.by_zero is None:
+                    s.by_zero = [s.top, place, start, end]
+                    opened.append(s.by_zero)
+                if length is not None:
+                    if s.top is not None:
+                        r = [s.top - length, place, start, end]
+                        s.hit(lo=r)
+                        opened += [s.fixed] if s.fixed else [r] if s.by_lo and s.by_lo[-1] is r else []
+                    r = [length, place, start, end]
+                    s.hit(length=r)
+                    opened += [r] if s.by_length and s.by_length[-1] is r else []
+            s.top = end if s.top is None else max(s.top, end)
+        self.live = [*kept, (start, end, opened)] if opened else kept
+
+    def done(self) -> Stretch:
+        for lo, hi, told in self.live:
+            for r in told:
+                r[-2:] = [int(lo), int(hi)]
+        return self.stretch
+
+
+def _open_clusters(steps: DataFrame, limit: float) -> DataFrame:
+    """The cluster open before each part of ``steps``: _part, _lo, _hi.
+
+    Every part is walked once to its ``Stretch``; stretches are joined with the one 1, 2, 4, ... parts before, so the rounds are
+    log2 of the parts, whatever the peaks are like.
     """
     def walk(batches):
-        import pandas as pd
+        part, w, n = None, None, 0
+        for batch in batches:
+            for p, at, step in zip(batch.column("_part").to_pylist(), batch.column("_at").to_pylist(), _steps(batch, limit), strict=True):
+                if p != part:
+                    if w:
+                        yield _row(part, w)
+                    part, w = p, _Walk(limit)
+                w.peak((p << 33) + at, *step)
+                n += 1
+        if w:
+            yield _row(part, w)
+
+    def _row(part, w):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([w.done().to_json()])], names=["_part", "does"])
+
+    @F.pandas_udf("string")
+    def joined(early: pd.Series, late: pd.Series) -> pd.Series:
+        return pd.Series([b if a is None else Stretch.from_json(a).then(Stretch.from_json(b)).to_json() for a, b in zip(early, late, strict=True)], dtype=object)
+
+    @F.pandas_udf("lo long, hi long")
+    def reached(does: pd.Series) -> pd.DataFrame:
+        # The first peak of all opens a cluster, so the state before it does not matter.
+        return pd.DataFrame([Stretch.from_json(d).after(0, 0) if d else (0, 0) for d in does], columns=["lo", "hi"])
+
+    does = steps.mapInArrow(walk, "_part int, does string")
+    now = pin(does.withColumn("n", F.row_number().over(Window.orderBy("_part"))))
+    parts, step = now.count(), 1
+    while step < parts:
+        early = now.select((F.col("n") + step).alias("k"), F.col("does").alias("early"))
+        now = pin(now.join(early, F.col("n") == F.col("k"), "left").select("_part", "n", joined("early", "does").alias("does")))
+        step *= 2
+    before = now.select((F.col("n") + 1).alias("k"), reached("does").alias("open"))
+    return now.join(before, F.col("n") == F.col("k"), "left").select(
+        F.col("_part"), F.coalesce("open.lo", F.lit(0)).alias("_lo"), F.coalesce("open.hi", F.lit(0)).alias("_hi")
+    )
 
-        state, part = None, None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            if part is None:
-                part = int(pdf["_part"].iloc[0])
-                state = part_states.get(part, (0, 0))
-            lo, hi = state
+
+def _marked(steps: DataFrame, limit: float) -> DataFrame:
+    """``steps`` with ``opens``: whether a peak opens a cluster. ``_lo`` and ``_hi`` tell the cluster open before the part."""
+    def walk(batches):
+        import pyarrow as pa
+
+        part, lo, hi = None, 0, 0
+        for batch in batches:
             marks = []
-            for kind, start, end, prev_end, limit in zip(pdf["_kind"], pdf["start"], pdf["end"], pdf["prev_end"], pdf["_limit"]):
-                # kind 0: opens a cluster; 1: joins; 2: joins if it overlaps enough of the open cluster.
-                opens = kind == 0 or (kind == 2 and not (hi != lo and abs((prev_end - start) / (lo - hi)) > limit))
-                if opens:
+            for p, a, b, (kind, start, end, share) in zip(*(batch.column(c).to_pylist() for c in ("_part", "_lo", "_hi")), _steps(batch, limit), strict=True):
+                if p != part:
+                    part, lo, hi = p, a, b
+                new = _opens(kind, share, lo, hi, limit)
+                if new:
                     lo, hi = start, end
                 elif end > hi:
                     hi = end
-                marks.append(opens)
-            state = (int(lo), int(hi))
-            if emit_rows:
-                yield pd.DataFrame({"_part": pdf["_part"], "_at": pdf["_at"], "opens": marks})
-        if not emit_rows and part is not None:
-            yield pd.DataFrame({"_part": [part], "lo": [state[0]], "hi": [state[1]]})
+                marks.append(new)
+            keep = [batch.column(c) for c in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(marks, pa.bool_())], names=[*batch.schema.names, "opens"])
 
-    return walk
+    return steps.mapInArrow(walk, T.StructType([*steps.schema.fields, T.StructField("opens", T.BooleanType())]))
 
 
 def peak_merge(peaks: DataFrame, overlap: float = OVERLAP, by_row: bool = False) -> DataFrame:
@@ -80,11 +246,8 @@ def peak_merge(peaks: DataFrame, overlap: float = OVERLAP, by_row: bool = False)
     one before. Fold and log10 p are halved into the cluster's value one after the other.
 
     What a peak does depends on the cluster open before it, so a cluster may reach over the parts
-    of the sorted table. All parts are walked at once from a guessed state; parts whose state at the start
-    turns out to be another are walked again until none is left. The fixed point is the sequential result.
-    A peak without overlap to the one before forgets what was before, so where every part has one this takes
-    two rounds. Where peaks overlap densely over many parts, a round may settle one part only, and then walks
-    few parts. One row per part goes through the driver.
+    of the sorted table. Every part is walked twice: once for what it does to any cluster that may be open before it (``Stretch``), and,
+    after these have been put together by doubling, once for its peaks. The result is that of one walk over all.
     """
     f = peak_flags(peaks)
     joins_last = F.col("is_last") & F.coalesce(F.col("start") - SLACK < F.col("prev_end"), F.lit(False))
@@ -94,36 +257,13 @@ def peak_merge(peaks: DataFrame, overlap: float = OVERLAP, by_row: bool = False)
         .when(F.col("overlaps_next"), 2)
         .otherwise(1)
     )
-    cols = ["_part", "_at", "chrom", "start", "end", "key", "pop", "fold", "l10p"]
-    steps = pin(
-        f.withColumns({"_kind": kind, "_limit": F.lit(float(overlap)), "prev_end": F.coalesce("prev_end", F.lit(0).cast("long"))})
-        .select(*cols, "_kind", "_limit", "prev_end")
-        .repartitionByRange(parallelism(peaks.sparkSession), "_part")
-        .sortWithinPartitions("_part", "_at")
-        .withColumn("_walk", F.spark_partition_id())
-    )
-    # Parts as they lie on disk now; renumber by physical partition so that a walk sees whole ones.
-    walkable = steps.select(F.col("_walk").alias("_part"), F.monotonically_increasing_id().alias("_at"), "start", "end", "prev_end", "_kind", "_limit")
-
-    states: dict[int, tuple[int, int]] = {}
-    ends: dict[int, tuple[int, int]] = {}
-    todo = walkable
-    while True:
-        walked = todo.mapInPandas(_scan(states, False), "_part int, lo long, hi long").collect()
-        ends |= {r["_part"]: (r["lo"], r["hi"]) for r in walked}
-        order = sorted(ends)
-        incoming = {b: ends[a] for a, b in zip(order, order[1:])}
-        changed = [b for b in incoming if incoming[b] != states.get(b, (0, 0))]
-        states = incoming
-        if not changed:
-            break
-        todo = walkable.where(F.col("_part").isin(changed))
-
-    rows = walkable.mapInPandas(_scan(states, True), "_part int, _at long, opens boolean")
-    marked = steps.withColumns({"_row": F.monotonically_increasing_id()}).drop("_part", "_at").join(
-        rows.select(F.col("_at").alias("_row"), "opens"), "_row"
-    )
-    s = ranged.range_sorted(marked.drop("_row", "_walk", "_kind", "_limit", "prev_end"), *_ORDER)
+    cols = ["_part", "_at", "chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "key", "pop", "fold", "l10p"]
+    limit = float(overlap)
+    # The windows of the flags leave each part whole in one partition, in order, and the checkpoint keeps it there.
+    flagged = f.withColumns({"_kind": kind, "prev_end": F.coalesce("prev_end", F.lit(0)).cast("long")})
+    steps = pin(flagged.select(*cols, "_kind", "prev_end").sortWithinPartitions("_part", "_at"))
+    placed = steps.join(F.broadcast(_open_clusters(steps, limit)), "_part")  # a row a part
+    s = pin(_marked(placed, limit).drop("_kind", "prev_end", "_lo", "_hi"))
     numbered = ranged.row_index(ranged.running_total(s, F.col("opens").cast("long"), "cluster"), "_row")
     if by_row:
         return ranged.unsorted(numbered)

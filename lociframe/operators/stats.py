@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.config import pin
+from lociframe.config import BROADCAST_ROWS, fits, pin
 from lociframe.functions.chroms import snp_id
 from lociframe.functions.stats import (
     chi2_sf,
@@ -135,7 +135,7 @@ def examine(observed: DataFrame, null: DataFrame, key: str, s1: str = "sample_1"
 def mannwhitney(a: DataFrame, b: DataFrame, x: str = "x") -> DataFrame:
     """One row: n1, n2, u (of the first sample), p (two-sided normal, tie and continuity corrected).
 
-    Ranks come from distinct values and their counts, put in order over all parts.
+    Where one sample has no value there is nothing to compare: u and p are null, n1 and n2 tell why. Ranks come from distinct values and their counts, put in order over all parts.
     """
     sides = a.select(F.col(x).alias("v"), F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).unionByName(
         b.select(F.col(x).alias("v"), F.lit(0).cast("long").alias("a"), F.lit(1).cast("long").alias("b"))
@@ -146,21 +146,27 @@ def mannwhitney(a: DataFrame, b: DataFrame, x: str = "x") -> DataFrame:
     rank = F.col("_upto") - t + (t + 1) / F.lit(2.0)
     td = t.cast("double")
     sums = run.agg(
-        F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(rank * F.col("a")).alias("r1"), F.sum(td * td * td - td).alias("ties")
+        F.coalesce(F.sum("a"), F.lit(0)).alias("n1"), F.coalesce(F.sum("b"), F.lit(0)).alias("n2"), F.sum(rank * F.col("a")).alias("r1"), F.sum(td * td * td - td).alias("ties")
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0))))
     # Without spread (all values tied) nothing can be told apart: p = 1.
     z = F.coalesce(F.try_divide(F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)), sd), F.lit(0.0))
-    return sums.select("n1", "n2", u.alias("u"), F.least(F.lit(1.0), erfc(z / F.sqrt(F.lit(2.0)))).alias("p"))
+    both = (F.col("n1") > 0) & (F.col("n2") > 0)
+    return sums.select("n1", "n2", F.when(both, u).alias("u"), F.when(both, F.least(F.lit(1.0), erfc(z / F.sqrt(F.lit(2.0))))).alias("p"))
 
 
 def chisq(df: DataFrame, observed: str = "observed", expected: str = "expected") -> DataFrame:
-    """One row: goodness-of-fit statistic, bins, p with bins - 1 degrees of freedom."""
-    d = F.col(observed) - F.col(expected)
-    s = df.agg(F.sum(d * d / F.col(expected)).alias("chisq"), F.count(F.lit(1)).alias("bins"))
+    """One row: goodness-of-fit statistic, bins, p with bins - 1 degrees of freedom.
+
+    A bin that expects 0 and has 0 says nothing and is left out; one that expects 0 and has some cannot be, so the statistic is infinite and p 0.
+    Without two bins p is null, without any the statistic is null.
+    """
+    d = (F.col(observed) - F.col(expected)).cast("double")
+    term = F.when(F.col(expected) == 0, F.when(d != 0, F.lit(float("inf")))).otherwise(F.try_divide(d * d, F.col(expected).cast("double")))
+    s = df.select(term.alias("_t")).agg(F.sum("_t").alias("chisq"), F.count("_t").alias("bins"))
     return s.withColumn("p", chi2_sf(F.col("chisq"), (F.col("bins") - 1).cast("double")))
 
 
@@ -284,6 +290,8 @@ def pool_regression(
     import numpy as np
 
     sums = rows.mapInPandas(normal_equations, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    if not sums:
+        raise ValueError(f"no row to fit: {post} must be between {FIT_RANGE[0]} and {FIT_RANGE[1]}" + (f", mean genotype within {means}" if means else ""))
     n = int(next(r["v"] for r in sums if r["i"] < 0))
     k = max(r["i"] for r in sums)
     full = np.zeros((k + 1, k + 1))
@@ -303,7 +311,8 @@ def pool_regression(
 
 
 def pool_effects(df: DataFrame, fit: PoolFit, genotypes: str = "genotypes", post: str = "post", depth: str = "depth") -> DataFrame:
-    """Adds pre, pre_var, post_clipped, post_var, z, beta and vari per SNP from a fit."""
+    """Adds pre, pre_var, post_clipped, post_var, z, beta and vari per SNP from a fit. Without reads (depth 0) the variance after is 1, its
+    upper bound; without any variance z is null."""
     coefficients, covariance = fit.coefficients, fit.covariance
 
     @F.pandas_udf("struct<pre: double, var: double>")
@@ -321,11 +330,11 @@ def pool_effects(df: DataFrame, fit: PoolFit, genotypes: str = "genotypes", post
             "pre": F.least(F.lit(1.0), pre),
             "pre_var": var,
             "post_clipped": F.least(F.lit(1.0), F.col(post).cast("double")),
-            "post_var": F.least(F.lit(1.0), 1 / _pool_weight(F.col(post), F.col(depth))),
+            "post_var": F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(1.0), _pool_weight(F.col(post), F.col(depth)).cast("double")), F.lit(1.0))),
         }
     )
     out = out.withColumns({"beta": F.col("post_clipped") - F.col("pre"), "vari": F.sqrt(F.col("pre_var") + F.col("post_var"))})
-    return out.withColumn("z", F.col("beta") / F.col("vari")).drop("_fit")
+    return out.withColumn("z", F.try_divide("beta", "vari")).drop("_fit")
 
 
 # ---- two-dimensional density ----
@@ -433,28 +442,67 @@ def point_density(df: DataFrame, x: str = "x", y: str = "y", grid: tuple[int, in
 LD_R2 = 0.1
 
 
+SAMPLES_A_WORD = 32  # two haplotypes a sample
+
+
+def haplotype_rows(genotypes: DataFrame) -> DataFrame:
+    """One row a SNP: ``zero``, ``one`` and ``seen``, arrays of 64-bit words with a bit for each haplotype of all samples, the same for all
+    SNPs: whether it has allele 0, allele 1, or any known allele.
+
+    ``genotypes``: snp, sample, gt (``0|1``). Samples are numbered in order; the list of names is joined to the genotypes, broadcast when its
+    size allows. A haplotype given twice counts once; one with two different alleles is known, but neither 0 nor 1.
+    """
+    hap = lambda i: F.split_part("gt", F.lit("|"), F.lit(i)).try_cast("int")  # noqa: E731  a missing allele is null
+    names = ranged.row_index(ranged.range_sorted(genotypes.where(F.col("sample").isNotNull()).select("sample").distinct(), "sample"), "_n")
+    names = pin(names.select(F.col("sample").alias("_name"), "_n"))
+    words = F.ceil(names.select(F.count(F.lit(1))).scalar() / SAMPLES_A_WORD).cast("int")
+    listed = F.broadcast(names) if fits(names, BROADCAST_ROWS) else names
+    g = genotypes.select("snp", "sample", hap(1).alias("h1"), hap(2).alias("h2")).join(listed, F.col("sample") == F.col("_name"))
+    bit = (2 * (F.col("_n") % SAMPLES_A_WORD)).cast("int")
+
+    def bits(test) -> Column:
+        mark = F.coalesce(test(F.col("h1")), F.lit(False)).cast("long") + 2 * F.coalesce(test(F.col("h2")), F.lit(False)).cast("long")
+        return F.bit_or(F.call_function("shiftleft", mark, bit))
+
+    per_word = g.groupBy("snp", F.expr(f"cast(_n div {SAMPLES_A_WORD} as int)").alias("w")).agg(
+        bits(lambda h: h == 0).alias("z"), bits(lambda h: h == 1).alias("o"), bits(lambda h: h > 1).alias("m")
+    )
+    clear = F.bitwise_not(F.col("m"))
+    zero, one = F.col("z").bitwiseAND(F.bitwise_not("o")).bitwiseAND(clear), F.col("o").bitwiseAND(F.bitwise_not("z")).bitwiseAND(clear)
+    per_word = per_word.select("snp", F.struct("w", zero.alias("zero"), one.alias("one"), F.col("z").bitwiseOR(F.col("o")).bitwiseOR(F.col("m")).alias("seen")).alias("word"))
+    # At most a word for 32 samples; gaps between the words of a SNP are filled with zeros.
+    rows = per_word.groupBy("snp").agg(F.sort_array(F.collect_list("word")).alias("at")).withColumn("_words", words)
+    numbered = F.transform("at", lambda x, i: F.struct(F.when(i > 0, F.get(F.col("at"), i - 1)["w"]).otherwise(F.lit(-1)).alias("before"), x.alias("x")))
+
+    def full(name: str) -> Column:
+        padded = F.flatten(F.transform("_at", lambda y: F.concat(F.array_repeat(F.lit(0).cast("long"), y["x"]["w"] - y["before"] - 1), F.array(y["x"][name]))))
+        return F.concat(padded, F.array_repeat(F.lit(0).cast("long"), F.col("_words") - F.size(padded))).alias(name)
+
+    return rows.withColumn("_at", numbered).select("snp", full("zero"), full("one"), full("seen"))
+
+
 def ld_pairs(genotypes: DataFrame, pairs: DataFrame, min_r2: float = LD_R2) -> DataFrame:
     """Haplotype table and LD measures of SNP pairs over phased genotypes.
 
     ``genotypes``: snp, sample, gt (``0|1``); ``pairs``: snp1, snp2. Adds n00, n01, n10, n11, dprime, r2,
-    chisq, p, in_ld, same_phase (reference goes with reference).
+    chisq, p, in_ld, same_phase (reference goes with reference). Each SNP is one row of bits (``haplotype_rows``), so a pair is two rows and its table
+    counts of common bits; nothing is joined or shuffled by sample and pair.
+
+    A haplotype counts where both alleles are 0 or 1: missing alleles and further ones (``2|2``) are left out. A pair whose table is empty for that reason has counts of 0,
+    no measures and ``in_ld`` false; one without any haplotype known for both SNPs is left out. Repeated pairs come out once.
     """
-    hap = lambda g, i: F.split_part(g, F.lit("|"), F.lit(i)).try_cast("int")  # noqa: E731  a missing allele is null
-    g = genotypes.select("snp", "sample", hap(F.col("gt"), 1).alias("h1"), hap(F.col("gt"), 2).alias("h2"))
-    a = g.select(F.col("snp").alias("snp1"), "sample", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
-    b = g.select(F.col("snp").alias("snp2"), "sample", F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-    both = pairs.select("snp1", "snp2").join(a, "snp1").join(b, ["snp2", "sample"])
-    both = both.where((F.col("a1") + F.col("b1")).isNotNull() | (F.col("a2") + F.col("b2")).isNotNull())
-
-    def n(x: int, y: int) -> Column:
-        one = ((F.col("a1") == x) & (F.col("b1") == y)).cast("int")
-        two = ((F.col("a2") == x) & (F.col("b2") == y)).cast("int")
-        return F.sum(F.coalesce(one, F.lit(0)) + F.coalesce(two, F.lit(0)))
-
-    t = both.groupBy("snp1", "snp2").agg(*[n(x, y).alias(f"n{x}{y}") for x in (0, 1) for y in (0, 1)])
+    rows = pin(haplotype_rows(genotypes))
+    side = lambda k: rows.select(F.col("snp").alias(f"snp{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("zero", "one", "seen")])
+    both = pairs.select("snp1", "snp2").distinct().join(side(1), "snp1").join(side(2), "snp2")
+
+    def common(x: str, y: str) -> Column:
+        return F.aggregate(F.zip_with(f"{x}1", f"{y}2", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0).cast("long"), lambda acc, n: acc + n)
+
+    t = both.select("snp1", "snp2", common("seen", "seen").alias("_seen"), *[common(x, y).alias(f"n{i}{j}") for i, x in enumerate(("zero", "one")) for j, y in enumerate(("zero", "one"))])
+    t = t.where("_seen > 0").drop("_seen")
     total = (F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11")).cast("double")
-    p0, q0 = (F.col("n00") + F.col("n01")) / total, (F.col("n00") + F.col("n10")) / total
-    d = F.col("n00") / total - p0 * q0
+    p0, q0 = F.try_divide(F.col("n00") + F.col("n01"), total), F.try_divide(F.col("n00") + F.col("n10"), total)
+    d = F.try_divide(F.col("n00"), total) - p0 * q0
     t = t.withColumns({"_p": p0, "_q": q0, "_d": d, "_n": total})
     p, q, d = F.col("_p"), F.col("_q"), F.col("_d")
     bound = F.when(d < 0, F.least(p * q, (1 - p) * (1 - q))).otherwise(F.least(p * (1 - q), (1 - p) * q))

@@ -277,14 +277,16 @@ def gene_summary(spark, sf):
     return rounded(ase.gene_summary(rows, ["ind", "gene"], "alleleseq"), pval=9)
 
 
-_HEADS = """select ind, p_, count(*) drawn from (
-  select ind, round(""" + fair_p("least(heads, flips-heads)", "flips") + """, 12) p_ from (
-    select ind, flips, list_sum(list_transform(range(0, (flips+59)//60), lambda j: bit_count(
-        (('0x'||substr(md5(concat('0:',ind,'|',name,':',s,':',j)),1,15))::bigint) >> greatest(0, 60-(flips-j*60))::int ))) heads
-    from (select ind, name, mat_counts+pat_counts flips, s from {sq_p} cross join (select unnest(range(1,6)) s) ss where not isnan(pval)) a
-    where flips>0
-    union all select ind, 0 flips, 0 heads from {sq_p} cross join (select unnest(range(1,6)) s) ss where not isnan(pval) and mat_counts+pat_counts=0
-  ) b) c group by 1,2"""
+# Chances of at most k on the rarer side, per depth; a draw falls between two of them.
+_COINS = """select flips, k, coalesce(lag(g) over w, 0) lo, case when k=flips//2 then 2.0::double else g end hi, """ + fair_p("k", "flips") + """ p from (
+  select flips, k, sum(case when 2*k=flips then 1 else 2 end * exp(lgamma(flips+1)-lgamma(k+1)-lgamma(flips-k+1)-flips*ln(2.0::double))) over (partition by flips order by k) g
+  from (select flips, unnest(range(0, flips//2+1)) k from (select distinct mat_counts+pat_counts flips from {sq_p} where not isnan(pval)) a) b) c
+  window w as (partition by flips order by k)"""
+_HEADS = f"""select ind, round(p,12) p_, count(*) drawn from (
+  select ind, mat_counts+pat_counts flips,
+    ('0x'||substr(md5(concat('0:',ind,'|',name,':',(s-1)//2)), 1+13*((s-1)%2)::int, 13))::bigint/pow(16.0::double,13) u
+  from {{sq_p}} cross join (select unnest(range(1,6)) s) ss where not isnan(pval)) d
+  join ({_COINS}) t on t.flips=d.flips and d.u>=t.lo and d.u<t.hi group by 1,2"""
 
 _CUTS = f"""select ind, max(p_) p_cut, max_by(fdr, p_) fdr from (
   select ind, p_, a, sum(s) over w / 5.0::double / sum(a) over w fdr from (
@@ -319,7 +321,7 @@ def fdr_simulated(spark, sf):
 def fdr_filter(spark, sf):
     table = pin(tested_snps(spark, sf))
     cuts = ase.fdr_cutoff(table, "key", by=["ind"])
-    kept = ase.fdr_filter(table, cuts, by=["ind"]).join(cuts.select("ind", "fdr", F.col("p").alias("p_cut")), "ind")
+    kept = ase.fdr_filter(table, cuts, by=["ind"])
     return rounded(kept, pval=9, p_cut=9, fdr=9).select(
         "ind", "gene", "name", "mat_counts", "pat_counts", "pval", "p_cut", "fdr"
     )

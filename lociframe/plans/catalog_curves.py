@@ -250,6 +250,19 @@ def boxplot_stats(spark, sf):
     return box.withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")})
 
 
-@register("boxplot_notch")
+_U = "(('0x'||substr({0}, {1}, 13))::bigint+0.5)/pow(16.0::double,13)"
+
+
+@register(
+    "boxplot_notch",
+    f"""with v as (select o_orderpriority label, o_totalprice x, row_number() over (partition by o_orderpriority order by o_totalprice)-1 r from {{orders}}),
+        b as (select label, n, b, n//2 h, md5(concat('0a:',label,':',b)) d, md5(concat('0b:',label,':',b)) e from (select label, count(*) n from v group by 1) s, (select unnest(range(1,1001)) b) g),
+        m as (select *, 0.5+0.5*sqrt(1-pow({_U.format('d', 1)}, 2/(2*(case when n%2=1 then h+1 else h end)::double-1)))*cos(2*pi()*{_U.format('d', 14)}) m,
+                {_U.format('e', 1)} s, pow({_U.format('e', 14)}, 1/greatest(h,1)::double) w from b),
+        o as (select *, case when n%2=1 then m when s>m then m+(1-m)*(1-w) else m*w end o from m),
+        r as (select o.label, b, (x.x+y.x)/2 med from o join v x on x.label=o.label and x.r=least(floor(n*m)::bigint, n-1) join v y on y.label=o.label and y.r=least(floor(n*o)::bigint, n-1))
+        select label, round(quantile_cont(med,0.025),6) lo, round(quantile_cont(med,0.975),6) hi from r group by 1""",
+)
 def boxplot_notch(spark, sf):
-    return curves.box_notch(view(spark, sf, "orders").select(F.col("o_orderpriority").alias("label"), F.col("o_totalprice").alias("value")), "label", "value")
+    box = curves.box_notch(view(spark, sf, "orders").select(F.col("o_orderpriority").alias("label"), F.col("o_totalprice").alias("value")), "label", "value")
+    return box.withColumns({c: F.round(c, 6) for c in ("lo", "hi")})

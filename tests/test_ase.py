@@ -82,15 +82,37 @@ def test_call_counts(spark):
         assert (r.cls, r.parent) == (r.cls0, r.parent0), r
 
 
-def test_draws_are_fair_and_repeatable(spark):
-    df = spark.range(4000).select(F.col("id").cast("string").alias("k"), F.lit(130).cast("long").alias("n"))
-    heads = lambda d: d.select("k", ase.fair_coin_heads(F.col("k"), F.lit(1), F.col("n")).alias("h"))
-    one = {r.k: r.h for r in heads(df).collect()}
-    two = {r.k: r.h for r in heads(df.repartition(7)).collect()}
-    assert one == two
-    mean = sum(one.values()) / len(one)
-    var = sum((h - mean) ** 2 for h in one.values()) / len(one)
-    assert abs(mean - 65) < 0.5 and abs(var - 32.5) < 3
+def test_coin_tables(spark):
+    depths = [0, 1, 2, 3, 7, 60, 100, 101, 999, 1001, 5000, 100_000]
+    rows = {r.flips: r for r in ase.coin_table(spark.createDataFrame([(n,) for n in depths], "flips long")).collect()}
+    for n, r in rows.items():
+        assert r.upto[-1] == 2.0 and len(r.upto) == len(r.p) == len(r.guide) - 1 == n // 2 - r.first + 1
+        if n <= 1001:
+            total = 0
+            for k in range(n // 2):
+                total += 2 * math.comb(n, k)
+                if k >= r.first:
+                    assert r.upto[k - r.first] == pytest.approx(total / 2**n, rel=1e-10, abs=1e-17)
+        assert list(r.guide) == [sum(c <= j / len(r.upto) for c in r.upto) for j in range(len(r.upto) + 1)]
+    assert len(rows[100_000].upto) < 2000
+    # 5000 flips: the share of the middle, by the logarithm of the factorials.
+    middle = math.exp(math.lgamma(5001) - 2 * math.lgamma(2501) - 5000 * math.log(2))
+    assert 1 - rows[5000].upto[-2] == pytest.approx(middle, rel=1e-8)
+
+
+def test_draws_are_fair_and_repeatable(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("k"), F.lit(3).cast("long").alias("mat_counts"), F.lit(4).cast("long").alias("pat_counts"))
+    one = {r.p: r.drawn for r in ase.simulate(df, "k", sims=7).collect()}
+    two = {r.p: r.drawn for r in ase.simulate(df.repartition(7), "k", sims=7).collect()}
+    assert one == two and sum(one.values()) == 21_000
+    seen = 0
+    for k in range(4):
+        seen += math.comb(7, k)
+        share = math.comb(7, k) * 2 / 2**7
+        assert abs(one[round(2 * seen / 2**7, 12)] / 21_000 - share) < 4 * math.sqrt(share / 21_000)
+    # The same numbers however the table of depths is joined.
+    monkeypatch.setattr("lociframe.plans.lookups.fits", lambda *a: False)
+    assert {r.p: r.drawn for r in ase.simulate(df, "k", sims=7).collect()} == one
 
 
 def test_fdr_cutoff_against_brute_force(spark):

@@ -144,3 +144,50 @@ def test_lookup_of_computed_positions(spark):
     for rows in (0, 10**6):
         got = {r.gene: r.n for r in intervals.assign_interval(points, ivs, broadcast_rows=rows).groupBy("gene").agg(F.count("*").alias("n")).collect()}
         assert got == {"g2": len(range(0, 5000, 3)), "g3": sum(i % 3 != 0 for i in range(100, 200))}
+
+
+@WAYS
+def test_long_intervals_are_one_row(spark, broadcast_rows):
+    r = random.Random(9)
+    ivs = [("a", 0, 250_000_000, "whole", "+", 50), ("a", 131_071, 131_073, "edge", "+", 3), ("a", -5, 90, "before", "+", 1), ("a", 1 << 40, (1 << 40) + 7, "far", "+", 2), ("a", 7, 7, "empty", "+", 0)]
+    ivs += [("a", s, s + r.choice([1, 50, 20_000, 3_000_000]), f"g{k}", "+", k + 60) for k, s in enumerate(r.randrange(0, 200_000_000) for _ in range(300))]
+    points = [("a", p, "+") for p in (0, 5, 89, 90, 131_071, 131_072, 131_073, 249_999_999, 250_000_000, 1 << 40, (1 << 40) + 7)] + [("a", r.randrange(0, 260_000_000), "+") for _ in range(500)]
+    p, i = _frames(spark, points, ivs)
+    assert intervals._listed(i, "start", "end", intervals.BIN).count() == len(ivs) - 1
+    got = intervals.assign_interval(p, i, broadcast_rows=broadcast_rows)
+    assert sorted(map(tuple, got.collect())) == _naive(points, ivs)
+    joined = intervals.bin_join(p, i.drop("strand").withColumnRenamed("gene", "g"), "pos", "start", "end", shares=4, broadcast_rows=broadcast_rows)
+    assert sorted((x.pos, x.g) for x in joined.collect()) == sorted((q, g) for _, q, _ in points for _, s, e, g, _, _ in ivs if s <= q < e)
+
+
+def test_equal_rows_of_a_full_bin_are_spread(spark):
+    reads = spark.createDataFrame([("a", 100, "ACGT" * 5)] * 3000 + [("a", 90_000, "TTTT")], "chrom string, start long, seq string")
+    snps = spark.createDataFrame([("a", 103, "x"), ("a", 90_001, "y")], "chrom string, pos long, name string")
+    got = intervals.reads_x_snps(reads, snps, broadcast_rows=0)
+    assert {(r.name, r.base): r.n for r in got.groupBy("name", "base").agg(F.count("*").alias("n")).collect()} == {("x", "T"): 3000, ("y", "T"): 1}
+    spans = reads.select("chrom", "start", (F.col("start") + 20).alias("stop"))
+    big = spans.withColumns({"_level": F.lit(0), "_bin": F.lit(0).cast("long")})
+    spread = intervals._spread_out(big, spark.createDataFrame([("a", 0, 0, 8)], "chrom string, _level int, _bin long, _salts int"))
+    parts = {r["_salt"]: r.n for r in spread.groupBy("_salt").agg(F.sum("_times").alias("n")).collect()}
+    assert sum(parts.values()) == 3001 and len(parts) > 3 and spread.count() < 20
+
+
+@pytest.mark.parametrize("flank", [0, 3, 8, 19])
+def test_flanks_of_tiles(spark, flank):
+    r = random.Random(flank)
+    seqs = {c: "".join(r.choice("ACGT") for _ in range(n)) for c, n in (("x", 53), ("y", 20), ("z", 8), ("w", 3))}
+    for x in intervals.flanked(_genome(spark, seqs, 8), 8, flank).collect():
+        at, end = x.tile * 8, min(len(seqs[x.chrom]), x.tile * 8 + 8)
+        assert (x.before, x.seq, x.after) == (seqs[x.chrom][max(0, at - flank) : at], seqs[x.chrom][at:end], seqs[x.chrom][end : end + flank])
+
+
+def test_positions_of_a_hot_tile(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "_fits", lambda df, rows: False)
+    r = random.Random(4)
+    seqs = {"x": "".join(r.choice("ACGT") for _ in range(64))}
+    points = [("x", p, k) for k in range(40) for p in (17, 18, 63, 64)] + [("x", 40, 0), ("y", 3, 0), ("x", -1, 0)]
+    df = spark.createDataFrame(points, "chrom string, pos long, k int")
+    got = intervals.windows(df, _genome(spark, seqs, 8), 8, 5, 9)
+    assert sorted((x.pos, x.k, x.window, x.is_edge) for x in got.collect()) == sorted(
+        (p, k, seqs["x"][max(0, p - 5) : p + 10], len(seqs["x"][max(0, p - 5) : p + 10]) < 15) for c, p, k in points if c == "x" and 0 <= p < 64
+    )

@@ -1,8 +1,13 @@
+import itertools
+import math
 import random
+import statistics
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from lociframe.config import pin
 from lociframe.operators import curves, ordered
 from lociframe.plans import ranged
 
@@ -154,6 +159,19 @@ def test_notch_covers_the_median(spark):
     assert 460 < r.lo < 490 and 508 < r.hi < 540
 
 
+def test_resampled_medians_are_exact(spark):
+    sizes = range(1, 6)
+    df = spark.createDataFrame([(n, float(k * k)) for n in sizes for k in range(n)] + [(2, None)], "n int, v double")
+    boots = 20_000
+    drawn = {(r.n, r["median"]): r["count"] for r in curves.resampled_medians(df, "n", "v", boots).groupBy("n", "median").count().collect()}
+    for n in sizes:
+        want = Counter(statistics.median(k * k for k in draw) for draw in itertools.product(range(n), repeat=n))
+        for m, c in want.items():
+            share = c / n**n
+            assert abs(drawn.get((n, m), 0) / boots - share) < 4 * math.sqrt(share * (1 - share) / boots) + 1e-9
+        assert sum(v for (k, _), v in drawn.items() if k == n) == boots
+
+
 def test_edges_and_carried_values(spark):
     r = random.Random(4)
     rows = sorted((r.choice(["a", "a", "a", "b", "c", "d"]), i) for i in range(400))
@@ -171,14 +189,53 @@ def test_edges_and_carried_values(spark):
     assert nothing[0] == 0
 
 
-@pytest.mark.parametrize("overlap", [0.75, 0.3])
-def test_dense_peaks_over_many_parts(spark, overlap):
-    peaks = [("a", 7 * k, 7 * k + 20 + 5 * (k % 3), k, f"p_{k}", 1.0 + k % 7, 2.0 + k % 5) for k in range(600)]
+@pytest.mark.parametrize("parts,overlap", [(8, 0.75), (24, 0.3), (64, 0.75)])
+def test_dense_peaks_over_many_parts(spark, monkeypatch, parts, overlap):
+    r = random.Random(parts)
+    peaks = [("a", 7 * k, 7 * k + 20 + 5 * (k % 3) + r.choice([0, 0, 0, 200]), k, f"p_{k}", 1.0 + k % 7, 2.0 + k % 5) for k in range(900)]
     df = spark.createDataFrame(peaks, "chrom string, start long, end long, key long, pop string, fold double, l10p double")
-    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    pins = []
+    monkeypatch.setattr(ordered, "pin", lambda d: pins.append(1) or pin(d))
     try:
-        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
         got = sorted((x.chrom, x.start, x.end, x["count"]) for x in ordered.peak_merge(df, overlap).collect())
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == sorted(w[:4] for w in _sequential(peaks, overlap))
+    # The sorted table, the parts, a round for each doubling, the marked rows.
+    assert len(pins) <= math.ceil(math.log2(parts)) + 3
+
+
+def test_stretches_do_what_the_loop_does():
+    def loop(peaks, lo, hi, limit):
+        for kind, start, end, share in peaks:
+            if ordered._opens(kind, share, lo, hi, limit):
+                lo, hi = start, end
+            elif end > hi:
+                hi = end
+        return lo, hi
+
+    r = random.Random(1)
+    for _ in range(400):
+        limit, step, at, prev, peaks = r.choice([0.75, 0.3, 0.0, 2.0]), r.choice([1, 2, 5, 20]), 100, 100, []
+        for _ in range(r.randrange(2, 60)):
+            at += r.randrange(step)
+            end = at + r.choice([0, 1, 5, r.randrange(1, 60), r.randrange(1, 400)])
+            peaks.append((r.choice([1, 2, 2, 2, 2]) if r.random() > 0.02 else 0, at, end, abs(prev - at)))
+            prev = end
+        cuts = sorted(r.sample(range(1, len(peaks)), min(len(peaks) - 1, r.randrange(1, 8))))
+        parts, place = [], 0
+        for a, b in zip([0, *cuts], [*cuts, len(peaks)]):
+            walk = ordered._Walk(limit)
+            for p in peaks[a:b]:
+                walk.peak(place, *p)
+                place += 1
+            parts.append(ordered.Stretch.from_json(walk.done().to_json()))
+        while len(parts) > 1:
+            i = r.randrange(len(parts) - 1)
+            parts[i : i + 2] = [ordered.Stretch.from_json(parts[i].then(parts[i + 1]).to_json())]
+        for _ in range(20):
+            lo = 100 - r.randrange(300)
+            hi = lo + r.choice([0, 0, 1, r.randrange(600)])
+            assert parts[0].after(lo, hi) == loop(peaks, lo, hi, limit)

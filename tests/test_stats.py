@@ -230,3 +230,74 @@ def test_density_of_points_without_area(spark, points):
     cells = stats.density(df, grid=(6, 5)).collect()
     assert sorted((c.ix, c.iy) for c in cells) == [(i, j) for i in range(6) for j in range(5)] and all(math.isnan(c.density) for c in cells)
     assert stats.point_density(df, grid=(6, 5)).count() == len(points)
+
+
+def test_ld_with_missing_and_further_alleles(spark):
+    r = np.random.default_rng(3)
+    cells = ["0|0", "0|1", "1|0", "1|1", "2|1", "0|2", "2|2", ".|0", ".|.", "0/1", None]
+    rows = [(f"s{k}", f"P{j:03d}", str(r.choice(np.array(cells[:-1], object)))) for k in range(6) for j in range(150) if r.random() < 0.8]
+    rows += [("two", f"P{j:03d}", "2|2") for j in range(40)] + [("none", "P001", ".|."), ("away", "elsewhere", "0|1"), rows[0], ("nil", "P001", None)]
+    pairs = [(f"s{k}", f"s{j}") for k in range(6) for j in range(6)] + [("s0", "two"), ("two", "two"), ("s0", "none"), ("s0", "away"), ("s0", "unknown"), ("s0", "s1"), ("s0", "nil")]
+    g = spark.createDataFrame(rows, "snp string, sample string, gt string").repartition(3)
+    got = {(x.snp1, x.snp2): x for x in stats.ld_pairs(g, spark.createDataFrame(pairs, "snp1 string, snp2 string")).collect()}
+    hap = {}
+    for snp, sample, gt in rows:
+        for i in (0, 1):
+            part = (gt or "").split("|")
+            hap.setdefault(snp, {})[sample, i] = int(part[i]) if len(part) > i and part[i].isdigit() else None
+    for a, b in pairs:
+        both = [(hap[a][k], hap[b][k]) for k in hap[a] if k in hap.get(b, {}) and hap[a][k] is not None and hap[b][k] is not None]
+        if not both:
+            assert (a, b) not in got
+            continue
+        n = [sum(p == q for p in both) for q in ((0, 0), (0, 1), (1, 0), (1, 1))]
+        x = got[a, b]
+        assert [x.n00, x.n01, x.n10, x.n11] == n
+        if not sum(n):
+            assert (x.dprime, x.r2, x.chisq, x.p, x.in_ld, x.same_phase) == (None, None, None, None, False, None)
+    assert not any(v.in_ld for k, v in got.items() if "two" in k)
+    assert stats.ld_pairs(g.limit(0), spark.createDataFrame(pairs, "snp1 string, snp2 string")).count() == 0
+
+
+def test_haplotype_rows_are_one_a_snp(spark):
+    g = spark.range(100).select(F.concat(F.lit("s"), F.col("id") % 4).alias("snp"), F.format_string("P%03d", "id").alias("sample"), F.lit("0|1").alias("gt"))
+    rows = stats.haplotype_rows(g).collect()
+    assert len(rows) == 4 and all(len(r.zero) == len(r.one) == len(r.seen) == 4 for r in rows)
+    assert sum(bin(w & (2**64 - 1)).count("1") for r in rows for w in r.seen) == 200
+    plan = stats.ld_pairs(g, spark.createDataFrame([("s0", "s1")], "snp1 string, snp2 string"))._jdf.queryExecution().executedPlan().toString()
+    assert "sample" not in plan
+
+
+def test_degenerate_tests_have_values(spark):
+    x = lambda *v: spark.createDataFrame([(float(i),) for i in v], "x double")
+    assert tuple(stats.mannwhitney(x(1), x()).first()) == (1, 0, None, None)
+    assert tuple(stats.mannwhitney(x(), x()).first()) == (0, 0, None, None)
+    assert tuple(stats.mannwhitney(x(1), x(1)).first()) == (1, 1, 0.5, 1.0)
+    bins = lambda *v: stats.chisq(spark.createDataFrame(list(v), "observed double, expected double")).first()
+    assert tuple(bins((3.0, 0.0), (1.0, 2.0))) == (math.inf, 2, 0.0)
+    assert tuple(bins((0.0, 0.0), (1.0, 2.0))) == (0.5, 1, None)
+    assert tuple(bins()) == (None, 0, None)
+    got = bins((8.0, 10.0), (12.0, 10.0), (10.0, 10.0))
+    assert got.chisq == pytest.approx(0.8) and got.p == pytest.approx(math.exp(-0.4))
+
+
+def test_pools_without_rows_or_reads(spark):
+    df = spark.createDataFrame([([1.0, 0.5, 0.0], 0.95, 10), ([1.0, 0.5, 0.5], 0.5, 0)], "genotypes array<double>, post double, depth long")
+    with pytest.raises(ValueError, match="no row to fit"):
+        stats.pool_regression(df.where("post > 0.9"))
+    fit = stats.PoolFit((0.2, 0.3, 0.5), ((0.0,) * 3,) * 3, 1)
+    rows = {r.depth: r for r in stats.pool_effects(df, fit).collect()}
+    assert rows[0].post_var == 1.0 and rows[0].z == pytest.approx(rows[0].beta) and rows[10].post_var < 1
+
+
+def test_a_lookup_is_the_same_either_way(spark, monkeypatch):
+    from lociframe.plans import lookups
+
+    big = spark.createDataFrame([(k % 3 if k % 2 else 0, k) for k in range(200)] + [(None, 1), (9, 2)], "k int, v int").repartition(4)
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (5, "z"), (None, "n")], "k int, name string")
+    for how in ("inner", "left"):
+        want = sorted(map(repr, big.join(small, "k", how).collect()))
+        assert sorted(map(repr, lookups.lookup(big, small, ["k"], how).collect())) == want
+        assert sorted(map(repr, lookups.lookup(big, small, ["k"], how, rows=0).collect())) == want
+    with pytest.raises(ValueError):
+        lookups.lookup(big, small, ["k"], "right")
