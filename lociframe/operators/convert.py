@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.plans import ranged
+from lociframe.plans.lookups import lookup
 
 
 def bed12_to_gtf(bed: DataFrame, source: str = "unknown", one_based: bool = False) -> DataFrame:
@@ -97,11 +98,37 @@ def vcf_filter(vcf: DataFrame, samples: DataFrame, panel: DataFrame, populations
     return vcf.withColumn("_keep", idx).withColumn(cells, F.transform("_keep", lambda i: F.get(F.col(cells), i))).drop("_keep")
 
 
+#: Most SNPs that get a column each.
+WIDE = 1000
+BLOCK = 4096
+
+
 def genotype_matrix(long: DataFrame, snps: Sequence[str], value: str = "dosage") -> DataFrame:
-    """One row per sample, one column per listed SNP."""
+    """One row per sample, one column for each of a few listed SNPs. Larger sets go into ``genotype_blocks``."""
+    if len(snps) > WIDE:
+        raise ValueError(f"{len(snps)} columns are too many; use genotype_blocks")
     return long.groupBy("sample").pivot("snp", list(snps)).agg(F.max(value))
 
 
+def genotype_blocks(long: DataFrame, size: int = BLOCK, value: str = "dosage") -> tuple[DataFrame, DataFrame]:
+    """The genotype matrix in blocks of SNPs, for any number of them: (sample, block, values) and the index (snp, block, at).
+
+    ``long``: sample, snp, value. SNPs are numbered by name; ``values`` of a block holds one entry for each of its ``size`` SNPs (the last block has what is left), null
+    where the sample has none. Of repeated cells the greatest stays. Blocks without any cell of a sample are left out.
+    """
+    named = long.where(F.col("snp").isNotNull())
+    numbered = ranged.unsorted(ranged.row_index(ranged.range_sorted(named.select("snp").distinct(), "snp"), "_row"))
+    index = numbered.select("snp", F.expr(f"_row div {size}").alias("block"), F.expr(f"cast(_row % {size} as int)").alias("at"))
+    total = index.select(F.count(F.lit(1))).scalar()
+    cells = lookup(named.select("sample", "snp", F.col(value).alias("v")), index, ["snp"]).groupBy("sample", "block", "at").agg(F.max("v").alias("v"))
+    # At most ``size`` cells.
+    rows = cells.groupBy("sample", "block").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("c")).withColumn("n", F.least(F.lit(size), total - F.col("block") * size).cast("int"))
+    empty = F.lit(None).cast(cells.schema["v"].dataType)
+    placed = F.transform("c", lambda x, i: F.concat(F.array_repeat(empty, x["at"] - F.when(i > 0, F.get("c", i - 1)["at"]).otherwise(F.lit(-1)) - 1), F.array(x["v"])))
+    filled = rows.withColumn("v", F.flatten(placed))
+    return filled.select("sample", "block", F.concat("v", F.array_repeat(empty, F.col("n") - F.size("v"))).alias("values")), index
+
+
 def number_records(df: DataFrame, *order: str) -> DataFrame:
     """Put the running number (from 0) in ``order`` in front of each id."""
     rows = ranged.row_index(ranged.range_sorted(df, *order), "number")

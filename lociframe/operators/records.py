@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociframe.plans.lookups import lookup
+
 DAY, HOUR = 86400, 3600
 
 
@@ -58,9 +60,10 @@ class RuleSet:
 
 
 def mark_listed(df: DataFrame, addresses: DataFrame, column: str = "listed", sender: str = "sender") -> DataFrame:
-    """Adds a boolean: is the sender in the list."""
-    known = addresses.select(F.col(sender)).distinct().withColumn(column, F.lit(True))
-    return df.join(known, sender, "left").withColumn(column, F.coalesce(column, F.lit(False)))
+    """Adds a boolean: is the sender in the list. The list is broadcast if its size allows; beyond that frequent senders are not shuffled by name."""
+    known = addresses.select(F.col(sender)).distinct().withColumn("_listed", F.lit(True))
+    found = lookup(df, known, [sender], "left")
+    return found.select(sender, *[c for c in df.columns if c != sender], F.coalesce("_listed", F.lit(False)).alias(column))
 
 
 def _collect(rules: Sequence[tuple[Column, Sequence[str]]]) -> Column:

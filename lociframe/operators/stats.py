@@ -340,18 +340,23 @@ def pool_effects(df: DataFrame, fit: PoolFit, genotypes: str = "genotypes", post
 # ---- two-dimensional density ----
 
 
-def density(df: DataFrame, x: str = "x", y: str = "y", grid: tuple[int, int] = (400, 400)) -> DataFrame:
+def density(
+    df: DataFrame, x: str = "x", y: str = "y", grid: tuple[int, int] = (400, 400), weights: str | None = None, extents: tuple[float, float, float, float] | None = None
+) -> DataFrame:
     """Gaussian kernel density on a regular grid: ix, iy, density for every cell.
 
+    ``weights`` names a column each point counts with; Scott's factor and the norm go by the number of points all the same. ``extents`` (least and greatest x, least and
+    greatest y; default those of the points) is what the grid covers; points outside it, and points without coordinates or weight, take no part.
+
     The points are reduced to at most nx * ny cell counts; bandwidth after Scott with the full
     covariance. Smoothing runs per output row of the grid, from the cells of the rows its kernel
     reaches, so a task holds at most (kernel height * nx) cells whatever the number of points. Points on
     a line, all in one cell, or none at all have no density: NaN in every cell.
     """
     nx, ny = grid
-    cells, p = _cells(df, x, y, grid)
+    cells, p = _cells(df, x, y, grid, weights, extents)
     n, cov_xx, cov_xy, cov_yy = float(p["n"] or 0), p["xx"], p["xy"], p["yy"]
-    spread_out = n > 0 and cov_xx * cov_yy - cov_xy * cov_xy > 0
+    spread_out = n > 0 and cov_xx is not None and cov_xx > 0 and cov_yy > 0 and cov_xx * cov_yy - cov_xy * cov_xy > 0
     if not spread_out:
         every = df.sparkSession.range(nx * ny).select(F.expr(f"id div {ny}").alias("ix"), (F.col("id") % ny).alias("iy"))
         return every.withColumn("density", nan())
@@ -387,53 +392,58 @@ def density(df: DataFrame, x: str = "x", y: str = "y", grid: tuple[int, int] = (
     return rows.groupBy("oy").applyInPandas(smooth, "ix long, iy long, density double")
 
 
-def _pixel(df: DataFrame, x: str, y: str, grid: tuple[int, int]) -> DataFrame:
-    ends = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).select(
-        F.struct(
-            F.col("x0").cast("double").alias("x0"),
-            ((F.col("x1") - F.col("x0")) / (grid[0] - 1)).alias("dx"),
-            F.col("y0").cast("double").alias("y0"),
-            ((F.col("y1") - F.col("y0")) / (grid[1] - 1)).alias("dy"),
+def _pixel(df: DataFrame, x: str, y: str, grid: tuple[int, int], extents: tuple[float, float, float, float] | None) -> DataFrame:
+    if extents:
+        x0, x1, y0, y1 = (F.lit(float(v)) for v in extents)
+        at = df.withColumn("_g", F.struct(x0.alias("x0"), ((x1 - x0) / (grid[0] - 1)).alias("dx"), y0.alias("y0"), ((y1 - y0) / (grid[1] - 1)).alias("dy")))
+        inside = F.col(x).between(x0, x1) & F.col(y).between(y0, y1)
+    else:
+        ends = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).select(
+            F.struct(
+                F.col("x0").cast("double").alias("x0"),
+                ((F.col("x1") - F.col("x0")) / (grid[0] - 1)).alias("dx"),
+                F.col("y0").cast("double").alias("y0"),
+                ((F.col("y1") - F.col("y0")) / (grid[1] - 1)).alias("dy"),
+            )
         )
-    )
-    at = df.withColumn("_g", ends.scalar())
-    return at.withColumns(
-        {
-            # All values of a constant axis are in its first cell.
-            "ix": F.floor(F.when(F.col("_g.dx") == 0, 0.0).otherwise(F.try_divide(F.col(x) - F.col("_g.x0"), F.col("_g.dx")))).cast("long"),
-            "iy": F.floor(F.when(F.col("_g.dy") == 0, 0.0).otherwise(F.try_divide(F.col(y) - F.col("_g.y0"), F.col("_g.dy")))).cast("long"),
-        }
-    )
+        at = df.withColumn("_g", ends.scalar())
+        inside = F.lit(True)
+    # All values of a constant axis are in its first cell.
+    cell = lambda v, k: F.floor(F.when(F.col(f"_g.d{k}") == 0, 0.0).otherwise(F.try_divide(F.col(v) - F.col(f"_g.{k}0"), F.col(f"_g.d{k}")))).cast("long")
+    return at.withColumns({"ix": F.when(inside & F.col(y).isNotNull(), cell(x, "x")), "iy": F.when(inside & F.col(x).isNotNull(), cell(y, "y"))})
 
 
-def _cells(df: DataFrame, x: str, y: str, grid: tuple[int, int]):
-    at = _pixel(df, x, y, grid)
+def _cells(df: DataFrame, x: str, y: str, grid: tuple[int, int], weights: str | None, extents: tuple[float, float, float, float] | None):
+    at = _pixel(df, x, y, grid, extents).where("ix IS NOT NULL AND iy IS NOT NULL")
+    weight = F.col(weights).cast("double") if weights else F.lit(1.0)
     # Pinned: at most nx * ny rows, read for the moments and again for the smoothing.
-    cells = pin(at.groupBy("ix", "iy").agg(F.count(F.lit(1)).cast("double").alias("w"), F.max("_g").alias("_g")))
+    cells = pin(at.where(weight.isNotNull()).groupBy("ix", "iy").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("k"), F.max("_g").alias("_g")))
     w, ix, iy = F.col("w"), F.col("ix"), F.col("iy")
     s = cells.agg(
-        F.sum("w").alias("n"), F.sum(w * ix).alias("mx"), F.sum(w * iy).alias("my"), F.sum(w * ix * ix).alias("xx"),
+        F.sum("k").alias("n"), F.sum("w").alias("sw"), F.sum(w * ix).alias("mx"), F.sum(w * iy).alias("my"), F.sum(w * ix * ix).alias("xx"),
         F.sum(w * ix * iy).alias("xy"), F.sum(w * iy * iy).alias("yy"), F.max("_g").alias("g"),
     )
-    n, mx, my = F.col("n"), F.col("mx"), F.col("my")
+    share = lambda v: F.try_divide(v, F.col("sw"))
+    mx, my = F.col("mx"), F.col("my")
     params = s.select(
-        "n", "g.dx", "g.dy", ((F.col("xx") - mx / n * mx) / n).alias("xx"), ((F.col("xy") - mx / n * my) / n).alias("xy"),
-        ((F.col("yy") - my / n * my) / n).alias("yy"),
+        "n", "g.dx", "g.dy", share(F.col("xx") - share(mx) * mx).alias("xx"), share(F.col("xy") - share(mx) * my).alias("xy"), share(F.col("yy") - share(my) * my).alias("yy"),
     ).first()
-    return cells.drop("_g"), params
+    return cells.select("ix", "iy", "w"), params
 
 
 # Most grid cells that are broadcast to the points; a finer grid is joined by shuffle.
 BROADCAST_CELLS = 1_000_000
 
 
-def point_density(df: DataFrame, x: str = "x", y: str = "y", grid: tuple[int, int] = (400, 400)) -> DataFrame:
-    """The points with the density of their cell. The grid has nx * ny rows, whatever the data."""
-    at = _pixel(df, x, y, grid).drop("_g")
-    cells = density(df, x, y, grid)
+def point_density(
+    df: DataFrame, x: str = "x", y: str = "y", grid: tuple[int, int] = (400, 400), weights: str | None = None, extents: tuple[float, float, float, float] | None = None
+) -> DataFrame:
+    """The points with the density of their cell; null for points outside the grid or without coordinates. The grid has nx * ny rows, whatever the data."""
+    at = _pixel(df, x, y, grid, extents).drop("_g")
+    cells = density(df, x, y, grid, weights, extents)
     if grid[0] * grid[1] <= BROADCAST_CELLS:
         cells = F.broadcast(cells)
-    return at.join(cells, ["ix", "iy"]).drop("ix", "iy")
+    return at.join(cells, ["ix", "iy"], "left").drop("ix", "iy")
 
 
 # ---- linkage disequilibrium ----

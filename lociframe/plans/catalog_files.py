@@ -159,10 +159,10 @@ def vcf_rows(spark: SparkSession, sf: str) -> DataFrame:
 SAMPLES = [f"S{i}" for i in range(1, 7)]
 
 
-def vcf_file(spark: SparkSession, sf: str) -> list[str]:
+def vcf_file(spark: SparkSession, sf: str) -> str:
     path = new_path(spark, "geno.vcf")
-    sinks.write_vcf(spark, vcf_rows(spark, sf), SAMPLES, path, compression="gzip")
-    return [f"{path}/header", f"{path}/body"]
+    sinks.write_vcf(vcf_rows(spark, sf), SAMPLES, path, compression="gzip")
+    return path
 
 
 _VCF = """select chrom, pos1, name, ref_allele, alt_allele, string_agg(cell, ',' order by s) cells,
@@ -248,7 +248,7 @@ def read_alleleseq_snps(spark, sf):
 def snp_file_dispatch(spark, sf):
     snps = view(spark, sf, "fx_snps").withColumn("name", F.when(F.col("pos") % 2 == 0, ".").otherwise(F.col("name")))
     five = as_file(spark, snps, tabbed("chrom", "pos", F.col("pos") + 1, "name", F.concat("ref_allele", F.lit("|"), "alt_allele")), "five.bed")
-    files = {"vcf": vcf_file(spark, sf)[1], "alleleseq": alleleseq_file(spark, sf), "bed": five}
+    files = {"vcf": vcf_file(spark, sf), "alleleseq": alleleseq_file(spark, sf), "bed": five}
     out = None
     for kind, path in files.items():
         rows = variants.read_snps(spark, path).select(F.lit(kind).alias("kind"), "*").drop("_corrupt")
@@ -332,6 +332,20 @@ def read_enrichment(spark, sf):
     return out.withColumns({"perm": F.get(key, F.lit(1)).cast("int"), "gene_set_ID": F.get(key, F.lit(0)), "p_value": F.round("p_value", 12)})
 
 
+@register(
+    "read_enrichment_tissue",
+    """select set_id "MeSH_term", concat('system ',perm) "MeSH_first_level_term", concat('part of ',set_id) "MeSH_second_level_term", round(p_value,12) p_value,
+         case when perm%2=0 then 'Yes' else 'No' end "FDR_lt_0.05", 'sample_1' sample from {fx_enrich} where sample='sample_1'""",
+)
+def read_enrichment_tissue(spark, sf):
+    path = new_path(spark, "tissues.tsv")
+    rows = view(spark, sf, "fx_enrich").where("sample = 'sample_1'")
+    sinks.write_tsv(rows.select(
+        F.col("set_id").alias("Term"), F.concat(F.lit("system "), F.col("perm").cast("string")).alias("First"), F.concat(F.lit("part of "), "set_id").alias("Second"),
+        "p_value", F.when(F.col("perm") % 2 == 0, "Yes").otherwise("No").alias("FDR")), path)
+    return reports.read_enrichment(spark, path, "tissue", sample="sample_1").withColumn("p_value", F.round("p_value", 12))
+
+
 @register(
     "collect_perm_runs",
     """select set_id "gene_set_ID", perm, sample, round(p_value,12) p_value from {fx_enrich}""",
@@ -434,9 +448,19 @@ def write_fastq(spark, sf):
     return out
 
 
-@register("write_vcf", f"select concat_ws(chr(9), chrom, pos1, name, ref_allele, alt_allele, '50', 'PASS', '.', 'GT:DP', replace(cells, ',', chr(9))) line from ({_VCF}) x")
+@register(
+    "write_vcf",
+    f"""select concat_ws(chr(9), chrom, pos1, name, ref_allele, alt_allele, '50', 'PASS', '.', 'GT:DP', replace(cells, ',', chr(9))) line from ({_VCF}) x
+        union all select '##fileformat=VCFv4.1' union all select concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', 'S1', 'S2', 'S3', 'S4', 'S5', 'S6')
+        union all select 'files without the header in front: 0'""",
+)
 def write_vcf(spark, sf):
-    return text.read_lines(spark, vcf_file(spark, sf)).where("value not like '#%'").withColumnRenamed("value", "line")
+    lines = text.lines_in_order(spark, vcf_file(spark, sf))
+    heads = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "line")).alias("one"), F.min(F.when(F.col("value").startswith("#CHROM"), F.struct("block", "line"))).alias("two"), F.min(F.when(~F.col("value").startswith("#"), F.struct("block", "line"))).alias("body"))
+    bad = heads.agg(F.count_if(~F.col("one").startswith("##fileformat=") | F.col("two").isNull() | (F.col("two") > F.col("body"))).alias("n"))
+    body = lines.where(~F.col("value").startswith("#")).select(F.col("value").alias("line"))
+    header = lines.where(F.col("value").startswith("#")).select(F.col("value").alias("line")).distinct()
+    return body.unionByName(header).unionByName(bad.select(F.concat(F.lit("files without the header in front: "), F.col("n").cast("string")).alias("line")))
 
 
 @register("bed_to_cov", "select chrom chrm, pstart snppos, cast(cast(floor(l10p*100) as bigint) as varchar) rd from {fx_peaks}")
@@ -487,6 +511,19 @@ def genotype_matrix(spark, sf):
     return convert.genotype_matrix(long, [f"L{i}" for i in range(1, 8)])
 
 
+@register(
+    "genotype_blocks",
+    """with i as (select snp, (row_number() over (order by snp)-1)//256 block, (row_number() over (order by snp)-1)%256 at_ from (select distinct snp from {fx_genotypes}) a),
+       g as (select sample, block, at_, max(case gt when '0|0' then '0' when '1|1' then '2' else '1' end) d from {fx_genotypes} join i using (snp) group by 1,2,3),
+       p as (select sample, i.block, i.at_ from (select distinct sample, block from g) s join i on i.block=s.block)
+       select sample, p.block, string_agg(coalesce(d,'-'), ',' order by p.at_) dosages from p left join g using (sample, block, at_) group by 1,2""",
+)
+def genotype_blocks(spark, sf):
+    long = view(spark, sf, "fx_genotypes").select("sample", "snp", convert.dosage(F.col("gt")).alias("dosage"))
+    blocks, _ = convert.genotype_blocks(long, size=256)
+    return blocks.select("sample", "block", F.array_join(F.transform("values", lambda v: F.coalesce(v.cast("string"), F.lit("-"))), ",").alias("dosages"))
+
+
 @register(
     "number_records",
     "select concat(row_number() over (order by doc_id, mate)-1, ':', id) id, row_number() over (order by doc_id, mate)-1 \"number\", seq from {fx_fastq}",

@@ -175,14 +175,22 @@ def mann_whitney_u(spark, sf):
     return stats.mannwhitney(li.where("l_returnflag = 'A'"), li.where("l_returnflag <> 'A'")).withColumn("p", F.round("p", 9))
 
 
+# Upper tail of chi-square: a finite sum for even degrees of freedom, with a normal tail in front for odd ones.
+_CHI = (
+    "(case when dof%2=1 then " + erfc("sqrt(x/2)") + " else 0 end + coalesce(list_sum(list_transform(range(0, dof//2), "
+    "lambda j: exp(-x/2+(j+(dof%2)/2.0::double)*ln(x/2)-lgamma(j+1+(dof%2)/2.0::double)))), 0))"
+)
+
+
 @register(
     "chi_square_gof",
-    "select round(sum((o-e)*(o-e)/e),6) chisq, count(*) bins from (select count(*)::double o, avg(count(*)) over () e from {lineitem} group by l_suppkey) a",
+    f"""select round(x,6) chisq, bins, round(least(1.0::double,{_CHI}),6) p from (select sum((o-e)*(o-e)/e) x, count(*) bins, count(*)-1 dof
+          from (select count(*)::double o, avg(count(*)) over () e from {{lineitem}} group by l_suppkey) a) b""",
 )
 def chi_square_gof(spark, sf):
     per = view(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).cast("double").alias("observed"))
     df = per.withColumn("expected", per.select(F.avg("observed")).scalar())
-    return stats.chisq(df).select(F.round("chisq", 6).alias("chisq"), "bins")
+    return stats.chisq(df).select(F.round("chisq", 6).alias("chisq"), "bins", F.round("p", 6).alias("p"))
 
 
 # The tail of Student's t through the normal one (Wallace's transform), good to 1e-8 at these dof.
@@ -270,33 +278,61 @@ def wls_predict(spark, sf):
     )
 
 
-_GRID = (24, 20)
-_PIX = f"""select o_orderkey, floor((x-x0)/dx) ix, floor((y-y0)/dy) iy, dx, dy from (select *, (x1-x0)/{_GRID[0] - 1} dx, (y1-y0)/{_GRID[1] - 1} dy from (
-  select o_orderkey, o_totalprice x, o_custkey::double y, min(o_totalprice) over () x0, max(o_totalprice) over () x1, min(o_custkey) over ()::double y0,
-  max(o_custkey) over ()::double y1 from {{orders}}) a) b"""
+_GRID, _FINE = (24, 20), (400, 400)
 
 
-@register(
-    "kde_2d",
-    f"""with px as ({_PIX}), c as (select ix, iy, count(*)::double w, any_value(dx) dx, any_value(dy) dy from px group by 1,2),
-        m as (select sum(w) n, any_value(dx) dx, any_value(dy) dy, sum(w*ix) mx, sum(w*iy) my, sum(w*ix*ix) xx, sum(w*ix*iy) xy, sum(w*iy*iy) yy from c),
-        v as (select n, dx, dy, pow(n,-1.0/6) s, (xx-mx/n*mx)/n xx, (xy-mx/n*my)/n xy, (yy-my/n*my)/n yy from m),
-        k as (select *, xx*yy-xy*xy det, round_even(s*2*pi()*sqrt(xx),0)::bigint kx, round_even(s*2*pi()*sqrt(yy),0)::bigint ky from v),
-        o as (select *, i-kx/2.0::double u, j-ky/2.0::double w2 from k, (select unnest(range(0,60)) i) a, (select unnest(range(0,60)) j) b where i<kx and j<ky),
-        kn as (select i, j, i-kx//2 di, j-ky//2 dj, exp(-(yy*u*u-2*xy*u*w2+xx*w2*w2)/det/(s*s)/2) e, n*dx*dy*2*pi()*s*s*sqrt(det) nrm from o)
-        select gx ix, gy iy, round(coalesce(sum(w*e),0)/any_value(nn)*1e9,5) density from (select gx, gy, (select any_value(nrm) from kn) nn from (select unnest(range(0,{_GRID[0]})) gx) a, (select unnest(range(0,{_GRID[1]})) gy) b) g
-        left join (select c.ix+di tx, c.iy+dj ty, w, e from c, kn) t on tx=gx and ty=gy group by 1,2""",
-)
+def _kernel(grid: tuple[int, int], x: str = "o_totalprice", y: str = "o_custkey::double", w: str = "1.0::double", extents: tuple[float, float, float, float] | None = None) -> str:
+    """CTEs px (points with their cell), c (cells), k (covariance and size of the kernel)."""
+    x0, x1, y0, y1 = [f"{v}::double" for v in extents] if extents else ["min(x) over ()", "max(x) over ()", "min(y) over ()", "max(y) over ()"]
+    return f"""px as (select o_orderkey, pw, floor((x-x0)/dx)::bigint ix, floor((y-y0)/dy)::bigint iy, dx, dy from (
+          select *, (x1-x0)/{grid[0] - 1} dx, (y1-y0)/{grid[1] - 1} dy from (select *, {x0} x0, {x1} x1, {y0} y0, {y1} y1 from (select o_orderkey, {x} x, {y} y, {w} pw from {{orders}}) a) b
+          where x between x0 and x1 and y between y0 and y1) d),
+        c as (select ix, iy, sum(pw) w, count(*) n, any_value(dx) dx, any_value(dy) dy from px group by 1,2),
+        m as (select sum(n)::double n, sum(w) sw, any_value(dx) dx, any_value(dy) dy, sum(w*ix) mx, sum(w*iy) my, sum(w*ix*ix) xx, sum(w*ix*iy) xy, sum(w*iy*iy) yy from c),
+        v as (select n, dx, dy, pow(n,-1.0/6) s, (xx-mx/sw*mx)/sw xx, (xy-mx/sw*my)/sw xy, (yy-my/sw*my)/sw yy from m),
+        k as (select *, n*dx*dy*2*pi()*s*s*sqrt(xx*yy-xy*xy) nrm, xx*yy-xy*xy det, round_even(s*2*pi()*sqrt(xx),0)::bigint kx, round_even(s*2*pi()*sqrt(yy),0)::bigint ky from v)"""
+
+
+# A cell's share of the density di, dj cells away.
+_SHARE = "exp(-(yy*u*u-2*xy*u*v+xx*v*v)/det/(s*s)/2)"
+
+
+def _grid_sql(grid: tuple[int, int], **options) -> str:
+    return f"""with {_kernel(grid, **options)},
+        t as (select gx, gy, w*{_SHARE} e from (select gx, gy, k.*, w, gx-c.ix+kx//2-kx/2.0::double u, gy-c.iy+ky//2-ky/2.0::double v from c, k, (select unnest(range(0,{grid[0]})) gx) a, (select unnest(range(0,{grid[1]})) gy) b
+          where gx-c.ix+kx//2 between 0 and kx-1 and gy-c.iy+ky//2 between 0 and ky-1) q)
+        select gx ix, gy iy, round(coalesce(sum(e),0)/(select nrm from k)*1e9,5) density from (select unnest(range(0,{grid[0]})) gx) a cross join (select unnest(range(0,{grid[1]})) gy) b left join t using (gx, gy) group by 1,2"""
+
+
+@register("kde_2d", _grid_sql(_GRID))
 def kde_2d(spark, sf):
     df = stats.density(view(spark, sf, "orders"), "o_totalprice", "o_custkey", _GRID)
     return df.withColumn("density", F.round(F.col("density") * 1e9, 5))
 
 
-@register("kde_2d_points")
+_EXTENTS = (20_000.0, 300_000.0, 10.0, 1_400.0)
+
+
+@register("kde_2d_weighted", _grid_sql(_GRID, w="(o_orderkey%5)/2.0::double", extents=_EXTENTS))
+def kde_2d_weighted(spark, sf):
+    """With a weight for every point, over a part of the plane."""
+    points = view(spark, sf, "orders").withColumn("w", F.col("o_orderkey") % 5 / 2)
+    df = stats.density(points, "o_totalprice", "o_custkey", _GRID, weights="w", extents=_EXTENTS)
+    return df.withColumn("density", F.round(F.col("density") * 1e9, 5))
+
+
+@register(
+    "kde_2d_points",
+    f"""with {_kernel(_FINE)},
+        d as (select ax, ay, sum(w*{_SHARE}) e from (select a.ix ax, a.iy ay, k.*, c.w, a.ix-c.ix+kx//2-kx/2.0::double u, a.iy-c.iy+ky//2-ky/2.0::double v
+          from c a cross join k join c on c.ix between a.ix+kx//2-(kx-1) and a.ix+kx//2 and c.iy between a.iy+ky//2-(ky-1) and a.iy+ky//2) q group by 1,2)
+        select o_orderkey, round(e/(select nrm from k)*1e9,5) density from px join d on ax=ix and ay=iy""",
+)
 def kde_2d_points(spark, sf):
     """Density at each point on the default 400 x 400 grid."""
     points = view(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
-    return stats.point_density(points, "o_totalprice", "o_custkey").select("o_orderkey", F.col("density"))
+    df = stats.point_density(points, "o_totalprice", "o_custkey", _FINE)
+    return df.select("o_orderkey", F.round(F.col("density") * 1e9, 5).alias("density"))
 
 
 def adjacent(spark: SparkSession, sf: str) -> DataFrame:

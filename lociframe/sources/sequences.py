@@ -7,44 +7,24 @@ from pyspark.sql import functions as F
 
 from lociframe.functions.bases import reverse_when
 from lociframe.functions.chroms import strip_parent
-from lociframe.plans import ranged
-from lociframe.sources.text import field, fields, lines_in_order, numbered_lines, read_lines
+from lociframe.operators.intervals import flanked
+from lociframe.sources.splits import fixed_records, tiled_sequences
+from lociframe.sources.text import field, fields, read_lines
 
 
-def read_fasta(spark: SparkSession, path: str | list[str], tile: int = 8192) -> DataFrame:
-    """FASTA files or a folder of them as a tiled genome: chrom, tile, seq.
+def read_fasta(spark: SparkSession, path: str | list[str], tile: int = 8192, flank: int = 0) -> DataFrame:
+    """FASTA files or a folder of them as a tiled genome: chrom, tile, seq; with ``flank`` also before and after, so many bases
+    of the sequence on both sides of each tile, as lookups around a position need them.
 
-    Works line by line, so a chromosome is never held as one string: a running total over the
-    ordered lines gives each line its place, and lines are regrouped into tiles of fixed size.
+    Tiles are cut where the lines lie, split by split; only tiles cut by the edge of a split are put together from pieces (``sources.splits``).
     """
-    s = ranged.range_sorted(lines_in_order(spark, path).where("value != ''"), "file", "block", "line")
-    header = F.col("value").startswith(">")
-    seq = F.trim("value")
-    s = ranged.running_total(s, F.when(header, F.lit(0)).otherwise(F.length(seq)).cast("long"), "_until")
-    head = F.struct(F.regexp_extract("value", r"^>\s*(\S+)", 1).alias("chrom"), F.col("_until").alias("begin"))
-    s = ranged.carried(s, F.when(header, head), "_head")
-    placed = s.where(~header & F.col("_head").isNotNull()).select(
-        "_head.chrom", seq.alias("_line"), (F.col("_until") - F.col("_head.begin") - F.length(seq)).alias("_at")
-    )
-    first, last = F.floor(F.col("_at") / tile).cast("long"), F.floor((F.col("_at") + F.length("_line") - 1) / tile).cast("long")
-    pieces = placed.withColumn("tile", F.explode(F.sequence(first, last)))
-    lo = F.greatest(F.col("_at"), F.col("tile") * tile)
-    hi = F.least(F.col("_at") + F.length("_line"), (F.col("tile") + 1) * tile)
-    cut = F.substring("_line", (lo - F.col("_at") + 1).cast("int"), (hi - lo).cast("int"))
-    return (
-        pieces.groupBy("chrom", "tile")
-        .agg(F.array_sort(F.collect_list(F.struct(lo.alias("at"), cut.alias("piece")))).alias("_p"))
-        .select("chrom", "tile", F.array_join(F.col("_p.piece"), "").alias("seq"))
-    )
+    tiles = tiled_sequences(spark, path, tile)
+    return flanked(tiles, tile, flank) if flank else tiles
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Four-line FASTQ records: file, record (number in the file), id, seq, qual."""
-    rows = numbered_lines(spark, path)
-    k = F.pmod("row", F.lit(4))
-    rec = rows.groupBy("file", F.floor(F.col("row") / 4).cast("long").alias("record")).agg(
-        *[F.max(F.when(k == i, F.col("value"))).alias(c) for i, c in enumerate(["id", "seq", "_plus", "qual"])]
-    )
+    """Four-line FASTQ records: file, record (number in the file), id, seq, qual. Records are put together where they lie, split by split."""
+    rec = fixed_records(spark, path, ["id", "seq", None, "qual"])
     return rec.select("file", "record", F.expr("substring(id, 2)").alias("id"), "seq", "qual")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociframe.plans import ranged
+from lociframe.sources.splits import with_header
 
 
 def tsv_row(df: DataFrame, float_format: str | None = None) -> DataFrame:
@@ -31,22 +32,16 @@ def write_fastq(df: DataFrame, path: str, compression: str = "none") -> None:
     fastq_text(df).write.text(path, compression=compression)
 
 
-def write_lines_with_header(spark: SparkSession, header: list[str], body: DataFrame, path: str, compression: str = "none") -> None:
-    """Header lines and body next to each other: ``path/header`` and ``path/body``; in that order
-    their parts make one valid file, and the readers take both folders."""
-    spark.createDataFrame([("\n".join(header),)], "value string").coalesce(1).write.text(f"{path}/header", compression=compression)
-    body.write.text(f"{path}/body", compression=compression)
-
-
-def write_vcf(spark: SparkSession, df: DataFrame, samples: list[str], path: str, version: str = "VCFv4.1", compression: str = "none") -> None:
-    """chrom, pos (0-based), id, ref, alt, qual, filter, info, format, gts -> VCF text."""
+def write_vcf(df: DataFrame, samples: list[str], path: str, version: str = "VCFv4.1", compression: str = "none") -> None:
+    """chrom, pos (0-based), id, ref, alt, qual, filter, info, format, gts -> VCF text. Every part is a whole VCF with its header,
+    written by Spark's text writer, so that any file system will do and a lost task leaves nothing behind."""
     from lociframe.sources.variants import VCF_COLUMNS
 
     fixed = [F.col("chrom"), (F.col("pos") + 1).cast("string")] + [
         F.coalesce(F.col(c), F.lit(".")) for c in ("id", "ref", "alt", "qual", "filter", "info", "format")
     ]
     body = df.select(F.concat_ws("\t", *fixed, F.concat_ws("\t", "gts")).alias("value"))
-    write_lines_with_header(spark, [f"##fileformat={version}", "\t".join(VCF_COLUMNS + samples)], body, path, compression)
+    with_header(body, [f"##fileformat={version}", "\t".join(VCF_COLUMNS + samples)]).write.text(path, compression=compression)
 
 
 def write_by_chrom(df: DataFrame, path: str, pos: str = "start") -> None:

@@ -1,4 +1,6 @@
 import gzip
+import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,3 +223,85 @@ def test_parts_are_files_with_the_header(spark, tmp_path):
     found = {p.parent.name: p.read_text().split("\n")[:-1] for p in tmp_path.glob("parts/*/*.csv")}
     assert found == {f"part={k + 1}": ["v\tw", *[f"{v}\t{v % 3}" for v in range(7 * k, min(25, 7 * k + 7))]] for k in range(4)}
     assert len(list(tmp_path.glob("parts/*/*.csv"))) == 4
+
+
+def _small_splits(spark, size, fn):
+    """Run with files cut into splits of ``size`` bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        return fn()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("size", [7, 23, 64, 1 << 20])
+def test_fastq_over_split_edges(spark, tmp_path, size):
+    reads = [(f"r{i} @x", "ACGT" * (i % 5) + "N", "@+>I" * (i % 5) + "+") for i in range(30)]
+    (tmp_path / "a.fq").write_text("".join(f"@{a}\n{b}\n+\n{c}\n" for a, b, c in reads))
+    (tmp_path / "b.fq.gz").write_bytes(gzip.compress(b"@z\nA\n+\nI\n@cut\nAC\n"))
+    (tmp_path / "empty.fq").write_text("")
+
+    def read():
+        df = sequences.read_fastq(spark, str(tmp_path))
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" not in plan and "LogicalRDD" not in plan
+        return df.select(F.regexp_extract("file", r"([^/]+)$", 1), "record", "id", "seq", "qual").collect()
+
+    got = sorted(map(tuple, _small_splits(spark, size, read)), key=repr)
+    assert got == sorted([("a.fq", k, *r) for k, r in enumerate(reads)] + [("b.fq.gz", 0, "z", "A", "I"), ("b.fq.gz", 1, "cut", "AC", None)], key=repr)
+
+
+@pytest.mark.parametrize("size", [5, 16, 61, 1 << 20])
+def test_fasta_over_split_edges(spark, tmp_path, size):
+    r = random.Random(size)
+    seqs = {f"c{k}": "".join(r.choice("ACGTacgtN") for _ in range(n)) for k, n in enumerate([1, 20, 0, 133, 40, 41, 300])}
+    body = "orphan bases\n\n" + "".join(f">{c} text > more\n" + "".join(s[i : i + 9] + "\n" for i in range(0, len(s), 9)) for c, s in seqs.items())
+    cut = body.index(">c4") - 30  # the sequence before runs on in the next file
+    cut = body.rindex("\n", 0, cut) + 1
+    (tmp_path / "1.fa").write_text(body[:cut])
+    (tmp_path / "2.fa").write_text(body[cut:])
+    rows = _small_splits(spark, size, lambda: sequences.read_fasta(spark, str(tmp_path), tile=20).collect())
+    got = sorted((x.chrom, x.tile, x.seq) for x in rows)
+    assert got == sorted((c, i // 20, s[i : i + 20]) for c, s in seqs.items() for i in range(0, len(s), 20))
+    flanked = sequences.read_fasta(spark, str(tmp_path), tile=20, flank=7).where("chrom = 'c6' and tile = 3").first()
+    s = seqs["c6"]
+    assert (flanked.before, flanked.seq, flanked.after) == (s[53:60], s[60:80], s[80:87])
+
+
+def test_every_part_is_a_whole_vcf(spark, tmp_path):
+    df = spark.range(20).select(
+        F.lit("chr1").alias("chrom"), F.col("id").alias("pos"), F.concat(F.lit("rs"), "id").alias("id"), F.lit("A").alias("ref"), F.lit("C").alias("alt"),
+        F.lit(None).cast("string").alias("qual"), F.lit("PASS").alias("filter"), F.lit(".").alias("info"), F.lit("GT").alias("format"), F.array(F.lit("0|1"), F.lit("1|1")).alias("gts"),
+    )
+    path = f"{tmp_path}/out.vcf"
+    sinks.write_vcf(df.repartition(3), ["S1", "S2"], path)
+    files = sorted(Path(path).glob("part-*"))
+    assert len(files) == 3
+    back = []
+    for f in files:
+        assert variants.vcf_version(spark, str(f)) == "VCFv4.1"
+        assert [r.sample for r in variants.vcf_samples(spark, str(f)).orderBy("idx").collect()] == ["S1", "S2"]
+        back += [(r.pos, r.id, r.gts) for r in variants.read_vcf(spark, str(f)).collect()]
+    assert sorted(back) == [(k, f"rs{k}", ["0|1", "1|1"]) for k in range(20)]
+
+
+def test_a_matrix_of_a_million_snps(spark):
+    n = 1_000_000
+    long = spark.range(n).select(F.concat(F.lit("s"), F.col("id") % 3).alias("sample"), F.format_string("rs%07d", "id").alias("snp"), (F.col("id") % 3).cast("int").alias("dosage"))
+    blocks, index = convert.genotype_blocks(long)
+    got = blocks.select("sample", F.size("values").alias("n"), F.aggregate(F.filter("values", lambda v: v.isNotNull()), F.lit(0), lambda a, v: a + v).alias("sum")).groupBy("sample").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.count("*").alias("blocks")).collect()
+    assert {r["sample"]: (r["n"], r["sum"], r["blocks"]) for r in got} == {f"s{k}": (n, k * len(range(k, n, 3)), 245) for k in range(3)}
+    assert index.count() == n
+    with pytest.raises(ValueError, match="genotype_blocks"):
+        convert.genotype_matrix(long, [f"rs{i}" for i in range(5000)])
+
+
+def test_blocks_of_a_matrix(spark):
+    rows = [("b", "s1", 1), ("b", "s3", 2), ("b", "s3", 0), ("a", "s2", None), ("a", "s5", 1), ("a", None, 1), (None, "s4", 2)]
+    blocks, index = convert.genotype_blocks(spark.createDataFrame(rows, "sample string, snp string, dosage int"), size=2)
+    assert {(r["sample"], r.block): r["values"] for r in blocks.collect()} == {("b", 0): [1, None], ("b", 1): [2, None], ("a", 0): [None, None], ("a", 2): [1], (None, 1): [None, 2]}
+    assert sorted(map(tuple, index.collect())) == [("s1", 0, 0), ("s2", 0, 1), ("s3", 1, 0), ("s4", 1, 1), ("s5", 2, 0)]

@@ -301,3 +301,33 @@ def test_a_lookup_is_the_same_either_way(spark, monkeypatch):
         assert sorted(map(repr, lookups.lookup(big, small, ["k"], how, rows=0).collect())) == want
     with pytest.raises(ValueError):
         lookups.lookup(big, small, ["k"], "right")
+
+
+def test_density_with_weights_and_extents(spark):
+    r = np.random.default_rng(8)
+    x, y, w = r.normal(0, 1, 300), r.normal(0, 2, 300), r.integers(0, 4, 300).astype(float)
+    rows = [(k, float(a), float(b), float(c)) for k, (a, b, c) in enumerate(zip(x, y, w))] + [(900, None, 1.0, 1.0), (901, 0.0, None, 1.0), (902, 0.0, 0.0, None)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, w double")
+    box, (nx, ny) = (-1.5, 2.0, -3.0, 3.0), (20, 16)
+    inside = (x >= -1.5) & (x <= 2) & (y >= -3) & (y <= 3)
+    dx, dy = 3.5 / (nx - 1), 6 / (ny - 1)
+    ix, iy = np.floor((x + 1.5) / dx).astype(int), np.floor((y + 3) / dy).astype(int)
+    cov = np.cov(ix[inside], iy[inside], bias=True, aweights=w[inside])
+    n = inside.sum()
+    s = n ** (-1 / 6)
+    kx, ky = (int(np.round(s * 2 * np.pi * np.sqrt(cov[i, i]))) for i in (0, 1))
+    inv, want = np.linalg.inv(cov * s * s), np.zeros((ny, nx))
+    for a, b, c in zip(ix[inside], iy[inside], w[inside]):
+        for i in range(kx):
+            for j in range(ky):
+                gx, gy = a + i - kx // 2, b + j - ky // 2
+                if 0 <= gx < nx and 0 <= gy < ny:
+                    u = np.array([i - kx / 2, j - ky / 2])
+                    want[gy, gx] += c * np.exp(-u @ inv @ u / 2)
+    want /= n * dx * dy * np.sqrt(np.linalg.det(2 * np.pi * cov * s * s))
+    got = {(c.ix, c.iy): c.density for c in stats.density(df, grid=(nx, ny), weights="w", extents=box).collect()}
+    assert got == pytest.approx({(i, j): want[j, i] for i in range(nx) for j in range(ny)})
+    at = {p.id: p.density for p in stats.point_density(df, grid=(nx, ny), weights="w", extents=box).collect()}
+    assert len(at) == 303 and at[900] is None and at[901] is None
+    for k in range(300):
+        assert at[k] == (pytest.approx(want[iy[k], ix[k]]) if inside[k] else None)
