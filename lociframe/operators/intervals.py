@@ -24,8 +24,10 @@ from lociframe.config import BROADCAST_BYTES, BROADCAST_ROWS, fits, parallelism,
 from lociframe.functions.bases import revcomp
 
 BIN = 16384
-# Each level's bins are so many times as wide as those of the level below; most levels, beyond which one bin holds all.
-FACTOR, LEVELS = 8, 14
+# Bins of a level are 2 to this power times as wide as those of the level below.
+STEP = 3
+# Bins are counted from here, a number whose bits are a one in every STEP, so that 0, where many intervals start, is at the edge of no wide bin.
+FIRST = sum(1 << (STEP * k) for k in range(14))
 # Most intervals listed under one bin for a broadcast of lists.
 BROADCAST_PER_BIN = 256
 # Rows that agree in all columns and lie in a full bin travel as one row for so many.
@@ -37,29 +39,19 @@ def _bin(pos: Column, width: int) -> Column:
     return F.floor(pos / F.lit(width)).cast("long")
 
 
-def _widths(width: int) -> list[int]:
-    return [width * FACTOR**k for k in range(LEVELS) if width * FACTOR**k < 1 << 58]
-
-
-def _bin_on(pos: Column, width: int, level: int) -> Column:
-    """The bin of a position on a level. Positions are moved by a constant that keeps 0, where many intervals start, off the edges of wide bins."""
-    widths = _widths(width)
-    if level >= len(widths):
-        return F.lit(0).cast("long")
-    return F.call_function("div", pos.cast("long") + sum(widths), F.lit(widths[level]).cast("long"))
+def _bin_on(pos: Column, width: int, level: Column | int) -> Column:
+    """The bin of a position on a level."""
+    lowest = F.call_function("div", pos.cast("long") + FIRST * width, F.lit(width).cast("long"))
+    return F.call_function("shiftright", lowest, F.lit(STEP) * level)
 
 
 def _listed(intervals: DataFrame, start: str, end: str, width: int) -> DataFrame:
     """Non-empty intervals with the level and number of the smallest bin that holds them."""
-    first, last = F.col(start), F.col(end) - 1
-    levels = range(len(_widths(width)))
-    place = lambda k: F.struct(F.lit(k).alias("level"), _bin_on(first, width, k).alias("bin"))
-    found = None
-    for k in levels:
-        one = _bin_on(first, width, k) == _bin_on(last, width, k)
-        found = F.when(one, place(k)) if found is None else found.when(one, place(k))
-    at = intervals.where(F.col(end) > F.col(start)).withColumn("_place", found.otherwise(place(len(levels))))
-    return at.withColumns({"_level": F.col("_place.level"), "_bin": F.col("_place.bin")}).drop("_place")
+    first, last = _bin_on(F.col(start), width, 0), _bin_on(F.col(end) - 1, width, 0)
+    # They share a bin on the first level at which all bits that differ are shifted out.
+    at = intervals.where(F.col(end) > F.col(start)).withColumns({"_bin": first, "_differ": first.bitwiseXOR(last)})
+    level = F.when(F.col("_differ") == 0, 0).otherwise(F.ceil(F.length(F.bin("_differ")) / STEP).cast("int"))
+    return at.withColumn("_level", level).withColumn("_bin", F.call_function("shiftright", F.col("_bin"), F.lit(STEP) * F.col("_level"))).drop("_differ")
 
 
 def _asking(points: DataFrame, pos: str, width: int, levels: list[int]) -> DataFrame:
@@ -215,7 +207,9 @@ def _assign_by_list(points: DataFrame, listed: DataFrame, take: str, pos: str, s
     """The lookup for an interval table that fits a broadcast: each bin's intervals as a list in file
     order, so a point finds its interval where it stands, without shuffle or aggregation."""
     entry = F.struct("_best", "_start", "_end", *(["_strand"] if strand else []))
-    lists = listed.groupBy(*_KEY).agg(F.array_sort(F.collect_list(entry)).alias("_list"))
+    # Level and bin in one number: all levels are looked up in one broadcast.
+    place = lambda number, level: number * 64 + level
+    lists = listed.groupBy("chrom", place(F.col("_bin"), F.col("_level")).alias("_place")).agg(F.array_sort(F.collect_list(entry)).alias("_list"))
     none = F.array().cast(lists.schema["_list"].dataType)
 
     def over(i: Column) -> Column:
@@ -224,8 +218,8 @@ def _assign_by_list(points: DataFrame, listed: DataFrame, take: str, pos: str, s
 
     at, firsts = points, [none]
     for k in levels:
-        named = lists.where(F.col("_level") == k).select(F.col("chrom").alias(f"_c{k}"), F.col("_bin").alias(f"_b{k}"), F.col("_list").alias(f"_l{k}"))
-        at = at.join(F.broadcast(named), (F.col("chrom") == F.col(f"_c{k}")) & (_bin_on(F.col(pos), width, k) == F.col(f"_b{k}")), "left")
+        named = lists.select(F.col("chrom").alias(f"_c{k}"), F.col("_place").alias(f"_b{k}"), F.col("_list").alias(f"_l{k}"))
+        at = at.join(F.broadcast(named), (F.col("chrom") == F.col(f"_c{k}")) & (place(_bin_on(F.col(pos), width, k), F.lit(k)) == F.col(f"_b{k}")), "left")
         firsts.append(F.coalesce(F.slice(F.filter(f"_l{k}", over), 1, 1), none))
     # Through a generator, so that the test for a hit is not pushed into a join condition, where Spark
     # cannot evaluate a lambda over columns of both sides.
