@@ -1,13 +1,15 @@
 """Stupid-backoff language-model scores of documents from the counts of their own corpus.
 
-Documents are put in blocks. A block sends its distinct n-grams, hashed and counted, to the parts of the count tables that hold them: a sorted key list
-for each part. A part adds up the counts of all blocks, joins the sums to the lists and sends them back to the blocks, which score
-their documents. So a frequent n-gram is one key a block, not a row an occurrence, and no key can fill a part.
+Documents are put in blocks. A block counts its n-grams before anything moves, and sends each different one once: (bucket, block, keys, counts), where a key is
+a 64-bit hash, a bucket its leading bits, and the arrays only carry the rows of one block and bucket together. The receiving side explodes them to a row an n-gram
+and block, partitioned by bucket; the count table is the sum of these rows by key, put next to them by a window over the key, so that counting and
+joining back are one sort without another shuffle. A frequent n-gram has a row a block, never a row an occurrence. Totals of n-grams that are in more than one block go
+back; a block knows the others itself. Scores are summed per document where its words are.
 
 For each word, S = c(n-gram)/c(context) of the longest n-gram that other documents have, times 0.4 for every order backed off, down to
 (c(word)+1)/(words+1). Counts leave out the document that is scored; otherwise its own rare n-grams would look certain. The score is the mean log10 S.
 
-Defined results: a text without words has a null score; a null id is kept; rows with equal ids are rows of their own.
+Defined results: a text without words has a null score; a null id is kept; rows with equal ids are rows of their own. Counts are 64-bit throughout.
 """
 
 from __future__ import annotations
@@ -20,35 +22,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociframe.config import pin
-from lociframe.llm.tokens import map_batches, windows, words
+from lociframe.config import parallelism, pin
+from lociframe.llm.tokens import count_words, map_batches, windows, words
 
-#: Highest order: two words of context. Keys of a higher order hardly repeat: each adds about 1.7 times the input to what is shuffled.
+#: Highest order: two words of context. Keys of a higher order hardly repeat, so each adds as many rows as there are words.
 ORDER = 3
 BACKOFF = 0.4
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 PORTION = 1 << 20
-PART_BYTES = 8 << 20  # of text a part of the count tables stands for
-
-
-def packed(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers as differences, byte by byte, so that the bytes that are zero lie together."""
-    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
-def counted(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def uncounted(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+PART_BYTES = 4 << 20  # of text that a partition of the exploded n-grams stands for
 
 
 def grams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -74,9 +59,21 @@ def grams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray,
     return out, text, first
 
 
-def scores(texts: list[bytes], keys: np.ndarray, totals: np.ndarray, corpus: int, order: int) -> list[float | None]:
+def counted(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, sorted, and how often each occurs."""
+    flat = np.concatenate(hashes)
+    return np.unique(flat[flat > 0], return_counts=True)
+
+
+def bucketed(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that sorted keys are in, by their leading ``bits``, and where each begins, with the end behind them."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return bucket[begin], np.append(begin, len(keys))
+
+
+def scores(hashes: list[np.ndarray], text: np.ndarray, first: np.ndarray, keys: np.ndarray, totals: np.ndarray, corpus: int, order: int) -> list[float | None]:
     """Scores from the counts of the whole corpus: ``totals`` of the sorted ``keys``, ``corpus`` words in all."""
-    hashes, text, first = grams(texts, order)
     size = np.diff(first)
     others: list[np.ndarray] = []
     for full in hashes:
@@ -91,12 +88,12 @@ def scores(texts: list[bytes], keys: np.ndarray, totals: np.ndarray, corpus: int
         context = np.concatenate(([0], others[n - 2][:-1]))
         good = (others[n - 1] > 0) & (context > 0)
         log[good] = np.log10(np.minimum(1.0, others[n - 1][good] / context[good])) + (order - n) * math.log10(BACKOFF)
-    sums = np.bincount(text, log, minlength=len(texts))
+    sums = np.bincount(text, log, minlength=len(size))
     return [float(s / n) if n else None for s, n in zip(sums, size, strict=True)]
 
 
 def blocked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Blocks of documents, pinned: (block, ids, sizes, texts compressed)."""
+    """Blocks of documents, pinned: (block, ids, sizes, words, texts compressed)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def gather(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -105,15 +102,15 @@ def blocked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for k, text in enumerate([*texts, None]):
             if held and (text is None or size + len(text) > BLOCK_BYTES):
                 yield {
-                    "block": [uuid.uuid4().hex], "ids": pa.array([batch.column(0).slice(begin, len(held)).to_pylist()], pa.list_(batch.column(0).type)),
-                    "sizes": [[len(t) for t in held]], "texts": [zstandard.compress(b"".join(held), 3)],
+                    "block": [uuid.uuid4().int >> 65], "ids": pa.array([batch.column(0).slice(begin, len(held)).to_pylist()], pa.list_(batch.column(0).type)),
+                    "sizes": [[len(t) for t in held]], "words": [sum(map(count_words, held))], "texts": [zstandard.compress(b"".join(held), 3)],
                 }
                 held, begin, size = [], k, 0
             if text is not None:
                 held.append(text)
                 size += len(text)
 
-    schema = f"block string, ids array<{kind}>, sizes array<int>, texts binary"
+    schema = f"block long, ids array<{kind}>, sizes array<int>, words long, texts binary"
     return pin(map_batches(docs.select(F.col(id_col), F.col(text_col).cast("string")), gather, schema))
 
 
@@ -122,50 +119,51 @@ def _texts(sizes, data: bytes) -> list[bytes]:
     return [flat[e - s : e] for s, e in zip(sizes, ends, strict=True)]
 
 
+def totals(asked: DataFrame, parts: int) -> DataFrame:
+    """(block, bucket, answer) from (bucket, block, keys, counts): for every key of a block that another block has too, its place in ``keys`` and the sum of all
+    its counts, one after the other in the array ``answer``."""
+    dealt = asked.repartition(parts, "bucket")
+    rows = dealt.select("bucket", "block", F.posexplode(F.arrays_zip("keys", "counts")).alias("at", "k"))
+    rows = rows.select("bucket", "block", "at", F.col("k.keys").alias("key"), F.col("k.counts").cast("long").alias("n"))
+    every = Window.partitionBy("key", "bucket")  # a key is in one bucket, so its rows are in one partition already
+    summed = rows.withColumns({"total": F.sum("n").over(every), "blocks": F.count(F.lit(1)).over(every)}).where("blocks > 1")
+    return summed.groupBy("bucket", "block").agg(F.flatten(F.collect_list(F.array(F.col("at").cast("long"), "total"))).alias("answer"))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """(id, n_words, score) for every row of ``docs``."""
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = blocked(docs, id_col, text_col)
-    bytes_in = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    parts = max(64, bytes_in // PART_BYTES)
+    size = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("bytes"), F.sum("words").alias("words")).first()
+    bytes_in, corpus = size["bytes"] or 0, size["words"] or 0
+    parts = max(parallelism(docs.sparkSession), bytes_in // PART_BYTES)
+    bits = max(6, (4 * parts).bit_length())  # a few buckets a partition
 
     def ask(batch: pa.RecordBatch) -> Iterator[dict]:
         for block, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "texts")), strict=True):
-            hashes, _, first = grams(_texts(sizes, data), order)
-            flat = np.concatenate(hashes)
-            keys, n = np.unique(flat[flat > 0], return_counts=True)
-            cut = np.searchsorted(keys, [np.uint64((p << 64) // parts) for p in range(parts)])
-            cut = np.append(cut, len(keys))
-            some = [p for p in range(parts) if cut[p] < cut[p + 1]]
+            keys, n = counted(grams(_texts(sizes, data), order)[0])
+            bucket, begin = bucketed(keys, bits)
+            offsets = pa.array(begin, pa.int32())
             yield {
-                "part": some, "block": [block] * len(some), "words": [int(first[-1]) if p == some[0] else 0 for p in some],
-                "keys": [packed(keys[cut[p] : cut[p + 1]]) for p in some], "counts": [counted(n[cut[p] : cut[p + 1]]) for p in some],
+                "bucket": pa.array(bucket), "block": [block] * len(bucket), "keys": pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))),
+                "counts": pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))),
             }
 
-    asked = map_batches(blocks.select("block", "sizes", "texts"), ask, "part int, block string, words long, keys binary, counts binary")
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        keys = [unpacked(k) for k in group["keys"]]
-        every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(at, np.concatenate([uncounted(c) for c in group["counts"]]), minlength=len(every)).astype(np.int64)[at]
-        ends = np.cumsum([len(k) for k in keys])
-        # The keys need not travel back: a block knows them, in the same order.
-        return pd.DataFrame({"part": group["part"], "block": group["block"], "words": group["words"], "counts": [counted(totals[e - len(k) : e]) for e, k in zip(ends, keys, strict=True)]})
-
-    answers = pin(asked.groupBy("part").applyInPandas(add, "part int, block string, words long, counts binary"))
-    corpus = answers.agg(F.sum("words")).first()[0] or 0
+    asked = map_batches(blocks.select("block", "sizes", "texts"), ask, "bucket long, block long, keys array<long>, counts array<int>")
 
     def judge(group: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         if not len(group):
             return pd.DataFrame({"id": [], "n_words": [], "score": []})
         row = group.iloc[0]
-        texts = _texts(row["sizes"], row["texts"])
-        hashes, _, first = grams(texts, order)
-        flat = np.concatenate(hashes)
-        keys = np.unique(flat[flat > 0])
-        totals = np.concatenate([np.zeros(0, np.int64), *(uncounted(c) for c in answer.sort_values("part")["counts"])])
+        hashes, text, first = grams(_texts(row["sizes"], row["texts"]), order)
+        keys, n = counted(hashes)
+        bucket, begin = bucketed(keys, bits)
+        known = n.astype(np.int64)  # of n-grams no other block has
+        for b, told in zip(answer["bucket"], answer["answer"], strict=True):
+            pairs = np.asarray(told, np.int64).reshape(-1, 2)
+            known[begin[np.searchsorted(bucket, b)] + pairs[:, 0]] = pairs[:, 1]
         ids = pd.Series(list(row["ids"]), dtype="Int64" if kind in ("bigint", "int") else object)
-        out = pd.DataFrame({"id": ids, "n_words": np.diff(first), "score": pd.Series(scores(texts, keys, totals, corpus, order), dtype="Float64")})
-        return out
+        return pd.DataFrame({"id": ids, "n_words": np.diff(first), "score": pd.Series(scores(hashes, text, first, keys, known, corpus, order), dtype="Float64")})
 
+    answers = totals(asked, parts)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(judge, f"id {kind}, n_words long, score double")

@@ -208,3 +208,26 @@ def test_whitening_without_variance(spark):
     assert got[0].identity_error < 1e-9
     one = whitening.whitened(spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>")).collect()
     assert [(r.component, r.deviation, r.whitened, r.explained, r.identity_error) for r in one] == [(c, 0, None, 0.0, None) for c in (1, 2, 3)]
+
+
+def test_totals_beyond_32_bits(spark):
+    """Counts of n-grams are summed as 64-bit numbers: blocks that together have a word more than 2^32 times."""
+    from lociframe.llm import scoring
+
+    rows = [(0, b, [7, 9 + b], [2**31 - 1, 5]) for b in range(5)] + [(1, 0, [1 << 62], [3])]
+    asked = spark.createDataFrame(rows, "bucket long, block long, keys array<long>, counts array<int>")
+    got = {(r.block, r.bucket): list(r.answer) for r in scoring.totals(asked, 3).collect()}
+    assert got == {(b, 0): [0, 5 * (2**31 - 1)] for b in range(5)}
+    plan = scoring.totals(asked, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_scores_do_not_depend_on_blocks(spark, monkeypatch):
+    from lociframe.llm import scoring
+
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["a", "b", "c", "d", "ee", "f" * (k % 3 + 1)]) for _ in range(rng.randint(0, 60)))) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = sorted((r.id, r.n_words, r.score and round(r.score, 9)) for r in scoring.score(df).collect())
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 200)
+    assert sorted((r.id, r.n_words, r.score and round(r.score, 9)) for r in scoring.score(df).collect()) == whole
