@@ -4,14 +4,13 @@ A word of the model is scored by its log frequency in each language. A word it d
 its known 5-grams, or if it has none by its 4-grams, and so on down to single letters. Each word votes with the
 probabilities that follow from its scores, and the language with the largest share of the votes is predicted; the share is the score.
 
-Defined results: a text that is null or has no letter is ``und`` with score 0; ties go to the language that sorts first; without any
-labelled row every text is ``und``.
+Defined results: a text that is null or has no letter is ``und`` with score 0; one with letters of which the model knows none is the language with the most
+fitted words, with score 0; ties go to the language that sorts first; without any labelled row every text is ``und``.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,12 +18,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.config import pin
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters, with the marks that belong to them; digits, fractions and numerals are no letters.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 LONGEST = 5
 #: Labelled rows fitted on, about. It is the only bound of the model, which keeps all words and n-grams of these rows.
 FIT_ROWS = 20_000
@@ -48,6 +49,7 @@ class Model:
     langs: list[str]
     index: list[dict[str, int]]  # rows of known words (0) and of n-grams by length
     logs: list[np.ndarray]  # log frequency in each language, a row an item
+    usual: int = 0  # the language with the most words
 
     def votes(self, asked: list[str]) -> np.ndarray:
         """A row of votes for each word: a known word by itself, else by its longest known n-grams; zeros without any."""
@@ -81,7 +83,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     labelled = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = labelled.count()
     if n > rows:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < F.lit((rows << 20) // n))
+        labelled = labelled.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 62)) < F.lit((rows << 62) // n))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -117,7 +119,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         base = [math.log(totals.get((lang, size), (0, 0))[0] + 0.5 * (totals.get((lang, size), (0, 0))[1] + 1)) for lang in langs]
         index.append({item: k for k, item in enumerate(known)})
         logs.append((np.log(table) - np.array(base)).astype(np.float32))
-    return Model(langs, index, logs)
+    return Model(langs, index, logs, max(range(len(langs)), key=lambda k: totals.get((langs[k], 0), (0, 0))[0], default=0))
 
 
 class _Votes(dict):
@@ -150,7 +152,8 @@ def judge(model: Model, texts: list[str | None], cache: _Votes) -> tuple[list[st
         found = words(text)
         total = cache.total(found) if found and model.langs else np.zeros(1)
         if not total.any():
-            langs.append("und")
+            # Letters, but none that the model has seen: the usual language, with no confidence.
+            langs.append(model.langs[model.usual] if found and model.langs else "und")
             scores.append(0.0)
             continue
         best = int(total.argmax())
