@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,6 +20,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSES_SAME = frozenset("li option tr td th dt dd p".split())
 #: Elements of one kind that end one another within the same list or table.
 FAMILY = {"dt": "dl", "dd": "dl", "td": "row", "th": "row"}
+_ENDED_BY = {t: ("p", t, *(u for u in FAMILY if u != t and FAMILY[u] == FAMILY.get(t))) for t in CLOSES_SAME if t != "p"}
 SCOPE = frozenset("ul ol dl table tbody thead tfoot article section main aside nav header footer div body html form blockquote".split())
 
 TAGS = ("html", "body", "div", "section", "article", "main", "p", "h", "li", "list", "table", "nav", "header", "footer", "aside", "form", "figure", "quote", "other")
@@ -88,6 +90,8 @@ def parse(source: str) -> Page:
     page = Page()
     root = page.add(TAGS.index("html"), -1, 0, "", 0, -1)
     stack: list[tuple[str, int]] = [("html", root)]  # tag, nearest block node
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag, but the root
+    scopes: list[int] = [0]
     run: list[str] = []
     state = {"linked": 0, "links": 0, "silent": 0, "label": -1}
 
@@ -112,9 +116,18 @@ def parse(source: str) -> Page:
             if tag not in INLINE:
                 flush()
             stack.pop()
+            places[tag].pop()
+            if tag in SCOPE:
+                scopes.pop()
             state["links"] -= tag == "a"
             state["silent"] -= tag in SILENT
 
+    def push(tag: str, node: int) -> None:
+        places[tag].append(len(stack))
+        if tag in SCOPE:
+            scopes.append(len(stack))
+        stack.append((tag, node))
+
     at = 0
     while True:
         found = _TAG.search(source, at)
@@ -137,12 +150,9 @@ def parse(source: str) -> Page:
             continue
         tag = found.group(2).lower()
         if found.group(1):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if tag in INLINE and stack[k][0] in SCOPE:
-                    break
+            # The innermost open element of the name; an inline one not beyond the nearest scope.
+            if places[tag] and (tag not in INLINE or places[tag][-1] >= scopes[-1]):
+                pop(places[tag][-1])
             continue
         if tag == "html":
             continue
@@ -156,21 +166,18 @@ def parse(source: str) -> Page:
         body = source[found.end() : at].rstrip(">")
         attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(body)} if body.strip(" /") else {}
         if tag in INLINE:
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             state["links"] += tag == "a"
         else:
             flush()
-            for k in range(len(stack) - 1, 0, -1):  # what this start ends
-                open_tag = stack[k][0]
-                if open_tag == "p" or tag in CLOSES_SAME and (open_tag == tag or FAMILY.get(open_tag, 0) == FAMILY.get(tag, 1)):
-                    pop(k)
-                    break
-                if open_tag in SCOPE:
-                    break
+            # What this start ends: the innermost of these within the nearest scope.
+            ends = max((places[t][-1] for t in _ENDED_BY.get(tag, ("p",)) if places[t]), default=-1)
+            if ends >= max(1, scopes[-1]):
+                pop(ends)
             label = int(attributes["data-y"]) if attributes.get("data-y", "") in ("0", "1") else page.label[stack[-1][1]]
             group = _GROUP.get(tag, "other")
             named = names_in(attributes) | (1 << _TAG_KIND[tag] if tag in _TAG_KIND else 0)
-            stack.append((tag, page.add(TAGS.index(group), stack[-1][1], named, "", 0, label) if not state["silent"] and tag not in SILENT else stack[-1][1]))
+            push(tag, page.add(TAGS.index(group), stack[-1][1], named, "", 0, label) if not state["silent"] and tag not in SILENT else stack[-1][1])
             state["silent"] += tag in SILENT
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)", re.I).search(source, at)

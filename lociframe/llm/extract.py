@@ -138,7 +138,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most:
     """Fit on about ``most`` pages of at most FIT_CHARS characters, chosen by a hash of the id."""
     usable = pages.where(F.length(F.col(html_col)).between(1, FIT_CHARS))
     n = usable.count()
-    chance = usable.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < F.lit((most << 20) // n)) if n > most else usable
+    chance = usable.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 62)) < F.lit((most << 62) // n)) if n > most else usable
     sources = [r[0] for r in chance.select(F.col(html_col), F.col(id_col)).orderBy(id_col).limit(2 * most).collect()]
     rng, xs, ys = random.Random(7), [], []
     parsed = [dom.parse(s) for s in sources]
