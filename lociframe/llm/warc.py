@@ -19,18 +19,20 @@ import json
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.config import new_path, pin
+from lociframe.config import new_path, parallelism, pin
 from lociframe.llm.util import same, text_of
 
 LEAST_REVISIT = 1000  # bytes
 ARCHIVE_BYTES = 64 << 20  # of records, after which a task begins another archive
 CHUNK = 1 << 20
+STRETCH = 4 << 20  # of an archive that is read by one task
 LEVEL = 6  # of compression
 GZIP = 31  # zlib's window bits for gzip
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -56,10 +58,16 @@ def _uri(page: int) -> str:
     return f"urn:page:{page}"
 
 
+def _record_id(page: int | None) -> str:
+    """The id of a page's record, so that revisits can name it without a look at it."""
+    return f"<urn:uuid:{uuid.uuid4() if page is None else uuid.uuid5(uuid.NAMESPACE_URL, _uri(page))}>"
+
+
 def record(page: int | None, url: str | None, payload: bytes, refers: int | None) -> tuple[bytes, list[bytes]]:
     """Header and body of a record; a revisit has the payload's digest and length, but not the payload."""
     body = [HTTP] if refers is not None else [HTTP, payload]
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>"]
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {_record_id(page)}", f"WARC-Date: {date}"]
     if page is not None:
         lines.append(f"WARC-Page: <{_uri(page)}>")
     if url is not None:
@@ -67,7 +75,7 @@ def record(page: int | None, url: str | None, payload: bytes, refers: int | None
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}"]
     if refers is not None:
-        lines += [f"WARC-Refers-To: <{_uri(refers)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: {_record_id(refers)}", f"WARC-Refers-To-Page: <{_uri(refers)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {sum(map(len, body))}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode(), body
 
@@ -117,10 +125,10 @@ def write(rows: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
 
 class _Stream:
-    """The inflated bytes of a gzip file, chunk by chunk; further members follow the first."""
+    """The inflated bytes of a gzip file, chunk by chunk; further members follow the first. ``at`` is how much of what is held has been taken."""
 
     def __init__(self, file):
-        self.file, self.z, self.held = file, zlib.decompressobj(GZIP), b""
+        self.file, self.z, self.held, self.at = file, zlib.decompressobj(GZIP), b"", 0
 
     def more(self) -> bool:
         """Inflate another chunk onto what is held."""
@@ -133,23 +141,26 @@ class _Stream:
                 return False
             got = self.z.decompress(raw, CHUNK)
             if got:
-                self.held += got
+                self.held, self.at = self.held[self.at :] + got, 0
                 return True
 
     def header(self) -> bytes | None:
-        while (end := self.held.find(b"\r\n\r\n")) < 0:
+        seen = 0  # bytes that hold no end of a header
+        while (end := self.held.find(b"\r\n\r\n", self.at + seen)) < 0:
+            seen = max(0, len(self.held) - self.at - 3)
             if not self.more():
-                if self.held.strip():
+                if self.held[self.at :].strip():
                     raise ValueError("an archive ends within a header")
                 return None
-        out, self.held = self.held[: end + 4], self.held[end + 4 :]
+        out, self.at = self.held[self.at : end + 4], end + 4
         return out
 
     def body(self, length: int, to: Callable[[bytes], None]) -> None:
         while length > 0:
-            if not self.held and not self.more():
+            if self.at == len(self.held) and not self.more():
                 raise ValueError("an archive ends within a record")
-            part, self.held = self.held[:length], self.held[length:]
+            part = self.held[self.at : self.at + length]
+            self.at += len(part)
             length -= len(part)
             to(part)
 
@@ -191,15 +202,21 @@ def normalise_archive(folder: str, archive: str) -> tuple[str, list[tuple[int, i
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
-    """Rewrite archives one a task at a time; returns (archive, offset, length) of every member."""
+    """Rewrite archives one a task at a time; returns the names of the new ones."""
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for archive in batch["archive"]:
-                name, spans = normalise_archive(folder, archive)
-                yield pd.DataFrame([(name, *span) for span in spans], columns=["archive", "offset", "length"])
+            yield pd.DataFrame({"archive": [normalise_archive(folder, archive)[0] for archive in batch["archive"]]})
+
+    return pin(archives.mapInPandas(rewrite, "archive string"))
+
 
-    return pin(archives.mapInPandas(rewrite, "archive string, offset long, length long"))
+def sidecar(names: DataFrame, folder: str) -> DataFrame:
+    """(archive, offset, length, id, type, url, digest) of every record, from the index files beside the archives ``names``."""
+    lines = names.sparkSession.read.schema("offset long, length long, id string, type string, url string, digest string").json(f"{folder}/*.members.warc.gz.index")
+    archive = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.index$", 1)
+    # Names only: an archive that a lost task left behind is not among them.
+    return lines.select(archive.alias("archive"), "*").join(names, "archive", "left_semi")
 
 
 READ = "page string, payload_bytes long, payload_digest string, record_type string, refers_to string, verified boolean"
@@ -227,7 +244,7 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
                         full = said["WARC-Type"] == "response"
                         digest = hashlib.sha1(payload).hexdigest() if full else claimed
                         size = len(payload) if full else int(said["WARC-Payload-Length"])
-                        rows.append((bare(said, "WARC-Page"), size, digest, said["WARC-Type"], bare(said, "WARC-Refers-To"), digest == claimed))
+                        rows.append((bare(said, "WARC-Page"), size, digest, said["WARC-Type"], bare(said, "WARC-Refers-To-Page"), digest == claimed))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in READ.split(", ")])
 
     return index.mapInPandas(read, READ)
@@ -238,6 +255,10 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
     archives = write(with_revisits(pages, id_col, html_col), folder, id_col, url_col)
-    got = read_back(normalise(archives.repartition(max(1, archives.count())), folder), folder)
+    names = normalise(archives.repartition(max(1, archives.count())), folder)
+    index = sidecar(names, folder).select("archive", "offset", "length") if not names.isEmpty() else spark.createDataFrame([], "archive string, offset long, length long")
+    # Archives are read in stretches, side by side, wherever Spark has read the index.
+    stretches = index.repartition(parallelism(spark), "archive", F.expr(f"offset div {STRETCH}")).sortWithinPartitions("archive", "offset")
+    got = read_back(stretches, folder)
     number = pages.schema[id_col].dataType
     return got.withColumn(id_col, F.col("page").cast(number)).withColumn("refers_to", F.col("refers_to").cast(number)).drop("page")
