@@ -59,14 +59,54 @@ class FMIndex:
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the strings with a symbol put before them."""
         shift = self.first[symbol] - self.base[symbol]
-        return shift + self.wavelet.down(symbol, low), shift + self.wavelet.down(symbol, high)
+        both = self.wavelet.down(np.concatenate((symbol, symbol)), np.concatenate((low, high)))  # half the calls
+        return shift + both[: len(low)], shift + both[len(low) :]
+
+
+def stretches(value: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs, ``length`` words at least, of words that each occur elsewhere in the shard; ``first`` are the starts of its contexts and the end.
+
+    A window over a word that occurs once has no other occurrence, so it need not be searched for.
+    """
+    good = (np.bincount(value)[value] > 1).astype(np.int8)
+    begins = np.zeros(len(value) + 1, bool)
+    begins[first] = True
+    edge = np.diff(good, prepend=0, append=0)
+    starts = np.flatnonzero((edge[:-1] > 0) | ((good > 0) & begins[:-1]))
+    ends = np.flatnonzero((edge[1:] < 0) | ((good > 0) & begins[1:])) + 1
+    long = ends - starts >= length
+    return starts[long], ends[long]
 
 
 def least_documents(data: list[bytes], windows: np.ndarray, n: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> list[list[tuple[int, int, int]]]:
     """For each context, runs of windows with the same least document of any occurrence."""
     found = tokens.words(data)
     value = np.unique(found.hash, return_inverse=True)[1]
-    s, begin = joined([value[a:b] for a, b in zip(found.first, found.first[1:], strict=False)])
+    flat = np.repeat(ids.astype(np.int64), windows)  # a window that occurs once has its own
+    offset = np.concatenate(([0], np.cumsum(windows)))[:-1]
+    starts, ends = stretches(value, found.first, length)
+    if len(starts):
+        context = np.searchsorted(found.first, starts, side="right") - 1
+        # Words are numbered anew, without those left out.
+        inside = np.zeros(len(value) + 1, np.int64)
+        np.add.at(inside, starts, 1)
+        np.add.at(inside, ends, -1)
+        kept = np.cumsum(inside[:-1]) > 0
+        value[kept] = np.unique(value[kept], return_inverse=True)[1]
+        lowest = _search([value[a:b] for a, b in zip(starts, ends, strict=True)], ids[context], length)
+        count = ends - starts - length + 1
+        at = np.repeat(offset[context] + starts - found.first[context], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        flat[at] = lowest
+    out = []
+    for values in np.split(flat, offset[1:]):
+        new = np.flatnonzero(np.diff(values, prepend=values[0] - 1 if values[0] > -(1 << 62) else values[0] + 1))
+        out.append([(int(x), int(y - x), int(values[x])) for x, y in zip(new, np.append(new[1:], len(values)), strict=True)])
+    return out
+
+
+def _search(texts: list[np.ndarray], ids: np.ndarray, length: int) -> np.ndarray:
+    """For every window of the texts, one text after the other, the least document any occurrence is in."""
+    s, begin = joined(texts)
     sa = sorted_suffixes(s)
     index = FMIndex(s, sa)
     prefix = common_prefixes(s, sa)[sa]
@@ -77,10 +117,10 @@ def least_documents(data: list[bytes], windows: np.ndarray, n: np.ndarray, ids:
     owner = np.searchsorted(begin, sa, side="right") - 1
     cut = np.flatnonzero(prefix < length)
     lowest = np.repeat(np.minimum.reduceat(ids[owner], cut), np.diff(np.append(cut, len(s))))
-    size = np.diff(found.first)
-    low, high = np.zeros(len(data), np.int64), np.full(len(data), len(s), np.int64)
-    flat = np.zeros(int(windows.sum()), np.int64)
-    offset = np.concatenate(([0], np.cumsum(windows)))[:-1]
+    size = np.array([len(t) for t in texts])
+    low, high = np.zeros(len(texts), np.int64), np.full(len(texts), len(s), np.int64)
+    offset = np.cumsum(size - length + 1) - (size - length + 1)
+    flat = np.zeros(int((size - length + 1).sum()), np.int64)
     live = np.argsort(-size, kind="stable")
     for step in range(int(size.max(initial=0))):
         live = live[: np.searchsorted(-size[live], -step, side="left")]  # those longer than the steps done
@@ -91,12 +131,7 @@ def least_documents(data: list[bytes], windows: np.ndarray, n: np.ndarray, ids:
         low[live], high[live] = a, b
         if step >= length - 1:
             flat[offset[live] + size[live] - 1 - step] = lowest[a]
-    least = np.split(flat, offset[1:])
-    out = []
-    for values in least:
-        new = np.flatnonzero(np.diff(values, prepend=values[0] - 1 if values[0] > -(1 << 62) else values[0] + 1))
-        out.append([(int(x), int(y - x), int(values[x])) for x, y in zip(new, np.append(new[1:], len(values)), strict=True)])
-    return out
+    return flat
 
 
 def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = anchors.MOST_CONTEXTS) -> DataFrame:

@@ -85,3 +85,28 @@ def test_sidecar_finds_every_record(spark, tmp_path):
     # What another run left in the folder is not read.
     again = warc.archived(spark.createDataFrame(rows[:1], "page_id long, url string, html string"), folder=folder)
     assert again.count() == 1
+
+
+def test_stretches_of_repeated_words():
+    import random
+
+    import numpy as np
+
+    from lociframe.llm import substrings
+
+    rng = random.Random(1)
+    for _ in range(200):
+        sizes = [rng.randint(0, 12) for _ in range(rng.randint(1, 6))]
+        value = np.array([rng.randrange(rng.choice([3, 30])) for _ in range(sum(sizes))] or [0])
+        first = np.concatenate(([0], np.cumsum(sizes))) if sum(sizes) else np.array([0, 1])
+        starts, ends = substrings.stretches(value, first, 3)
+        got = {(a, b) for a, b in zip(starts.tolist(), ends.tolist())}
+        want = set()
+        for x, y in zip(first, first[1:]):
+            a = x
+            for k in range(x, y + 1):
+                if k == y or (value == value[k]).sum() == 1:
+                    if k - a >= 3:
+                        want.add((int(a), int(k)))
+                    a = k + 1
+        assert got == want
