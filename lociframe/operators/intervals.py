@@ -68,8 +68,9 @@ def _levels_of(listed: DataFrame) -> list[int]:
     return sorted(r[0] for r in listed.select("_level").distinct().collect())
 
 
-def _fits(df: DataFrame, rows: int) -> bool:
-    return fits(df, rows, BROADCAST_BYTES)
+def _fits(df: DataFrame, rows: int, share: float = 1.0) -> bool:
+    """Whether ``df`` may be broadcast, ``share`` of the room being for it."""
+    return fits(df, rows, int(BROADCAST_BYTES * share))
 
 
 def _hashable(df: DataFrame) -> list[str]:
@@ -291,14 +292,14 @@ def flanked(tiles: DataFrame, size: int, flank: int) -> DataFrame:
     return whole.where("there").drop("there")
 
 
-def _at_tiles(positions: DataFrame, tiles: DataFrame, size: int, pos: str) -> DataFrame:
-    """Every position with its tile, by one equi-join; positions off the genome go. Where a tile has more than an even share of the
+def _at_tiles(positions: DataFrame, tiles: DataFrame, size: int, pos: str, few: bool) -> DataFrame:
+    """Every position with its tile, by one equi-join, a broadcast of ``few`` tiles; positions off the genome go. Where a tile has more than an even share of the
     positions, these are spread over salts and the tile is repeated; there are fewer such tiles than shares."""
     asked = positions.where(F.col(pos) >= 0).withColumn("tile", _bin(F.col(pos), size))
     clash = {c: f"_t_{c}" for c in tiles.columns if c not in _TILE}
     named = tiles.select(*_TILE, *[F.col(c).alias(n) for c, n in clash.items()])
     inside = F.col(pos) - F.col("tile") * size < F.length("_t_seq")
-    if _fits(named, BROADCAST_ROWS):
+    if few:
         return asked.join(F.broadcast(named), _TILE).where(inside)
     shares = parallelism(positions.sparkSession)
     total = positions.select(F.count(F.lit(1))).scalar()
@@ -317,20 +318,26 @@ def windows(positions: DataFrame, tiles: DataFrame, size: int, before: int, afte
     """Bases pos-before .. pos+after around each position as ``window``.
 
     Windows cut by an end of the sequence are shorter and have ``is_edge`` set; positions outside the
-    sequence go. The tiles are given flanks as long as the window reaches, so that a position finds its whole window in one tile.
+    sequence go. The tiles are given flanks as long as the window reaches, so that a position finds its whole window in one tile; tiles that
+    have ``before`` and ``after`` (at least as long) are taken as they are.
     """
-    at = _at_tiles(positions, flanked(tiles, size, max(before, after)), size, pos)
-    whole = F.concat("_t_before", "_t_seq", "_t_after")
+    flank = max(before, after)
+    whole = tiles if {"before", "after"} <= set(tiles.columns) else flanked(tiles, size, flank)
+    # Measured without the flanks, which saves putting them on twice.
+    few = _fits(tiles.select(*_TILE, "seq"), BROADCAST_ROWS, size / (size + 2 * flank))
+    at = _at_tiles(positions, whole, size, pos, few)
+    line = F.concat("_t_before", "_t_seq", "_t_after")
     here = F.length("_t_before") + F.col(pos) - F.col("tile") * size  # place in it, from 0
     first = F.greatest(here - before, F.lit(0))
-    window = F.substring(whole, (first + 1).cast("int"), (here + after + 1 - first).cast("int"))
+    window = F.substring(line, (first + 1).cast("int"), (here + after + 1 - first).cast("int"))
     found = at.withColumn("window", window).withColumn("is_edge", F.length("window") < before + after + 1)
     return found.select(*positions.columns, "window", "is_edge")
 
 
 def base_at(positions: DataFrame, tiles: DataFrame, size: int, pos: str = "pos") -> DataFrame:
     """The genome base at each position, column ``base``; positions off the genome go."""
-    at = _at_tiles(positions, tiles.select(*_TILE, "seq"), size, pos)
+    own = tiles.select(*_TILE, "seq")
+    at = _at_tiles(positions, own, size, pos, _fits(own, BROADCAST_ROWS))
     base = F.substring("_t_seq", (F.col(pos) - F.col("tile") * size + 1).cast("int"), F.lit(1))
     return at.withColumn("base", base).where(F.length("base") > 0).select(*positions.columns, "base")
 

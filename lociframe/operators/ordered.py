@@ -6,8 +6,8 @@ import json
 from bisect import bisect_left
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,7 +70,7 @@ class Stretch:
     The cluster goes through until a peak opens another; from there on all is known. Which peak that is depends on lo and hi through three
     conditions, each of which only its first hits matter to: ``by_lo`` (greatest lo, place, end state), as the cluster has grown over the stretch; ``by_length``
     (least length, place, end state), as it came; ``by_zero`` for a cluster without length. ``fixed`` (place, end state) opens in any case. Without any of them the
-    cluster goes through and ends at ``top`` at least. Two stretches one after the other are such a stretch again.
+    cluster goes through and ends at ``top`` at least. The lists have no more entries than the longest peak has bases, as lengths fall in one and rise to it in the other.
     """
 
     def __init__(self, first: int, top: int | None = None, by_lo=(), by_length=(), by_zero=None, fixed=None):
@@ -89,24 +89,6 @@ class Stretch:
             return tuple(min(hits)[1:])
         return lo, hi if self.top is None else max(hi, self.top)
 
-    def then(self, late: Stretch) -> Stretch:
-        """This stretch and the one behind it as one."""
-        through = lambda r, keys: [*r[:keys], *late.after(*r[keys:])]
-        by_lo, by_length = [through(r, 2) for r in self.by_lo], [through(r, 2) for r in self.by_length]
-        by_zero = through(self.by_zero, 2) if self.by_zero else None
-        if self.fixed:
-            return Stretch(self.first, self.top, by_lo, by_length, by_zero, through(self.fixed, 1))
-        # In the later stretch the cluster has grown to the top of this one, too.
-        grown = [[self.top - r[0], *r[1:]] for r in late.by_length]
-        out = Stretch(self.first, max(self.top, late.top), by_lo, by_length, by_zero, late.fixed)
-        for r in sorted([*late.by_lo, *grown], key=lambda r: (r[1], -r[0])):
-            out.hit(lo=r)
-        for r in late.by_length:
-            out.hit(length=r)
-        if by_zero is None and late.by_zero:
-            out.by_zero = [self.top if late.by_zero[0] is None else max(self.top, late.by_zero[0]), *late.by_zero[1:]]
-        return out
-
     def hit(self, lo=None, length=None) -> None:
         """Keep a condition if an earlier one does not hold wherever it does."""
         if lo and (not self.by_lo or lo[0] > self.by_lo[-1][0]) and not (self.fixed and self.fixed[0] < lo[1]):
@@ -171,11 +153,10 @@ class _Walk:
 def _open_clusters(steps: DataFrame, limit: float) -> DataFrame:
     """The cluster open before each part of ``steps``: _part, _lo, _hi.
 
-    Every part is walked once to its ``Stretch``; stretches are joined with the one 1, 2, 4, ... parts before, so the rounds are
-    log2 of the parts, whatever the peaks are like.
+    Every part is walked once, all at the same time, to its ``Stretch``; these then are followed from part to part. So there is one round, whatever the peaks are like.
     """
     def walk(batches):
-        part, w, n = None, None, 0
+        part, w = None, None
         for batch in batches:
             for p, at, step in zip(batch.column("_part").to_pylist(), batch.column("_at").to_pylist(), _steps(batch, limit), strict=True):
                 if p != part:
@@ -183,42 +164,29 @@ def _open_clusters(steps: DataFrame, limit: float) -> DataFrame:
                         yield _row(part, w)
                     part, w = p, _Walk(limit)
                 w.peak((p << 33) + at, *step)
-                n += 1
         if w:
             yield _row(part, w)
 
     def _row(part, w):
-        import pyarrow as pa
-
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([w.done().to_json()])], names=["_part", "does"])
 
-    @F.pandas_udf("string")
-    def joined(early: pd.Series, late: pd.Series) -> pd.Series:
-        return pd.Series([b if a is None else Stretch.from_json(a).then(Stretch.from_json(b)).to_json() for a, b in zip(early, late, strict=True)], dtype=object)
-
-    @F.pandas_udf("lo long, hi long")
-    def reached(does: pd.Series) -> pd.DataFrame:
-        # The first peak of all opens a cluster, so the state before it does not matter.
-        return pd.DataFrame([Stretch.from_json(d).after(0, 0) if d else (0, 0) for d in does], columns=["lo", "hi"])
+    def follow(batches):
+        lo, hi, out = 0, 0, []  # the first peak of all opens a cluster, so what is before it does not matter
+        for batch in batches:
+            for part, does in zip(batch.column("_part").to_pylist(), batch.column("does").to_pylist(), strict=True):
+                out.append((part, lo, hi))
+                lo, hi = Stretch.from_json(does).after(lo, hi)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["_part", "_lo", "_hi"])
 
+    # A row a part, in order, as for the other stitches of sorted parts.
     does = steps.mapInArrow(walk, "_part int, does string")
-    now = pin(does.withColumn("n", F.row_number().over(Window.orderBy("_part"))))
-    parts, step = now.count(), 1
-    while step < parts:
-        early = now.select((F.col("n") + step).alias("k"), F.col("does").alias("early"))
-        now = pin(now.join(early, F.col("n") == F.col("k"), "left").select("_part", "n", joined("early", "does").alias("does")))
-        step *= 2
-    before = now.select((F.col("n") + 1).alias("k"), reached("does").alias("open"))
-    return now.join(before, F.col("n") == F.col("k"), "left").select(
-        F.col("_part"), F.coalesce("open.lo", F.lit(0)).alias("_lo"), F.coalesce("open.hi", F.lit(0)).alias("_hi")
-    )
+    return does.coalesce(1).sortWithinPartitions("_part").mapInArrow(follow, "_part int, _lo long, _hi long")
 
 
 def _marked(steps: DataFrame, limit: float) -> DataFrame:
     """``steps`` with ``opens``: whether a peak opens a cluster. ``_lo`` and ``_hi`` tell the cluster open before the part."""
     def walk(batches):
-        import pyarrow as pa
-
         part, lo, hi = None, 0, 0
         for batch in batches:
             marks = []
@@ -247,7 +215,7 @@ def peak_merge(peaks: DataFrame, overlap: float = OVERLAP, by_row: bool = False)
 
     What a peak does depends on the cluster open before it, so a cluster may reach over the parts
     of the sorted table. Every part is walked twice: once for what it does to any cluster that may be open before it (``Stretch``), and,
-    after these have been put together by doubling, once for its peaks. The result is that of one walk over all.
+    after these have been followed from part to part, once for its peaks. The result is that of one walk over all.
     """
     f = peak_flags(peaks)
     joins_last = F.col("is_last") & F.coalesce(F.col("start") - SLACK < F.col("prev_end"), F.lit(False))

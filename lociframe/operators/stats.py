@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.config import BROADCAST_ROWS, fits, pin
@@ -463,10 +463,13 @@ def haplotype_rows(genotypes: DataFrame) -> DataFrame:
     size allows. A haplotype given twice counts once; one with two different alleles is known, but neither 0 nor 1.
     """
     hap = lambda i: F.split_part("gt", F.lit("|"), F.lit(i)).try_cast("int")  # noqa: E731  a missing allele is null
-    names = ranged.row_index(ranged.range_sorted(genotypes.where(F.col("sample").isNotNull()).select("sample").distinct(), "sample"), "_n")
-    names = pin(names.select(F.col("sample").alias("_name"), "_n"))
+    names = genotypes.where(F.col("sample").isNotNull()).select(F.col("sample").alias("_name")).distinct()
+    if fits(names, BROADCAST_ROWS):
+        # Few enough for one task.
+        listed = F.broadcast(names.withColumn("_n", (F.row_number().over(Window.orderBy("_name")) - 1).cast("long")))
+    else:
+        listed = ranged.unsorted(ranged.row_index(ranged.range_sorted(names, "_name"), "_n"))
     words = F.ceil(names.select(F.count(F.lit(1))).scalar() / SAMPLES_A_WORD).cast("int")
-    listed = F.broadcast(names) if fits(names, BROADCAST_ROWS) else names
     g = genotypes.select("snp", "sample", hap(1).alias("h1"), hap(2).alias("h2")).join(listed, F.col("sample") == F.col("_name"))
     bit = (2 * (F.col("_n") % SAMPLES_A_WORD)).cast("int")
 

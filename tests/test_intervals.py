@@ -182,7 +182,7 @@ def test_flanks_of_tiles(spark, flank):
 
 
 def test_positions_of_a_hot_tile(spark, monkeypatch):
-    monkeypatch.setattr(intervals, "_fits", lambda df, rows: False)
+    monkeypatch.setattr(intervals, "_fits", lambda *a: False)
     r = random.Random(4)
     seqs = {"x": "".join(r.choice("ACGT") for _ in range(64))}
     points = [("x", p, k) for k in range(40) for p in (17, 18, 63, 64)] + [("x", 40, 0), ("y", 3, 0), ("x", -1, 0)]
