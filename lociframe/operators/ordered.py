@@ -7,7 +7,7 @@ from bisect import bisect_left
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,23 +21,26 @@ OVERLAP = 0.75
 _ORDER = ("chrom", "start", "end", "key")
 
 
-def peak_flags(peaks: DataFrame) -> DataFrame:
-    """Peaks in coordinate order with overlaps_prev and overlaps_next, and the number of their island.
-
-    ``peaks``: chrom, start, end, key (unique), anything else. An island is a run of peaks each of
-    which overlaps the one before. Keeps the sort columns of ``plans.ranged``.
-    """
+def _flagged(peaks: DataFrame) -> DataFrame:
     s = ranged.neighbours(ranged.range_sorted(peaks, *_ORDER), ["chrom", "start", "end"], "_prev", "_next")
     same_prev = F.coalesce(F.col("_prev.chrom") == F.col("chrom"), F.lit(False))
     same_next = F.coalesce(F.col("_next.chrom") == F.col("chrom"), F.lit(False))
-    flagged = (
+    return (
         s.withColumn("prev_end", F.when(same_prev, F.col("_prev.end")))
         .withColumn("is_last", ~same_next)
         .withColumn("overlaps_prev", F.coalesce(F.col("start") < F.col("prev_end") - SLACK, F.lit(False)))
         .withColumn("overlaps_next", F.when(same_next, F.col("_next.start") < F.col("end") - SLACK).otherwise(False))
         .drop("_prev", "_next")
     )
-    return ranged.running_total(flagged, (~F.col("overlaps_prev")).cast("long"), "island")
+
+
+def peak_flags(peaks: DataFrame) -> DataFrame:
+    """Peaks in coordinate order with overlaps_prev and overlaps_next, and the number of their island.
+
+    ``peaks``: chrom, start, end, key (unique), anything else. An island is a run of peaks each of
+    which overlaps the one before. Keeps the sort columns of ``plans.ranged``.
+    """
+    return ranged.running_total(_flagged(peaks), (~F.col("overlaps_prev")).cast("long"), "island")
 
 
 def _steps(batch, limit: float):
@@ -205,19 +208,66 @@ def _marked(steps: DataFrame, limit: float) -> DataFrame:
     return steps.mapInArrow(walk, T.StructType([*steps.schema.fields, T.StructField("opens", T.BooleanType())]))
 
 
+_SEGMENT = "_part int, _at long, opened boolean, chrom string, start long, end long, count long, fold double, l10p double"
+
+
+def _segments(steps: DataFrame, limit: float) -> DataFrame:
+    """A row for what each part holds of each cluster. Where the cluster opens in the part, fold and l10p are halved into one value from its first peak on; where
+    it goes on, they are what its ``count`` peaks there add to the value halved as many times."""
+    def walk(batches):
+        def row(part, at, seg):
+            opened, chrom, start, end, count, fold, l10p = seg
+            return (part, at, opened, chrom, start, end, count, fold, l10p)
+
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names=names)
+
+        names = [c.split()[0] for c in _SEGMENT.split(", ")]
+        kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        part, at, lo, hi, seg, out = None, 0, 0, 0, None, []
+        for batch in batches:
+            columns = zip(*(batch.column(c).to_pylist() for c in ("_part", "_lo", "_hi", "chrom", "fold", "l10p")), _steps(batch, limit), strict=True)
+            for p, a, b, chrom, fold, l10p, (kind, start, end, share) in columns:
+                if p != part:
+                    if seg:
+                        out.append(row(part, at, seg))
+                    part, at, lo, hi, seg = p, 0, a, b, None
+                fold, l10p = fold or 0.0, l10p or 0.0
+                if _opens(kind, share, lo, hi, limit):
+                    if seg:
+                        out.append(row(part, at, seg))
+                        at += 1
+                    lo, hi = start, end
+                    seg = [True, chrom, start, end, 1, fold, l10p]
+                else:
+                    hi = max(hi, end)
+                    seg = seg or [False, chrom, start, end, 0, 0.0, 0.0]
+                    seg[3:] = [max(seg[3], end), seg[4] + 1, (seg[5] + fold) / 2, (seg[6] + l10p) / 2]
+            if len(out) >= 4096:
+                yield made(out)
+                out = []
+        if seg:
+            out.append(row(part, at, seg))
+        if out:
+            yield made(out)
+
+    return steps.mapInArrow(walk, _SEGMENT)
+
+
 def peak_merge(peaks: DataFrame, overlap: float = OVERLAP, by_row: bool = False) -> DataFrame:
     """Merge peaks (chrom, start, end, key, pop, fold, l10p) into clusters.
 
     A peak without overlap to the one before opens a cluster; one that overlaps only the one before
     joins it; one that overlaps both neighbours joins if the overlap is more than ``overlap`` of the
     open cluster's length. The last peak of a chromosome joins if it starts within the slack of the
-    one before. Fold and log10 p are halved into the cluster's value one after the other.
+    one before. Fold and log10 p are halved into the cluster's value one after the other, a null one as 0.
 
     What a peak does depends on the cluster open before it, so a cluster may reach over the parts
     of the sorted table. Every part is walked twice: once for what it does to any cluster that may be open before it (``Stretch``), and,
-    after these have been followed from part to part, once for its peaks. The result is that of one walk over all.
+    after these have been followed from part to part, once for its peaks. The result is that of one walk over all. A cluster comes out of the second walk as one row a
+    part it lies in.
     """
-    f = peak_flags(peaks)
+    f = _flagged(peaks)
     joins_last = F.col("is_last") & F.coalesce(F.col("start") - SLACK < F.col("prev_end"), F.lit(False))
     kind = (
         F.when(F.col("is_last"), F.when(joins_last, 1).otherwise(0))
@@ -225,35 +275,27 @@ def peak_merge(peaks: DataFrame, overlap: float = OVERLAP, by_row: bool = False)
         .when(F.col("overlaps_next"), 2)
         .otherwise(1)
     )
-    cols = ["_part", "_at", "chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "key", "pop", "fold", "l10p"]
+    cols = ["_part", "_at", "chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "key", "pop", F.col("fold").cast("double").alias("fold"), F.col("l10p").cast("double").alias("l10p")]
     limit = float(overlap)
     # The windows of the flags leave each part whole in one partition, in order, and the checkpoint keeps it there.
     flagged = f.withColumns({"_kind": kind, "prev_end": F.coalesce("prev_end", F.lit(0)).cast("long")})
     steps = pin(flagged.select(*cols, "_kind", "prev_end").sortWithinPartitions("_part", "_at"))
     placed = steps.join(F.broadcast(_open_clusters(steps, limit)), "_part")  # a row a part
-    s = pin(_marked(placed, limit).drop("_kind", "prev_end", "_lo", "_hi"))
-    numbered = ranged.row_index(ranged.running_total(s, F.col("opens").cast("long"), "cluster"), "_row")
     if by_row:
-        return ranged.unsorted(numbered)
-    # Halving k times over: the last member weighs 1/2, the one before 1/4, ..., the first as much as the second.
-    edged = ranged.group_edges(numbered, ["cluster"])
-    spans = ranged.carried(edged, F.when(F.col("_starts"), F.col("_row")), "_first")
-    spans = ranged.carried(spans, F.when(F.col("_ends"), F.col("_row")), "_last", back=True)
-    weighed = spans.withColumn(
-        "_w", F.pow(F.lit(0.5), F.col("_last") - F.greatest(F.col("_row"), F.col("_first") + 1) + 1)
+        marked = pin(_marked(placed, limit).drop("_kind", "prev_end", "_lo", "_hi"))
+        return ranged.unsorted(ranged.running_total(marked, F.col("opens").cast("long"), "cluster"))
+    numbered = ranged.running_total(pin(_segments(placed, limit)), F.col("opened").cast("long"), "cluster")
+    # As many pieces as the cluster has parts, the one that opens it first.
+    whole = numbered.groupBy("cluster").agg(
+        F.min("chrom").alias("chrom"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("count").alias("count"),
+        F.sort_array(F.collect_list(F.struct("_part", "opened", F.col("count").alias("n"), "fold", "l10p"))).alias("_pieces"),
     )
-    weight = F.when(F.col("_first") == F.col("_last"), 1.0).otherwise(F.col("_w"))
-    return (
-        weighed.groupBy("cluster")
-        .agg(
-            F.min("chrom").alias("chrom"),
-            F.min("start").alias("start"),
-            F.max("end").alias("end"),
-            F.count(F.lit(1)).alias("count"),
-            F.sum(F.col("fold") * weight).alias("fold"),
-            F.sum(F.col("l10p") * weight).alias("l10p"),
-        )
-        .withColumn("name", F.concat_ws("_", "chrom", F.col("start").cast("string")))
+
+    def halved(name: str) -> Column:
+        return F.aggregate("_pieces", F.lit(0.0), lambda v, p: F.when(p["opened"], p[name]).otherwise(v * F.pow(F.lit(0.5), p["n"]) + p[name]))
+
+    return whole.select(
+        "cluster", "chrom", "start", "end", "count", halved("fold").alias("fold"), halved("l10p").alias("l10p"), F.concat_ws("_", "chrom", F.col("start").cast("string")).alias("name")
     )
 
 
