@@ -51,6 +51,15 @@ class Model:
     logs: list[np.ndarray]  # log frequency in each language, a row an item
     usual: int = 0  # the language with the most words
 
+    def __getstate__(self) -> tuple:
+        """Items of each length as one text, so that a worker that loads the model holds little besides it."""
+        return self.langs, ["\n".join(known) for known in self.index], self.logs, self.usual
+
+    def __setstate__(self, state: tuple) -> None:
+        self.langs, texts, self.logs, self.usual = state
+        numbers = list(range(max(map(len, self.logs), default=0)))  # the same for all lengths
+        self.index = [dict(zip(text.split("\n") if text else [], numbers)) for text in texts]
+
     def votes(self, asked: list[str]) -> np.ndarray:
         """A row of votes for each word: a known word by itself, else by its longest known n-grams; zeros without any."""
         owners: list[list[int]] = [[] for _ in self.index]
