@@ -70,3 +70,9 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES)
     """Whether a table has at most so many rows, and bytes, that it may be broadcast."""
     size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(df)).alias("bytes")).first()
     return size["rows"] <= rows and (size["bytes"] or 0) <= most
+
+
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` for a join that is not to broadcast it. Spark's estimate scales the bytes of a compressed file by the declared width of the columns and knows nothing of
+    exploded rows: millions of rows, a gigabyte at the driver, can pass for less than the broadcast threshold."""
+    return df.hint("merge")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociframe.config import BROADCAST_BYTES, BROADCAST_ROWS, fits, parallelism, pin, row_bytes
+from lociframe.config import BROADCAST_BYTES, BROADCAST_ROWS, by_shuffle, fits, parallelism, pin, row_bytes
 from lociframe.functions.bases import revcomp
 
 BIN = 16384
@@ -148,9 +148,9 @@ def bin_join(
     # Fewer than ``shares`` bins of a level can hold more than 1/shares of the rows each: a bounded broadcast.
     full = pin(_full_bins(big, rows, shares))
     if full.isEmpty():
-        return big.withColumn("_salt", zero).join(small, _KEY).where(within)
+        return big.withColumn("_salt", zero).join(by_shuffle(small), _KEY).where(within)
     many = small.join(F.broadcast(full), _KEY, "left").withColumn("_salt", F.explode(F.sequence(zero, F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    joined = _spread_out(big, full).join(many, [*_KEY, "_salt"]).where(within)
+    joined = _spread_out(big, full).join(by_shuffle(many), [*_KEY, "_salt"]).where(within)
     return joined.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
 
 
@@ -306,12 +306,12 @@ def _at_tiles(positions: DataFrame, tiles: DataFrame, size: int, pos: str, few:
     full = asked.groupBy(*_TILE).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") * shares > total)
     full = pin(full.select(*_TILE, F.ceil(F.col("_size") * shares / total).cast("int").alias("_salts")))
     if full.isEmpty():
-        return asked.join(named, _TILE).where(inside)
+        return asked.join(by_shuffle(named), _TILE).where(inside)
     # Positions of a tile differ; copies of one are told apart by their other columns where they have any.
     salts = F.coalesce("_salts", F.lit(1))
     spread = asked.join(F.broadcast(full), _TILE, "left").withColumn("_salt", F.pmod(F.xxhash64(*_hashable(positions)), salts).cast("int")).drop("_salts")
     repeated = named.join(F.broadcast(full), _TILE, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return spread.join(repeated, [*_TILE, "_salt"]).where(inside).drop("_salt")
+    return spread.join(by_shuffle(repeated), [*_TILE, "_salt"]).where(inside).drop("_salt")
 
 
 def windows(positions: DataFrame, tiles: DataFrame, size: int, before: int, after: int, pos: str = "pos") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.config import BROADCAST_BYTES, BROADCAST_ROWS, fits, parallelism, pin
+from lociframe.config import BROADCAST_BYTES, BROADCAST_ROWS, by_shuffle, fits, parallelism, pin
 
 
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
@@ -30,7 +30,7 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner"
     columns = [*big.columns, *[c for c in small.columns if c not in keys]]
     there = big.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(at_hand), keys, how)
     # Rows without a key would all meet in one task of an outer join.
-    rest = big.where(known).join(F.broadcast(hot), keys, "left_anti").join(small, keys, how)
+    rest = big.where(known).join(F.broadcast(hot), keys, "left_anti").join(by_shuffle(small), keys, how)
     out = there.select(*columns).unionByName(rest.select(*columns))
     if how == "left":
         out = out.unionByName(big.where(~known).select(*columns[: len(big.columns)]), allowMissingColumns=True)

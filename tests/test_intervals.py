@@ -191,3 +191,14 @@ def test_positions_of_a_hot_tile(spark, monkeypatch):
     assert sorted((x.pos, x.k, x.window, x.is_edge) for x in got.collect()) == sorted(
         (p, k, seqs["x"][max(0, p - 5) : p + 10], len(seqs["x"][max(0, p - 5) : p + 10]) < 15) for c, p, k in points if c == "x" and 0 <= p < 64
     )
+
+
+def test_tiles_that_do_not_fit_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "_fits", lambda *a: False)
+    snps = spark.createDataFrame([("x", p, "A", "C") for p in range(200)], "chrom string, pos long, ref string, alt string")
+    # A range, as it has an estimate of a few bytes.
+    tiles = spark.range(25).select(F.lit("x").alias("chrom"), F.col("id").alias("tile"), F.lit("ACGTACGT").alias("seq"))
+    for found in (intervals.compare_to_genome(snps, tiles, 8), intervals.windows(snps, tiles, 8, 2, 2)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        assert found.count() == 200
