@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import cache
 from itertools import accumulate
-from math import comb
+from math import comb, isnan, log10, pow
 
 import pandas as pd
 from pyspark.sql import Column
@@ -205,3 +205,29 @@ def chi2_sf(x: Column, dof: Column) -> Column:
         )
 
     return _p(x, dof)
+
+
+def c_log10(x: Column) -> Column:
+    """log10 by the C library, which differs from Java's in the last bit of some values; null where there is none."""
+    @F.pandas_udf("double")
+    def run(v: pd.Series) -> pd.Series:
+        return pd.Series([log10(a) if a > 0 else None for a in v], dtype="float64")
+
+    return run(x)
+
+
+def c_pow(x: Column, y: Column) -> Column:
+    """x to the power of y by the C library, which differs from Java's in the last bit of some values; null where there is none, infinite where it is too big."""
+    def one(a: float, b: float) -> float | None:
+        try:
+            return pow(a, b)
+        except OverflowError:
+            return float("inf") if a > 0 or b % 2 == 0 else float("-inf")
+        except ValueError:
+            return None
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if isnan(u) or isnan(v) else one(u, v) for u, v in zip(a, b)], dtype="float64")
+
+    return run(x, y)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lociframe.config import pin
 from lociframe.functions.chroms import chrom_rank
+from lociframe.functions.stats import c_log10, c_pow
 from lociframe.plans import ranged
 from lociframe.plans.lookups import lookup
 
@@ -50,16 +51,18 @@ def pick_labels(df: DataFrame, limit: int, log: bool = True, label: str = "label
     """The points to label: by smallest x*y (5 % of limit), most interesting (55 %), most above and
     most below the diagonal (20 % each), none twice. Columns label, x, y, rank (1..4).
 
-    A report of at most ``limit`` + 4 rows: each round is a top-k, and takes out what was picked.
+    A report of at most ``limit`` + 4 rows: each round is a top-k, and takes out what was picked. Whole lines of points have the same score up to the
+    last bit, and which of them come first is settled by the functions of the C library (``c_pow``, ``c_log10``), as in a database; points without a score come last.
     """
     x, y = F.col("x"), F.col("y")
     small = x * y
-    interesting = 1 / small * F.pow(F.lit(10.0), F.abs(F.log10(x) - F.log10(y)))
-    diff = F.log10(x) - F.log10(y) if log else x - y
-    rounds = [(small.asc(), 0.05), (interesting.desc(), 0.55), (diff.asc(), 0.2), ((-diff).asc(), 0.2)]
+    ratio = c_log10(x) - c_log10(y)
+    interesting = F.try_divide(F.lit(1.0), small) * c_pow(F.lit(10.0), F.abs(ratio))
+    diff = ratio if log else x - y
+    rounds = [(small, True, 0.05), (interesting, False, 0.55), (diff, True, 0.2), (-diff, True, 0.2)]
     keys = [label, "x", "y"]
     picked: list[DataFrame] = []
-    for i, (order, share) in enumerate(rounds, 1):
+    for i, (score, rising, share) in enumerate(rounds, 1):
         left = df.select(*keys)
         if picked:
             seen = reduce(DataFrame.unionByName, [p.select(*keys) for p in picked])
@@ -69,7 +72,10 @@ def pick_labels(df: DataFrame, limit: int, log: bool = True, label: str = "label
             left = left.join(seen, keys, "left_anti")
         # The product keeps its float error out of the ceiling: 20 * 0.55 is 11, not 11.000000000000002.
         rows = max(1, math.ceil(round(limit * share, 9)))
-        picked.append(left.orderBy(order, *keys).limit(rows).withColumn("rank", F.lit(i)))
+        scored = left.withColumn("_score", score)
+        order = F.asc_nulls_last("_score") if rising else F.desc_nulls_last("_score")
+        # Pinned, so that a round does not go through the ones before it again.
+        picked.append(pin(scored.orderBy(order, *keys).limit(rows).select(*keys, F.lit(i).alias("rank"))))
     return reduce(DataFrame.unionByName, picked)
 
 

@@ -144,6 +144,16 @@ def test_labels_never_twice(spark):
     assert len(rows) == len({r.label for r in rows}) == 1 + 11 + 4 + 4
 
 
+def test_labels_by_the_last_bit(spark):
+    """Points of one line have equal scores but for rounding; the order is that of the C library's functions."""
+    rows = [(f"l{i:04d}", math.pow(i / 1000, 4.0), math.pow(k / 997, 4.0)) for i in range(1, 1001) for k in (1, 2, 3)]
+    best = lambda label, x, y: (-(1 / (x * y) * math.pow(10.0, abs(math.log10(x) - math.log10(y)))), label, x, y)
+    small = sorted(rows, key=lambda r: (r[1] * r[2], *r))[:2]
+    want = sorted((r for r in rows if r not in small), key=lambda r: best(*r))[:22]
+    got = curves.pick_labels(spark.createDataFrame(rows, "label string, x double, y double"), 40).where("rank = 2").collect()
+    assert sorted((r.label, r.x, r.y) for r in got) == sorted(want)
+
+
 def test_theoretical_samples(spark):
     df = spark.range(3000).select(F.col("id").alias("key"), (F.col("id") / 3000).alias("x"))
     for kind, lo, hi in (("pvalue", 0, 1), ("uniform", 0, 1)):
