@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociframe.config import BROADCAST_ROWS, fits, pin
+from lociframe.config import BROADCAST_ROWS, by_shuffle, fits, pin
 from lociframe.functions.chroms import snp_id
 from lociframe.functions.stats import (
     chi2_sf,
@@ -455,11 +455,11 @@ LD_R2 = 0.1
 SAMPLES_A_WORD = 32  # two haplotypes a sample
 
 
-def haplotype_rows(genotypes: DataFrame) -> DataFrame:
-    """One row a SNP: ``zero``, ``one`` and ``seen``, arrays of 64-bit words with a bit for each haplotype of all samples, the same for all
-    SNPs: whether it has allele 0, allele 1, or any known allele.
+def haplotype_words(genotypes: DataFrame) -> DataFrame:
+    """A row for each SNP and word of 32 samples that holds any of the SNP's: snp, w and the 64-bit words ``zero``, ``one`` and ``seen`` with a bit for each haplotype: whether
+    it has allele 0, allele 1, or any known allele. There are never more rows than genotypes, however many samples there are of which a SNP has none.
 
-    ``genotypes``: snp, sample, gt (``0|1``). Samples are numbered in order; the list of names is joined to the genotypes, broadcast when its
+    ``genotypes``: snp, sample, gt (``0|1``). Samples are numbered in order, the same for all SNPs; the list of names is joined to the genotypes, broadcast when its
     size allows. A haplotype given twice counts once; one with two different alleles is known, but neither 0 nor 1.
     """
     hap = lambda i: F.split_part("gt", F.lit("|"), F.lit(i)).try_cast("int")  # noqa: E731  a missing allele is null
@@ -469,7 +469,6 @@ def haplotype_rows(genotypes: DataFrame) -> DataFrame:
         listed = F.broadcast(names.withColumn("_n", (F.row_number().over(Window.orderBy("_name")) - 1).cast("long")))
     else:
         listed = ranged.unsorted(ranged.row_index(ranged.range_sorted(names, "_name"), "_n"))
-    words = F.ceil(names.select(F.count(F.lit(1))).scalar() / SAMPLES_A_WORD).cast("int")
     g = genotypes.select("snp", "sample", hap(1).alias("h1"), hap(2).alias("h2")).join(listed, F.col("sample") == F.col("_name"))
     bit = (2 * (F.col("_n") % SAMPLES_A_WORD)).cast("int")
 
@@ -482,36 +481,36 @@ def haplotype_rows(genotypes: DataFrame) -> DataFrame:
     )
     clear = F.bitwise_not(F.col("m"))
     zero, one = F.col("z").bitwiseAND(F.bitwise_not("o")).bitwiseAND(clear), F.col("o").bitwiseAND(F.bitwise_not("z")).bitwiseAND(clear)
-    per_word = per_word.select("snp", F.struct("w", zero.alias("zero"), one.alias("one"), F.col("z").bitwiseOR(F.col("o")).bitwiseOR(F.col("m")).alias("seen")).alias("word"))
-    # At most a word for 32 samples; gaps between the words of a SNP are filled with zeros.
-    rows = per_word.groupBy("snp").agg(F.sort_array(F.collect_list("word")).alias("at")).withColumn("_words", words)
-    numbered = F.transform("at", lambda x, i: F.struct(F.when(i > 0, F.get(F.col("at"), i - 1)["w"]).otherwise(F.lit(-1)).alias("before"), x.alias("x")))
+    return per_word.select("snp", "w", zero.alias("zero"), one.alias("one"), F.col("z").bitwiseOR(F.col("o")).bitwiseOR(F.col("m")).alias("seen"))
 
-    def full(name: str) -> Column:
-        padded = F.flatten(F.transform("_at", lambda y: F.concat(F.array_repeat(F.lit(0).cast("long"), y["x"]["w"] - y["before"] - 1), F.array(y["x"][name]))))
-        return F.concat(padded, F.array_repeat(F.lit(0).cast("long"), F.col("_words") - F.size(padded))).alias(name)
 
-    return rows.withColumn("_at", numbered).select("snp", full("zero"), full("one"), full("seen"))
+def haplotype_rows(genotypes: DataFrame) -> DataFrame:
+    """``haplotype_words`` as one row a SNP: snp and the arrays w (rising), zero, one and seen. A row grows with the samples of its SNP."""
+    word = F.struct("w", "zero", "one", "seen")
+    rows = haplotype_words(genotypes).groupBy("snp").agg(F.sort_array(F.collect_list(word)).alias("at"))
+    return rows.select("snp", *[F.col(f"at.{c}").alias(c) for c in ("w", "zero", "one", "seen")])
 
 
 def ld_pairs(genotypes: DataFrame, pairs: DataFrame, min_r2: float = LD_R2) -> DataFrame:
     """Haplotype table and LD measures of SNP pairs over phased genotypes.
 
     ``genotypes``: snp, sample, gt (``0|1``); ``pairs``: snp1, snp2. Adds n00, n01, n10, n11, dprime, r2,
-    chisq, p, in_ld, same_phase (reference goes with reference). Each SNP is one row of bits (``haplotype_rows``), so a pair is two rows and its table
-    counts of common bits; nothing is joined or shuffled by sample and pair.
+    chisq, p, in_ld, same_phase (reference goes with reference). A SNP is a few words of bits (``haplotype_words``); a pair meets in the
+    words both SNPs have, and its table sums up counts of common bits; nothing is joined or shuffled by sample and pair.
 
     A haplotype counts where both alleles are 0 or 1: missing alleles and further ones (``2|2``) are left out. A pair whose table is empty for that reason has counts of 0,
     no measures and ``in_ld`` false; one without any haplotype known for both SNPs is left out. Repeated pairs come out once.
     """
-    rows = pin(haplotype_rows(genotypes))
-    side = lambda k: rows.select(F.col("snp").alias(f"snp{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("zero", "one", "seen")])
-    both = pairs.select("snp1", "snp2").distinct().join(side(1), "snp1").join(side(2), "snp2")
+    words = pin(haplotype_words(genotypes).where("seen != 0"))
+    parts = ("zero", "one", "seen")
+    side = lambda k: by_shuffle(words.select(F.col("snp").alias(f"snp{k}"), "w", *[F.col(c).alias(f"{c}{k}") for c in parts]))
+    both = pairs.select("snp1", "snp2").distinct().join(side(1), "snp1").join(side(2), ["snp2", "w"])
 
     def common(x: str, y: str) -> Column:
-        return F.aggregate(F.zip_with(f"{x}1", f"{y}2", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0).cast("long"), lambda acc, n: acc + n)
+        return F.sum(F.bit_count(F.col(f"{x}1").bitwiseAND(F.col(f"{y}2"))).cast("long"))
 
-    t = both.select("snp1", "snp2", common("seen", "seen").alias("_seen"), *[common(x, y).alias(f"n{i}{j}") for i, x in enumerate(("zero", "one")) for j, y in enumerate(("zero", "one"))])
+    tables = [common(x, y).alias(f"n{i}{j}") for i, x in enumerate(("zero", "one")) for j, y in enumerate(("zero", "one"))]
+    t = both.groupBy("snp1", "snp2").agg(common("seen", "seen").alias("_seen"), *tables)
     t = t.where("_seen > 0").drop("_seen")
     total = (F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11")).cast("double")
     p0, q0 = F.try_divide(F.col("n00") + F.col("n01"), total), F.try_divide(F.col("n00") + F.col("n10"), total)

@@ -268,6 +268,16 @@ def test_haplotype_rows_are_one_a_snp(spark):
     assert "sample" not in plan
 
 
+def test_haplotype_words_grow_with_genotypes(spark):
+    """Each SNP has two of many samples: its words do not grow with all samples."""
+    cells = spark.range(4000).select(F.concat(F.lit("s"), F.col("id") % 2000).alias("snp"), F.format_string("P%05d", "id").alias("sample"), F.lit("0|1").alias("gt"))
+    rows = stats.haplotype_rows(cells).collect()
+    assert len(rows) == 2000 and sum(len(r.seen) for r in rows) == stats.haplotype_words(cells).count() == 4000
+    shared = cells.unionByName(cells.where("snp = 's0'").withColumn("snp", F.lit("t")))
+    found = stats.ld_pairs(shared, spark.createDataFrame([("s0", "t"), ("s0", "s1")], "snp1 string, snp2 string")).collect()
+    assert [(r.snp2, r.n00, r.n01, r.n10, r.n11) for r in found] == [("t", 2, 0, 0, 2)]
+
+
 def test_degenerate_tests_have_values(spark):
     x = lambda *v: spark.createDataFrame([(float(i),) for i in v], "x double")
     assert tuple(stats.mannwhitney(x(1), x()).first()) == (1, 0, None, None)
