@@ -85,15 +85,15 @@ def group_consecutive(spark, sf):
 
 @register("apply_per_group")
 def apply_per_group(spark, sf):
-    """Per run of equal event types, the span of its values: the pandas hook over groups."""
+    """Per run of equal event types, the span of its values: the hook over groups, by arrays as runs are short."""
     runs = ordered.grouped(view(spark, sf, "events").select("event_id", "event_type", "value"), "event_type", "event_id")
 
-    def span(pdf):
-        import pandas as pd
+    def span(run):
+        v = run["value"]
+        v = v[v == v]  # missing values take no part
+        return run["group"][0], float(v.max() - v.min()) if len(v) else None
 
-        return pd.DataFrame({"group": [pdf["group"].iloc[0]], "span": [float(pdf["value"].max() - pdf["value"].min())]})
-
-    return ordered.apply_per_group(runs, "group", span, "group long, span double")
+    return ordered.apply_per_group(runs, "group", span, "group long, span double", arrays=True)
 
 
 @register(

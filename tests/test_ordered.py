@@ -86,6 +86,26 @@ def test_apply_per_group_keeps_groups_whole_over_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_apply_per_group_over_arrays(spark):
+    """Small groups in arrays give what frames give, without a frame for each; groups over batches stay whole, null is one group."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        key = F.when(F.col("id") % 13 != 0, F.col("id") * F.col("id") % 11)
+        df = spark.range(500).select(key.alias("g"), F.when(F.col("id") % 5 != 0, F.col("id") / 3).alias("v"), F.format_string("t%d", "id").alias("t"))
+
+        def over(run):
+            assert isinstance(run, dict)
+            v = run["v"][run["v"] == run["v"]]
+            g = run["g"][0]
+            return None if g != g else int(g), len(run["t"]), float(v.max() - v.min())
+
+        got = {r.g: (r.n, r.span) for r in ordered.apply_per_group(df, "g", over, "g long, n long, span double", arrays=True).collect()}
+        want = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"), (F.max("v") - F.min("v")).alias("span")).collect()
+        assert got == {r.g: (r.n, r.span) for r in want} and None in got
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_wrong_column_count_fails(spark):
     lines = spark.createDataFrame([("a\tb",), ("a\tb\tc",)], "value string")
     with pytest.raises(Exception, match="wrong number of columns"):
