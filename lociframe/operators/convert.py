@@ -123,10 +123,12 @@ def genotype_blocks(long: DataFrame, size: int = BLOCK, value: str = "dosage") -
     cells = lookup(named.select("sample", "snp", F.col(value).alias("v")), index, ["snp"]).groupBy("sample", "block", "at").agg(F.max("v").alias("v"))
     # At most ``size`` cells.
     rows = cells.groupBy("sample", "block").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("c")).withColumn("n", F.least(F.lit(size), total - F.col("block") * size).cast("int"))
+    # Each cell with the gap before it, and the gap after the last one, put together in one go.
+    before = lambda i: F.when(i > 0, F.get("c", i - 1)["at"]).otherwise(F.lit(-1))
     empty = F.lit(None).cast(cells.schema["v"].dataType)
-    placed = F.transform("c", lambda x, i: F.concat(F.array_repeat(empty, x["at"] - F.when(i > 0, F.get("c", i - 1)["at"]).otherwise(F.lit(-1)) - 1), F.array(x["v"])))
-    filled = rows.withColumn("v", F.flatten(placed))
-    return filled.select("sample", "block", F.concat("v", F.array_repeat(empty, F.col("n") - F.size("v"))).alias("values")), index
+    placed = F.transform("c", lambda x, i: F.concat(F.array_repeat(empty, x["at"] - before(i) - 1), F.array(x["v"])))
+    rest = F.array(F.array_repeat(empty, F.col("n") - 1 - F.element_at("c", -1)["at"]))
+    return rows.select("sample", "block", F.flatten(F.concat(placed, rest)).alias("values")), index
 
 
 def number_records(df: DataFrame, *order: str) -> DataFrame:

@@ -521,7 +521,7 @@ def genotype_matrix(spark, sf):
 def genotype_blocks(spark, sf):
     long = view(spark, sf, "fx_genotypes").select("sample", "snp", convert.dosage(F.col("gt")).alias("dosage"))
     blocks, _ = convert.genotype_blocks(long, size=256)
-    return blocks.select("sample", "block", F.array_join(F.transform("values", lambda v: F.coalesce(v.cast("string"), F.lit("-"))), ",").alias("dosages"))
+    return blocks.select("sample", "block", F.array_join(F.col("values").cast("array<string>"), ",", "-").alias("dosages"))
 
 
 @register(

@@ -305,3 +305,14 @@ def test_blocks_of_a_matrix(spark):
     blocks, index = convert.genotype_blocks(spark.createDataFrame(rows, "sample string, snp string, dosage int"), size=2)
     assert {(r["sample"], r.block): r["values"] for r in blocks.collect()} == {("b", 0): [1, None], ("b", 1): [2, None], ("a", 0): [None, None], ("a", 2): [1], (None, 1): [None, 2]}
     assert sorted(map(tuple, index.collect())) == [("s1", 0, 0), ("s2", 0, 1), ("s3", 1, 0), ("s4", 1, 1), ("s5", 2, 0)]
+
+
+def test_blocks_are_written_without_a_lambda_a_cell(spark):
+    """The values of a block are cast and joined as they are; a lambda over each of 256 took longer than all else."""
+    from lociframe.plans import catalog
+
+    found = catalog.queries()["genotype_blocks"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join(cast(" in plan and "array_join(transform(" not in plan
+    first = found.where("block = 0").first()["dosages"].split(",")
+    assert len(first) == min(256, found.sparkSession.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_partkey").distinct().count()) and set(first) <= set("012-")
