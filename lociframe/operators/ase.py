@@ -206,13 +206,10 @@ def placement_stats(snps: DataFrame, placed: DataFrame) -> DataFrame:
 DIGITS, A_DIGEST = 13, 2
 
 
-def uniform(key: Column, sims: int, seed: int = 0) -> Column:
-    """``sims`` uniform numbers in [0, 1), as an array: a pure function of (key, place, seed), the same on every retry and partitioning."""
-    digests = F.transform(
-        F.sequence(F.lit(0), F.lit((sims - 1) // A_DIGEST)), lambda j: F.md5(F.concat_ws(":", F.lit(str(seed)), key, j.cast("string")))
-    )
-    each = F.transform(digests, lambda d: F.array(*[F.conv(F.substring(d, 1 + DIGITS * k, DIGITS), 16, 10).cast("double") / float(16**DIGITS) for k in range(A_DIGEST)]))
-    return F.slice(F.flatten(each), 1, sims)
+def uniform(key: Column, place: Column, seed: int = 0) -> Column:
+    """The uniform number in [0, 1) at a place from 0: a pure function of (key, place, seed), the same on every retry and partitioning."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.call_function("div", place, F.lit(A_DIGEST)).cast("string")))
+    return F.conv(F.substring(digest, 1 + DIGITS * (place % A_DIGEST), F.lit(DIGITS)), 16, 10).cast("double") / float(16**DIGITS)
 
 
 def coin_table(depths: DataFrame) -> DataFrame:
@@ -267,13 +264,13 @@ def simulate(df: DataFrame, key: str, sims: int = 5, seed: int = 0, by: list[str
     table = pin(coin_table(rows.where("flips IS NOT NULL").select("flips").distinct()))
     found = lookup(rows, table, ["flips"])
 
-    def at(u: Column) -> Column:
-        size = F.size("upto")
-        j = F.least(F.floor(u * size).cast("int"), size - 1)
-        low, high = F.get("guide", j), F.get("guide", j + 1)
-        return F.get("p", low + F.size(F.filter(F.slice("upto", low + 1, high - low), lambda c: c <= u)))
-
-    drawn = found.select(*by, F.explode(F.transform(uniform(F.col("_key"), sims, seed), at)).alias("p"))
+    # A row for each draw first, so that nearly all is plain columns and no lambda over an array of draws.
+    drawn = found.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(sims - 1)))).withColumn("_u", uniform(F.col("_key"), F.col("_s"), seed))
+    size = F.size("upto")
+    drawn = drawn.withColumn("_j", F.least(F.floor(F.col("_u") * size).cast("int"), size - 1))
+    drawn = drawn.withColumns({"_low": F.get("guide", F.col("_j")), "_high": F.get("guide", F.col("_j") + 1)})
+    beyond = F.filter(F.slice("upto", F.col("_low") + 1, F.col("_high") - F.col("_low")), lambda c: c <= F.col("_u"))
+    drawn = drawn.select(*by, F.get("p", F.col("_low") + F.size(beyond)).alias("p"))
     return drawn.groupBy(*by, "p").agg(F.count(F.lit(1)).alias("drawn"))
 
 

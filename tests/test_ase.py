@@ -142,3 +142,13 @@ def test_a_position_without_reads_is_weird(spark):
     df = spark.createDataFrame([(0, 0, 0, 0, "A", "C", "A", "C")], "a int, c int, g int, t int, a1 string, a2 string, mat_allele string, pat_allele string")
     r = ase.call_counts(df).first()
     assert (r.cls, r.parent, r.pval) == ("Weird", "?", 1.0)
+
+
+def test_draws_are_plain_columns(spark):
+    """A row a draw, no lambda over an array of draws, and the draws depend on key, place and seed alone."""
+    df = spark.createDataFrame([(f"k{i}", i % 9, i % 4) for i in range(60)], "key string, mat_counts long, pat_counts long")
+    found = ase.simulate(df, "key", sims=5, seed=3)
+    assert "transform(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    again = ase.simulate(df.repartition(7), "key", sims=5, seed=3)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, again.collect()))
+    assert sum(r.drawn for r in found.collect()) == 300
