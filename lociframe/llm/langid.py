@@ -30,6 +30,7 @@ LONGEST = 5
 #: Labelled rows fitted on, about. It is the only bound of the model, which keeps all words and n-grams of these rows.
 FIT_ROWS = 20_000
 CACHED = 150_000
+PIECES = 2_500  # words whose n-grams are counted together
 
 
 def words(text: str | None) -> list[str]:
@@ -44,46 +45,71 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+class Rows:
+    """Row numbers of distinct strings, found by their 64-bit hashes, of which two of a million strings agree with a probability of 1 in 10^7.
+
+    A string takes its bytes and 12 more, where a dict of strings takes over 100; every worker holds the whole model."""
+
+    def __init__(self, items: list[str]):
+        self.size, self.text, self.hash, self.row = len(items), "\n".join(items).encode("utf-8", "surrogatepass"), None, None
+
+    def __getstate__(self) -> tuple:
+        return self.size, self.text
+
+    def __setstate__(self, state: tuple) -> None:
+        self.size, self.text = state
+        self.hash = self.row = None  # made where they are used, as processes hash strings differently
+
+    def __len__(self) -> int:
+        return self.size
+
+    def find(self, items: list[str]) -> np.ndarray:
+        """The row of each item, -1 for those that are not there."""
+        if self.hash is None:
+            made = np.fromiter(map(hash, self.text.decode("utf-8", "surrogatepass").split("\n") if self.size else ()), np.int64, self.size)
+            self.row = np.argsort(made).astype(np.int32)
+            self.hash = made[self.row]
+        asked = np.fromiter(map(hash, items), np.int64, len(items))
+        if not self.size:
+            return np.full(len(asked), -1)
+        at = np.minimum(np.searchsorted(self.hash, asked), self.size - 1)
+        return np.where(self.hash[at] == asked, self.row[at], -1)
+
+    def __contains__(self, item: str) -> bool:
+        return bool(self.find([item])[0] >= 0)
+
+    def __getitem__(self, item: str) -> int:
+        row = int(self.find([item])[0])
+        if row < 0:
+            raise KeyError(item)
+        return row
+
+
 @dataclass
 class Model:
     langs: list[str]
-    index: list[dict[str, int]]  # rows of known words (0) and of n-grams by length
+    index: list[Rows]  # rows of known words (0) and of n-grams by length
     logs: list[np.ndarray]  # log frequency in each language, a row an item
     usual: int = 0  # the language with the most words
 
-    def __getstate__(self) -> tuple:
-        """Items of each length as one text, so that a worker that loads the model holds little besides it."""
-        return self.langs, ["\n".join(known) for known in self.index], self.logs, self.usual
-
-    def __setstate__(self, state: tuple) -> None:
-        self.langs, texts, self.logs, self.usual = state
-        numbers = list(range(max(map(len, self.logs), default=0)))  # the same for all lengths
-        self.index = [dict(zip(text.split("\n") if text else [], numbers)) for text in texts]
-
     def votes(self, asked: list[str]) -> np.ndarray:
         """A row of votes for each word: a known word by itself, else by its longest known n-grams; zeros without any."""
-        owners: list[list[int]] = [[] for _ in self.index]
-        items: list[list[int]] = [[] for _ in self.index]
-        sizes: list[list[int]] = [[] for _ in self.index]
-        for k, word in enumerate(asked):
-            row = self.index[0].get(word)
-            n, found = 0, [] if row is None else [row]
-            if row is None:
-                for n in range(LONGEST, 0, -1):
-                    found = [r for r in map(self.index[n].get, grams(word, n)) if r is not None]
-                    if found:
-                        break
-            if found:
-                owners[n].append(k)
-                items[n] += found
-                sizes[n].append(len(found))
         out = np.zeros((len(asked), len(self.langs)))
-        for n, owner in enumerate(owners):
-            if owner:
-                count = np.array(sizes[n])
-                scores = np.add.reduceat(self.logs[n][items[n]], np.cumsum(count) - count, axis=0, dtype=np.float64) / count[:, None]
+        left = np.arange(len(asked))  # words without a vote yet
+        for n in (0, *range(LONGEST, 0, -1)):
+            if not len(left):
+                break
+            pieces = [[asked[k]] if n == 0 else grams(asked[k], n) for k in left]
+            owner = np.repeat(np.arange(len(left)), [len(p) for p in pieces])
+            row = self.index[n].find([g for p in pieces for g in p])
+            owner, row = owner[row >= 0], row[row >= 0]
+            if len(row):
+                begin = np.flatnonzero(np.diff(owner, prepend=-1))
+                count = np.diff(np.append(begin, len(owner)))
+                scores = np.add.reduceat(self.logs[n][row], begin, axis=0, dtype=np.float64) / count[:, None]
                 e = np.exp(scores - scores.max(axis=1, keepdims=True))
-                out[owner] = e / e.sum(axis=1, keepdims=True)
+                out[left[owner[begin]]] = e / e.sum(axis=1, keepdims=True)
+                left = np.delete(left, owner[begin])
         return out
 
 
@@ -105,7 +131,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (b.iloc[k : k + PIECES] for b in batches for k in range(0, len(b), PIECES)):
             seen: Counter = Counter()
             for lang, word, k in batch.itertuples(index=False):
                 seen[lang, 0, word] += k
@@ -126,7 +152,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         column = np.array([langs.index(x) for x in lang.dictionary.to_pylist()], np.int64)
         table[item.indices.to_numpy(), column[lang.indices.to_numpy()]] += part["n"].to_numpy()
         base = [math.log(totals.get((lang, size), (0, 0))[0] + 0.5 * (totals.get((lang, size), (0, 0))[1] + 1)) for lang in langs]
-        index.append({item: k for k, item in enumerate(known)})
+        index.append(Rows(known))
         logs.append((np.log(table) - np.array(base)).astype(np.float32))
     return Model(langs, index, logs, max(range(len(langs)), key=lambda k: totals.get((langs[k], 0), (0, 0))[0], default=0))
 

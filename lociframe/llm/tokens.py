@@ -17,8 +17,8 @@ from lociframe.llm.util import mix64
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Bytes of text looked at together; a longer text is looked at alone.
-TOGETHER = 4 << 20
+#: Bytes of text looked at together; a longer text is looked at alone. Arrays of 8 bytes a byte of text are made, some of which a worker keeps.
+TOGETHER = 1 << 20
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

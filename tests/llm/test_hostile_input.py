@@ -3,14 +3,17 @@
 import gzip
 import io
 import json
+import pickle
 import time
+import tracemalloc
 import zlib
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lociframe.llm import dom, extract, langid, warc
+from lociframe.llm import dom, extract, langid, near, tokens, warc
 
 
 @pytest.fixture(scope="module")
@@ -110,3 +113,32 @@ def test_stretches_of_repeated_words():
                         want.add((int(a), int(k)))
                     a = k + 1
         assert got == want
+
+
+def test_a_worker_holds_the_language_model_in_few_bytes():
+    """All words and n-grams of the sample are in the model; a worker that loads it holds 50 bytes an item at most, besides the frequencies."""
+    words = [f"w{k:07d}" for k in range(50_000)]
+    empty = langid.Rows([])
+    sent = pickle.dumps(langid.Model(["en"], [langid.Rows(words), *[empty] * langid.LONGEST], [np.zeros((len(words), 1), np.float32)] + [np.zeros((0, 1), np.float32)] * langid.LONGEST))
+    tracemalloc.start()
+    try:
+        model = pickle.loads(sent)
+        rows = model.index[0].find([words[7], "none", words[-1]])
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert rows.tolist() == [7, -1, len(words) - 1] and model.votes(["none", words[3]]).tolist() == [[0.0], [1.0]]
+    assert held < 50 * len(words)
+
+
+def test_texts_are_looked_at_in_small_portions(monkeypatch):
+    """What a worker makes of texts, and what of that it keeps, does not add up to many times a batch."""
+    monkeypatch.setattr(tokens, "_powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    texts = ["some words of a text " * 100] * 4000
+    tracemalloc.start()
+    try:
+        assert sum(1 for _, part in tokens.together(texts) for _ in near.sets(part)) == len(texts)
+        kept, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert kept < 32 << 20 and peak < 128 << 20
