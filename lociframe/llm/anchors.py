@@ -2,7 +2,7 @@
 
 Every window is keyed by the least hash of its runs of ``gram`` units, so equal windows have equal keys wherever they start. Neighbouring windows of one
 key form a context, some 80 bytes or 20 words longer than a window. Keys that occur once in the corpus are dropped; equal contexts
-of a key are one context with a count. Contexts go to shards by their key, so all windows that can be equal meet in one shard, which a solver
+of a key are one context with a count. Where all contexts of a key are equal, its windows repeat there and nowhere else, so that is decided without their text. Contexts go to shards by their key, so all windows that can be equal meet in one shard, which a solver
 decides. What it decides for a context holds for all its occurrences. A key with more than ``most`` different contexts is not sent to a shard: its windows
 are grouped by their own hash in as many tasks as Spark deals them to.
 
@@ -70,11 +70,11 @@ class Contexts:
     start: np.ndarray  # first unit within the text
     windows: np.ndarray
     key: np.ndarray
-    times: np.ndarray  # how often the gram behind the key is in the context
-    content: np.ndarray
+    times: np.ndarray | None  # how often the gram behind the key is in the context, if that was asked for
+    content: np.ndarray | None  # if that was not
 
 
-def contexts(u: Units, kind: Kind) -> Contexts:
+def contexts(u: Units, kind: Kind, counting: bool) -> Contexts:
     n, span = len(u.hash), kind.window - kind.gram + 1
     if n < kind.window:
         return Contexts(*[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
@@ -82,24 +82,26 @@ def contexts(u: Units, kind: Kind) -> Contexts:
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(u.hash * power[:n], dtype=np.uint64)))
     gram = mix64((sums[kind.gram :] - sums[: n + 1 - kind.gram]) * inverse[: n + 1 - kind.gram])
     least = slide(gram, span, np.minimum)  # of each window
-    text = np.searchsorted(u.first, np.arange(len(least)), side="right") - 1
+    text = np.repeat(np.arange(len(u.first) - 1), np.diff(u.first))[: len(least)]
     good = np.arange(len(least)) + kind.window <= u.first[text + 1]
-    # Positions of grams that are the least of some window of any text; for counting those behind a key.
-    padded = np.concatenate((np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)))
-    place = np.flatnonzero(gram == slide(padded, span, np.maximum))
     change = np.ones(len(least), bool)
     change[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (good[1:] != good[:-1])
     a = np.flatnonzero(change)
     b = np.append(a[1:], len(least))
     a, b = a[good[a]], b[good[a]]
     key = least[a]
+    if not counting:
+        stop = b - 1 + kind.window
+        content = mix64((sums[stop] - sums[a]) * inverse[a], 3) ^ mix64((stop - a).astype(np.uint64), 5)
+        return Contexts(text[a], a - u.first[text[a]], b - a, key, None, content)
+    # Positions of grams that are the least of some window of any text; for counting those behind a key.
+    padded = np.concatenate((np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)))
+    place = np.flatnonzero(gram == slide(padded, span, np.maximum))
     low, high = np.searchsorted(place, a), np.searchsorted(place, b + span - 1)
     total = high - low
     flat = np.repeat(low - np.concatenate(([0], np.cumsum(total)[:-1])), total) + np.arange(total.sum())
     times = np.bincount(np.repeat(np.arange(len(a)), total), gram[place[flat]] == np.repeat(key, total), minlength=len(a)).astype(np.int64)
-    stop = b - 1 + kind.window
-    content = mix64((sums[stop] - sums[a]) * inverse[a], 3) ^ mix64((stop - a).astype(np.uint64), 5)
-    return Contexts(text[a], a - u.first[text[a]], b - a, key, times, content)
+    return Contexts(text[a], a - u.first[text[a]], b - a, key, times, None)
 
 
 def _portions(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -129,14 +131,14 @@ def repeats(docs: DataFrame, kind: Kind, solver: Solver, relation: str, id_col:
 
     def keys(batch: pa.RecordBatch) -> Iterator[dict]:
         for _, part in _portions(batch.column("text")):
-            c = contexts(units(part, kind.unit), kind)
+            c = contexts(units(part, kind.unit), kind, True)
             yield {"key": pa.array(c.key.view(np.int64)), "times": pa.array(c.times)}
 
     often = map_batches(texts.select("text"), keys, "key long, times long").groupBy("key").agg(F.sum("times").alias("times")).where("times > 1").select("key")
 
     def places(batch: pa.RecordBatch) -> Iterator[dict]:
         for begin, part in _portions(batch.column("text")):
-            c = contexts(units(part, kind.unit), kind)
+            c = contexts(units(part, kind.unit), kind, False)
             at = pa.array(c.text + begin)
             yield {
                 "id": batch.column("id").take(at), "digest": batch.column("digest").take(at), "start": pa.array(c.start), "windows": pa.array(c.windows),
@@ -148,7 +150,13 @@ def repeats(docs: DataFrame, kind: Kind, solver: Solver, relation: str, id_col:
     name = ["key", "content", "windows"]
     context = found.groupBy(*name).agg(F.count("*").alias("n"), F.min(F.struct("id", "digest", "start")).alias("at"))
     many = context.groupBy("key").agg(F.count("*").alias("different")).where(F.col("different") > most).select(F.col("key").alias("k"))
-    context = pin(context.join(many, F.col("key") == F.col("k"), "left").withColumn("hot", F.col("k").isNotNull()).drop("k"))
+    sole = context.groupBy("key").agg(F.count("*").alias("different"), F.max("n").alias("times"), F.min(F.struct("content", "windows")).alias("c"))
+    sole = sole.where("different = 1 AND times > 1").select(F.col("key").alias("sk"), F.col("c.content").alias("sc"), F.col("c.windows").alias("sw"))
+    # By content as well, as contexts are dealt out by it already.
+    context = context.join(sole, (F.col("key") == F.col("sk")) & (F.col("content") == F.col("sc")) & (F.col("windows") == F.col("sw")), "left").withColumn("sole", F.col("sk").isNotNull())
+    context = pin(context.drop("sk", "sc", "sw").join(many, F.col("key") == F.col("k"), "left").withColumn("hot", F.col("k").isNotNull()).drop("k"))
+    decided_now = context.where("sole").select(*name, F.lit(0).alias("first"), F.col("windows").alias("number"), F.col("at.id").alias("low"))
+    context = context.where("NOT sole").drop("sole")
     length = context.agg(F.sum(F.col("windows") + kind.window)).first()[0] or 0
     shards = max(LEAST_SHARDS, length * (1 if kind.unit == "byte" else 6) // SHARD_BYTES)
     wanted = context.groupBy(F.col("at.id").alias("i"), F.col("at.digest").alias("d")).agg(F.collect_list(F.struct("at.start", "windows", "key", "content", "n", "hot")).alias("parts"))
@@ -180,6 +188,7 @@ def repeats(docs: DataFrame, kind: Kind, solver: Solver, relation: str, id_col:
     answers = sent.select("shard", "id", *name, "n", "data").groupBy("shard").applyInPandas(solve, decided)
     if any_hot:
         answers = answers.unionByName(by_window(pieces.where("hot"), kind))
+    answers = answers.unionByName(decided_now)
     # For "earlier", what was decided for a context holds where the least id is below the document's own.
     hits = found.join(pin(answers), name)
     if relation == "earlier":

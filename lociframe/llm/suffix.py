@@ -178,9 +178,10 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
 def joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Parts with a 1 after each and a 0 at the end, symbols from 2 on; where each begins."""
     begin = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))[:-1].astype(np.int64)
-    s = np.ones(int(sum(len(p) + 1 for p in parts)) + 1, np.int64)
+    symbol = np.uint16 if all(p.dtype == np.uint8 for p in parts) else np.int64
+    s = np.ones(int(sum(len(p) + 1 for p in parts)) + 1, symbol)
     for b, p in zip(begin, parts, strict=True):
-        s[b : b + len(p)] = p.astype(np.int64) + 2
+        s[b : b + len(p)] = p.astype(symbol) + 2
     s[-1] = 0
     return s, begin
 

@@ -81,6 +81,29 @@ def test_substring_dedup(docs, most):
     assert got == want
 
 
+def test_joined_symbols_keep_their_value():
+    """Bytes take narrow symbols; numbers of words beyond 16 bits do not."""
+    for parts in ([np.array([0, 255], np.uint8)], [np.array([70_000, 3]), np.array([0, 1 << 40])]):
+        s, begin = suffix.joined(parts)
+        assert s.tolist() == [x for p in parts for x in [*(p.astype(np.int64) + 2).tolist(), 1]] + [0] and begin.tolist() == [0, 3][: len(parts)]
+
+
+def test_copies_are_decided_without_their_text(spark):
+    """Where all contexts of a key are equal nothing is left for a solver."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefghijklmnop") for _ in range(3000))
+    rows = [(3, text), (1, text), (2, "x" + "".join(rng.choice("qrstuvwxyz") for _ in range(900)))]
+
+    def solver(data, windows, n, ids):
+        raise AssertionError(f"{len(data)} contexts were sent")
+
+    for relation, gone in (("anywhere", {1, 3}), ("earlier", {3})):
+        found = anchors.repeats(spark.createDataFrame(rows, "doc_id long, text string"), anchors.Kind("byte", 200, 32), solver, relation).collect()
+        assert {r["id"] for r in found} == gone
+        for r in found:
+            assert [x.tolist() for x in anchors.merged(r["spans"])] == [[0], [3000]]
+
+
 @pytest.mark.parametrize("few", [0.01, 1, suffix.FEW])
 def test_suffix_array_and_prefixes(few, monkeypatch):
     monkeypatch.setattr(suffix, "FEW", few)
