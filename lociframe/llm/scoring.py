@@ -6,6 +6,9 @@ and block, partitioned by bucket; the count table is the sum of these rows by ke
 joining back are one sort without another shuffle. A frequent n-gram has a row a block, never a row an occurrence. Totals of n-grams that are in more than one block go
 back; a block knows the others itself. Scores are summed per document where its words are.
 
+A larger corpus is counted in slices of the keys, one after the other: each slice goes through all blocks, its totals are pinned as one row a block, and its shuffle files
+are gone before the next begins. So the n-grams of all orders never lie on disk together, while every one of them is counted.
+
 For each word, S = c(n-gram)/c(context) of the longest n-gram that other documents have, times 0.4 for every order backed off, down to
 (c(word)+1)/(words+1). Counts leave out the document that is scored; otherwise its own rare n-grams would look certain. The score is the mean log10 S.
 
@@ -17,6 +20,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociframe.config import parallelism, pin
+from lociframe.config import parallelism, pin, shuffles_freed
 from lociframe.llm.tokens import count_words, map_batches, windows, words
 
 #: Highest order: two words of context. Keys of a higher order hardly repeat, so each adds as many rows as there are words.
@@ -34,6 +38,8 @@ BACKOFF = 0.4
 BLOCK_BYTES = 4 << 20
 PORTION = 1 << 20
 PART_BYTES = 4 << 20  # of text that a partition of the exploded n-grams stands for
+SLICE_BITS = 2  # leading bits of the keys that tell slices apart, once the corpus has twice SLICE_BYTES
+SLICE_BYTES = 32 << 20
 
 
 def grams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -65,6 +71,11 @@ def counted(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(flat[flat > 0], return_counts=True)
 
 
+def sliced(hashes: list[np.ndarray], number: int, bits: int) -> list[np.ndarray]:
+    """Those of the hashes whose leading ``bits`` are ``number``."""
+    return [h[h >> np.uint64(64 - bits) == number] for h in hashes] if bits else hashes
+
+
 def bucketed(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The buckets that sorted keys are in, by their leading ``bits``, and where each begins, with the end behind them."""
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
@@ -130,6 +141,26 @@ def totals(asked: DataFrame, parts: int) -> DataFrame:
     return summed.groupBy("bucket", "block").agg(F.flatten(F.collect_list(F.array(F.col("at").cast("long"), "total"))).alias("answer"))
 
 
+def gathered(answers: DataFrame) -> DataFrame:
+    """(block, buckets, sizes, totals): what ``totals`` found for a block in one row. For each of its buckets there are the totals by place up to the last one found, 0 where
+    no other block has the key; those of all buckets follow each other, as compressed 64-bit numbers."""
+
+    def gather(group: pa.Table) -> pa.Table:
+        group = group.sort_by("bucket").combine_chunks()
+        answer = group.column("answer").combine_chunks()
+        offsets = answer.offsets.to_numpy() // 2
+        at, total = answer.flatten().to_numpy().reshape(-1, 2).T
+        offsets = offsets - offsets[0]
+        sizes = np.maximum.reduceat(at, offsets[:-1]) + 1
+        begin = np.cumsum(sizes) - sizes
+        dense = np.zeros(sizes.sum(), np.int64)
+        dense[np.repeat(begin, np.diff(offsets)) + at] = total
+        block, buckets = group.column("block").slice(0, 1), group.column("bucket").to_numpy()
+        return pa.table({"block": block, "buckets": pa.array([buckets], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int64())), "totals": [zstandard.compress(dense.tobytes(), 3)]})
+
+    return answers.groupBy("block").applyInArrow(gather, "block long, buckets array<long>, sizes array<long>, totals binary")
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """(id, n_words, score) for every row of ``docs``."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -138,18 +169,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     bytes_in, corpus = size["bytes"] or 0, size["words"] or 0
     parts = max(parallelism(docs.sparkSession), bytes_in // PART_BYTES)
     bits = max(6, (4 * parts).bit_length())  # a few buckets a partition
+    slice_bits = min(SLICE_BITS, (bytes_in // SLICE_BYTES).bit_length())
+
+    def answered(number: int) -> DataFrame:
+        def ask(batch: pa.RecordBatch) -> Iterator[dict]:
+            for block, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "texts")), strict=True):
+                keys, n = counted(sliced(grams(_texts(sizes, data), order)[0], number, slice_bits))
+                bucket, begin = bucketed(keys, bits)
+                offsets = pa.array(begin, pa.int32())
+                yield {
+                    "bucket": pa.array(bucket), "block": [block] * len(bucket), "keys": pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))),
+                    "counts": pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))),
+                }
 
-    def ask(batch: pa.RecordBatch) -> Iterator[dict]:
-        for block, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "texts")), strict=True):
-            keys, n = counted(grams(_texts(sizes, data), order)[0])
-            bucket, begin = bucketed(keys, bits)
-            offsets = pa.array(begin, pa.int32())
-            yield {
-                "bucket": pa.array(bucket), "block": [block] * len(bucket), "keys": pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))),
-                "counts": pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))),
-            }
+        asked = map_batches(blocks.select("block", "sizes", "texts"), ask, "bucket long, block long, keys array<long>, counts array<int>")
+        return gathered(totals(asked, max(parallelism(docs.sparkSession), parts >> slice_bits)))
 
-    asked = map_batches(blocks.select("block", "sizes", "texts"), ask, "bucket long, block long, keys array<long>, counts array<int>")
+    with shuffles_freed(docs.sparkSession):
+        slices = [pin(answered(k)) for k in range(1 << slice_bits)]
+    answers = reduce(DataFrame.union, slices)
 
     def judge(group: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         if not len(group):
@@ -159,11 +197,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         keys, n = counted(hashes)
         bucket, begin = bucketed(keys, bits)
         known = n.astype(np.int64)  # of n-grams no other block has
-        for b, told in zip(answer["bucket"], answer["answer"], strict=True):
-            pairs = np.asarray(told, np.int64).reshape(-1, 2)
-            known[begin[np.searchsorted(bucket, b)] + pairs[:, 0]] = pairs[:, 1]
+        for buckets, length, data in zip(answer["buckets"], answer["sizes"], answer["totals"], strict=True):
+            told = np.frombuffer(zstandard.decompress(data), np.int64)
+            at = np.arange(len(told)) + np.repeat(begin[np.searchsorted(bucket, buckets)] - (np.cumsum(length) - length), length)
+            known[at[told > 0]] = told[told > 0]
         ids = pd.Series(list(row["ids"]), dtype="Int64" if kind in ("bigint", "int") else object)
         return pd.DataFrame({"id": ids, "n_words": np.diff(first), "score": pd.Series(scores(hashes, text, first, keys, known, corpus, order), dtype="Float64")})
 
-    answers = totals(asked, parts)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(judge, f"id {kind}, n_words long, score double")

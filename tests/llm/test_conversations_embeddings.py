@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -231,3 +232,36 @@ def test_scores_do_not_depend_on_blocks(spark, monkeypatch):
     whole = sorted((r.id, r.n_words, r.score and round(r.score, 9)) for r in scoring.score(df).collect())
     monkeypatch.setattr(scoring, "BLOCK_BYTES", 200)
     assert sorted((r.id, r.n_words, r.score and round(r.score, 9)) for r in scoring.score(df).collect()) == whole
+
+
+def test_ngrams_are_counted_in_slices(spark, monkeypatch):
+    """The n-grams of a larger corpus are not shuffled together: each slice has keys of its own, its shuffle files are gone when it is done, and nothing is left out."""
+    from lociframe.llm import scoring
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getPath() for f in (files.apply(k) for k in range(files.length())) if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"w{int(rng.expovariate(0.1))}" for _ in range(rng.randint(0, 80)))) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = sorted((r.id, r.n_words, r.score and round(r.score, 9)) for r in scoring.score(df).collect())
+    asked, totals = [], scoring.totals
+    monkeypatch.setattr(scoring, "totals", lambda rows, parts: asked.append(rows) or totals(rows, parts))
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(scoring, "SLICE_BYTES", 1000)
+    pinned = df.checkpoint()
+    before, setting = shuffled(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    got = scoring.score(pinned)
+    for _ in range(50):
+        if len(left := shuffled() - before) <= 3:  # the sizes of the blocks, a row a partition
+            break
+        time.sleep(0.2)
+    assert len(left) <= 3
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert sorted((r.id, r.n_words, r.score and round(r.score, 9)) for r in got.collect()) == whole
+    keys = [{k for r in a.collect() for k in r["keys"]} for a in asked]
+    n = [t.split() for _, t in rows]
+    every = {tuple(w[k : k + m]) for w in n for m in (1, 2, 3) for k in range(len(w) - m + 1)}
+    assert len(keys) == 4 and sum(map(len, keys)) == len(set().union(*keys)) == len(every)
+    assert max(map(len, keys)) < 0.4 * len(every)
