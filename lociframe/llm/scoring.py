@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.config import parallelism, pin, shuffles_freed
-from lociframe.llm.tokens import count_words, map_batches, windows, words
+from lociframe.llm.tokens import map_batches, windows, words
 
 #: Highest order: two words of context. Keys of a higher order hardly repeat, so each adds as many rows as there are words.
 ORDER = 3
@@ -42,18 +42,32 @@ SLICE_BITS = 2  # leading bits of the keys that tell slices apart, once the corp
 SLICE_BYTES = 32 << 20
 
 
-def grams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each order the n-gram hash that ends at each word (0 where a text begins too late), the text of each word, first words."""
-    parts, counts, begin, size = [], [], 0, 0
+def found(texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """The hashes of all words, and how many words each text has."""
+    parts, counts, begin, size = [np.zeros(0, np.uint64)], [], 0, 0
     for k, data in enumerate(texts):  # words are found in portions, as that takes many times the bytes looked at
         size += len(data)
         if size > PORTION or k + 1 == len(texts):
-            found = words(texts[begin : k + 1])
-            parts.append(found.hash)
-            counts.append(np.diff(found.first))
+            part = words(texts[begin : k + 1])
+            parts.append(part.hash)
+            counts += np.diff(part.first).tolist()
             begin, size = k + 1, 0
-    flat = np.concatenate([np.zeros(0, np.uint64), *parts])
-    first = np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))))
+    return np.concatenate(parts), counts
+
+
+def numbered(flat: np.ndarray) -> tuple[bytes, bytes]:
+    """The different words, the most frequent first, and the number of each word among them, so that a block's words are found only once."""
+    keys, number, n = np.unique(flat, return_inverse=True, return_counts=True)
+    by = np.argsort(-n, kind="stable")
+    rank = np.empty(len(by), "<u4")
+    rank[by] = np.arange(len(by))
+    return keys[by].tobytes(), zstandard.compress(rank[number].tobytes(), 3)
+
+
+def grams(sizes: list[int], keys: bytes, numbers: bytes, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each order the n-gram hash that ends at each word (0 where a text begins too late), the text of each word, first words."""
+    flat = np.frombuffer(keys, np.uint64)[np.frombuffer(zstandard.decompress(numbers), "<u4")]
+    first = np.concatenate(([0], np.cumsum(np.asarray(sizes, np.int64))))
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     out = []
     for n in range(1, order + 1):
@@ -83,17 +97,26 @@ def bucketed(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket[begin], np.append(begin, len(keys))
 
 
-def scores(hashes: list[np.ndarray], text: np.ndarray, first: np.ndarray, keys: np.ndarray, totals: np.ndarray, corpus: int, order: int) -> list[float | None]:
-    """Scores from the counts of the whole corpus: ``totals`` of the sorted ``keys``, ``corpus`` words in all."""
-    size = np.diff(first)
-    others: list[np.ndarray] = []
-    for full in hashes:
-        pair = np.lexsort((full, text))
-        new = np.flatnonzero((np.diff(full[pair], prepend=np.uint64(1)) != 0) | (np.diff(text[pair], prepend=-1) != 0))
-        own = np.empty(len(full), np.int64)
-        own[pair] = np.repeat(np.diff(np.append(new, len(full))), np.diff(np.append(new, len(full))))
-        at = np.minimum(np.searchsorted(keys, full), max(0, len(keys) - 1))
-        others.append(np.where(full == 0, 0, totals[at] - own) if len(keys) else np.zeros(len(full), np.int64))
+def ordered(flat: np.ndarray) -> np.ndarray:
+    """The order that sorts the hashes, equal ones by where they are: numbers that hold a place in their last bits are sorted, much faster than places, and the few that
+    only these bits tell apart are put right."""
+    bits = np.uint64(len(flat).bit_length())
+    near = (np.sort((flat >> bits << bits) | np.arange(len(flat), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return near[np.argsort(flat[near], kind="stable")]
+
+
+def scores(hashes: list[np.ndarray], text: np.ndarray, first: np.ndarray, totals: np.ndarray, corpus: int, order: int) -> list[float | None]:
+    """Scores from the counts of the whole corpus: ``totals`` of the different keys by their order, ``corpus`` words in all."""
+    size, flat = np.diff(first), np.concatenate(hashes)
+    at = ordered(flat)
+    at = at[np.count_nonzero(flat == 0) :]
+    key, of = flat[at], text[at % max(1, len(text))]
+    new = np.diff(key, prepend=np.uint64(0)) != 0
+    run = np.flatnonzero(new | (np.diff(of, prepend=-1) != 0))
+    own = np.diff(np.append(run, len(at)))
+    every = np.zeros(len(flat), np.int64)
+    every[at] = totals[np.cumsum(new) - 1] - np.repeat(own, own)
+    others = np.split(every, order)
     log = np.log10((others[0] + 1) / np.maximum(1, corpus - size[text] + 1)) + (order - 1) * math.log10(BACKOFF)
     for n in range(2, order + 1):
         context = np.concatenate(([0], others[n - 2][:-1]))
@@ -104,7 +127,7 @@ def scores(hashes: list[np.ndarray], text: np.ndarray, first: np.ndarray, keys:
 
 
 def blocked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Blocks of documents, pinned: (block, ids, sizes, words, texts compressed)."""
+    """Blocks of documents, pinned: (block, ids, sizes in words, bytes, keys of the different words, numbers of the words among them)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def gather(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -112,33 +135,30 @@ def blocked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
         for k, text in enumerate([*texts, None]):
             if held and (text is None or size + len(text) > BLOCK_BYTES):
+                flat, sizes = found(held)
+                keys, numbers = numbered(flat)
                 yield {
                     "block": [uuid.uuid4().int >> 65], "ids": pa.array([batch.column(0).slice(begin, len(held)).to_pylist()], pa.list_(batch.column(0).type)),
-                    "sizes": [[len(t) for t in held]], "words": [sum(map(count_words, held))], "texts": [zstandard.compress(b"".join(held), 3)],
+                    "sizes": [sizes], "bytes": [size], "keys": [keys], "numbers": [numbers],
                 }
                 held, begin, size = [], k, 0
             if text is not None:
                 held.append(text)
                 size += len(text)
 
-    schema = f"block long, ids array<{kind}>, sizes array<int>, words long, texts binary"
+    schema = f"block long, ids array<{kind}>, sizes array<int>, bytes long, keys binary, numbers binary"
     return pin(map_batches(docs.select(F.col(id_col), F.col(text_col).cast("string")), gather, schema))
 
 
-def _texts(sizes, data: bytes) -> list[bytes]:
-    flat, ends = zstandard.decompress(data), np.cumsum(sizes)
-    return [flat[e - s : e] for s, e in zip(sizes, ends, strict=True)]
-
-
 def totals(asked: DataFrame, parts: int) -> DataFrame:
-    """(block, bucket, answer) from (bucket, block, keys, counts): for every key of a block that another block has too, its place in ``keys`` and the sum of all
-    its counts, one after the other in the array ``answer``."""
+    """(block, bucket, answer) from (bucket, block, keys, counts): for the keys of a block that another block has too, first their places in ``keys`` and then the sums of all
+    their counts, in the same order, in the array ``answer``."""
     dealt = asked.repartition(parts, "bucket")
-    rows = dealt.select("bucket", "block", F.posexplode(F.arrays_zip("keys", "counts")).alias("at", "k"))
-    rows = rows.select("bucket", "block", "at", F.col("k.keys").alias("key"), F.col("k.counts").cast("long").alias("n"))
+    rows = dealt.select("bucket", "block", "counts", F.posexplode("keys").alias("at", "key"))
+    rows = rows.select("bucket", "block", "at", "key", F.get("counts", "at").cast("long").alias("n"))
     every = Window.partitionBy("key", "bucket")  # a key is in one bucket, so its rows are in one partition already
-    summed = rows.withColumns({"total": F.sum("n").over(every), "blocks": F.count(F.lit(1)).over(every)}).where("blocks > 1")
-    return summed.groupBy("bucket", "block").agg(F.flatten(F.collect_list(F.array(F.col("at").cast("long"), "total"))).alias("answer"))
+    summed = rows.withColumn("total", F.sum("n").over(every)).where("total > n")
+    return summed.groupBy("bucket", "block").agg(F.concat(F.collect_list(F.col("at").cast("long")), F.collect_list("total")).alias("answer"))
 
 
 def gathered(answers: DataFrame) -> DataFrame:
@@ -148,13 +168,13 @@ def gathered(answers: DataFrame) -> DataFrame:
     def gather(group: pa.Table) -> pa.Table:
         group = group.sort_by("bucket").combine_chunks()
         answer = group.column("answer").combine_chunks()
-        offsets = answer.offsets.to_numpy() // 2
-        at, total = answer.flatten().to_numpy().reshape(-1, 2).T
-        offsets = offsets - offsets[0]
-        sizes = np.maximum.reduceat(at, offsets[:-1]) + 1
-        begin = np.cumsum(sizes) - sizes
+        offsets = answer.offsets.to_numpy().astype(np.int64)
+        n, flat = np.diff(offsets) // 2, answer.flatten().to_numpy()
+        first = np.repeat(offsets[:-1] - offsets[0] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        at, total = flat[first], flat[first + np.repeat(n, n)]
+        sizes = np.maximum.reduceat(at, np.cumsum(n) - n) + 1
         dense = np.zeros(sizes.sum(), np.int64)
-        dense[np.repeat(begin, np.diff(offsets)) + at] = total
+        dense[np.repeat(np.cumsum(sizes) - sizes, n) + at] = total
         block, buckets = group.column("block").slice(0, 1), group.column("bucket").to_numpy()
         return pa.table({"block": block, "buckets": pa.array([buckets], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int64())), "totals": [zstandard.compress(dense.tobytes(), 3)]})
 
@@ -165,7 +185,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     """(id, n_words, score) for every row of ``docs``."""
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = blocked(docs, id_col, text_col)
-    size = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("bytes"), F.sum("words").alias("words")).first()
+    size = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("words"), F.sum("bytes").alias("bytes")).first()
     bytes_in, corpus = size["bytes"] or 0, size["words"] or 0
     parts = max(parallelism(docs.sparkSession), bytes_in // PART_BYTES)
     bits = max(6, (4 * parts).bit_length())  # a few buckets a partition
@@ -173,8 +193,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 
     def answered(number: int) -> DataFrame:
         def ask(batch: pa.RecordBatch) -> Iterator[dict]:
-            for block, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "texts")), strict=True):
-                keys, n = counted(sliced(grams(_texts(sizes, data), order)[0], number, slice_bits))
+            for block, *held in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "keys", "numbers")), strict=True):
+                keys, n = counted(sliced(grams(*held, order)[0], number, slice_bits))
                 bucket, begin = bucketed(keys, bits)
                 offsets = pa.array(begin, pa.int32())
                 yield {
@@ -182,7 +202,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                     "counts": pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))),
                 }
 
-        asked = map_batches(blocks.select("block", "sizes", "texts"), ask, "bucket long, block long, keys array<long>, counts array<int>")
+        asked = map_batches(blocks.select("block", "sizes", "keys", "numbers"), ask, "bucket long, block long, keys array<long>, counts array<int>")
         return gathered(totals(asked, max(parallelism(docs.sparkSession), parts >> slice_bits)))
 
     with shuffles_freed(docs.sparkSession):
@@ -193,7 +213,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         if not len(group):
             return pd.DataFrame({"id": [], "n_words": [], "score": []})
         row = group.iloc[0]
-        hashes, text, first = grams(_texts(row["sizes"], row["texts"]), order)
+        hashes, text, first = grams(row["sizes"], row["keys"], row["numbers"], order)
         keys, n = counted(hashes)
         bucket, begin = bucketed(keys, bits)
         known = n.astype(np.int64)  # of n-grams no other block has
@@ -202,6 +222,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             at = np.arange(len(told)) + np.repeat(begin[np.searchsorted(bucket, buckets)] - (np.cumsum(length) - length), length)
             known[at[told > 0]] = told[told > 0]
         ids = pd.Series(list(row["ids"]), dtype="Int64" if kind in ("bigint", "int") else object)
-        return pd.DataFrame({"id": ids, "n_words": np.diff(first), "score": pd.Series(scores(hashes, text, first, keys, known, corpus, order), dtype="Float64")})
+        return pd.DataFrame({"id": ids, "n_words": np.diff(first), "score": pd.Series(scores(hashes, text, first, known, corpus, order), dtype="Float64")})
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(judge, f"id {kind}, n_words long, score double")

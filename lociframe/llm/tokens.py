@@ -60,11 +60,6 @@ def words(texts: list[bytes]) -> Words:
     return Words(raw, text_at, start, end, mix64(value), np.searchsorted(start, text_at))
 
 
-def count_words(data: bytes) -> int:
-    space = np.concatenate(([True], _IS_SPACE[np.frombuffer(data, np.uint8)]))
-    return int(np.count_nonzero(space[:-1] & ~space[1:]))
-
-
 def windows(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """Hash of every ``size`` hashes in a row."""
     if len(hashes) < size:
