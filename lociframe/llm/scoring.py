@@ -105,18 +105,19 @@ def ordered(flat: np.ndarray) -> np.ndarray:
     return near[np.argsort(flat[near], kind="stable")]
 
 
-def scores(hashes: list[np.ndarray], text: np.ndarray, first: np.ndarray, totals: np.ndarray, corpus: int, order: int) -> list[float | None]:
-    """Scores from the counts of the whole corpus: ``totals`` of the different keys by their order, ``corpus`` words in all."""
-    size, flat = np.diff(first), np.concatenate(hashes)
-    at = ordered(flat)
-    at = at[np.count_nonzero(flat == 0) :]
-    key, of = flat[at], text[at % max(1, len(text))]
-    new = np.diff(key, prepend=np.uint64(0)) != 0
-    run = np.flatnonzero(new | (np.diff(of, prepend=-1) != 0))
-    own = np.diff(np.append(run, len(at)))
-    every = np.zeros(len(flat), np.int64)
-    every[at] = totals[np.cumsum(new) - 1] - np.repeat(own, own)
-    others = np.split(every, order)
+def scores(hashes: list[np.ndarray], text: np.ndarray, first: np.ndarray, keys: np.ndarray, totals: np.ndarray, corpus: int, order: int) -> list[float | None]:
+    """Scores from the counts of the whole corpus: ``totals`` of the sorted ``keys``, ``corpus`` words in all."""
+    size = np.diff(first)
+    others: list[np.ndarray] = []
+    for full in hashes:
+        at = ordered(full)[np.count_nonzero(full == 0) :]
+        key, of = full[at], text[at]
+        new = np.diff(key, prepend=np.uint64(0)) != 0
+        run = np.flatnonzero(new | (np.diff(of, prepend=-1) != 0))
+        own = np.diff(np.append(run, len(at)))
+        every = np.zeros(len(full), np.int64)
+        every[at] = totals[np.searchsorted(keys, key[new])][np.cumsum(new) - 1] - np.repeat(own, own)
+        others.append(every)
     log = np.log10((others[0] + 1) / np.maximum(1, corpus - size[text] + 1)) + (order - 1) * math.log10(BACKOFF)
     for n in range(2, order + 1):
         context = np.concatenate(([0], others[n - 2][:-1]))
@@ -158,7 +159,7 @@ def totals(asked: DataFrame, parts: int) -> DataFrame:
     rows = rows.select("bucket", "block", "at", "key", F.get("counts", "at").cast("long").alias("n"))
     every = Window.partitionBy("key", "bucket")  # a key is in one bucket, so its rows are in one partition already
     summed = rows.withColumn("total", F.sum("n").over(every)).where("total > n")
-    return summed.groupBy("bucket", "block").agg(F.concat(F.collect_list(F.col("at").cast("long")), F.collect_list("total")).alias("answer"))
+    return summed.groupBy("block", "bucket").agg(F.concat(F.collect_list(F.col("at").cast("long")), F.collect_list("total")).alias("answer"))
 
 
 def gathered(answers: DataFrame) -> DataFrame:
@@ -222,6 +223,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             at = np.arange(len(told)) + np.repeat(begin[np.searchsorted(bucket, buckets)] - (np.cumsum(length) - length), length)
             known[at[told > 0]] = told[told > 0]
         ids = pd.Series(list(row["ids"]), dtype="Int64" if kind in ("bigint", "int") else object)
-        return pd.DataFrame({"id": ids, "n_words": np.diff(first), "score": pd.Series(scores(hashes, text, first, known, corpus, order), dtype="Float64")})
+        return pd.DataFrame({"id": ids, "n_words": np.diff(first), "score": pd.Series(scores(hashes, text, first, keys, known, corpus, order), dtype="Float64")})
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(judge, f"id {kind}, n_words long, score double")
