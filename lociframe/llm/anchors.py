@@ -28,7 +28,8 @@ from lociframe.llm.util import mix64
 SHARD_BYTES = 1 << 20
 LEAST_SHARDS = 64
 MOST_CONTEXTS = 20_000
-PORTION = 1 << 20
+#: Bytes of text looked at together: arrays of 8 bytes a byte of it, which should stay in a core's cache.
+PORTION = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -82,18 +83,21 @@ def contexts(u: Units, kind: Kind, counting: bool) -> Contexts:
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(u.hash * power[:n], dtype=np.uint64)))
     gram = mix64((sums[kind.gram :] - sums[: n + 1 - kind.gram]) * inverse[: n + 1 - kind.gram])
     least = slide(gram, span, np.minimum)  # of each window
-    text = np.repeat(np.arange(len(u.first) - 1), np.diff(u.first))[: len(least)]
-    good = np.arange(len(least)) + kind.window <= u.first[text + 1]
-    change = np.ones(len(least), bool)
-    change[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (good[1:] != good[:-1])
+    # Contexts end where the least changes, a text begins or its last window is over.
+    change = np.ones(len(least) + 1, bool)
+    np.not_equal(least[1:], least[:-1], out=change[1:-1])
+    edges = np.concatenate((u.first[:-1], np.maximum(u.first[:-1], u.first[1:] - kind.window + 1)))
+    change[edges[edges < len(least)]] = True
     a = np.flatnonzero(change)
-    b = np.append(a[1:], len(least))
-    a, b = a[good[a]], b[good[a]]
+    a, b = a[:-1], a[1:]
+    text = np.searchsorted(u.first, a, side="right") - 1
+    good = a + kind.window <= u.first[text + 1]
+    a, b, text = a[good], b[good], text[good]
     key = least[a]
     if not counting:
         stop = b - 1 + kind.window
         content = mix64((sums[stop] - sums[a]) * inverse[a], 3) ^ mix64((stop - a).astype(np.uint64), 5)
-        return Contexts(text[a], a - u.first[text[a]], b - a, key, None, content)
+        return Contexts(text, a - u.first[text], b - a, key, None, content)
     # Positions of grams that are the least of some window of any text; for counting those behind a key.
     padded = np.concatenate((np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)))
     place = np.flatnonzero(gram == slide(padded, span, np.maximum))
@@ -101,7 +105,7 @@ def contexts(u: Units, kind: Kind, counting: bool) -> Contexts:
     total = high - low
     flat = np.repeat(low - np.concatenate(([0], np.cumsum(total)[:-1])), total) + np.arange(total.sum())
     times = np.bincount(np.repeat(np.arange(len(a)), total), gram[place[flat]] == np.repeat(key, total), minlength=len(a)).astype(np.int64)
-    return Contexts(text[a], a - u.first[text[a]], b - a, key, times, None)
+    return Contexts(text, a - u.first[text], b - a, key, times, None)
 
 
 def _portions(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -163,15 +167,24 @@ def repeats(docs: DataFrame, kind: Kind, solver: Solver, relation: str, id_col:
     loaded = texts.join(wanted, (F.col("id") == F.col("i")) & (F.col("digest") == F.col("d"))).select("id", "text", "parts")
 
     def cut(batch: pa.RecordBatch) -> Iterator[dict]:
+        parts = batch.column("parts").flatten()
+        column = {c: parts.field(c) for c in ("windows", "key", "content", "n", "hot")}
+        end = np.cumsum(batch.column("parts").value_lengths().to_numpy())
+        row = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(end, prepend=0)))
+        starts, windows = parts.field("start").to_numpy(), column["windows"].to_numpy()
+        begin, held, size = 0, [], 0
         for k in range(batch.num_rows):
             data = (batch.column("text")[k].as_py() or "").encode("utf-8", "replace")
-            parts = batch.column("parts")[k].as_py()
-            first = np.array([p["start"] for p in parts])
-            last = first + np.array([p["windows"] for p in parts]) + kind.window - 2
+            own = slice(begin + len(held), end[k])
+            first, last = starts[own], starts[own] + windows[own] + (kind.window - 2)
             if kind.unit == "word":
                 w = tokens.words([data])
                 first, last = w.start[first], w.end[last] - 1
-            yield {c: [p[c] for p in parts] for c in ("windows", "key", "content", "n", "hot")} | {"id": [batch.column("id")[k].as_py()] * len(parts), "data": [data[a : b + 1] for a, b in zip(first, last, strict=True)]}
+            held.extend(data[a : b + 1] for a, b in zip(first.tolist(), last.tolist(), strict=True))
+            size += int((last - first + 1).sum())
+            if size > PORTION or k == batch.num_rows - 1:
+                yield {c: x.slice(begin, len(held)) for c, x in column.items()} | {"id": batch.column("id").take(row.slice(begin, len(held))), "data": held}
+                begin, held, size = begin + len(held), [], 0
 
     pieces = map_batches(loaded, cut, "id long, windows int, key long, content long, n long, hot boolean, data binary")
     any_hot = not many.isEmpty()

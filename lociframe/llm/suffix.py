@@ -6,7 +6,7 @@ symbols induce the whole array. The passes move whole stretches of a bucket at o
 are few; the recursion ends at a string with a new name every few places, whose suffixes are sorted by doubling.
 
 Dedup: a byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere else. Shards hold the different contexts of their keys
-(see ``anchors``); a window repeats if its suffix has a neighbour in the shard's array with a common prefix of ``LENGTH``, or if its context has more
+(see ``anchors``), of which only stretches whose grams all occur more than once are sorted; a window repeats if its suffix has a neighbour in the shard's array with a common prefix of ``LENGTH``, or if its context has more
 than one occurrence.
 
 Defined results: a null text is empty; a text of under LENGTH bytes keeps all; rows with equal text count as occurrences of their own, so
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lociframe.llm import anchors
+from lociframe.llm import anchors, tokens
 from lociframe.llm.tokens import map_batches
 from lociframe.llm.util import runs
 
@@ -41,9 +41,10 @@ def smaller(s: np.ndarray) -> np.ndarray:
 def _append(sa: np.ndarray, s: np.ndarray, edge: np.ndarray, items: np.ndarray, down: bool) -> None:
     """Put items, in order, at the edges of the buckets of their symbols."""
     symbol = s[items]
-    order = np.argsort(symbol.astype(np.uint16 if len(edge) < 1 << 16 else np.int64), kind="stable")  # by radix, as symbols are few
+    narrow = np.uint8 if len(edge) <= 1 << 8 else np.uint16 if len(edge) < 1 << 16 else np.int64
+    order = np.argsort(symbol.astype(narrow, copy=False), kind="stable")  # by radix, as symbols are few
     items, symbol = items[order], symbol[order]
-    new = np.flatnonzero(np.diff(symbol, prepend=-1))
+    new = np.append(0, np.flatnonzero(symbol[1:] != symbol[:-1]) + 1)
     count = np.diff(np.append(new, len(symbol)))
     within = np.arange(len(symbol)) - np.repeat(new, count)
     sa[edge[symbol] - 1 - within if down else edge[symbol] + within] = items
@@ -150,9 +151,12 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     known = (at > 0) & (before > 0)
     known[known] = s[at[known] - 1] == s[before[known] - 1]
     known &= np.concatenate(([False], before[:-1] >= 0))
-    width = 4 if s.max() < 1 << 16 else 2
-    wide = np.concatenate((s, np.zeros(width, s.dtype))).astype(np.uint64)
-    word = sum(wide[k : k + n] << np.uint64(64 // width * k) for k in range(width))
+    top = s.max()
+    width = 8 if top < 1 << 8 else 4 if top < 1 << 16 else 2
+    bits = 64 // width
+    word, size = np.concatenate((s, np.zeros(width, s.dtype))).astype(np.uint64), 1
+    while size < width:
+        word, size = word[:-size] | (word[size:] << np.uint64(bits * size)), size * 2
     i = np.flatnonzero(~known & (before >= 0))
     j, value = before[i], np.zeros(len(i), np.int64)
     live = np.arange(len(i))
@@ -160,13 +164,12 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
         x, y = i[live] + value[live], j[live] + value[live]
         inside = np.maximum(x, y) < n
         live, x, y = live[inside], x[inside], y[inside]
-        go = word[x] == word[y]
+        differ = word[x] ^ word[y]
+        go = differ == 0
         value[live[go]] += width
-        stop, x, y = live[~go], x[~go], y[~go]
-        for _ in range(width):  # the symbols of the word that differs
-            more = (np.maximum(x, y) < n) & (s[np.minimum(x, n - 1)] == s[np.minimum(y, n - 1)])
-            stop, x, y = stop[more], x[more] + 1, y[more] + 1
-            value[stop] += 1
+        # The symbols before the first one that differs.
+        low = differ[~go]
+        value[live[~go]] += np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) // bits
         live = live[go]
     # A known value is that of the last compared position, less the steps since.
     full = np.zeros(n, np.int64)
@@ -186,18 +189,67 @@ def joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return s, begin
 
 
+def may_repeat(s: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
+    """True where a window starts all of whose grams occur more than once in the shard, by the top bits of their hashes.
+
+    Any other window has no equal, so it need not be sorted.
+    """
+    gram = min(GRAM, length)
+    if len(s) < length:
+        return np.zeros(len(s), bool)
+    power, inverse = tokens.powers(len(s) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(s * power[: len(s)], dtype=np.uint64)))
+    value = (sums[gram:] - sums[:-gram]) * inverse[: len(s) + 1 - gram]
+    slot = (value >> np.uint64(63 - len(s).bit_length())).view(np.int64)
+    often = np.bincount(slot)[slot] > 1
+    # No gram reaches over the end of a context.
+    ends = np.append(begin[1:], len(s) - 1) - 1
+    over = ends[:, None] - np.arange(gram)
+    often[over[(over >= 0) & (over < len(often))]] = False
+    often[len(s) - gram :] = False
+    first, last = runs(often)
+    last = last - (length - gram)
+    long = last > first
+    return spread(first[long], last[long], len(s))
+
+
+def spread(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """True from each first place up to its last, which is not included."""
+    step = np.zeros(n + 1, np.int32)
+    np.add.at(step, first, 1)
+    np.add.at(step, last, -1)
+    return np.cumsum(step[:-1]) > 0
+
+
 def repeated_windows(data: list[bytes], windows: np.ndarray, n: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> list[list[tuple[int, int, int]]]:
     """Runs of repeated windows in each context of a shard."""
     s, begin = joined([np.frombuffer(d, np.uint8) for d in data])
-    sa = suffix_array(s)
-    prefix = common_prefixes(s, sa)[sa]
-    deep = prefix >= length
+    may = may_repeat(s, begin, length)
     flag = np.zeros(len(s), bool)
-    flag[sa] = deep | np.append(deep[1:], False)
-    out = []
-    for b, m, times in zip(begin, windows, n, strict=True):
-        a, e = runs(flag[b : b + m]) if times == 1 else (np.zeros(1, int), np.array([m]))
-        out.append([(int(x), int(y - x), 0) for x, y in zip(a, e, strict=True)])
+    if may.any():
+        # What is left are the stretches under these windows, each with the place after it as its end.
+        first, last = runs(may)
+        kept = spread(first, last + length - 1, len(s))
+        ends = np.flatnonzero(kept[:-1] & ~kept[1:]) + 1
+        s[ends] = 1
+        kept[ends] = kept[-1] = True
+        place = np.flatnonzero(kept)
+        s = s[place]
+        used = np.bincount(s) > 0
+        if used.sum() <= 1 << 8:  # numbered anew, in order
+            s = (np.cumsum(used) - 1).astype(np.uint8)[s]
+        sa = suffix_array(s)
+        prefix = common_prefixes(s, sa)[sa]
+        deep = prefix >= length
+        flag[place[sa]] = deep | np.append(deep[1:], False)
+        flag &= may  # places whose next bytes reach into another stretch are no windows
+    often = np.asarray(n) > 1
+    flag |= spread(begin[often], (begin + windows)[often], len(flag))
+    first, last = runs(flag)
+    owner = np.searchsorted(begin, first, side="right") - 1
+    out: list[list[tuple[int, int, int]]] = [[] for _ in data]
+    for k, x, y in zip(owner.tolist(), (first - begin[owner]).tolist(), (last - first).tolist(), strict=True):
+        out[k].append((x, y, 0))
     return out
 
 

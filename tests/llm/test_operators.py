@@ -343,3 +343,29 @@ def test_pipeline(spark, tmp_path):
             classes.append(r)
     ids = {r["doc_id"] for r in got}
     assert ids <= {r[0] for r in classes} and len(ids) == len(got) >= len(classes) - 2
+
+
+def test_windows_over_grams_that_occur_once_are_not_sorted(monkeypatch):
+    """Only stretches whose grams repeat go to the suffix array; what is found stays that of all windows compared."""
+    sizes, whole = [], suffix.suffix_array
+
+    def noted(s):
+        sizes.append(len(s))
+        return whole(s)
+
+    monkeypatch.setattr(suffix, "suffix_array", noted)
+    rng = random.Random(4)
+
+    def prose(n):
+        return bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+
+    shared, phrase, other = prose(230), prose(60), prose(200)
+    # Twice in one context, over the end of one, and a phrase that is no window long.
+    data = [prose(400) + shared + prose(300), shared[:215] + phrase + prose(500), prose(150) + phrase + prose(150), other + prose(40) + other, prose(250), shared[10:] + other[:190]]
+    times = np.array([1, 1, 1, 1, 3, 1])
+    windows = np.array([len(d) - 199 for d in data])
+    seen = Counter(d[k : k + 200] for d in data for k in range(len(d) - 199))
+    want = [{k for k in range(m) if t > 1 or seen[d[k : k + 200]] > 1} for d, m, t in zip(data, windows, times, strict=True)]
+    got = suffix.repeated_windows(data, windows, times, np.arange(len(data)))
+    assert [{k for x, m, _ in found for k in range(x, x + m)} for found in got] == want and sum(map(len, want)) > 80
+    assert 0 < sizes[0] < sum(map(len, data)) // 2
